@@ -61,7 +61,7 @@ def fmt_magnitude(c) -> Column:
     """Human number: 1.2B, 35M, 7K, 12 (P10)."""
     x = col_(c)
     a = F.abs(x)
-    return (F.when(a >= 1e9, F.concat(F.format_number(x / 1e9, 1), F.lit("B")))
+    return (F.when(a >= 1e9, F.concat(F.format_string("%.1f", x / 1e9), F.lit("B")))
             .when(a >= 1e6, F.concat(F.format_string("%.0f", x / 1e6), F.lit("M")))
             .when(a >= 1e3, F.concat(F.format_string("%.0f", x / 1e3), F.lit("K")))
             .otherwise(F.format_string("%.0f", x)))

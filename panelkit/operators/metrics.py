@@ -82,3 +82,153 @@ def cagr_halves(wide_long: DataFrame, keys=SERIES) -> DataFrame:
         cagr(F.nullif("v_mid", F.lit(0)), F.nullif("v_first", F.lit(0)), h).alias("cagr_first_half"),
         cagr(F.nullif("v_last", F.lit(0)), F.nullif("v_mid", F.lit(0)), F.col("t_last") - h).alias("cagr_second_half"),
         cagr(F.nullif("v_last", F.lit(0)), F.nullif("v_first", F.lit(0)), F.col("t_last")).alias("cagr_full"))
+
+
+def trim_leading_zeros(panel: DataFrame, keys=SERIES) -> DataFrame:
+    """keep each series from its first value > 0; all-zero series vanish.
+
+    Adds ``t_first`` (first non-zero period) and ``n_obs`` (points kept).
+    """
+    w = Window.partitionBy(*keys)
+    x = panel.withColumn("t_first", F.min(F.when(F.col("value") > 0, F.col("t"))).over(w))
+    x = x.filter(F.col("t") >= F.col("t_first"))
+    return x.withColumn("n_obs", F.count(F.lit(1)).over(w))
+
+
+def ols_sums(t="t", y="value"):
+    """Aggregates for an exact OLS fit: n, sum t, sum t^2, and the decimal
+    sums of y and t*y (2-decimal data), so the fit does not depend on the
+    order of the partial sums."""
+    tc, yc = F.col(t), F.col(y).cast("decimal(20,2)")
+    return [F.count(yc).alias("_n"), F.sum(tc).cast("double").alias("_st"),
+            F.sum(tc * tc).cast("double").alias("_stt"),
+            F.sum(yc).cast("double").alias("_sy"),
+            F.sum(yc * tc).cast("double").alias("_sty")]
+
+
+def ols_from_sums(prefix: str = ""):
+    """slope, intercept of y on t from ``ols_sums`` (slope 0 if n < 2 or
+    all t equal, as the reference's fit on fewer than two points)."""
+    n, st, stt, sy, sty = (F.col(f"{prefix}_{k}") for k in ("n", "st", "stt", "sy", "sty"))
+    den = n * stt - st * st
+    slope = F.when((n >= 2) & (den != 0), (n * sty - st * sy) / den).otherwise(F.lit(0.0))
+    intercept = (sy - slope * st) / n
+    return slope, intercept
+
+
+def series_trend(panel: DataFrame, keys=SERIES) -> DataFrame:
+    """OLS slope/intercept of value on t per series (after F6)."""
+    tr = trim_leading_zeros(panel, keys)
+    g = tr.groupBy(*keys).agg(*ols_sums())
+    slope, intercept = ols_from_sums()
+    return g.select(*keys, F.col("_n").cast("int").alias("n_obs"),
+                    slope.alias("slope"), intercept.alias("intercept"))
+
+
+def entity_stats(panel: DataFrame) -> DataFrame:
+    """Mean, sample std, min, max and CV of the entity-period sums;
+    ``size_log`` = log10(max(mean, 1))."""
+    ep = entity_period(panel)
+    g = ep.groupBy("entity").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                                 F.min("value").alias("min"), F.max("value").alias("max"))
+    return g.withColumn("cv", ratio(F.col("std"), F.col("mean"))) \
+        .withColumn("size_log", F.log10(F.greatest(F.col("mean"), F.lit(1.0))))
+
+
+def wide_metrics(panel: DataFrame, keys=SERIES) -> DataFrame:
+    """Per-series mean/std/CV across periods, from the long table."""
+    g = panel.groupBy(*keys).agg(F.avg("value").alias("mean_value"),
+                                 F.stddev_samp("value").alias("std_value"))
+    return g.withColumn("cv_value", ratio(F.col("std_value"), F.col("mean_value")))
+
+
+def cagr_historical(panel: DataFrame) -> DataFrame:
+    """Entity CAGR from the first non-zero to the last period; NULL when
+    fewer than 5 steps remain."""
+    ep = trim_leading_zeros(entity_period(panel), keys=["entity"])
+    g = ep.groupBy("entity").agg(F.min_by("value", "t").alias("v0"), F.max_by("value", "t").alias("v1"),
+                                 (F.count("*") - 1).alias("steps"))
+    return g.select("entity", F.when((F.col("steps") >= 5) & (F.col("v0") > 0),
+                                     cagr(F.col("v1"), F.col("v0"), F.col("steps"))).alias("growth_historical"))
+
+
+def share_change(panel: DataFrame, keys=SERIES) -> DataFrame:
+    """Share (%) of each series in the first and the last period total."""
+    last = panel.agg(F.max("t").alias("t_last"))
+    x = panel.crossJoin(F.broadcast(last))
+    v0 = F.when(F.col("t") == 0, F.col("value"))
+    v1 = F.when(F.col("t") == F.col("t_last"), F.col("value"))
+    g = x.groupBy(*keys).agg(F.max(v0).alias("v0"), F.max(v1).alias("v1"))
+    tot = x.agg(dsum(v0).alias("tot0"), dsum(v1).alias("tot1"))
+    return g.crossJoin(F.broadcast(tot)).select(
+        *keys, (ratio("v0", "tot0") * 100).alias("share_first"),
+        (ratio("v1", "tot1") * 100).alias("share_last")) \
+        .withColumn("share_change", F.col("share_last") - F.col("share_first"))
+
+
+def top_share_rest(panel: DataFrame, top: int = 8) -> DataFrame:
+    """Share (%) by period of the ``top`` entities by mean share, plus
+    'Rest' = 100 - their sum.  Ties broken by entity name."""
+    sh = with_period_share(entity_period(panel)).withColumn("share", F.col("share") * 100)
+    mean = sh.groupBy("entity").agg(F.avg("share").alias("mean_share"))
+    rank = Window.orderBy(F.desc("mean_share"), "entity")          # entity grain
+    tops = mean.withColumn("rk", F.row_number().over(rank)).filter(F.col("rk") <= top).select("entity")
+    t_sh = sh.join(F.broadcast(tops), "entity", "left_semi")        # at most `top` rows
+    rest = t_sh.groupBy("t").agg((100 - F.sum("share")).alias("share")).withColumn("entity", F.lit("Rest"))
+    return t_sh.select("t", "entity", "share").unionByName(rest.select("t", "entity", "share"))
+
+
+def regional_index(panel: DataFrame) -> DataFrame:
+    """A3 + G9: region totals per period, indexed to the first period = 100,
+    and each region's multiplier last/first."""
+    rt = panel.groupBy("region", "t").agg(dsum("value").alias("total"))
+    w = Window.partitionBy("region")
+    base = F.min_by("total", "t").over(w)
+    final = F.max_by("total", "t").over(w)
+    return rt.withColumn("index_base100", ratio(F.col("total"), base) * 100) \
+        .withColumn("multiplier", ratio(final, base))
+
+
+def own_max_profile(panel: DataFrame, region_order: list[str] | None = None) -> DataFrame:
+    """Entity-period values as % of the entity's own maximum, with the
+    display order: region rank (given list, else region total desc), then
+    entity mean desc."""
+    ep = entity_period(panel)
+    w = Window.partitionBy("entity")
+    x = ep.withColumn("pct_of_max", ratio(F.col("value"), F.max("value").over(w)) * 100) \
+        .withColumn("mean", F.avg("value").over(w))
+    ent = x.select("entity", "region", "mean").distinct()
+    if region_order:
+        rr = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in region_order]), F.col("region")),
+                        F.lit(99))
+        ent = ent.withColumn("region_rank", rr.cast("int"))
+    else:
+        rtot = ent.groupBy("region").agg(F.sum("mean").alias("rt"))
+        rtot = rtot.withColumn("region_rank", F.row_number().over(Window.orderBy(F.desc("rt"), "region")))
+        ent = ent.join(rtot.select("region", "region_rank"), "region")
+    ent = ent.withColumn("ord", F.row_number().over(
+        Window.orderBy("region_rank", F.desc("mean"), "entity")))  # entity grain
+    return x.join(ent.select("entity", "ord"), "entity").select("entity", "region", "t", "pct_of_max", "ord")
+
+
+def category_mix(panel: DataFrame) -> DataFrame:
+    """Category share (%) in the last vs the first period and delta."""
+    last = panel.agg(F.max("t").alias("t_last"))
+    x = panel.crossJoin(F.broadcast(last))
+    g = x.groupBy("category").agg(dsum(F.when(F.col("t") == 0, F.col("value"))).alias("v0"),
+                                  dsum(F.when(F.col("t") == F.col("t_last"), F.col("value"))).alias("v1"))
+    w = Window.partitionBy()                                       # category grain
+    return g.select("category", (ratio("v1", F.sum("v1").over(w)) * 100).alias("share_last"),
+                    (ratio("v0", F.sum("v0").over(w)) * 100).alias("share_first")) \
+        .withColumn("delta_pts", F.col("share_last") - F.col("share_first"))
+
+
+def macro_kpis(panel: DataFrame) -> DataFrame:
+    """First and last total, total growth %, CAGR %, last growth %."""
+    mt = macro_trend(panel)
+    g = mt.agg(F.min_by("total", "t").alias("first_total"), F.max_by("total", "t").alias("last_total"),
+               (F.max("t") - F.min("t")).alias("steps"), F.max_by("yoy_pct", "t").alias("last_yoy_pct"))
+    return g.select("first_total", "last_total",
+                    ((ratio("last_total", "first_total") - 1) * 100).alias("total_growth_pct"),
+                    cagr(F.col("last_total"), F.col("first_total"), F.col("steps")).alias("cagr_pct"),
+                    "last_yoy_pct")

@@ -58,17 +58,20 @@ def total_consistency(computed: DataFrame, declared: DataFrame, ids=("entity", "
 def audit_report(summary: DataFrame, consistency: DataFrame, zeros: DataFrame) -> DataFrame:
     """V8: check -> value -> status.  Max difference < 0.01% passes."""
     s = summary.crossJoin(consistency).crossJoin(zeros.select(F.col("n_entities").alias("n_zero_entities")))
+    def row(name, value, status):
+        return F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"),
+                        (status if not isinstance(status, str) else F.lit(status)).alias("status"))
+
+    def ok_if_zero(c, bad="fail"):
+        return F.when(F.col(c) == 0, "pass").otherwise(bad)
+
     rows = s.select(F.inline(F.array(
-        F.struct(F.lit("nulls").alias("check"), F.col("n_nulls").cast("double").alias("value"),
-                 F.when(F.col("n_nulls") == 0, "pass").otherwise("fail").alias("status")),
-        F.struct(F.lit("duplicate_series"), F.col("n_duplicates").cast("double"),
-                 F.when(F.col("n_duplicates") == 0, "pass").otherwise("fail")),
-        F.struct(F.lit("total_max_pct_diff"), F.col("max_pct_diff"),
-                 F.when(F.col("max_pct_diff") < 0.01, "pass").otherwise("review")),
-        F.struct(F.lit("entities_with_zeros"), F.col("n_zero_entities").cast("double"), F.lit("warn")),
-        F.struct(F.lit("negative_values"), F.col("n_negative").cast("double"),
-                 F.when(F.col("n_negative") == 0, "pass").otherwise("fail")),
-        F.struct(F.lit("unmapped_entities"), F.col("n_unmapped").cast("double"),
-                 F.when(F.col("n_unmapped") == 0, "pass").otherwise("warn")),
+        row("nulls", F.col("n_nulls"), ok_if_zero("n_nulls")),
+        row("duplicate_series", F.col("n_duplicates"), ok_if_zero("n_duplicates")),
+        row("total_max_pct_diff", F.col("max_pct_diff"),
+            F.when(F.col("max_pct_diff") < 0.01, "pass").otherwise("review")),
+        row("entities_with_zeros", F.col("n_zero_entities"), "warn"),
+        row("negative_values", F.col("n_negative"), ok_if_zero("n_negative")),
+        row("unmapped_entities", F.col("n_unmapped"), ok_if_zero("n_unmapped", "warn")),
     )))
     return rows

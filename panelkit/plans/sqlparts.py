@@ -39,10 +39,10 @@ panel_b AS (
 """
 
 
-def with_panel(body: str, b: bool = False) -> str:
-    """Prefix ``body`` (which may start with more CTEs: ``x AS (...), ...``
+def with_panel(body: str, b: bool = False, recursive: bool = False) -> str:
+    """Prefix ``body`` (which may start with more CTEs: ``, x AS (...)``
     followed by a final SELECT) with the panel CTEs."""
-    return "WITH " + (PANEL_B if b else PANEL_A) + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + (PANEL_B if b else PANEL_A) + body
 
 
 def dsum(expr: str) -> str:

@@ -1 +1,194 @@
-"""Queries (filled in below)."""
+"""Queries of the question stage: chunks, vectors, look-ups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.exprs import r2, r6
+from ..operators import lookups as LK
+from ..operators import retrieval as RT
+from ..operators.joins import literal_table
+from ..sources.tables import read_table
+from .catalog import register
+from .panels import panel_a
+from .stages import stages_for
+
+# RE2 spelling of the same white-space class as retrieval.WS
+WS_RE2 = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
+          "\\x{202F}\\x{205F}\\x{3000}]")
+STRIP = "regexp_replace(@X@, '^" + WS_RE2 + "+|" + WS_RE2 + "+$', '', 'g')"
+
+
+def _strip_sql(x):
+    return STRIP.replace("@X@", x)
+
+
+CHUNKS_SQL = f"""WITH d AS (SELECT doc_id, source, {_strip_sql('text')} AS t FROM documents),
+d2 AS (SELECT doc_id, source, t, length(t) AS L FROM d WHERE length(t) > 0),
+w AS (SELECT doc_id, source, t, unnest(range(0, CAST(greatest(0, ceil((L - 1100) / 950)) AS BIGINT) + 1)) AS k FROM d2),
+c AS (SELECT doc_id, source, k, {_strip_sql('substring(t, CAST(k * 950 + 1 AS BIGINT), 1100)')} AS text FROM w),
+ck AS (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_id, text
+       FROM c WHERE length(text) > 0)"""
+
+
+@register("doc_chunks", CHUNKS_SQL + """
+SELECT doc_id, source, chunk_id, text FROM ck""")
+def q_doc_chunks(spark, sf):
+    docs = read_table(spark, sf, "documents", "doc_id", "source", "text")
+    return RT.chunk_corpus(docs)
+
+
+@register("chunk_stats", CHUNKS_SQL + """
+SELECT source, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(max(length(text)) AS INTEGER) AS max_len
+FROM ck GROUP BY 1""")
+def q_chunk_stats(spark, sf):
+    docs = read_table(spark, sf, "documents", "doc_id", "source", "text")
+    ch = RT.chunk_corpus(docs)
+    return ch.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).cast("long").alias("n_chars"),
+                                    F.max(F.length("text")).alias("max_len"))
+
+
+NORM_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS norm FROM v),
+u AS (SELECT vec_id, norm, CASE WHEN norm > 0 THEN list_transform(e, lambda x: x / norm) ELSE e END AS u FROM n)"""
+
+
+@register("embedding_norms", NORM_SQL + """
+SELECT vec_id, round(norm, 6) AS norm, list_transform(u, lambda x: round(x, 6)) AS unit FROM u""")
+def q_embedding_norms(spark, sf):
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return e.select("vec_id", r6(norm).alias("norm"),
+                    F.transform(RT.l2_normalise("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+
+
+TOPK_SQL = NORM_SQL + """,
+ex AS (SELECT vec_id, unnest(u) AS x, generate_subscripts(u, 1) AS pos FROM u),
+sc AS (SELECT q.vec_id AS query, c.vec_id AS doc, sum(q.x * c.x) AS score
+       FROM ex q JOIN ex c ON q.pos = c.pos WHERE q.vec_id < 5 GROUP BY 1, 2),
+rk AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc)"""
+
+
+@register("cosine_topk", TOPK_SQL + """
+SELECT query, CAST(rank AS INTEGER) AS rank, doc AS vec_id, round(score, 6) AS score FROM rk WHERE rank <= 4""")
+def q_cosine_topk(spark, sf):
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    q = e.filter(F.col("vec_id") < 5)
+    t = RT.cosine_topk(e, q, k=RT.TOP_K)
+    return t.select("query", F.col("rank").cast("int").alias("rank"), "vec_id", r6("score").alias("score"))
+
+
+@register("snippets", CHUNKS_SQL + f""",
+cv AS (SELECT doc_id, source, chunk_id,
+              regexp_replace({_strip_sql('text')}, '{WS_RE2}+', ' ', 'g') AS s FROM ck)
+SELECT doc_id, source, chunk_id,
+       CASE WHEN length(s) > 420 THEN regexp_replace(substring(s, 1, 420), '{WS_RE2}+$', '', 'g') || '...'
+            ELSE s END AS snippet
+FROM cv WHERE chunk_id = 0""")
+def q_snippets(spark, sf):
+    """Snippet of every document's first chunk (the text a hit shows)."""
+    docs = read_table(spark, sf, "documents", "doc_id", "source", "text")
+    ch = RT.chunk_corpus(docs).filter(F.col("chunk_id") == 0)
+    return ch.select("doc_id", "source", "chunk_id", RT.snippet("text").alias("snippet"))
+
+
+PROBE = [("NATION_3", 1), ("nation_12", 2), ("TION_2", 3), ("vietnam", 4), ("atlantis", 5)]
+
+
+@register("resolve_entity", """WITH names(name, ord) AS (VALUES """
+          + ", ".join(f"('{n}', {i})" for n, i in PROBE) + """),
+ents AS (SELECT DISTINCT n_name AS entity FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey
+         JOIN orders o ON o.o_custkey = c.c_custkey),
+al(alias, entity) AS (VALUES """ + ", ".join("('{}', '{}')".format(a, e.replace("'", "''")) for a, e in LK.ALIASES)
+          + """),
+m AS (SELECT q.ord, e.entity, CASE WHEN lower(trim(q.name)) = lower(e.entity) THEN 1
+                                   WHEN contains(lower(e.entity), lower(trim(q.name)))
+                                     OR contains(lower(trim(q.name)), lower(e.entity)) THEN 2 END AS p
+      FROM names q, ents e),
+best AS (SELECT ord, entity FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY p, entity) AS r
+                                  FROM m WHERE p IS NOT NULL) WHERE r = 1)
+SELECT q.name, CAST(q.ord AS INTEGER) AS ord, coalesce(b.entity, a.entity) AS entity
+FROM names q LEFT JOIN best b ON b.ord = q.ord LEFT JOIN al a ON a.alias = lower(trim(q.name))""")
+def q_resolve_entity(spark, sf):
+    names = literal_table(spark, PROBE, "name string, ord int")
+    ents = panel_a(spark, sf).select("entity").distinct()
+    al = literal_table(spark, LK.ALIASES, "alias string, entity string")
+    return LK.resolve_names(names, ents, al)
+
+
+@register("resolve_segment")
+def q_resolve_segment(spark, sf):
+    return LK.resolve_segment("aceleración", stages_for(spark, sf).segments)
+
+
+@register("entity_profile")
+def q_entity_profile(spark, sf):
+    """Profile of one entity (resolved name), last-period value and index rank."""
+    st = stages_for(spark, sf)
+    seg = LK.index_rank(st.segments)
+    names = literal_table(spark, [("nation_7", 1)], "name string, ord int")
+    hit = LK.resolve_names(names, seg.select("entity")).select("entity")
+    last = st.panel.join(F.broadcast(st.panel.agg(F.max("t").alias("t"))), "t") \
+        .groupBy("entity").agg(F.sum("value").alias("last_value"))
+    p = seg.join(hit, "entity").join(last, "entity", "left")
+    return p.select("entity", "region", "cluster_name", r2(F.col("last_value") / 1e6).alias("last_m"),
+                    r2("share_global_pct").alias("share_global_pct"), r2("growth_forecast").alias("growth_forecast"),
+                    r2("acceleration").alias("acceleration"), r2("growth_historical").alias("growth_historical"),
+                    F.round("predictability", 0).alias("predictability"), F.round("ips", 1).alias("ips"),
+                    "ips_rank", "strategy")
+
+
+@register("top_n_index")
+def q_top_n_index(spark, sf):
+    s = LK.top_n(stages_for(spark, sf).segments, 10)
+    return s.select("position", "entity", "region", "cluster_name", F.round("ips", 1).alias("ips"),
+                    F.round("share_global_pct", 1).alias("share_global_pct"),
+                    F.round("growth_forecast", 1).alias("growth_forecast"))
+
+
+@register("segment_card")
+def q_segment_card(spark, sf):
+    """Centroid, member count and members by index (descending)."""
+    st = stages_for(spark, sf)
+    members = st.segments.groupBy("cluster_name").agg(
+        F.count("*").alias("n_members"),
+        F.transform(F.sort_array(F.collect_list(F.struct(-F.col("ips"), F.col("entity")))), lambda s: s["entity"])
+        .alias("members"))
+    c = st.centroids.select("cluster_name", *[r2(x).alias(x) for x in
+                                              ("growth_forecast", "acceleration", "cv", "predictability")])
+    return c.join(members, "cluster_name")
+
+
+@register("compare_entities")
+def q_compare_entities(spark, sf):
+    """Metric x entity table for 2..4 resolved names (in the given
+    order; extra names are cut at 4)."""
+    st = stages_for(spark, sf)
+    names = [n.strip() for n in "NATION_1, nation_3,NATION_5".split(",")][:4]
+    if len(names) < 2:
+        raise ValueError("at least two entities are needed")
+    nm = literal_table(spark, [(n, i) for i, n in enumerate(names)], "name string, ord int")
+    res = LK.resolve_names(nm, st.segments.select("entity"))
+    rows = st.segments.join(res.select("entity", "ord"), "entity")
+    metrics = [("region", F.col("region")), ("cluster_name", F.col("cluster_name")),
+               ("share_global_pct", F.format_string("%.2f%%", "share_global_pct")),
+               ("growth_forecast", F.format_string("%+.2f%%", "growth_forecast")),
+               ("acceleration", F.format_string("%+.2f pp", "acceleration")),
+               ("predictability", F.format_string("%.0f/100", "predictability")),
+               ("ips", F.format_string("%.1f", "ips"))]
+    long = rows.select("entity", "ord", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("mi"), F.lit(m).alias("metric"), v.alias("val")) for i, (m, v) in enumerate(metrics)]))
+        .alias("kv")).select("entity", "ord", "kv.*")
+    ents = [r["entity"] for r in res.orderBy("ord").collect() if r["entity"]]    # <= 4 names
+    return long.groupBy("mi", "metric").pivot("entity", ents).agg(F.first("val")).orderBy("mi").drop("mi")
+
+
+@register("top5_cards")
+def q_top5_cards(spark, sf):
+    """Five metrics for the five entities with the highest index."""
+    s = LK.top_n(stages_for(spark, sf).segments, 5)
+    return s.select("position", "entity", "cluster_name", F.round("ips", 1).alias("ips"),
+                    F.round("growth_forecast", 2).alias("growth_forecast"),
+                    F.round("share_global_pct", 2).alias("share_global_pct"),
+                    F.round("predictability", 0).alias("predictability"), "strategy")

@@ -13,7 +13,7 @@ from ..operators import models as MD
 from .catalog import register
 from .panels import panel_a
 from .sqlparts import with_panel
-from .stages import Stages
+from .stages import stages_for
 
 KEYS = ["entity", "category"]
 
@@ -329,7 +329,7 @@ def q_segmented_gain(spark, sf):
 
 
 def _summary(spark, sf):
-    st = Stages(spark, sf)
+    st = stages_for(spark, sf)
     return st.panel, st.breaks, st.summary
 
 
@@ -361,7 +361,7 @@ def q_mape_summary(spark, sf):
 
 # ------------------------------------------------------------ final forecast
 def final_forecasts(spark, sf):
-    return Stages(spark, sf).forecasts
+    return stages_for(spark, sf).forecasts
 
 
 def _fc_final_out(df):

@@ -58,3 +58,87 @@ class Stages:
     @property
     def forecasts(self) -> DataFrame:
         return self._get("forecasts", lambda: FC.forecast_all(self.panel, self.breaks, self.summary, self.keys))
+
+
+class SegmentStages(Stages):
+    """Stage 3: features -> winsorise -> robust scale -> K-Means (k chosen by
+    silhouette) -> PCA -> centroids -> names -> index -> strategy."""
+
+    K_RANGE = (4, 5, 6, 7)       # fixed values of the reference
+    RESTARTS_SELECT = 20
+    RESTARTS_FINAL = 50
+    SEED = 42
+
+    @property
+    def features(self) -> DataFrame:
+        from ..operators import features as FT
+        return self._get("features", lambda: FT.entity_features(self.panel, self.breaks, self.summary,
+                                                                self.forecasts))
+
+    def _cluster(self):
+        if "segments" in self._memo:
+            return
+        from pyspark.sql import functions as F
+        from ..operators import cluster as CL
+        from ..operators import features as FT
+        from ..operators import rules as RU
+        from ..operators import score as SC
+        cols = FT.CLUSTER_FEATURES
+        base = self.features.dropna(subset=cols)
+        w = FT.winsorize(base, cols)
+        scaled, params = FT.robust_scale(w, cols)
+        scaled = cut_lineage(scaled.withColumn("vec", F.array(*[F.col(f"z_{c}") for c in cols])))
+        labels, _, _ = CL.kmeans(scaled, "entity", "vec", self.K_RANGE, self.RESTARTS_SELECT, self.SEED)
+        sil = CL.silhouette_sq(scaled, "entity", "vec", labels, group="k").groupBy("k").agg(F.avg("s").alias("sil"))
+        sil_rows = sorted((r["k"], r["sil"]) for r in sil.collect())
+        best_k = max(sil_rows, key=lambda kv: (kv[1], -kv[0]))[0]
+        lab, centres, _ = CL.kmeans(scaled, "entity", "vec", [best_k], self.RESTARTS_FINAL, self.SEED)
+        # centroids in original units, relabelled by growth descending
+        p = params.first()
+        rows = []
+        for c, vec in enumerate(centres[best_k]):
+            orig = [float(vec[j]) * p[f"iqr_{col}"] + p[f"med_{col}"] for j, col in enumerate(cols)]
+            rows.append((c, *orig))
+        order = sorted(rows, key=lambda r: (-r[1], r[0]))
+        relabel = {r[0]: i for i, r in enumerate(order)}
+        spark = self.spark
+        cent = spark.createDataFrame([(relabel[r[0]], *r[1:]) for r in rows],
+                                     "cluster int, " + ", ".join(f"{c} double" for c in cols))
+        mp = F.create_map(*[F.lit(x) for kv in relabel.items() for x in kv])
+        lab = lab.select("entity", F.element_at(mp, F.col("cluster")).cast("int").alias("cluster"))
+        counts = lab.groupBy("cluster").agg(F.count("*").cast("int").alias("n_entities"))
+        cent = RU.name_segments(cent.join(counts, "cluster", "left").fillna(0, ["n_entities"]))
+        coords, ev = CL.pca_2d(scaled, "entity", [f"z_{c}" for c in cols])
+        seg = base.join(lab, "entity").join(coords, "entity") \
+            .join(cent.select("cluster", "cluster_name"), "cluster")
+        scored = SC.with_strategy(SC.pressure_index(seg))
+        self._memo["centroids"] = cut_lineage(cent)
+        self._memo["segments"] = cut_lineage(scored)
+        self._memo["scaled"] = scaled
+        self.meta = {"best_k": best_k, "silhouette": dict(sil_rows), "explained_variance": ev}
+
+    @property
+    def segments(self) -> DataFrame:
+        self._cluster()
+        return self._memo["segments"]
+
+    @property
+    def centroids(self) -> DataFrame:
+        self._cluster()
+        return self._memo["centroids"]
+
+
+_CACHE: dict = {}
+
+
+def stages_for(spark: SparkSession, sf_dir: str) -> SegmentStages:
+    """Stage outputs shared by all queries of one session and data folder
+    (the checkpointed tables play the role of the reference's stage files)."""
+    key = (id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = SegmentStages(spark, sf_dir)
+    return _CACHE[key]
+
+
+def clear_stage_cache() -> None:
+    _CACHE.clear()

@@ -48,16 +48,13 @@ def backtest_predictions(panel: DataFrame, breaks: DataFrame, keys, holdout: int
     s, train, test = split(panel, keys, holdout)
     hist = train.select(*keys, "i", "value")
     parts = []
-    if "naive_drift" in models:
-        parts.append(MD.naive_drift(hist, holdout, keys).withColumn("model", F.lit("naive_drift")))
-    if "linear_trend" in models:
-        parts.append(MD.linear_trend(hist, holdout, keys).withColumn("model", F.lit("linear_trend")))
+    closed = [m for m in ("naive_drift", "linear_trend", "segmented") if m in models]
+    if closed:
+        bp = train_break_index(s, breaks, keys, holdout) if "segmented" in closed else None
+        cf = MD.closed_form(hist, holdout, keys, bp)
+        parts.append(cf.filter(F.col("model").isin(closed)))
     if "holt" in models:
         parts.append(MD.holt(hist, holdout, keys).withColumn("model", F.lit("holt")))
-    if "segmented" in models:
-        bp = train_break_index(s, breaks, keys, holdout)
-        seg_hist = hist.join(bp, list(keys), "left_semi")      # only series with a usable break
-        parts.append(MD.segmented(seg_hist, holdout, keys, bp).withColumn("model", F.lit("segmented")))
     pred = parts[0]
     for p in parts[1:]:
         pred = pred.unionByName(p)

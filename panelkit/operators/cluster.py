@@ -44,11 +44,14 @@ def _assign(d2: DataFrame, id_col: str) -> DataFrame:
 
 
 def kmeans(points: DataFrame, id_col: str, vec: str, ks, restarts: int, seed: int = 42,
-           max_iter: int = 50, tol: float = 1e-10):
+           max_iter: int = 50, tol: float = 1e-10, select_restarts: int | None = None):
     """Lloyd's algorithm for every k in ``ks`` x ``restarts`` inits at once.
 
     Returns (labels DataFrame(id, k, cluster), centres dict k -> array,
     inertia dict k -> float) for the best restart (lowest inertia) per k.
+    With ``select_restarts`` a dict is returned instead, holding the best of
+    the first ``select_restarts`` inits (``select_*``) and the best of all
+    inits (``final_*``) per k, both from the same loop.
     """
     spark = points.sparkSession
     px = _explode(points, id_col, vec).cache()
@@ -98,15 +101,24 @@ def kmeans(points: DataFrame, id_col: str, vec: str, ks, restarts: int, seed: in
     cdf = _centres_df(spark, centres)
     a = _assign(_sqdist(px, cdf, id_col), id_col).cache()
     inertia = {r["cfg"]: r["s"] for r in a.groupBy("cfg").agg(F.sum("d2").alias("s")).collect()}
-    best_cfg = {}
-    for c, (k, r) in enumerate(cfgs):
-        if k not in best_cfg or inertia[c] < inertia[best_cfg[k]] - 1e-12:
-            best_cfg[k] = c
-    inv = {c: k for k, c in best_cfg.items()}
-    lab = a.filter(F.col("cfg").isin(list(inv))).withColumn(
-        "k", F.element_at(F.create_map(*[F.lit(x) for kv in inv.items() for x in kv]), F.col("cfg")))
-    labels = lab.select(id_col, F.col("k").cast("int").alias("k"), "cluster")
-    return labels, {k: centres[c] for k, c in best_cfg.items()}, {k: inertia[c] for k, c in best_cfg.items()}
+    def pick(limit):
+        best_cfg = {}
+        for c, (k, r) in enumerate(cfgs):
+            if r >= limit:
+                continue
+            if k not in best_cfg or inertia[c] < inertia[best_cfg[k]] - 1e-12:
+                best_cfg[k] = c
+        inv = {c: k for k, c in best_cfg.items()}
+        lab = a.filter(F.col("cfg").isin(list(inv))).withColumn(
+            "k", F.element_at(F.create_map(*[F.lit(x) for kv in inv.items() for x in kv]), F.col("cfg")))
+        labels = lab.select(id_col, F.col("k").cast("int").alias("k"), "cluster")
+        return labels, {k: centres[c] for k, c in best_cfg.items()}, {k: inertia[c] for k, c in best_cfg.items()}
+    if select_restarts is None:
+        return pick(restarts)
+    sl, sc, si = pick(select_restarts)
+    fl, fc, fi = pick(restarts)
+    return {"select_labels": sl, "select_centres": sc, "select_inertia": si,
+            "final_labels": fl, "final_centres": fc, "final_inertia": fi}
 
 
 def silhouette_sq(points: DataFrame, id_col: str, vec: str, labels: DataFrame, group: str | None = None) -> DataFrame:

@@ -64,18 +64,13 @@ def forecast_all(panel: DataFrame, breaks: DataFrame, summary: DataFrame, keys=(
     hist = s.select(*keys, "i", "value")
     chosen = info.select(*keys, "model_used")
 
-    def run(name, fn):
-        sel = chosen.filter(F.col("model_used") == name).select(*keys)
-        return fn(hist.join(sel, keys, "left_semi")).withColumn("_m", F.lit(name))
-    parts = [run("naive_drift", lambda h: MD.naive_drift(h, horizon, keys)),
-             run("linear_trend", lambda h: MD.linear_trend(h, horizon, keys)),
-             run("segmented", lambda h: MD.segmented(h, horizon, keys, bp))]
+    closed = chosen.filter(F.col("model_used") != "holt")
+    cf = MD.closed_form(hist.join(closed.select(*keys), keys, "left_semi"), horizon, keys, bp)
+    fc = cf.join(closed, keys).filter(F.col("model") == F.col("model_used")) \
+        .select(*keys, "step", "forecast", "lower_80", "upper_80")
     if "holt" in models:
-        parts.append(run("holt", lambda h: MD.holt(h, horizon, keys)))
-    fc = parts[0]
-    for p in parts[1:]:
-        fc = fc.unionByName(p)
-    fc = fc.drop("_m")
+        hsel = chosen.filter(F.col("model_used") == "holt").select(*keys)
+        fc = fc.unionByName(MD.holt(hist.join(hsel, keys, "left_semi"), horizon, keys))
     if apply_floor:
         fc = floor_chain(fc, info.select(*keys, "last_value"), keys)
     return fc.join(info, keys).select(

@@ -37,6 +37,73 @@ def naive_drift(hist: DataFrame, h: int, keys) -> DataFrame:
                     (fc + spread).alias("upper_80"))
 
 
+def closed_form(hist: DataFrame, h: int, keys, bp: DataFrame | None = None) -> DataFrame:
+    """naive drift, linear trend and segmented linear in ONE grouped pass.
+
+    One window (lag, for the differences) and one aggregation per series
+    compute every sum the three models need; the residual spread of the
+    lines comes from the same sums (sum of squared residuals expanded in
+    exact decimal moments), so no second pass or join is needed.  Output has
+    a ``model`` column.  ``bp`` (keys, bp_idx) drives the segmented model;
+    without it the segmented model is not produced.
+    """
+    keys = list(keys)
+    x = hist
+    if bp is not None:
+        n = hist.groupBy(*keys).agg(F.count("*").alias("_len"))
+        b = n.join(bp, keys, "left")
+        ok = F.col("bp_idx").isNotNull() & (F.col("bp_idx") >= 0) & (F.col("bp_idx") <= F.col("_len") - 4) \
+            & ((F.col("_len") - F.col("bp_idx")) >= 4)
+        b = b.select(*keys, F.when(ok, F.col("bp_idx")).otherwise(F.lit(0)).alias("_from"),
+                     F.col("bp_idx").isNotNull().alias("_has_bp"))
+        x = hist.join(b, keys)
+    else:
+        x = hist.withColumn("_from", F.lit(0)).withColumn("_has_bp", F.lit(False))
+    w = Window.partitionBy(*keys).orderBy("i")
+    x = x.withColumn("_d", F.col("value") - F.lag("value").over(w))
+    y = F.col("value").cast("decimal(20,2)")
+    xi = F.col("i")
+    post = F.col("i") >= F.col("_from")
+    xs = F.col("i") - F.col("_from")
+
+    def moments(p, cond, xv):
+        yc = F.when(cond, y) if cond is not None else y
+        xc = F.when(cond, xv) if cond is not None else xv
+        return [F.count(yc).alias(f"{p}_n"), F.sum(xc).cast("double").alias(f"{p}_st"),
+                F.sum(xc * xc).cast("double").alias(f"{p}_stt"), F.sum(yc).cast("double").alias(f"{p}_sy"),
+                F.sum(yc * xc).cast("double").alias(f"{p}_sty"), F.sum(yc * yc).cast("double").alias(f"{p}_syy")]
+    g = x.groupBy(*keys).agg(
+        F.min_by("value", "i").alias("_y1"), F.max_by("value", "i").alias("_yn"), F.count("*").alias("_n"),
+        F.stddev_pop("_d").alias("_sdd"), F.max("_has_bp").alias("_has_bp"),
+        *moments("l", None, xi), *moments("s", post, xs))
+    from .metrics import ols_from_sums
+    out = []
+    drift = F.when(F.col("_n") > 1, (F.col("_yn") - F.col("_y1")) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
+    st = _steps(g, h)
+    fc = F.col("_yn") + F.col("step") * drift
+    sp = Z80 * F.col("_sdd") * F.sqrt(F.col("step").cast("double"))
+    out.append(st.select(*keys, "step", F.lit("naive_drift").alias("model"), fc.alias("forecast"),
+                         (fc - sp).alias("lower_80"), (fc + sp).alias("upper_80")))
+    for p, name in (("l", "linear_trend"), ("s", "segmented")):
+        if p == "s" and bp is None:
+            continue
+        b_, a_ = ols_from_sums(p)
+        n_, sy, sty, syy = F.col(f"{p}_n"), F.col(f"{p}_sy"), F.col(f"{p}_sty"), F.col(f"{p}_syy")
+        st_, stt = F.col(f"{p}_st"), F.col(f"{p}_stt")
+        # sum of squared residuals of y - (a + b x), from the moments
+        sse = syy - 2 * a_ * sy - 2 * b_ * sty + n_ * a_ * a_ + 2 * a_ * b_ * st_ + b_ * b_ * stt
+        sd = F.sqrt(F.greatest(sse / n_, F.lit(0.0)))
+        f = a_ + b_ * (n_ - 1 + F.col("step"))
+        spr = Z80 * sd * F.sqrt(1 + 1 / n_)
+        sel = st if p == "l" else st.filter(F.col("_has_bp"))
+        out.append(sel.select(*keys, "step", F.lit(name).alias("model"), f.alias("forecast"),
+                              (f - spr).alias("lower_80"), (f + spr).alias("upper_80")))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res
+
+
 def _ols(hist: DataFrame, keys, x: str):
     from .metrics import ols_from_sums, ols_sums
     g = hist.groupBy(*keys).agg(*ols_sums(t=x))

@@ -49,7 +49,7 @@ def _densify(cells: DataFrame, keys: list[str], label) -> DataFrame:
 def nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
-    return n.join(broadcast_if_small(r, 1000), n.n_regionkey == r.r_regionkey) \
+    return n.join(broadcast_if_small(r), n.n_regionkey == r.r_regionkey) \
         .select("n_nationkey", F.col("n_name").alias("entity"), F.col("r_name").alias("region"))
 
 
@@ -64,7 +64,7 @@ def panel_a_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_seg = (per_cust.join(c, per_cust.o_custkey == c.c_custkey)
                .groupBy("c_nationkey", F.col("c_mktsegment").alias("category"), "q")
                .agg(F.sum("v").cast(MONEY).alias("v")))
-    nr = broadcast_if_small(nation_region(spark, sf_dir), 10000)
+    nr = broadcast_if_small(nation_region(spark, sf_dir))
     return per_seg.join(nr, per_seg.c_nationkey == nr.n_nationkey) \
         .select("entity", "region", "category", "q", "v")
 

@@ -95,7 +95,7 @@ FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
 def q_region_enrich(spark, sf):
     c = read_table(spark, sf, "customer", "c_custkey", "c_nationkey")
-    dim = broadcast_if_small(nation_region(spark, sf).withColumnRenamed("n_nationkey", "c_nationkey"), 10000)
+    dim = broadcast_if_small(nation_region(spark, sf).withColumnRenamed("n_nationkey", "c_nationkey"))
     return R.enrich(c, dim, "c_nationkey", ["region"]).select("c_custkey", "entity", "region")
 
 
@@ -484,7 +484,7 @@ def declared_totals(spark, sf):
     c = read_table(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     per_seg = per_cust.join(c, per_cust.o_custkey == c.c_custkey) \
         .groupBy("c_nationkey", F.col("c_mktsegment").alias("category")).agg(F.sum("amt").alias("amt"))
-    nr = broadcast_if_small(nation_region(spark, sf), 10000)
+    nr = broadcast_if_small(nation_region(spark, sf))
     return per_seg.join(nr, per_seg.c_nationkey == nr.n_nationkey) \
         .select("entity", "category", F.round(F.col("amt").cast("double"), 2).alias("declared_total"))
 

@@ -148,7 +148,7 @@ breaks AS (
 
 
 def _breaks(spark, sf):
-    return BK.detect_breaks(panel_a(spark, sf))
+    return stages_for(spark, sf).breaks
 
 
 @register("structural_breaks", with_panel(BREAKS + """
@@ -165,7 +165,7 @@ def q_structural_breaks(spark, sf):
 @register("segment_series", with_panel(BREAKS + """
 SELECT entity, category, breakpoints FROM optseg""", recursive=True))
 def q_segment_series(spark, sf):
-    p = panel_a(spark, sf)
+    p = stages_for(spark, sf).panel
     tr = BT.indexed(p, KEYS)
     stats = tr.groupBy(*KEYS).agg(F.count("*").alias("n"), (F.min("value") == F.max("value")).alias("flat"))
     el = stats.filter((F.col("n") >= 10) & ~F.col("flat")).select(*KEYS)
@@ -188,8 +188,9 @@ FROM breaks b JOIN tri ON tri.entity = b.entity AND tri.category = b.category
 WHERE b.breakpoint_t IS NOT NULL""", recursive=True))
 def q_break_catalog(spark, sf):
     """Series split at the break period (the break point is in both)."""
-    p = panel_a(spark, sf)
-    b = BK.detect_breaks(p).filter(F.col("breakpoint_t").isNotNull())
+    st = stages_for(spark, sf)
+    p = st.panel
+    b = st.breaks.filter(F.col("breakpoint_t").isNotNull())
     tr = BT.indexed(p, KEYS)
     j = b.select(*KEYS, "breakpoint_t").join(tr, KEYS)
     return j.select(*KEYS, "t", r2("value").alias("value"), (F.col("t") <= F.col("breakpoint_t")).alias("in_pre"),
@@ -210,7 +211,7 @@ SELECT entity, category, step, round(f, 2) AS forecast, round(lo, 2) AS lower_80
 
 
 def _full_hist(spark, sf):
-    s = BT.indexed(panel_a(spark, sf), KEYS).filter(F.col("n") >= 8)
+    s = BT.indexed(stages_for(spark, sf).panel, KEYS).filter(F.col("n") >= 8)
     return s.select(*KEYS, "i", "value")
 
 
@@ -228,8 +229,8 @@ def q_fc_linear(spark, sf):
 bpi AS (SELECT entity, category, breakpoint_t - t_first AS bp_idx FROM breaks)"""
                                      + segmented_sql("fc", "full8", "bpi") + FC_SELECT, recursive=True))
 def q_fc_segmented(spark, sf):
-    p = panel_a(spark, sf)
-    b = BK.detect_breaks(p)
+    st = stages_for(spark, sf)
+    p, b = st.panel, st.breaks
     s = BT.indexed(p, KEYS).filter(F.col("n") >= 8)
     info = s.groupBy(*KEYS).agg(F.min("t_first").alias("t_first"))
     bp = b.join(info, KEYS).select(*KEYS, (F.col("breakpoint_t") - F.col("t_first")).alias("bp_idx"))
@@ -274,8 +275,8 @@ CLOSED_FORM = ("naive_drift", "linear_trend", "segmented")
 
 
 def _scores(spark, sf, models=CLOSED_FORM):
-    p = panel_a(spark, sf)
-    return BT.backtest_scores(p, BK.detect_breaks(p), KEYS, models=models)
+    st = stages_for(spark, sf)
+    return BT.backtest_scores(st.panel, st.breaks, KEYS, models=models)
 
 
 @register("backtest_scores", with_panel(BT_SQL + """
@@ -300,8 +301,8 @@ SELECT entity, category, round(linear_trend_mape, 4) AS linear_trend_mape, round
        abs(linear_trend_mape - segmented_mape) > 50 AS clipped
 FROM comp""", recursive=True))
 def q_segmented_vs_linear(spark, sf):
-    p = panel_a(spark, sf)
-    br = BK.detect_breaks(p)
+    st = stages_for(spark, sf)
+    p, br = st.panel, st.breaks
     sc = BT.backtest_scores(p, br, KEYS, models=CLOSED_FORM)
     wide = sc.groupBy(*KEYS).agg(F.max(F.when(F.col("model") == "linear_trend", F.col("mape"))).alias("linear_trend_mape"),
                                  F.max(F.when(F.col("model") == "segmented", F.col("mape"))).alias("segmented_mape"))
@@ -319,8 +320,8 @@ SELECT count(*) AS n_compared, count(*) FILTER (WHERE imp > 0) AS n_better,
        round(avg(CASE WHEN imp > 0 THEN imp END), 4) AS avg_gain,
        round(avg(CASE WHEN imp < 0 THEN imp END), 4) AS avg_loss FROM comp""", recursive=True))
 def q_segmented_gain(spark, sf):
-    p = panel_a(spark, sf)
-    br = BK.detect_breaks(p)
+    st = stages_for(spark, sf)
+    p, br = st.panel, st.breaks
     sc = BT.backtest_scores(p, br, KEYS, models=CLOSED_FORM)
     wide = sc.groupBy(*KEYS).agg(F.max(F.when(F.col("model") == "linear_trend", F.col("mape"))).alias("linear_trend_mape"),
                                  F.max(F.when(F.col("model") == "segmented", F.col("mape"))).alias("segmented_mape"))
@@ -392,7 +393,7 @@ nfc AS (SELECT fl.entity, fl.category, CAST(l.t_last + fl.step AS INTEGER) AS t,
 
 def naive_final(spark, sf):
     """Final forecast with the naive model for every series (floor applied)."""
-    p = panel_a(spark, sf)
+    p = stages_for(spark, sf).panel
     empty = p.select(*KEYS).limit(0).withColumn("best_model", F.lit(None).cast("string"))
     nob = p.select(*KEYS).limit(0).withColumn("breakpoint_t", F.lit(None).cast("int"))
     return FC.forecast_all(p, nob, empty, KEYS, models=("naive_drift",))
@@ -426,7 +427,7 @@ WHERE g IS NOT NULL ORDER BY g DESC, entity, category LIMIT 10""", recursive=Tru
 def q_growth_top(spark, sf):
     """Top 10 series by growth from the last actual to the last
     forecast period (a top-k report: the limit is the feature)."""
-    p = panel_a(spark, sf)
+    p = stages_for(spark, sf).panel
     f = naive_final(spark, sf)
     last = BT.indexed(p, KEYS).groupBy(*KEYS).agg(F.max_by("value", "t").alias("last_value"))
     tmax = f.agg(F.max("t").alias("t"))
@@ -453,7 +454,7 @@ def q_regional_forecast(spark, sf):
     """Region and global growth from the last actual period to the
     last forecast period."""
     from ..functions.exprs import dsum
-    p = panel_a(spark, sf)
+    p = stages_for(spark, sf).panel
     f = naive_final(spark, sf)
     reg = p.select("entity", "region").distinct()
     tp = p.agg(F.max("t").alias("t"))
@@ -485,7 +486,7 @@ SELECT entity, category, t, kind, round(value, 2) AS value, round(lower_80, 2) A
 def q_forecast_ribbon(spark, sf):
     """History, the last actual repeated as the first forecast point, and
     the forecast, for the ten largest series by mean (top-k report)."""
-    p = panel_a(spark, sf)
+    p = stages_for(spark, sf).panel
     f = naive_final(spark, sf)
     top = M.wide_metrics(p).orderBy(F.desc("mean_value"), *KEYS).limit(10).select(*KEYS)
     top = F.broadcast(top)                                          # 10 rows
@@ -514,7 +515,7 @@ def q_entity_forecast(spark, sf):
     """Per entity and forecast period: totals over categories with
     bands (millions, 1 decimal) and growth vs the last actual period."""
     from ..functions.exprs import dsum
-    p = panel_a(spark, sf)
+    p = stages_for(spark, sf).panel
     f = naive_final(spark, sf)
     tp = p.agg(F.max("t").alias("t"))
     la = p.join(F.broadcast(tp), "t").groupBy("entity").agg(dsum("value").alias("last_actual"))

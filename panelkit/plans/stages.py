@@ -33,7 +33,13 @@ class Stages:
 
     @property
     def panel(self) -> DataFrame:
-        return self._get("panel", lambda: self._panel_fn(self.spark, self.sf))
+        """The panel hash-partitioned by series key once; the checkpoint keeps
+        that partitioning, so every per-series window and aggregate downstream
+        (trim, breaks, models, backtest) runs without another exchange."""
+        def build():
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            return self._panel_fn(self.spark, self.sf).repartition(n, *self.keys)
+        return self._get("panel", build)
 
     @property
     def breaks(self) -> DataFrame:
@@ -88,11 +94,16 @@ class SegmentStages(Stages):
         w = FT.winsorize(base, cols)
         scaled, params = FT.robust_scale(w, cols)
         scaled = cut_lineage(scaled.withColumn("vec", F.array(*[F.col(f"z_{c}") for c in cols])))
-        labels, _, _ = CL.kmeans(scaled, "entity", "vec", self.K_RANGE, self.RESTARTS_SELECT, self.SEED)
+        # One Lloyd loop serves both fits: restarts 0..19 of every k select k
+        # by silhouette, restarts 0..49 of the chosen k give the final model.
+        runs = CL.kmeans(scaled, "entity", "vec", self.K_RANGE, self.RESTARTS_FINAL, self.SEED,
+                         select_restarts=self.RESTARTS_SELECT)
+        labels = runs["select_labels"]
         sil = CL.silhouette_sq(scaled, "entity", "vec", labels, group="k").groupBy("k").agg(F.avg("s").alias("sil"))
         sil_rows = sorted((r["k"], r["sil"]) for r in sil.collect())
         best_k = max(sil_rows, key=lambda kv: (kv[1], -kv[0]))[0]
-        lab, centres, _ = CL.kmeans(scaled, "entity", "vec", [best_k], self.RESTARTS_FINAL, self.SEED)
+        lab = runs["final_labels"].filter(F.col("k") == best_k)
+        centres = runs["final_centres"]
         # centroids in original units, relabelled by growth descending
         p = params.first()
         rows = []

@@ -14,6 +14,7 @@ from .catalog import register
 from .panels import panel_a
 from .sqlparts import with_panel
 from .stages import stages_for
+from .holt_sql import holt_sql
 
 KEYS = ["entity", "category"]
 
@@ -237,7 +238,7 @@ def q_fc_segmented(spark, sf):
     return _fc_out(MD.segmented(s.select(*KEYS, "i", "value"), 5, KEYS, bp))
 
 
-@register("fc_holt")
+@register("fc_holt", with_panel(FULL + holt_sql("fc", "full8") + FC_SELECT, recursive=True))
 def q_fc_holt(spark, sf):
     return _fc_out(MD.holt(_full_hist(spark, sf), 5, KEYS))
 
@@ -260,10 +261,11 @@ tbp AS (SELECT bi.entity, bi.category, CAST(b.breakpoint_t - bi.t_first AS INTEG
           AND b.breakpoint_t - bi.t_first < bi.n - 5 - 4),
 train_seg AS (SELECT * FROM train WHERE (entity, category) IN (SELECT (entity, category) FROM tbp))""" \
     + naive_sql("p_naive", "train") + linear_sql("p_lin", "train") + segmented_sql("p_seg", "train_seg", "tbp") \
-    + """, preds AS (
+    + holt_sql("p_holt", "train") + """, preds AS (
   SELECT entity, category, step, f, 'naive_drift' AS model FROM p_naive
   UNION ALL SELECT entity, category, step, f, 'linear_trend' FROM p_lin
-  UNION ALL SELECT entity, category, step, f, 'segmented' FROM p_seg),
+  UNION ALL SELECT entity, category, step, f, 'segmented' FROM p_seg
+  UNION ALL SELECT entity, category, step, f, 'holt' FROM p_holt),
 scores AS (
   SELECT p.entity, p.category, p.model,
          avg(CASE WHEN actual <> 0 THEN abs((actual - f) / actual) END) * 100 AS mape,
@@ -280,12 +282,15 @@ def _scores(spark, sf, models=CLOSED_FORM):
 
 
 @register("backtest_scores", with_panel(BT_SQL + """
-SELECT entity, category, model, round(mape, 4) AS mape, round(rmse, 2) AS rmse FROM scores""", recursive=True))
+SELECT entity, category, model, round(mape, 4) AS mape, round(rmse, 2) AS rmse FROM scores
+WHERE model <> 'holt'""", recursive=True))
 def q_backtest_scores(spark, sf):
     return _scores(spark, sf).select(*KEYS, "model", r4("mape").alias("mape"), r2("rmse").alias("rmse"))
 
 
-@register("backtest_holt")
+@register("backtest_holt", with_panel(BT_SQL + """
+SELECT entity, category, model, round(mape, 4) AS mape, round(rmse, 2) AS rmse FROM scores
+WHERE model = 'holt'""", recursive=True))
 def q_backtest_holt(spark, sf):
     return _scores(spark, sf, ("holt",)).select(*KEYS, "model", r4("mape").alias("mape"), r2("rmse").alias("rmse"))
 
@@ -329,31 +334,51 @@ def q_segmented_gain(spark, sf):
     return s.select("n_compared", "n_better", r4("avg_gain").alias("avg_gain"), r4("avg_loss").alias("avg_loss"))
 
 
+SUMMARY_SQL = BT_SQL + """, summary AS (
+  SELECT entity, category,
+    max(CASE WHEN model = 'naive_drift' THEN mape END) AS naive_drift_mape,
+    max(CASE WHEN model = 'linear_trend' THEN mape END) AS linear_trend_mape,
+    max(CASE WHEN model = 'holt' THEN mape END) AS holt_mape,
+    max(CASE WHEN model = 'segmented' THEN mape END) AS segmented_mape,
+    arg_min(model, struct_pack(m := mape, o := CASE model WHEN 'naive_drift' THEN 1 WHEN 'linear_trend' THEN 2
+                                                         WHEN 'holt' THEN 3 ELSE 4 END))
+      FILTER (WHERE mape IS NOT NULL) AS best_model,
+    min(mape) AS best_mape
+  FROM scores GROUP BY 1, 2)"""
+
+
 def _summary(spark, sf):
     st = stages_for(spark, sf)
     return st.panel, st.breaks, st.summary
 
 
-@register("backtest_summary")
+@register("backtest_summary", with_panel(SUMMARY_SQL + """
+SELECT entity, category, best_model, round(best_mape, 4) AS best_mape, round(naive_drift_mape, 4) AS naive_drift_mape,
+       round(linear_trend_mape, 4) AS linear_trend_mape, round(holt_mape, 4) AS holt_mape,
+       round(segmented_mape, 4) AS segmented_mape FROM summary""", recursive=True))
 def q_backtest_summary(spark, sf):
     _, _, s = _summary(spark, sf)
     return s.select(*KEYS, "best_model", r4("best_mape").alias("best_mape"),
                     *[r4(f"{m}_mape").alias(f"{m}_mape") for m in MD.MODEL_ORDER])
 
 
-@register("best_model")
+@register("best_model", with_panel(SUMMARY_SQL + """
+SELECT entity, category, best_model, round(best_mape, 4) AS best_mape FROM summary""", recursive=True))
 def q_best_model(spark, sf):
     _, _, s = _summary(spark, sf)
     return s.select(*KEYS, "best_model", r4("best_mape").alias("best_mape"))
 
 
-@register("model_wins")
+@register("model_wins", with_panel(SUMMARY_SQL + """
+SELECT best_model, count(*) AS n FROM summary GROUP BY 1""", recursive=True))
 def q_model_wins(spark, sf):
     _, _, s = _summary(spark, sf)
     return s.groupBy("best_model").agg(F.count("*").alias("n"))
 
 
-@register("mape_summary")
+@register("mape_summary", with_panel(SUMMARY_SQL + """
+SELECT count(*) AS n_series, round(median(best_mape), 4) AS median_mape, round(avg(best_mape), 4) AS mean_mape
+FROM summary""", recursive=True))
 def q_mape_summary(spark, sf):
     _, _, s = _summary(spark, sf)
     return s.agg(F.count("*").alias("n_series"), r4(F.median("best_mape")).alias("median_mape"),

@@ -14,7 +14,8 @@ from ..operators import score as SC
 from ..sources.tables import read_table
 from .catalog import register
 from .panels import panel_a
-from .q_series import BREAKS
+from .q_prepare import HIST_SQL
+from .q_series import BREAKS, FINAL_SQL
 from .sqlparts import with_panel
 from .stages import stages_for
 
@@ -27,7 +28,35 @@ def _feat_out(df):
                                            for c in FEATS])
 
 
-@register("entity_features")
+FEAT_SQL = FINAL_SQL + HIST_SQL + """, es AS (
+  SELECT entity, avg(value) AS mean, stddev_samp(value) AS std FROM ep GROUP BY 1),
+lastt AS (SELECT max(t) AS t_last FROM panel),
+act AS (SELECT entity, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS actual_last
+        FROM panel, lastt WHERE t = t_last GROUP BY 1),
+fce AS (SELECT entity, t, sum(forecast) AS fh FROM final GROUP BY 1, 2),
+gf AS (SELECT a.entity, (pow(nullif(f.fh, 0) / nullif(a.actual_last, 0), 1.0 / 5) - 1) * 100 AS growth_forecast
+       FROM act a JOIN fce f ON f.entity = a.entity AND f.t = (SELECT t_last FROM lastt) + 5),
+wmean AS (SELECT entity, category, avg(value) AS mean_value FROM panel GROUP BY 1, 2),
+pg AS (SELECT s.entity, coalesce(sum(s.best_mape * w.mean_value), 0.0) AS num, sum(w.mean_value) AS den
+       FROM summary s LEFT JOIN wmean w ON w.entity = s.entity AND w.category = s.category GROUP BY 1),
+pr AS (SELECT entity, CASE WHEN den > 0 THEN least(greatest(100 - num / den, 0.0), 100.0) END AS predictability
+       FROM pg),
+hb AS (SELECT entity, CAST(max(CASE WHEN breakpoint_t IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS had_breakpoint
+       FROM breaks GROUP BY 1),
+shr AS (SELECT entity, actual_last / nullif(sum(actual_last) OVER (), 0) * 100 AS share_global_pct FROM act),
+reg AS (SELECT DISTINCT entity, region FROM panel),
+feat AS (
+  SELECT es.entity, reg.region, es.mean, es.std / nullif(es.mean, 0) AS cv, log10(greatest(es.mean, 1)) AS size_log,
+         hist.growth_historical, gf.growth_forecast, pr.predictability, hb.had_breakpoint, shr.share_global_pct,
+         gf.growth_forecast - hist.growth_historical AS acceleration
+  FROM es LEFT JOIN hist ON hist.entity = es.entity LEFT JOIN gf ON gf.entity = es.entity
+  LEFT JOIN pr ON pr.entity = es.entity LEFT JOIN hb ON hb.entity = es.entity
+  LEFT JOIN shr ON shr.entity = es.entity LEFT JOIN reg ON reg.entity = es.entity)"""
+
+
+@register("entity_features", with_panel(FEAT_SQL + """
+SELECT entity, region, """ + ", ".join(f"round({c}, 6) AS {c}" if c != "had_breakpoint" else c for c in FEATS)
+                                        + " FROM feat", recursive=True))
 def q_entity_features(spark, sf):
     return _feat_out(stages_for(spark, sf).features)
 
@@ -47,13 +76,15 @@ def q_share_now(spark, sf):
     return FT.share_now(panel_a(spark, sf)).select("entity", r6("share_global_pct").alias("share_global_pct"))
 
 
-@register("predictability")
+@register("predictability", with_panel(FEAT_SQL + """
+SELECT entity, round(predictability, 6) AS predictability FROM pr""", recursive=True))
 def q_predictability(spark, sf):
     st = stages_for(spark, sf)
     return FT.predictability(st.panel, st.summary).select("entity", r6("predictability").alias("predictability"))
 
 
-@register("growth_forecast")
+@register("growth_forecast", with_panel(FEAT_SQL + """
+SELECT entity, round(growth_forecast, 6) AS growth_forecast FROM gf""", recursive=True))
 def q_growth_forecast(spark, sf):
     st = stages_for(spark, sf)
     return FT.growth_forecast(st.panel, st.forecasts).select("entity", r6("growth_forecast").alias("growth_forecast"))

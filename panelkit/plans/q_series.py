@@ -243,7 +243,10 @@ def q_fc_holt(spark, sf):
     return _fc_out(MD.holt(_full_hist(spark, sf), 5, KEYS))
 
 
-@register("holt_params")
+@register("holt_params", with_panel(FULL + holt_sql("hp", "full8") + """
+SELECT f.entity, f.category, f.alpha, f.beta, round(f.lv, 2) AS level, round(f.tr, 2) AS trend, round(f.sd, 2) AS sd,
+       CAST(n.n AS INTEGER) AS n
+FROM hp_fin f JOIN hp_n n ON n.entity = f.entity AND n.category = f.category""", recursive=True))
 def q_holt_params(spark, sf):
     g = MD.holt_params(_full_hist(spark, sf), KEYS)
     return g.select(*KEYS, "alpha", "beta", r2("level").alias("level"), r2("trend").alias("trend"),
@@ -386,6 +389,50 @@ def q_mape_summary(spark, sf):
 
 
 # ------------------------------------------------------------ final forecast
+def floor_sql(src: str, lastv: str) -> str:
+    """Floor chain as a recursive CTE over the forecast steps: ``src``
+    (entity, category, step, f, lo, hi), ``lastv``(entity, category, t_last,
+    last_value) -> ``nfc``(entity, category, t, forecast, lower_80, upper_80)."""
+    return f""",
+fl(entity, category, step, prev, f, lo, hi) AS (
+  SELECT entity, category, 0, last_value, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+  FROM {lastv}
+  UNION ALL
+  SELECT p.entity, p.category, p.step,
+    CASE WHEN p.f < fl.prev * 0.7 THEN fl.prev * 0.7 ELSE p.f END,
+    CASE WHEN p.f < fl.prev * 0.7 THEN fl.prev * 0.7 ELSE p.f END,
+    CASE WHEN p.f < fl.prev * 0.7 THEN greatest(p.lo, fl.prev * 0.7 * 0.9) ELSE p.lo END,
+    CASE WHEN p.f < fl.prev * 0.7 THEN greatest(p.hi, fl.prev * 0.7 * 1.1) ELSE p.hi END
+  FROM fl JOIN {src} p ON p.entity = fl.entity AND p.category = fl.category AND p.step = fl.step + 1),
+nfc AS (SELECT fl.entity, fl.category, CAST(l.t_last + fl.step AS INTEGER) AS t, greatest(f, 0.0) AS forecast,
+               greatest(lo, 0.0) AS lower_80, greatest(hi, 0.0) AS upper_80
+        FROM fl JOIN {lastv} l ON l.entity = fl.entity AND l.category = fl.category WHERE fl.step > 0)"""
+
+
+FINAL_SQL = SUMMARY_SQL + """, full8 AS (SELECT entity, category, i, value FROM tri WHERE n >= 8),
+finfo AS (SELECT t.entity, t.category, max(t.t) AS t_last, arg_max(t.value, t.t) AS last_value, min(t.t_first) AS t_first
+          FROM tri t WHERE t.n >= 8 GROUP BY 1, 2),
+fwin AS (SELECT f.entity, f.category, f.t_last, f.last_value, coalesce(s.best_model, 'naive_drift') AS model_used,
+                b.breakpoint_t - f.t_first AS bp_idx
+         FROM finfo f LEFT JOIN summary s ON s.entity = f.entity AND s.category = f.category
+         LEFT JOIN breaks b ON b.entity = f.entity AND b.category = f.category),
+fbp AS (SELECT entity, category, bp_idx FROM fwin),
+fh_holt AS (SELECT h.* FROM full8 h JOIN fwin w ON w.entity = h.entity AND w.category = h.category
+            WHERE w.model_used = 'holt')""" + naive_sql("ff_naive", "full8") + linear_sql("ff_lin", "full8") \
+    + segmented_sql("ff_seg", "full8", "fbp") + holt_sql("ff_holt", "fh_holt") + """,
+fsel AS (
+  SELECT p.entity, p.category, p.step, p.f, p.lo, p.hi FROM ff_naive p JOIN fwin w USING (entity, category)
+  WHERE w.model_used = 'naive_drift'
+  UNION ALL SELECT p.entity, p.category, p.step, p.f, p.lo, p.hi FROM ff_lin p JOIN fwin w USING (entity, category)
+  WHERE w.model_used = 'linear_trend'
+  UNION ALL SELECT p.entity, p.category, p.step, p.f, p.lo, p.hi FROM ff_seg p JOIN fwin w USING (entity, category)
+  WHERE w.model_used = 'segmented'
+  UNION ALL SELECT p.entity, p.category, p.step, p.f, p.lo, p.hi FROM ff_holt p JOIN fwin w USING (entity, category)
+  WHERE w.model_used = 'holt')""" + floor_sql("fsel", "fwin") + """,
+final AS (SELECT n.*, w.model_used, w.bp_idx IS NOT NULL AS had_breakpoint
+          FROM nfc n JOIN fwin w ON w.entity = n.entity AND w.category = n.category)"""
+
+
 def final_forecasts(spark, sf):
     return stages_for(spark, sf).forecasts
 
@@ -395,7 +442,9 @@ def _fc_final_out(df):
                      r2("upper_80").alias("upper_80"), "model_used", "had_breakpoint")
 
 
-@register("forecast_final")
+@register("forecast_final", with_panel(FINAL_SQL + """
+SELECT entity, category, t, round(forecast, 2) AS forecast, round(lower_80, 2) AS lower_80,
+       round(upper_80, 2) AS upper_80, model_used, had_breakpoint FROM final""", recursive=True))
 def q_forecast_final(spark, sf):
     return _fc_final_out(final_forecasts(spark, sf))
 

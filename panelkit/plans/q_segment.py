@@ -19,6 +19,7 @@ from .q_series import BREAKS, FINAL_SQL
 from .sqlparts import with_panel
 from .stages import stages_for
 
+IPS_COLS = ["size_log", "growth_forecast", "acceleration", "predictability"]
 FEATS = ["mean", "cv", "size_log", "growth_historical", "growth_forecast", "predictability",
          "had_breakpoint", "share_global_pct", "acceleration"]
 
@@ -262,24 +263,78 @@ def q_name_segments(spark, sf):
                     r4("acceleration").alias("acceleration"), "base_name", "cluster_name")
 
 
+def _d(x):
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def norm_sql(src: str, name: str) -> str:
+    """M12 normalisation of ``src`` (with the four index columns) -> ``name``."""
+    parts = []
+    for c in IPS_COLS:
+        if c == "predictability":
+            parts.append(f"{c} AS {c}_n0")
+        else:
+            parts.append(f"CASE WHEN {c} IS NULL THEN NULL WHEN max({c}) OVER () = min({c}) OVER () THEN 0.0 "
+                         f"ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 100 END AS {c}_n0")
+    fill = ", ".join(f"coalesce({c}_n0, median({c}_n0) OVER ()) AS {c}_norm" for c in IPS_COLS)
+    return f""", {name}_0 AS (SELECT *, {", ".join(parts)} FROM {src}),
+{name} AS (SELECT *, {fill} FROM {name}_0)"""
+
+
+IPS_SQL = FEAT_SQL + """, base AS (SELECT * FROM feat WHERE growth_forecast IS NOT NULL AND acceleration IS NOT NULL
+                                   AND cv IS NOT NULL AND predictability IS NOT NULL)""" \
+    + norm_sql("base", "nb") + """, scored AS (SELECT *, """ \
+    + " + ".join(f"{c}_norm * {_d(w)}" for c, w in SC.IPS_WEIGHTS.items()) + " AS ips, " \
+    + ", ".join(f"{c}_norm * {_d(w)} AS {c}_contrib" for c, w in SC.IPS_WEIGHTS.items()) + """ FROM nb),
+strat AS (SELECT *, CASE WHEN ips > 60 AND coalesce(predictability > 60, false) THEN '""" + RU.STRATEGIES[0] + """'
+  WHEN ips > 60 AND coalesce(predictability <= 60, false) THEN '""" + RU.STRATEGIES[1] + """'
+  WHEN ips > 40 AND coalesce(predictability > 60, false) THEN '""" + RU.STRATEGIES[2] + """'
+  WHEN ips > 40 THEN '""" + RU.STRATEGIES[3] + """'
+  WHEN coalesce(predictability > 70, false) THEN '""" + RU.STRATEGIES[4] + """'
+  ELSE '""" + RU.STRATEGIES[5] + """' END AS strategy FROM scored)"""
+
+SCEN = SC.scenario_rows()
+SENS_SQL = (FEAT_SQL + norm_sql("feat", "nf") + """,
+nlong AS (""" + " UNION ALL ".join(f"SELECT entity, '{c}' AS comp, {c}_norm AS v FROM nf" for c in IPS_COLS) + """),
+grid(scenario, component, delta, comp, weight, weight_changed_to) AS (VALUES """ + ", ".join(
+    f"({sid}, '{comp}', {_d(d)}, '{c}', {_d(w)}, {_d(wc)})" for sid, comp, d, c, w, wc in SCEN)
+    + ", " + ", ".join(f"(0, 'base', {_d(0.0)}, '{c}', {_d(w)}, {_d(0.0)})" for c, w in SC.IPS_WEIGHTS.items()) + """),
+sips AS (SELECT g.scenario, n.entity, sum(n.v * g.weight) AS ips FROM nlong n JOIN grid g ON g.comp = n.comp
+         GROUP BY 1, 2),
+srk AS (SELECT *, rank() OVER (PARTITION BY scenario ORDER BY ips DESC)
+                    + (count(*) OVER (PARTITION BY scenario, ips) - 1) / 2.0 AS rk,
+               row_number() OVER (PARTITION BY scenario ORDER BY ips DESC, entity) AS pos FROM sips),
+sres AS (SELECT p.scenario, corr(p.rk, b.rk) AS spearman_rho,
+                CAST(count(*) FILTER (WHERE p.pos <= 10 AND b.pos <= 10) AS INTEGER) AS top10_overlap
+         FROM srk p JOIN srk b ON b.entity = p.entity AND b.scenario = 0 WHERE p.scenario > 0 GROUP BY 1),
+sens AS (SELECT DISTINCT r.*, g.component, g.delta, g.weight_changed_to FROM sres r JOIN grid g USING (scenario))""")
+
+
 # ---------------------------------------------------------------- index
-IPS_COLS = ["size_log", "growth_forecast", "acceleration", "predictability"]
 
 
-@register("pressure_index")
+@register("pressure_index", with_panel(IPS_SQL + """
+SELECT entity, round(ips, 6) AS ips, """ + ", ".join(f"round({c}_norm, 6) AS {c}_norm" for c in IPS_COLS) + ", "
+                                       + ", ".join(f"round({c}_contrib, 6) AS {c}_contrib" for c in IPS_COLS)
+                                       + " FROM scored", recursive=True))
 def q_pressure_index(spark, sf):
     s = stages_for(spark, sf).segments
     return s.select("entity", r6("ips").alias("ips"), *[r6(f"{c}_norm").alias(f"{c}_norm") for c in IPS_COLS],
                     *[r6(f"{c}_contrib").alias(f"{c}_contrib") for c in IPS_COLS])
 
 
-@register("assign_strategy")
+@register("assign_strategy", with_panel(IPS_SQL + """
+SELECT entity, round(ips, 6) AS ips, round(predictability, 6) AS predictability, strategy FROM strat""",
+                                         recursive=True))
 def q_assign_strategy(spark, sf):
     s = stages_for(spark, sf).segments
     return s.select("entity", r6("ips").alias("ips"), r6("predictability").alias("predictability"), "strategy")
 
 
-@register("strategy_parts")
+@register("strategy_parts", with_panel(IPS_SQL + """
+SELECT entity, trim(split_part(strategy, '—', 1)) AS action,
+       CASE WHEN strategy LIKE '%—%' THEN trim(split_part(strategy, '—', 2)) END AS reason FROM strat""",
+                                        recursive=True))
 def q_strategy_parts(spark, sf):
     s = stages_for(spark, sf).segments
     return s.select("entity", *RU.strategy_parts("strategy"))
@@ -315,7 +370,9 @@ def q_strategic_matrix(spark, sf):
                     "quadrant")
 
 
-@register("ips_sensitivity")
+@register("ips_sensitivity", with_panel(SENS_SQL + """
+SELECT component, delta, round(spearman_rho, 6) AS spearman_rho, top10_overlap,
+       round(weight_changed_to, 6) AS weight_changed_to FROM sens""", recursive=True))
 def q_ips_sensitivity(spark, sf):
     st = stages_for(spark, sf)
     s = SC.sensitivity(st.features)
@@ -323,7 +380,10 @@ def q_ips_sensitivity(spark, sf):
                     r6("weight_changed_to").alias("weight_changed_to"))
 
 
-@register("sensitivity_summary")
+@register("sensitivity_summary", with_panel(SENS_SQL + """
+SELECT round(min(spearman_rho), 6) AS rho_min, round(avg(spearman_rho), 6) AS rho_mean,
+       min(top10_overlap) AS overlap_min, round(avg(top10_overlap), 4) AS overlap_mean FROM sens""",
+                                             recursive=True))
 def q_sensitivity_summary(spark, sf):
     """Min / mean of rho and overlap over the scenarios."""
     s = SC.sensitivity(stages_for(spark, sf).features)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["col_", "dsum", "ratio", "pct_change", "cagr", "strip_ws", "clip",
+__all__ = ["col_", "rnd", "dsum", "ratio", "pct_change", "cagr", "strip_ws", "clip",
            "fmt_magnitude", "r2", "r4", "r6", "avg_rank_desc", "minmax_0_100"]
 
 MONEY = "decimal(20,2)"
@@ -67,16 +67,32 @@ def fmt_magnitude(c) -> Column:
             .otherwise(F.format_string("%.0f", x)))
 
 
+def rnd(c, p: int) -> Column:
+    """Round half away from zero on the binary value: round(x * 10^p) / 10^p.
+
+    Reports are rounded with this rule rather than Spark's decimal-string
+    HALF_UP so that a value such as 129.045 (stored as 129.04499...) rounds
+    the same way in every engine that reads the same double.  Magnitudes at
+    or above 2^52 / 10^p are already integral at that scale and pass through.
+    """
+    x = col_(c)
+    s = float(10 ** p)
+    y = F.abs(x) * s
+    return F.when(x.isNull(), F.lit(None).cast("double")) \
+        .when(y < 4.5e15, F.signum(x) * F.floor(y + 0.5) / s) \
+        .otherwise(x * s / s)
+
+
 def r2(c) -> Column:
-    return F.round(col_(c), 2)
+    return rnd(c, 2)
 
 
 def r4(c) -> Column:
-    return F.round(col_(c), 4)
+    return rnd(c, 4)
 
 
 def r6(c) -> Column:
-    return F.round(col_(c), 6)
+    return rnd(c, 6)
 
 
 def avg_rank_desc(value, partition=()) -> Column:

@@ -43,64 +43,78 @@ def _assign(d2: DataFrame, id_col: str) -> DataFrame:
                                          F.min("d2").alias("d2"))
 
 
+def _cfg_table(spark, centres: dict) -> DataFrame:
+    """(cfg, cents array<array<double>>): the centres of every configuration;
+    bounded by configs x k x d (parameters, not data)."""
+    rows = [(int(c), [[float(v) for v in row] for row in cs]) for c, cs in centres.items()]
+    return spark.createDataFrame(rows, "cfg int, cents array<array<double>>")
+
+
+def _nearest(vec_col, cents_col):
+    """(d2, cluster) of the nearest centre, lowest index on ties."""
+    def d2(c):
+        return F.aggregate(F.zip_with(vec_col, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
+    return F.array_min(F.transform(cents_col, lambda c, j: F.struct(d2(c).alias("d2"), j.alias("cluster"))))
+
+
 def kmeans(points: DataFrame, id_col: str, vec: str, ks, restarts: int, seed: int = 42,
            max_iter: int = 50, tol: float = 1e-10, select_restarts: int | None = None):
     """Lloyd's algorithm for every k in ``ks`` x ``restarts`` inits at once.
 
-    Returns (labels DataFrame(id, k, cluster), centres dict k -> array,
-    inertia dict k -> float) for the best restart (lowest inertia) per k.
-    With ``select_restarts`` a dict is returned instead, holding the best of
-    the first ``select_restarts`` inits (``select_*``) and the best of all
-    inits (``final_*``) per k, both from the same loop.
+    Each step is one job: every point meets the broadcast table of all
+    configurations' centres, picks its nearest centre per configuration with
+    ``array_min`` (no shuffle), and the new centres are per-(config, cluster)
+    averages of the coordinates (the only shuffle).  Returns (labels
+    DataFrame(id, k, cluster), centres dict k -> array, inertia dict k ->
+    float) for the best restart (lowest inertia) per k.  With
+    ``select_restarts`` a dict is returned instead, holding the best of the
+    first ``select_restarts`` inits (``select_*``) and the best of all inits
+    (``final_*``) per k, both from the same loop.
     """
     spark = points.sparkSession
-    px = _explode(points, id_col, vec).cache()
+    pts = points.select(id_col, F.transform(vec, lambda x: x.cast("double")).alias("v")).cache()
+    dim = len(pts.select("v").first()["v"])
     cfgs = [(k, r) for k in ks for r in range(restarts)]
     cfg_k = {i: k for i, (k, _) in enumerate(cfgs)}
-    # k-means++: first centre uniform, next ones with probability ~ D^2
-    # (exponential-race sampling: argmin of -ln(u)/w per config).
-    ids = points.select(id_col)
     cfg_df = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(cfgs)], "cfg int, k int")
+    # k-means++: first centre uniform, next ones with probability ~ D^2
+    # (exponential race: the smallest -ln(u)/D^2 per configuration wins).
     chosen = {i: [] for i in cfg_k}
     vecs = {}
     for rnd in range(max(ks)):
         live = cfg_df.filter(F.col("k") > rnd)
-        cand = ids.crossJoin(F.broadcast(live))               # configs are bounded (|ks| x restarts)
         u = _uniform(F.col(id_col), F.col("cfg"), F.lit(rnd), F.lit(seed))
         if rnd == 0:
-            key = u
-            pick = cand.withColumn("key", key)
+            cand = pts.crossJoin(F.broadcast(live)).withColumn("key", u)
         else:
-            cur = _centres_df(spark, {c: vecs_c for c, vecs_c in
-                                      ((c, [vecs[p] for p in chosen[c]]) for c in cfg_k) if vecs_c})
-            d = _assign(_sqdist(px, cur, id_col), id_col).select(id_col, "cfg", F.col("d2").alias("w"))
-            pick = cand.join(d, [id_col, "cfg"]).withColumn(
-                "key", F.when(F.col("w") > 0, -F.log(u) / F.col("w")))
-        best = pick.filter(F.col("key").isNotNull()).groupBy("cfg").agg(F.min_by(id_col, "key").alias("p"))
-        got = {r["cfg"]: r["p"] for r in best.collect()}          # one id per config
-        newp = [p for p in got.values() if p not in vecs]
-        if newp:
-            for r in points.filter(F.col(id_col).isin(newp)).select(id_col, vec).collect():
-                vecs[r[0]] = [float(v) for v in r[1]]
-        for c, p in got.items():
-            chosen[c].append(p)
+            cur = _cfg_table(spark, {c: [vecs[p] for p in chosen[c]] for c in cfg_k if cfg_k[c] > rnd})
+            cand = pts.crossJoin(F.broadcast(cur)).withColumn("_nd", _nearest(F.col("v"), F.col("cents")))
+            cand = cand.withColumn("key", F.when(F.col("_nd.d2") > 0, -F.log(u) / F.col("_nd.d2")))
+        best = cand.filter(F.col("key").isNotNull()).groupBy("cfg").agg(
+            F.min_by(F.struct(F.col(id_col).alias("p"), F.col("v").alias("v")), "key").alias("b")).collect()
+        for r in best:                                           # one point per configuration
+            vecs[r["b"]["p"]] = [float(x) for x in r["b"]["v"]]
+            chosen[r["cfg"]].append(r["b"]["p"])
     centres = {c: np.array([vecs[p] for p in chosen[c]]) for c in cfg_k}
+
+    def assign(cent):
+        ct = _cfg_table(spark, cent)
+        return pts.crossJoin(F.broadcast(ct)).select(id_col, "cfg", "v",
+                                                      _nearest(F.col("v"), F.col("cents")).alias("nd"))
     for _ in range(max_iter):
-        cdf = _centres_df(spark, centres)
-        a = _assign(_sqdist(px, cdf, id_col), id_col)
-        newc = a.join(px, id_col).groupBy("cfg", "cluster", "pos").agg(F.avg("x").alias("cx")).collect()
-        moved = 0.0
+        a = assign(centres)
+        newc = a.groupBy("cfg", F.col("nd.cluster").alias("cluster")).agg(
+            *[F.avg(F.col("v")[j]).alias(f"c{j}") for j in range(dim)]).collect()
         upd = {c: v.copy() for c, v in centres.items()}
         for r in newc:
-            upd[r["cfg"]][r["cluster"], r["pos"]] = r["cx"]
-        for c in centres:
-            moved = max(moved, float(np.max(np.abs(upd[c] - centres[c]))))
+            upd[r["cfg"]][r["cluster"]] = [r[f"c{j}"] for j in range(dim)]
+        moved = max(float(np.max(np.abs(upd[c] - centres[c]))) for c in centres)
         centres = upd
         if moved <= tol:
             break
-    cdf = _centres_df(spark, centres)
-    a = _assign(_sqdist(px, cdf, id_col), id_col).cache()
+    a = assign(centres).select(id_col, "cfg", F.col("nd.cluster").alias("cluster"), F.col("nd.d2").alias("d2")).cache()
     inertia = {r["cfg"]: r["s"] for r in a.groupBy("cfg").agg(F.sum("d2").alias("s")).collect()}
+
     def pick(limit):
         best_cfg = {}
         for c, (k, r) in enumerate(cfgs):

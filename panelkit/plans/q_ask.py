@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r2, r6
+from ..functions.exprs import r2, r6, rnd
 from ..operators import lookups as LK
 from ..operators import retrieval as RT
 from ..operators.joins import literal_table
@@ -60,7 +60,7 @@ def q_embedding_norms(spark, sf):
     v = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     return e.select("vec_id", r6(norm).alias("norm"),
-                    F.transform(RT.l2_normalise("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+                    F.transform(RT.l2_normalise("embedding"), lambda x: rnd(x, 6)).alias("unit"))
 
 
 TOPK_SQL = NORM_SQL + """,
@@ -135,16 +135,16 @@ def q_entity_profile(spark, sf):
     return p.select("entity", "region", "cluster_name", r2(F.col("last_value") / 1e6).alias("last_m"),
                     r2("share_global_pct").alias("share_global_pct"), r2("growth_forecast").alias("growth_forecast"),
                     r2("acceleration").alias("acceleration"), r2("growth_historical").alias("growth_historical"),
-                    F.round("predictability", 0).alias("predictability"), F.round("ips", 1).alias("ips"),
+                    rnd("predictability", 0).alias("predictability"), rnd("ips", 1).alias("ips"),
                     "ips_rank", "strategy")
 
 
 @register("top_n_index")
 def q_top_n_index(spark, sf):
     s = LK.top_n(stages_for(spark, sf).segments, 10)
-    return s.select("position", "entity", "region", "cluster_name", F.round("ips", 1).alias("ips"),
-                    F.round("share_global_pct", 1).alias("share_global_pct"),
-                    F.round("growth_forecast", 1).alias("growth_forecast"))
+    return s.select("position", "entity", "region", "cluster_name", rnd("ips", 1).alias("ips"),
+                    rnd("share_global_pct", 1).alias("share_global_pct"),
+                    rnd("growth_forecast", 1).alias("growth_forecast"))
 
 
 @register("segment_card")
@@ -188,7 +188,7 @@ def q_compare_entities(spark, sf):
 def q_top5_cards(spark, sf):
     """Five metrics for the five entities with the highest index."""
     s = LK.top_n(stages_for(spark, sf).segments, 5)
-    return s.select("position", "entity", "cluster_name", F.round("ips", 1).alias("ips"),
-                    F.round("growth_forecast", 2).alias("growth_forecast"),
-                    F.round("share_global_pct", 2).alias("share_global_pct"),
-                    F.round("predictability", 0).alias("predictability"), "strategy")
+    return s.select("position", "entity", "cluster_name", rnd("ips", 1).alias("ips"),
+                    rnd("growth_forecast", 2).alias("growth_forecast"),
+                    rnd("share_global_pct", 2).alias("share_global_pct"),
+                    rnd("predictability", 0).alias("predictability"), "strategy")

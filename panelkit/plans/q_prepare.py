@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r2, r4
+from ..functions.exprs import r2, r4, rnd
 from ..operators import metrics as M
 from .catalog import register
 from .panels import panel_a
@@ -486,7 +486,7 @@ def declared_totals(spark, sf):
         .groupBy("c_nationkey", F.col("c_mktsegment").alias("category")).agg(F.sum("amt").alias("amt"))
     nr = broadcast_if_small(nation_region(spark, sf))
     return per_seg.join(nr, per_seg.c_nationkey == nr.n_nationkey) \
-        .select("entity", "category", F.round(F.col("amt").cast("double"), 2).alias("declared_total"))
+        .select("entity", "category", rnd(F.col("amt").cast("double"), 2).alias("declared_total"))
 
 
 DECL_SQL = """, decl AS (

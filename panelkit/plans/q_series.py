@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r2, r4
+from ..functions.exprs import r2, r4, rnd
 from ..operators import backtest as BT
 from ..operators import breaks as BK
 from ..operators import forecast as FC
@@ -507,8 +507,8 @@ def q_growth_top(spark, sf):
     tmax = f.agg(F.max("t").alias("t"))
     fin = f.join(F.broadcast(tmax), "t").join(last, KEYS)
     g = (F.col("forecast") - F.col("last_value")) / F.nullif(F.col("last_value"), F.lit(0)) * 100
-    fin = fin.select(*KEYS, F.round(F.col("forecast") / 1e6, 1).alias("forecast_m"),
-                     F.round(F.col("last_value") / 1e6, 1).alias("last_m"), g.alias("g")).filter(F.col("g").isNotNull())
+    fin = fin.select(*KEYS, rnd(F.col("forecast") / 1e6, 1).alias("forecast_m"),
+                     rnd(F.col("last_value") / 1e6, 1).alias("last_m"), g.alias("g")).filter(F.col("g").isNotNull())
     return fin.orderBy(F.desc("g"), *KEYS).limit(10).select(*KEYS, "forecast_m", "last_m", r4("g").alias("growth_pct"))
 
 
@@ -597,6 +597,44 @@ def q_entity_forecast(spark, sf):
                                       F.sum("upper_80").alias("hi"))
     j = ef.join(la, "entity")
     g = (F.col("fc") - F.col("last_actual")) / F.nullif(F.col("last_actual"), F.lit(0)) * 100
-    return j.select("entity", "t", F.round(F.col("fc") / 1e6, 1).alias("forecast_m"),
-                    F.round(F.col("lo") / 1e6, 1).alias("lower_m"), F.round(F.col("hi") / 1e6, 1).alias("upper_m"),
+    return j.select("entity", "t", rnd(F.col("fc") / 1e6, 1).alias("forecast_m"),
+                    rnd(F.col("lo") / 1e6, 1).alias("lower_m"), rnd(F.col("hi") / 1e6, 1).alias("upper_m"),
                     r4(g).alias("growth_vs_last_pct"))
+
+
+# ------------------------------------------------------------ Panel B (users x days)
+USERS = ", panel AS (SELECT * FROM panel_b)"
+
+
+@register("users_breaks", with_panel(USERS + BREAKS + """
+SELECT entity, category, breakpoint_t, round(pre_slope, 4) AS pre_slope, round(post_slope, 4) AS post_slope,
+       round(slope_change_pct, 4) AS slope_change_pct, significance, n_observations FROM breaks""",
+                                     b=True, recursive=True))
+def q_users_breaks(spark, sf):
+    """T7 on Panel B: one row per user with any activity."""
+    from .stages import user_stages_for
+    b = user_stages_for(spark, sf).breaks
+    return b.select(*KEYS, "breakpoint_t", *[r4(c).alias(c) for c in ("pre_slope", "post_slope",
+                                                                          "slope_change_pct")],
+                    "significance", "n_observations")
+
+
+@register("users_backtest", with_panel(USERS + SUMMARY_SQL + """
+SELECT entity, category, best_model, round(best_mape, 4) AS best_mape, round(naive_drift_mape, 4) AS naive_drift_mape,
+       round(linear_trend_mape, 4) AS linear_trend_mape, round(holt_mape, 4) AS holt_mape,
+       round(segmented_mape, 4) AS segmented_mape FROM summary""", b=True, recursive=True))
+def q_users_backtest(spark, sf):
+    """T17 on Panel B."""
+    from .stages import user_stages_for
+    s = user_stages_for(spark, sf).summary
+    return s.select(*KEYS, "best_model", r4("best_mape").alias("best_mape"),
+                    *[r4(f"{m}_mape").alias(f"{m}_mape") for m in MD.MODEL_ORDER])
+
+
+@register("users_forecast", with_panel(USERS + FINAL_SQL + """
+SELECT entity, category, t, round(forecast, 2) AS forecast, round(lower_80, 2) AS lower_80,
+       round(upper_80, 2) AS upper_80, model_used, had_breakpoint FROM final""", b=True, recursive=True))
+def q_users_forecast(spark, sf):
+    """T18/T19 on Panel B."""
+    from .stages import user_stages_for
+    return _fc_final_out(user_stages_for(spark, sf).forecasts)

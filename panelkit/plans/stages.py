@@ -153,3 +153,12 @@ def stages_for(spark: SparkSession, sf_dir: str) -> SegmentStages:
 
 def clear_stage_cache() -> None:
     _CACHE.clear()
+
+
+def user_stages_for(spark: SparkSession, sf_dir: str) -> Stages:
+    """Stages over Panel B (user x day): the series count grows with the data."""
+    from .panels import panel_b
+    key = (id(spark), sf_dir, "b")
+    if key not in _CACHE:
+        _CACHE[key] = Stages(spark, sf_dir, panel_fn=panel_b)
+    return _CACHE[key]

@@ -150,9 +150,11 @@ def silhouette_sq(points: DataFrame, id_col: str, vec: str, labels: DataFrame, g
     csum = pl.groupBy(*g, "cluster", "pos").agg(F.sum("x").alias("sx"))
     cq = lab.join(norms, id_col).groupBy(*g, "cluster").agg(F.sum("q").alias("sq_c"), F.count("*").alias("nc"))
     # x . S_C for every point and every cluster of its group: N x k rows
-    dots = px.join(lab.select(id_col, *g), id_col).join(csum, [*g, "pos"]) \
+    # cluster sums are bounded by groups x k x d: broadcast them, never
+    # shuffle the points on the low-cardinality (group, pos) key
+    dots = px.join(lab.select(id_col, *g), id_col).join(F.broadcast(csum), [*g, "pos"]) \
         .groupBy(id_col, *g, "cluster").agg(F.sum(F.col("x") * F.col("sx")).alias("xs"))
-    d = dots.join(cq, [*g, "cluster"]).join(norms, id_col).join(
+    d = dots.join(F.broadcast(cq), [*g, "cluster"]).join(norms, id_col).join(
         lab.select(id_col, *g, F.col("cluster").alias("own")), [id_col, *g])
     tot = F.col("nc") * F.col("q") - 2 * F.col("xs") + F.col("sq_c")
     d = d.withColumn("md", F.when(F.col("cluster") == F.col("own"),

@@ -66,19 +66,33 @@ def l2_normalise(vec) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
+def dot(a, b) -> Column:
+    """Inner product of two equal-length arrays."""
+    return F.aggregate(F.zip_with(col_(a), col_(b), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+
+
 def cosine_topk(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
                 k: int = TOP_K, buckets: int = 64) -> DataFrame:
     """Exact cosine top-k of every query against the corpus.
 
-    Vectors are normalised, exploded to (id, pos, x) and joined on ``pos``;
-    the dot products are grouped sums (code-generated).  Ranking happens in
-    two levels (corpus hash bucket, then query) so no task holds all
-    candidates of one query."""
+    The query batch is broadcast when its estimated size is bounded
+    (``broadcast_if_small``): every corpus row is then scored in place
+    against all queries (dot product of unit vectors, no shuffle of the
+    corpus).  Otherwise vectors are exploded and joined on (position) after
+    spreading the corpus by a hash bucket.  Ranking is two-level (corpus hash
+    bucket, then query), so no task holds all candidates of one query."""
+    from .joins import broadcast_if_small
     k = max(1, int(k))
-    c = corpus.select(F.col(id_col).alias("doc"), F.posexplode(l2_normalise(vec)).alias("pos", "x"))
-    q = queries.select(F.col(id_col).alias("query"), F.posexplode(l2_normalise(vec)).alias("pos", "y"))
-    dots = c.join(q, "pos").groupBy("query", "doc").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
-    b = dots.withColumn("_b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
+    c = corpus.select(F.col(id_col).alias("doc"), l2_normalise(vec).alias("u"))
+    q = queries.select(F.col(id_col).alias("query"), l2_normalise(vec).alias("w"))
+    qb = broadcast_if_small(q)
+    if qb is not q:
+        scores = c.crossJoin(qb).select("query", "doc", dot("u", "w").alias("score"))
+    else:
+        ce = c.select("doc", F.posexplode("u").alias("pos", "x"))
+        qe = q.select("query", F.posexplode("w").alias("pos", "y"))
+        scores = ce.join(qe, "pos").groupBy("query", "doc").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+    b = scores.withColumn("_b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
     w1 = Window.partitionBy("query", "_b").orderBy(F.desc("score"), "doc")
     local = b.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
     w2 = Window.partitionBy("query").orderBy(F.desc("score"), "doc")

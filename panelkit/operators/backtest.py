@@ -61,10 +61,26 @@ def backtest_predictions(panel: DataFrame, breaks: DataFrame, keys, holdout: int
     return pred, test
 
 
+def train_breaks(panel: DataFrame, keys, holdout: int = HOLDOUT, **kw) -> DataFrame:
+    """Breaks detected on the train part only (``breaks_on="train"``): the
+    last ``holdout`` points of every trimmed series are removed first, so the
+    backtest never sees its test years (the reference detects on the full
+    series, a mild leakage; that stays the default)."""
+    from .breaks import detect_breaks
+    s = indexed(panel, keys)
+    first = s.groupBy(*keys).agg(F.min("t_first").alias("_tf"), F.max("n").alias("_n"))
+    cut = panel.join(first, list(keys)).filter(F.col("t") < F.col("_tf") + F.col("_n") - holdout) \
+        .drop("_tf", "_n")
+    return detect_breaks(cut, keys, **kw)
+
+
 def backtest_scores(panel: DataFrame, breaks: DataFrame, keys=("entity", "category"),
-                    models=MD.MODEL_ORDER) -> DataFrame:
-    """(series, model) -> mape, rmse."""
+                    models=MD.MODEL_ORDER, breaks_on: str = "full") -> DataFrame:
+    """(series, model) -> mape, rmse.  ``breaks_on="train"`` re-detects the
+    breaks without the holdout points."""
     keys = list(keys)
+    if breaks_on == "train":
+        breaks = train_breaks(panel, keys)
     pred, test = backtest_predictions(panel, breaks, keys, models=models)
     return MD.mape_rmse(pred, test, keys)
 

@@ -25,14 +25,16 @@ SLOPE_THRESHOLD = 30.0
 PELT_PENALTY = 3.0
 
 
-def _dp_expr(pen: float, ms: int) -> str:
-    """Spark SQL for the optimal partition; returns array of breakpoints."""
+def _dp_expr(pen, ms: int) -> str:
+    """Spark SQL for the optimal partition; returns array of breakpoints.
+    ``pen`` is a number or the name of a per-series penalty column."""
+    pen = f"CAST({pen} AS DOUBLE)" if isinstance(pen, (int, float)) else pen
     cost = ("(p2[t] - p2[s]) - (p1[t] - p1[s]) * (p1[t] - p1[s]) / (t - s)")
     cands = (f"filter(sequence(0, greatest(t - {ms}, 0)), "
              f"s -> (s = 0 AND t >= {ms}) OR (s >= {ms} AND s <= t - {ms}))")
-    step = (f"array_min(transform({cands}, s -> named_struct('c', acc.f[s] + {cost} + CAST({pen} AS DOUBLE), "
+    step = (f"array_min(transform({cands}, s -> named_struct('c', acc.f[s] + {cost} + {pen}, "
             f"'s', s)))")
-    dp = (f"aggregate(sequence(1, m), named_struct('f', array(CAST(-{pen} AS DOUBLE)), 'b', array(0)), "
+    dp = (f"aggregate(sequence(1, m), named_struct('f', array(-{pen}), 'b', array(0)), "
           f"(acc, t) -> named_struct('f', concat(acc.f, array({step}.c)), "
           f"'b', concat(acc.b, array(coalesce({step}.s, -1)))))")
     back = ("aggregate(sequence(1, m), named_struct('cur', m, 'bps', CAST(array() AS array<int>)), "
@@ -41,11 +43,13 @@ def _dp_expr(pen: float, ms: int) -> str:
     return dp, back
 
 
-def segment_series(trimmed: DataFrame, keys, pen: float = PELT_PENALTY, ms: int = MIN_SEGMENT) -> DataFrame:
+def segment_series(trimmed: DataFrame, keys, pen=PELT_PENALTY, ms: int = MIN_SEGMENT) -> DataFrame:
     """Optimal breakpoints (indices into the differences) per series.
 
     ``trimmed`` carries i (0..n-1) and value.  Prefix sums of the differences
     are exact: p1[k] = y_k - y_0, p2[k] = cumulative decimal sum of d^2.
+    ``pen`` is the penalty per segment, or "bic": 2 * var_pop(d) * ln(m) per
+    series (m differences), which scales with the units of the series.
     """
     w = Window.partitionBy(*keys).orderBy("i")
     d = F.col("value").cast("decimal(20,2)") - F.lag(F.col("value").cast("decimal(20,2)")).over(w)
@@ -54,15 +58,19 @@ def segment_series(trimmed: DataFrame, keys, pen: float = PELT_PENALTY, ms: int
         .withColumn("p2", F.coalesce(F.sum(F.col("_d") * F.col("_d")).over(
             w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("double"))
     arr = x.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "p1", "p2"))).alias("_p"),
-                               F.count("*").alias("n"))
-    arr = arr.select(*keys, "n", (F.col("n") - 1).cast("int").alias("m"),
+                               F.count("*").alias("n"), F.var_pop(F.col("_d").cast("double")).alias("_vd"))
+    arr = arr.select(*keys, "n", (F.col("n") - 1).cast("int").alias("m"), "_vd",
                      F.col("_p.p1").alias("p1"), F.col("_p.p2").alias("p2"))
+    if pen == "bic":
+        arr = arr.withColumn("_pen", F.coalesce(2 * F.col("_vd") * F.log(F.greatest(F.col("m"), F.lit(2))),
+                                                F.lit(0.0)))
+        pen = "_pen"
     dp, back = _dp_expr(pen, ms)
     return arr.withColumn("dp", F.expr(dp)).withColumn("bk", F.expr(back)) \
         .select(*keys, "n", "m", F.expr("filter(bk.bps, b -> b > 0)").alias("breakpoints"))
 
 
-def detect_breaks(panel: DataFrame, keys=("entity", "category"), pen: float = PELT_PENALTY,
+def detect_breaks(panel: DataFrame, keys=("entity", "category"), pen=PELT_PENALTY,
                   ms: int = MIN_SEGMENT, threshold: float = SLOPE_THRESHOLD) -> DataFrame:
     """One row per series that has a non-zero value."""
     keys = list(keys)

@@ -33,9 +33,12 @@ def _densify(cells: DataFrame, keys: list[str], label) -> DataFrame:
 
     ``label`` maps the absolute period number q to its text label.
     """
-    bounds = cells.agg(F.min("q").alias("q0"), F.max("q").alias("q1"))
     series = (cells.groupBy(*keys)
               .agg(F.map_from_entries(F.collect_list(F.struct("q", "v"))).alias("cells")))
+    # bounds come from the series maps, so the fact table is scanned once
+    # (both branches share the same exchange, which Spark reuses)
+    bounds = series.select(F.array_min(F.map_keys("cells")).alias("a"), F.array_max(F.map_keys("cells")).alias("b")) \
+        .agg(F.min("a").alias("q0"), F.max("b").alias("q1"))
     grid = (series.crossJoin(F.broadcast(bounds))            # one-row aggregate
             .select(*keys, "q0", F.explode(F.sequence("q0", "q1")).alias("q"), "cells"))
     return grid.select(

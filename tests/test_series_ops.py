@@ -115,3 +115,19 @@ def test_backtest_winner_order(spark):
                                "entity string, model string, mape double")
     w = {r["entity"]: r["best_model"] for r in BT.best_model(sc, ["entity"]).collect()}
     assert w == {"a": "naive_drift", "c": "holt"}
+
+
+def test_bic_penalty_and_train_breaks(spark):
+    rng = np.random.default_rng(11)
+    series = {f"s{i}": list(np.round(np.cumsum(rng.normal(5, 20, 24)) + 500, 2)) for i in range(6)}
+    p = _panel(spark, series)
+    tr = BT.indexed(p, ["entity", "category"])
+    bic = {r["entity"]: list(r["breakpoints"]) for r in BK.segment_series(tr, ["entity", "category"], pen="bic").collect()}
+    for name, vals in series.items():
+        y = np.asarray(vals, float)
+        pen = 2 * np.var(np.diff(y)) * np.log(len(y) - 1)
+        assert bic[name] == brute_segmentation(vals, pen=pen), name
+    tb = BT.train_breaks(p, ["entity", "category"]).collect()
+    assert all(r["n_observations"] == 19 for r in tb)
+    sc = BT.backtest_scores(p, None, ["entity", "category"], breaks_on="train")
+    assert sc.count() >= 6 * 3

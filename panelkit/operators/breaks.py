@@ -26,21 +26,27 @@ PELT_PENALTY = 3.0
 
 
 def _dp_expr(pen, ms: int) -> str:
-    """Spark SQL for the optimal partition; returns array of breakpoints.
-    ``pen`` is a number or the name of a per-series penalty column."""
+    """Spark SQL for the optimal partition; returns the best path to m, i.e.
+    the sorted segment starts (0 first).  ``pen`` is a number or the name of
+    a per-series penalty column.
+
+    The fold carries, for every end t, the optimal cost F[t] and the path of
+    segment starts that reaches it (path[t] = path[s] + [s]), so there is no
+    second backtracking pass that would re-evaluate the programme.  The
+    minimum of each step is bound once through a one-element ``transform``.
+    """
     pen = f"CAST({pen} AS DOUBLE)" if isinstance(pen, (int, float)) else pen
-    cost = ("(p2[t] - p2[s]) - (p1[t] - p1[s]) * (p1[t] - p1[s]) / (t - s)")
+    cost = "(p2[t] - p2[s]) - (p1[t] - p1[s]) * (p1[t] - p1[s]) / (t - s)"
     cands = (f"filter(sequence(0, greatest(t - {ms}, 0)), "
              f"s -> (s = 0 AND t >= {ms}) OR (s >= {ms} AND s <= t - {ms}))")
-    step = (f"array_min(transform({cands}, s -> named_struct('c', acc.f[s] + {cost} + {pen}, "
-            f"'s', s)))")
-    dp = (f"aggregate(sequence(1, m), named_struct('f', array(-{pen}), 'b', array(0)), "
-          f"(acc, t) -> named_struct('f', concat(acc.f, array({step}.c)), "
-          f"'b', concat(acc.b, array(coalesce({step}.s, -1)))))")
-    back = ("aggregate(sequence(1, m), named_struct('cur', m, 'bps', CAST(array() AS array<int>)), "
-            "(acc, k) -> IF(acc.cur > 0, named_struct('cur', dp.b[acc.cur], "
-            "'bps', concat(array(dp.b[acc.cur]), acc.bps)), acc))")
-    return dp, back
+    best = f"array_min(transform({cands}, s -> named_struct('c', acc.f[s] + {cost} + {pen}, 's', s)))"
+    grow = ("named_struct('f', concat(acc.f, array(st.c)), "
+            "'p', concat(acc.p, array(IF(st.s IS NULL, CAST(NULL AS array<int>), "
+            "concat(acc.p[st.s], array(st.s))))))")
+    return (f"aggregate(sequence(1, m), named_struct('f', array(-{pen}), "
+            f"'p', array(CAST(array() AS array<int>))), "
+            f"(acc, t) -> element_at(transform(array({best}), st -> {grow}), 1), "
+            f"acc -> acc.p[m])")
 
 
 def segment_series(trimmed: DataFrame, keys, pen=PELT_PENALTY, ms: int = MIN_SEGMENT) -> DataFrame:
@@ -65,9 +71,8 @@ def segment_series(trimmed: DataFrame, keys, pen=PELT_PENALTY, ms: int = MIN_SEG
         arr = arr.withColumn("_pen", F.coalesce(2 * F.col("_vd") * F.log(F.greatest(F.col("m"), F.lit(2))),
                                                 F.lit(0.0)))
         pen = "_pen"
-    dp, back = _dp_expr(pen, ms)
-    return arr.withColumn("dp", F.expr(dp)).withColumn("bk", F.expr(back)) \
-        .select(*keys, "n", "m", F.expr("filter(bk.bps, b -> b > 0)").alias("breakpoints"))
+    path = F.expr(_dp_expr(pen, ms))
+    return arr.select(*keys, "n", "m", F.filter(path, lambda b: b > 0).alias("breakpoints"))
 
 
 def detect_breaks(panel: DataFrame, keys=("entity", "category"), pen=PELT_PENALTY,
@@ -81,7 +86,9 @@ def detect_breaks(panel: DataFrame, keys=("entity", "category"), pen=PELT_PENALT
     stats = stats.select(*keys, "n_observations", "t_first", "_flat", slope.alias("full_slope"))
     eligible = stats.filter((F.col("n_observations") >= 2 * ms) & ~F.col("_flat")).select(*keys)
     seg = segment_series(tr.join(eligible, keys, "left_semi"), keys, pen, ms)
-    cand = seg.select(*keys, "m", F.explode("breakpoints").alias("b")) \
+    # explode_outer: an inner explode makes Catalyst infer size/null filters
+    # that would re-evaluate the whole fold; empty paths fall out below.
+    cand = seg.select(*keys, "m", F.explode_outer("breakpoints").alias("b")) \
         .filter((F.col("b") >= ms) & (F.col("b") <= F.col("m") - ms))
     j = cand.join(tr.select(*keys, "i", "t", "value"), keys)
     pre, post = F.col("i") <= F.col("b"), F.col("i") > F.col("b")

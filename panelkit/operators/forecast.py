@@ -38,7 +38,7 @@ def floor_chain(fc: DataFrame, last: DataFrame, keys) -> DataFrame:
                          F.greatest(p["lower_80"], acc["prev"] * FLOOR_RATIO * LOW_FLOOR).alias("lower_80"),
                          F.greatest(p["upper_80"], acc["prev"] * FLOOR_RATIO * HIGH_FLOOR).alias("upper_80")))
                 .otherwise(p))).alias("out")))
-    out = x.select(*keys, F.inline(fold["out"]))
+    out = x.select(*keys, F.inline_outer(fold["out"])).filter(F.col("step").isNotNull())
     z = F.lit(0.0)
     return out.select(*keys, "step", F.greatest("forecast", z).alias("forecast"),
                       F.greatest("lower_80", z).alias("lower_80"), F.greatest("upper_80", z).alias("upper_80"))

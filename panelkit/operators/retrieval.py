@@ -56,7 +56,9 @@ def chunk_corpus(docs: DataFrame, text: str = "text", ids=("doc_id", "source"),
     last = F.greatest(F.lit(0), F.ceil((F.col("_L") - size) / step)).cast("int")
     wins = F.transform(F.sequence(F.lit(0), last), lambda k: py_strip(F.substring("_t", k * step + 1, size)))
     kept = F.filter(wins, lambda c: F.length(c) > 0)
-    return s.select(*ids, F.posexplode(kept).alias("chunk_id", "text"))
+    # posexplode_outer: the inner form makes Catalyst infer a size filter
+    # that would cut every document twice; rows without chunks drop below.
+    return s.select(*ids, F.posexplode_outer(kept).alias("chunk_id", "text")).filter(F.col("text").isNotNull())
 
 
 def l2_normalise(vec) -> Column:

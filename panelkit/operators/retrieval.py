@@ -24,9 +24,15 @@ TOP_K_MAX = 8
 WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
+# The same characters as a plain set (fixed values: Python's str.isspace()).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(col_(c), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: trim a character set from both ends (no regex,
+    linear in the trimmed length)."""
+    return F.trim(col_(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c) -> Column:

@@ -56,7 +56,7 @@ from ..operators import reshape as R  # noqa: E402
 from ..operators import rules as C  # noqa: E402
 from ..operators.joins import broadcast_if_small, literal_table  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
-from .panels import nation_region, panel_a_cells  # noqa: E402
+from .panels import nation_region  # noqa: E402
 
 EP = """, ep AS (
   SELECT entity, region, t, period_label, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS value

@@ -219,12 +219,6 @@ def q_segment_profiles(spark, sf):
     return p.select("cluster", *[r6(f"f{i}_norm").alias(f"f{i}_norm") for i in range(4)])
 
 
-NAME_SQL = """, cg AS (
-  SELECT entity, category,
-    max(CASE WHEN t = 0 THEN value END) AS v0, max(CASE WHEN t = 13 THEN value END) AS vm,
-    max(CASE WHEN t = 26 THEN value END) AS v1 FROM panel GROUP BY 1, 2)"""
-
-
 @register("name_segments", with_panel(""", span AS (SELECT max(t) AS t_last FROM panel),
 ends AS (SELECT entity, category, region, t_last, CAST(floor((t_last + 1) / 2) AS INTEGER) AS h,
            max(CASE WHEN t = 0 THEN value END) AS v0,

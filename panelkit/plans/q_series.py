@@ -11,7 +11,7 @@ from ..operators import forecast as FC
 from ..operators import metrics as M
 from ..operators import models as MD
 from .catalog import register
-from .panels import panel_a
+
 from .sqlparts import with_panel
 from .stages import stages_for
 from .holt_sql import holt_sql

@@ -37,8 +37,8 @@ class Stages:
         that partitioning, so every per-series window and aggregate downstream
         (trim, breaks, models, backtest) runs without another exchange."""
         def build():
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            return self._panel_fn(self.spark, self.sf).repartition(n, *self.keys)
+            # by column only: AQE may still coalesce or split the partitions
+            return self._panel_fn(self.spark, self.sf).repartition(*self.keys)
         return self._get("panel", build)
 
     @property

@@ -254,6 +254,10 @@ def _series_arrays(hist: DataFrame, keys) -> DataFrame:
 def holt_params(hist: DataFrame, keys) -> DataFrame:
     """Fitted (alpha, beta, level, trend, sd, n) per series with n >= 4."""
     arr = _series_arrays(hist, keys).filter(F.size("ys") >= 4)
+    # The fit is CPU-bound per series, not per byte: spread the series rows
+    # (one per series, small) over all cores instead of letting AQE pack them
+    # by size into a few partitions.
+    arr = arr.repartition(arr.sparkSession.sparkContext.defaultParallelism * 2, *keys)
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                            for f in arr.schema.fields if f.name in keys)
     return arr.mapInPandas(_holt_batches(keys), f"{key_schema}, {HOLT_FIT_FIELDS}")

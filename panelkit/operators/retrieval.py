@@ -90,7 +90,7 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
     spreading the corpus by a hash bucket.  Ranking is two-level (corpus hash
     bucket, then query), so no task holds all candidates of one query."""
     from .joins import broadcast_if_small
-    k = max(1, int(k))
+    k = max(1, min(int(k), TOP_K_MAX))          # the search tool's clamp, 1..8
     c = corpus.select(F.col(id_col).alias("doc"), l2_normalise(vec).alias("u"))
     q = queries.select(F.col(id_col).alias("query"), l2_normalise(vec).alias("w"))
     qb = broadcast_if_small(q)

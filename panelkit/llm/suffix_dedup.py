@@ -47,6 +47,7 @@ EPOCHS_PER_PARTITION = 4
 BUCKETS_PER_PARTITION = 2
 HOT_RUNS = 2_000
 BATCH_BYTES = 2_000_000
+PART_BYTES = 1 << 23
 BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1        # stands for a null doc_id: larger than any
 
@@ -121,13 +122,13 @@ class Runs:
         self.doc = np.searchsorted(self.ends, self.start, side="right") + first_doc
 
 
-def batches_of(docs: list[tuple[int, bytes]]):
+def batches_of(docs: list[tuple[int, bytes]], batch_bytes: int = BATCH_BYTES):
     """Runs of an epoch's documents, in bounded batches."""
     first, held, size = 0, [], 0
     for i, (_, t) in enumerate(docs):
         held.append(t)
         size += len(t)
-        if size >= BATCH_BYTES:
+        if size >= batch_bytes:
             yield from _split_long(held, first)
             first, held, size = i + 1, [], 0
     if held:
@@ -137,7 +138,7 @@ def batches_of(docs: list[tuple[int, bytes]]):
 def _split_long(texts, first):
     """A batch's positions fit 24 bits; a longer text goes in overlapping
     parts (every window is in exactly one)."""
-    limit = 1 << 23
+    limit = PART_BYTES
     if sum(map(len, texts)) <= limit:
         yield Runs(texts, first), 0
         return
@@ -168,10 +169,12 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def _by_bucket(buckets: np.ndarray, *arrays):
     """Arrays of each bucket, in the order they had."""
+    if not len(buckets):
+        return
     order = np.argsort(buckets, kind="stable")
     sorted_buckets = buckets[order]
-    cuts = np.flatnonzero(np.r_[True, sorted_buckets[1:] != sorted_buckets[:-1]]) if len(order) else []
-    for a, b in zip(cuts, np.r_[cuts[1:], len(order)] if len(order) else []):
+    cuts = np.flatnonzero(np.r_[True, sorted_buckets[1:] != sorted_buckets[:-1]])
+    for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
         pick = order[a:b]
         yield int(sorted_buckets[a]), *(x[pick] for x in arrays)
 
@@ -200,14 +203,16 @@ def epoch_anchors(docs: list[tuple[int, bytes]], epoch: int, buckets: int) -> li
     key, doc = np.concatenate(keys), np.concatenate(owner)
     by = np.lexsort((doc, key))
     key, doc = key[by], doc[by]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    if not len(key):
+        return []
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     last = np.r_[first[1:], len(key)] - 1
     seen = np.minimum(last - first + 1, 127) + 128 * (doc[first] != doc[last])
     key = key[first]
     return [(b, epoch, _planes(k), s.astype(np.uint8).tobytes()) for b, k, s in _by_bucket(_bucket(key, buckets), key, seen)]
 
 
-def shared_anchors(table: pa.Table) -> list[tuple]:
+def shared_anchors(table: pa.Table, hot_runs: int = HOT_RUNS) -> list[tuple]:
     """Of a bucket's anchors, those of several documents: back to each epoch
     that has them, with a mark where the anchor is hot."""
     epochs = table.column("epoch").to_numpy()
@@ -221,7 +226,7 @@ def shared_anchors(table: pa.Table) -> list[tuple]:
     group[by] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
     shared = np.maximum(np.bincount(group) > 1, np.bincount(group, seen >= 128) > 0)
     # runs counted up to 127 an epoch
-    hot = np.bincount(group, seen & 127) > HOT_RUNS
+    hot = np.bincount(group, seen & 127) > hot_runs
     pick = np.flatnonzero(shared[group])
     return [(int(epochs[r]), 0, _planes(k), h.astype(np.uint8).tobytes())
             for r, k, h in _by_bucket(row[pick], key[pick], hot[group[pick]])]
@@ -397,7 +402,7 @@ def cut_epoch(docs, replies: pa.Table):
         if hot.any():                                       # others of the epoch have it after its least document
             found |= order[d[each]] > least[rec[each] - first_hot]
         doc.append(d[each][found])
-        start.append(s[each][found] + step[found] * (n[each][found] > 1))
+        start.append(s[each][found] + step[found])
     doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
     start = np.concatenate(start) if start else np.zeros(0, np.int64)
     by = np.argsort(doc, kind="stable")
@@ -411,7 +416,8 @@ def cut_epoch(docs, replies: pa.Table):
         yield d, t, np.cumsum(cover[:-1]) > 0
 
 
-def cut_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   hot_runs: int = HOT_RUNS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans long, kept binary`` per row.
 
     Strings are judged on the input and never cross documents.  A null text is
@@ -431,7 +437,7 @@ def cut_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _table(ANCHORS, epoch_anchors(epoch_docs(table), key[0].as_py(), buckets))
 
     def bucket_1(key, table):
-        return _table(SHARED, shared_anchors(table))
+        return _table(SHARED, shared_anchors(table, hot_runs))
 
     def round_2(key, left, right):
         docs_ = epoch_docs(left)

@@ -35,7 +35,7 @@ WHITE_SPACE = "\t-\r \u0085   -     　"
 EXTRA_SPLIT = regex.compile("[\x1c-\x1f]")
 BLANKS = regex.compile(f"[{WHITE_SPACE}]+")
 
-MEMO_ENTRIES = 250_000  # pieces, and words, in a generation of a Python worker's memory
+MEMO_ENTRIES = 400_000  # pieces, and words, in a generation of a Python worker's memory
 MEMO_CHARS = 64         # longer ones are not remembered
 
 
@@ -196,14 +196,17 @@ class BytePairCodec:
         got = self._pieces.old_value(piece)
         if got is not None:
             return got
-        out = []
-        parts = self.special_split.split(piece) if self.special_split and "<" in piece else (piece,)
-        for part in parts:
-            if part in self.special:
-                out.append(struct.pack("<I", self.special[part]))
-            elif part:
-                out.extend(map(self._word, self.words_of(part)))
-        got = b"".join(out)
+        if "<" in piece and self.special_split:
+            out = []
+            for part in self.special_split.split(piece):
+                if part in self.special:
+                    out.append(struct.pack("<I", self.special[part]))
+                elif part:
+                    out.extend(map(self._word, self.words_of(part)))
+            got = b"".join(out)
+        else:
+            words = self.words_of(piece)
+            got = self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
         if len(piece) <= MEMO_CHARS:
             self._pieces.put(piece, got)
         return got

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 __all__ = ["col_", "rnd", "dsum", "ratio", "pct_change", "cagr", "strip_ws", "clip",
            "fmt_magnitude", "r2", "r4", "r6", "avg_rank_desc", "minmax_0_100"]
 
-MONEY = "decimal(20,2)"
+#: 26 digits before and 12 after the point; sums of it don't depend on order.
+MONEY = "decimal(38,12)"
 
 
 def col_(c) -> Column:
@@ -21,7 +22,7 @@ def col_(c) -> Column:
 
 
 def dsum(c) -> Column:
-    """Exact sum of 2-decimal amounts (decimal arithmetic), returned as double.
+    """Sum in decimal arithmetic (12 places), returned as double.
 
     Summing decimals makes the result independent of partitioning and of the
     order in which partial sums are combined.

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import ols_from_sums, ols_sums, trim_leading_zeros
+from .metrics import ordered_points, trim_leading_zeros, with_line
 from .rules import break_significance
 
 MIN_SEGMENT = 5          # fixed values of the reference
@@ -53,18 +53,18 @@ def segment_series(trimmed: DataFrame, keys, pen=PELT_PENALTY, ms: int = MIN_SEG
     """Optimal breakpoints (indices into the differences) per series.
 
     ``trimmed`` carries i (0..n-1) and value.  Prefix sums of the differences
-    are exact: p1[k] = y_k - y_0, p2[k] = cumulative decimal sum of d^2.
+    in order: p1[k] = y_k - y_0, p2[k] = cumulative sum of d^2.
     ``pen`` is the penalty per segment, or "bic": 2 * var_pop(d) * ln(m) per
     series (m differences), which scales with the units of the series.
     """
     w = Window.partitionBy(*keys).orderBy("i")
-    d = F.col("value").cast("decimal(20,2)") - F.lag(F.col("value").cast("decimal(20,2)")).over(w)
+    d = F.col("value") - F.lag("value").over(w)
     x = trimmed.withColumn("_d", d).withColumn(
         "p1", F.col("value") - F.first("value").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
         .withColumn("p2", F.coalesce(F.sum(F.col("_d") * F.col("_d")).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("double"))
+            w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     arr = x.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "p1", "p2"))).alias("_p"),
-                               F.count("*").alias("n"), F.var_pop(F.col("_d").cast("double")).alias("_vd"))
+                               F.count("*").alias("n"), F.var_pop("_d").alias("_vd"))
     arr = arr.select(*keys, "n", (F.col("n") - 1).cast("int").alias("m"), "_vd",
                      F.col("_p.p1").alias("p1"), F.col("_p.p2").alias("p2"))
     if pen == "bic":
@@ -80,29 +80,21 @@ def detect_breaks(panel: DataFrame, keys=("entity", "category"), pen=PELT_PENALT
     """One row per series that has a non-zero value."""
     keys = list(keys)
     tr = trim_leading_zeros(panel, keys).withColumn("i", F.col("t") - F.col("t_first"))
-    stats = tr.groupBy(*keys).agg(F.count("*").alias("n_observations"), F.min("t_first").alias("t_first"),
-                                  (F.min("value") == F.max("value")).alias("_flat"), *ols_sums())
-    slope, _ = ols_from_sums()
-    stats = stats.select(*keys, "n_observations", "t_first", "_flat", slope.alias("full_slope"))
-    eligible = stats.filter((F.col("n_observations") >= 2 * ms) & ~F.col("_flat")).select(*keys)
-    seg = segment_series(tr.join(eligible, keys, "left_semi"), keys, pen, ms)
+    points = tr.groupBy(*keys).agg(F.count("*").alias("n_observations"), F.min("t_first").alias("t_first"),
+                                   (F.min("value") == F.max("value")).alias("_flat"), ordered_points("t").alias("_pts"))
+    stats = with_line(points, "_pts", "f").select(*keys, "n_observations", "t_first", "_flat", "_pts",
+                                                  F.col("f_b").alias("full_slope"))
+    eligible = stats.filter((F.col("n_observations") >= 2 * ms) & ~F.col("_flat")).select(*keys, "_pts")
+    seg = segment_series(tr.join(eligible.select(*keys), keys, "left_semi"), keys, pen, ms)
     # explode_outer: an inner explode makes Catalyst infer size/null filters
     # that would re-evaluate the whole fold; empty paths fall out below.
-    cand = seg.select(*keys, "m", F.explode_outer("breakpoints").alias("b")) \
+    # A cut's two sides are slices of the series' one row of points.
+    cand = seg.join(eligible, keys).select(*keys, "m", "_pts", F.explode_outer("breakpoints").alias("b")) \
         .filter((F.col("b") >= ms) & (F.col("b") <= F.col("m") - ms))
-    j = cand.join(tr.select(*keys, "i", "t", "value"), keys)
-    pre, post = F.col("i") <= F.col("b"), F.col("i") > F.col("b")
-
-    def side(cond, p):
-        tc, yc = F.col("t"), F.col("value").cast("decimal(20,2)")
-        return [F.count(F.when(cond, yc)).alias(f"{p}_n"), F.sum(F.when(cond, tc)).cast("double").alias(f"{p}_st"),
-                F.sum(F.when(cond, tc * tc)).cast("double").alias(f"{p}_stt"),
-                F.sum(F.when(cond, yc)).cast("double").alias(f"{p}_sy"),
-                F.sum(F.when(cond, yc * tc)).cast("double").alias(f"{p}_sty")]
-    sc = j.groupBy(*keys, "b").agg(*side(pre, "a"), *side(post, "z"))
-    sa, _ = ols_from_sums("a")
-    sz, _ = ols_from_sums("z")
-    sc = sc.select(*keys, "b", sa.alias("pre_slope"), sz.alias("post_slope"))
+    cand = cand.withColumns({"_pre": F.slice("_pts", F.lit(1), F.col("b") + 1),
+                             "_post": F.slice("_pts", F.col("b") + 2, F.size("_pts"))})
+    sc = with_line(with_line(cand, "_pre", "a"), "_post", "z")
+    sc = sc.select(*keys, "b", F.col("a_b").alias("pre_slope"), F.col("z_b").alias("post_slope"))
     change = F.when(F.abs("pre_slope") < 1, F.abs(F.col("post_slope") - F.col("pre_slope"))) \
         .otherwise(F.abs((F.col("post_slope") - F.col("pre_slope")) / F.col("pre_slope")) * 100)
     sc = sc.withColumn("chg", change).filter(F.col("chg") > 0)

@@ -95,34 +95,41 @@ def trim_leading_zeros(panel: DataFrame, keys=SERIES) -> DataFrame:
     return x.withColumn("n_obs", F.count(F.lit(1)).over(w))
 
 
-def ols_sums(t="t", y="value"):
-    """Aggregates for an exact OLS fit: n, sum t, sum t^2, and the decimal
-    sums of y and t*y (2-decimal data), so the fit does not depend on the
-    order of the partial sums."""
-    tc, yc = F.col(t), F.col(y).cast("decimal(20,2)")
-    return [F.count(yc).alias("_n"), F.sum(tc).cast("double").alias("_st"),
-            F.sum(tc * tc).cast("double").alias("_stt"),
-            F.sum(yc).cast("double").alias("_sy"),
-            F.sum(yc * tc).cast("double").alias("_sty")]
-
-
-def ols_from_sums(prefix: str = ""):
-    """slope, intercept of y on t from ``ols_sums`` (slope 0 if n < 2 or
-    all t equal, as the reference's fit on fewer than two points)."""
-    n, st, stt, sy, sty = (F.col(f"{prefix}_{k}") for k in ("n", "st", "stt", "sy", "sty"))
-    den = n * stt - st * st
-    slope = F.when((n >= 2) & (den != 0), (n * sty - st * sy) / den).otherwise(F.lit(0.0))
-    intercept = (sy - slope * st) / n
-    return slope, intercept
+def ordered_points(x, y="value"):
+    """Aggregate: a series' points as an array of (x, y) in the order of x.
+    Sums over it have one order, so fits don't depend on partitioning and
+    need no rounding of the values."""
+    return F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+
+
+def with_line(df: DataFrame, points: str, p: str) -> DataFrame:
+    """Least-squares line of an array of (x, y): adds ``{p}_n``, slope
+    ``{p}_b`` (0 for fewer than two points or equal x), intercept ``{p}_a`` and
+    ``{p}_sd``, the population standard deviation of the residuals.
+
+    Moments are taken about the means and residuals from the fitted line, so
+    nothing cancels where values are large against their spread."""
+    def total(term):
+        return F.aggregate(F.col(points), F.lit(0.0), lambda acc, q: acc + term(q["x"], q["y"]))
+
+    n, mx, my, sxx, a, b = (F.col(f"{p}_{c}") for c in ("n", "mx", "my", "sxx", "a", "b"))
+    some = F.nullif(n, F.lit(0.0))
+    df = df.withColumn(f"{p}_n", F.size(points).cast("double"))
+    df = df.withColumns({f"{p}_mx": total(lambda x, y: x) / some, f"{p}_my": total(lambda x, y: y) / some})
+    df = df.withColumns({f"{p}_sxx": total(lambda x, y: (x - mx) * (x - mx)),
+                         f"{p}_sxy": total(lambda x, y: (x - mx) * (y - my))})
+    df = df.withColumn(f"{p}_b", F.when((n >= 2) & (sxx != 0), F.try_divide(f"{p}_sxy", sxx)).otherwise(F.lit(0.0)))
+    df = df.withColumn(f"{p}_a", my - b * mx)
+    df = df.withColumn(f"{p}_sd", F.sqrt(total(lambda x, y: (y - a - b * x) * (y - a - b * x)) / some))
+    return df.drop(f"{p}_mx", f"{p}_my", f"{p}_sxx", f"{p}_sxy")
 
 
 def series_trend(panel: DataFrame, keys=SERIES) -> DataFrame:
     """OLS slope/intercept of value on t per series (after F6)."""
     tr = trim_leading_zeros(panel, keys)
-    g = tr.groupBy(*keys).agg(*ols_sums())
-    slope, intercept = ols_from_sums()
-    return g.select(*keys, F.col("_n").cast("int").alias("n_obs"),
-                    slope.alias("slope"), intercept.alias("intercept"))
+    g = with_line(tr.groupBy(*keys).agg(ordered_points("t").alias("_pts")), "_pts", "f")
+    return g.select(*keys, F.col("f_n").cast("int").alias("n_obs"), F.col("f_b").alias("slope"),
+                    F.col("f_a").alias("intercept"))
 
 
 def entity_stats(panel: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 A history is ``(keys..., i, value)`` with ``i`` = 0..n-1 per series.  Every
 model returns ``(keys..., step, forecast, lower_80, upper_80)`` for steps
 1..h.  Closed-form models are grouped aggregates (one shuffle by series);
-OLS uses exact decimal sums so results do not depend on partitioning.
+lines are fitted on ordered points, so results do not depend on partitioning.
 Holt's fit has no closed form over (alpha, beta); it runs as an Arrow-batched
 ``mapInPandas`` over a series-array table, vectorised over series x grid.
 """
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import ordered_points, with_line
+
 Z80 = 1.28      # fixed value: the reference's 80% band multiplier
 MODEL_ORDER = ("naive_drift", "linear_trend", "holt", "segmented")   # fixed tie order
 
@@ -24,124 +26,71 @@ def _steps(g: DataFrame, h: int) -> DataFrame:
 
 
 def naive_drift(hist: DataFrame, h: int, keys) -> DataFrame:
-    """y_n + step*(y_n - y_1)/(n-1); band 1.28*std_pop(diffs)*sqrt(step)."""
-    w = Window.partitionBy(*keys).orderBy("i")
-    d = hist.withColumn("_d", F.col("value") - F.lag("value").over(w))
-    g = d.groupBy(*keys).agg(F.min_by("value", "i").alias("_y1"), F.max_by("value", "i").alias("_yn"),
-                             F.count("*").alias("_n"), F.stddev_pop("_d").alias("_sd"))
-    drift = F.when(F.col("_n") > 1, (F.col("_yn") - F.col("_y1")) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
-    x = _steps(g, h)
-    fc = F.col("_yn") + F.col("step") * drift
-    spread = Z80 * F.col("_sd") * F.sqrt(F.col("step").cast("double"))
-    return x.select(*keys, "step", fc.alias("forecast"), (fc - spread).alias("lower_80"),
-                    (fc + spread).alias("upper_80"))
-
-
-def closed_form(hist: DataFrame, h: int, keys, bp: DataFrame | None = None) -> DataFrame:
-    """naive drift, linear trend and segmented linear in ONE grouped pass.
-
-    One window (lag, for the differences) and one aggregation per series
-    compute every sum the three models need; the residual spread of the
-    lines comes from the same sums (sum of squared residuals expanded in
-    exact decimal moments), so no second pass or join is needed.  Output has
-    a ``model`` column.  ``bp`` (keys, bp_idx) drives the segmented model;
-    without it the segmented model is not produced.
+    """y_n + step*(y_n - y_1)/(n-1)."""
+    return _only(closed_form(hist, h, keys), "naive_drift")
+
+
+def closed_form(hist: DataFrame, h: int, keys, bp: DataFrame | None = None, only_breaks: bool = True) -> DataFrame:
+    """naive drift, linear trend and segmented linear in ONE grouped pass
+    (T8, T9, T11, T12); every use of these models goes through here.
+
+    One window (lag, for the differences) and one aggregation per series; the
+    lines are fitted on the series' ordered points.  Bands: 1.28 * std_pop of
+    the differences * sqrt(step) for the drift, 1.28 * std_pop of the residuals
+    * sqrt(1 + 1/n) for the lines.  Output has a ``model`` column.
+
+    ``bp`` (keys, bp_idx) drives the segmented model, OLS on the part from the
+    break index on; without it that model is not produced.  The full series is
+    used where the index is negative, > n-4 or leaves fewer than 4 points, and
+    (with ``only_breaks=False``) where there is none.
     """
     keys = list(keys)
-    x = hist
-    if bp is not None:
-        n = hist.groupBy(*keys).agg(F.count("*").alias("_len"))
-        b = n.join(bp, keys, "left")
-        ok = F.col("bp_idx").isNotNull() & (F.col("bp_idx") >= 0) & (F.col("bp_idx") <= F.col("_len") - 4) \
-            & ((F.col("_len") - F.col("bp_idx")) >= 4)
-        b = b.select(*keys, F.when(ok, F.col("bp_idx")).otherwise(F.lit(0)).alias("_from"),
-                     F.col("bp_idx").isNotNull().alias("_has_bp"))
-        x = hist.join(b, keys)
-    else:
-        x = hist.withColumn("_from", F.lit(0)).withColumn("_has_bp", F.lit(False))
     w = Window.partitionBy(*keys).orderBy("i")
-    x = x.withColumn("_d", F.col("value") - F.lag("value").over(w))
-    y = F.col("value").cast("decimal(20,2)")
-    xi = F.col("i")
-    post = F.col("i") >= F.col("_from")
-    xs = F.col("i") - F.col("_from")
-
-    def moments(p, cond, xv):
-        yc = F.when(cond, y) if cond is not None else y
-        xc = F.when(cond, xv) if cond is not None else xv
-        return [F.count(yc).alias(f"{p}_n"), F.sum(xc).cast("double").alias(f"{p}_st"),
-                F.sum(xc * xc).cast("double").alias(f"{p}_stt"), F.sum(yc).cast("double").alias(f"{p}_sy"),
-                F.sum(yc * xc).cast("double").alias(f"{p}_sty"), F.sum(yc * yc).cast("double").alias(f"{p}_syy")]
+    x = hist.withColumn("_d", F.col("value") - F.lag("value").over(w))
     g = x.groupBy(*keys).agg(
         F.min_by("value", "i").alias("_y1"), F.max_by("value", "i").alias("_yn"), F.count("*").alias("_n"),
-        F.stddev_pop("_d").alias("_sdd"), F.max("_has_bp").alias("_has_bp"),
-        *moments("l", None, xi), *moments("s", post, xs))
-    from .metrics import ols_from_sums
-    out = []
+        F.stddev_pop("_d").alias("_sdd"), ordered_points("i").alias("_pts"))
+    if bp is not None:
+        g = g.join(bp.select(*keys, "bp_idx"), keys, "left")
+        idx = F.col("bp_idx")
+        ok = idx.isNotNull() & (idx >= 0) & (idx <= F.col("_n") - 4)
+        g = g.withColumn("_from", F.when(ok, idx).otherwise(F.lit(0)).cast("double"))
+        g = g.withColumn("_post", F.transform(F.filter("_pts", lambda q: q["x"] >= F.col("_from")),
+                                              lambda q: F.struct((q["x"] - F.col("_from")).alias("x"), q["y"].alias("y"))))
+        g = with_line(g, "_post", "s")
+    g = with_line(g, "_pts", "l")
     drift = F.when(F.col("_n") > 1, (F.col("_yn") - F.col("_y1")) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
-    st = _steps(g, h)
-    fc = F.col("_yn") + F.col("step") * drift
-    sp = Z80 * F.col("_sdd") * F.sqrt(F.col("step").cast("double"))
-    out.append(st.select(*keys, "step", F.lit("naive_drift").alias("model"), fc.alias("forecast"),
-                         (fc - sp).alias("lower_80"), (fc + sp).alias("upper_80")))
-    for p, name in (("l", "linear_trend"), ("s", "segmented")):
-        if p == "s" and bp is None:
-            continue
-        b_, a_ = ols_from_sums(p)
-        n_, sy, sty, syy = F.col(f"{p}_n"), F.col(f"{p}_sy"), F.col(f"{p}_sty"), F.col(f"{p}_syy")
-        st_, stt = F.col(f"{p}_st"), F.col(f"{p}_stt")
-        # sum of squared residuals of y - (a + b x), from the moments
-        sse = syy - 2 * a_ * sy - 2 * b_ * sty + n_ * a_ * a_ + 2 * a_ * b_ * st_ + b_ * b_ * stt
-        sd = F.sqrt(F.greatest(sse / n_, F.lit(0.0)))
-        f = a_ + b_ * (n_ - 1 + F.col("step"))
-        spr = Z80 * sd * F.sqrt(1 + 1 / n_)
-        sel = st if p == "l" else st.filter(F.col("_has_bp"))
-        out.append(sel.select(*keys, "step", F.lit(name).alias("model"), f.alias("forecast"),
-                              (f - spr).alias("lower_80"), (f + spr).alias("upper_80")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
-
-
-def _ols(hist: DataFrame, keys, x: str):
-    from .metrics import ols_from_sums, ols_sums
-    g = hist.groupBy(*keys).agg(*ols_sums(t=x))
-    slope, intercept = ols_from_sums()
-    return g.select(*keys, F.col("_n").alias("_n"), slope.alias("_b"), intercept.alias("_a"))
-
-
-def _linear_on(hist: DataFrame, h: int, keys, x: str) -> DataFrame:
-    fit = _ols(hist, keys, x)
-    res = hist.join(fit, list(keys)).groupBy(*keys).agg(
-        F.stddev_pop(F.col("value") - (F.col("_a") + F.col("_b") * F.col(x))).alias("_sd"))
-    g = fit.join(res, list(keys))
-    s = _steps(g, h)
-    fc = F.col("_a") + F.col("_b") * (F.col("_n") - 1 + F.col("step"))
-    spread = Z80 * F.col("_sd") * F.sqrt(1 + 1 / F.col("_n"))
-    return s.select(*keys, "step", fc.alias("forecast"), (fc - spread).alias("lower_80"),
-                    (fc + spread).alias("upper_80"))
+    step = F.col("step").cast("double")
 
+    def band(model, fc, spread):
+        return F.struct(F.lit(model).alias("model"), fc.alias("forecast"), (fc - spread).alias("lower_80"),
+                        (fc + spread).alias("upper_80"))
 
-def linear_trend(hist: DataFrame, h: int, keys) -> DataFrame:
-    """OLS on 0..n-1; band 1.28*std_pop(residuals)*sqrt(1+1/n)."""
-    return _linear_on(hist, h, keys, "i")
+    def line(model, p):
+        n = F.col(f"{p}_n")
+        return band(model, F.col(f"{p}_a") + F.col(f"{p}_b") * (n - 1 + step), Z80 * F.col(f"{p}_sd") * F.sqrt(1 + 1 / n))
 
+    rows = [band("naive_drift", F.col("_yn") + step * drift, Z80 * F.col("_sdd") * F.sqrt(step)), line("linear_trend", "l")]
+    if bp is not None:
+        rows.append(line("segmented", "s"))
+    out = _steps(g, h).withColumn("_m", F.explode(F.array(*rows)))
+    if bp is not None and only_breaks:
+        out = out.filter((F.col("_m.model") != "segmented") | F.col("bp_idx").isNotNull())
+    return out.select(*keys, "step", "_m.model", "_m.forecast", "_m.lower_80", "_m.upper_80")
 
-def segmented(hist: DataFrame, h: int, keys, bp: DataFrame, train_gate: bool = False) -> DataFrame:
-    """OLS on the part from the break index on.
 
-    ``bp`` is ``(keys..., bp_idx)``.  Falls back to the full-series line when
-    the index is NULL, negative, > n-4 or leaves fewer than 4 points.
-    """
-    n = hist.groupBy(*keys).agg(F.count("*").alias("_len"))
-    b = n.join(bp, list(keys), "left")
-    ok = F.col("bp_idx").isNotNull() & (F.col("bp_idx") >= 0) & (F.col("bp_idx") <= F.col("_len") - 4) \
-        & ((F.col("_len") - F.col("bp_idx")) >= 4)
-    b = b.select(*keys, F.when(ok, F.col("bp_idx")).otherwise(F.lit(0)).alias("_from"))
-    post = hist.join(b, list(keys)).filter(F.col("i") >= F.col("_from")) \
-        .withColumn("_x", F.col("i") - F.col("_from"))
-    return _linear_on(post, h, keys, "_x")
+def _only(rows: DataFrame, model: str) -> DataFrame:
+    return rows.filter(F.col("model") == model).drop("model")
+
+
+def linear_trend(hist: DataFrame, h: int, keys) -> DataFrame:
+    """OLS on 0..n-1."""
+    return _only(closed_form(hist, h, keys), "linear_trend")
+
+
+def segmented(hist: DataFrame, h: int, keys, bp: DataFrame) -> DataFrame:
+    """OLS on the part from the break index on, for every series."""
+    return _only(closed_form(hist, h, keys, bp, only_breaks=False), "segmented")
 
 
 # ---------------------------------------------------------------- Holt
@@ -257,7 +206,7 @@ def holt_params(hist: DataFrame, keys) -> DataFrame:
     # The fit is CPU-bound per series, not per byte: spread the series rows
     # (one per series, small) over all cores instead of letting AQE pack them
     # by size into a few partitions.
-    arr = arr.repartition(arr.sparkSession.sparkContext.defaultParallelism * 2, *keys)
+    arr = arr.repartition(*keys)
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                            for f in arr.schema.fields if f.name in keys)
     return arr.mapInPandas(_holt_batches(keys), f"{key_schema}, {HOLT_FIT_FIELDS}")

@@ -18,7 +18,7 @@ CHUNK_SIZE = 1100     # fixed values of the reference
 CHUNK_OVERLAP = 150
 SNIPPET_CHARS = 420
 TOP_K = 4
-TOP_K_MAX = 8
+TOP_K_MAX = 8         # the question tool's limit, see tool_k
 
 # Python str.isspace() characters, as a Java regex class.
 WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
@@ -79,6 +79,11 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col_(a), col_(b), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
+def tool_k(k: int) -> int:
+    """The question tool's clamp of k to 1..8; the search has no upper limit."""
+    return max(1, min(int(k), TOP_K_MAX))
+
+
 def cosine_topk(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
                 k: int = TOP_K, buckets: int = 64) -> DataFrame:
     """Exact cosine top-k of every query against the corpus.
@@ -90,7 +95,7 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
     spreading the corpus by a hash bucket.  Ranking is two-level (corpus hash
     bucket, then query), so no task holds all candidates of one query."""
     from .joins import broadcast_if_small
-    k = max(1, min(int(k), TOP_K_MAX))          # the search tool's clamp, 1..8
+    k = max(1, int(k))
     c = corpus.select(F.col(id_col).alias("doc"), l2_normalise(vec).alias("u"))
     q = queries.select(F.col(id_col).alias("query"), l2_normalise(vec).alias("w"))
     qb = broadcast_if_small(q)

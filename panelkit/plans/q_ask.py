@@ -163,11 +163,11 @@ def q_segment_card(spark, sf):
 @register("compare_entities")
 def q_compare_entities(spark, sf):
     """Metric x entity table for 2..4 resolved names (in the given
-    order; extra names are cut at 4)."""
+    order); unknown names and other numbers of names are errors."""
     st = stages_for(spark, sf)
-    names = [n.strip() for n in "NATION_1, nation_3,NATION_5".split(",")][:4]
-    if len(names) < 2:
-        raise ValueError("at least two entities are needed")
+    names = [n.strip() for n in "NATION_1, nation_3,NATION_5".split(",")]
+    if not 2 <= len(names) <= 4:
+        raise ValueError("two to four entities can be compared")
     nm = literal_table(spark, [(n, i) for i, n in enumerate(names)], "name string, ord int")
     res = LK.resolve_names(nm, st.segments.select("entity"))
     rows = st.segments.join(res.select("entity", "ord"), "entity")
@@ -180,7 +180,10 @@ def q_compare_entities(spark, sf):
     long = rows.select("entity", "ord", F.explode(F.array(*[
         F.struct(F.lit(i).alias("mi"), F.lit(m).alias("metric"), v.alias("val")) for i, (m, v) in enumerate(metrics)]))
         .alias("kv")).select("entity", "ord", "kv.*")
-    ents = [r["entity"] for r in res.orderBy("ord").collect() if r["entity"]]    # <= 4 names
+    found = res.orderBy("ord").collect()                      # <= 4 names
+    if unknown := [r["name"] for r in found if r["entity"] is None]:
+        raise ValueError(f"no such entity: {', '.join(unknown)}")
+    ents = [r["entity"] for r in found]
     return long.groupBy("mi", "metric").pivot("entity", ents).agg(F.first("val")).orderBy("mi").drop("mi")
 
 

@@ -475,8 +475,9 @@ def declared_totals(spark, sf):
     Line items are pre-aggregated by order (map-side) before the join with
     orders, so a hot order key never moves as raw rows."""
     li = read_table(spark, sf, "lineitem", "l_orderkey", "l_extendedprice", "l_tax", "l_discount")
-    amt = (F.col("l_extendedprice").cast(MONEY) * (1 + F.col("l_tax").cast(MONEY))
-           * (1 - F.col("l_discount").cast(MONEY)))
+    cents = "decimal(20,2)"              # the input's own scale, so that products stay exact
+    amt = (F.col("l_extendedprice").cast(cents) * (1 + F.col("l_tax").cast(cents))
+           * (1 - F.col("l_discount").cast(cents)))
     per_order = li.groupBy("l_orderkey").agg(F.sum(amt).alias("amt"))
     o = read_table(spark, sf, "orders", "o_orderkey", "o_custkey")
     per_cust = per_order.join(o, per_order.l_orderkey == o.o_orderkey) \

@@ -287,12 +287,16 @@ strat AS (SELECT *, CASE WHEN ips > 60 AND coalesce(predictability > 60, false)
   WHEN coalesce(predictability > 70, false) THEN '""" + RU.STRATEGIES[4] + """'
   ELSE '""" + RU.STRATEGIES[5] + """' END AS strategy FROM scored)"""
 
-SCEN = SC.scenario_rows()
 SENS_SQL = (FEAT_SQL + norm_sql("feat", "nf") + """,
 nlong AS (""" + " UNION ALL ".join(f"SELECT entity, '{c}' AS comp, {c}_norm AS v FROM nf" for c in IPS_COLS) + """),
-grid(scenario, component, delta, comp, weight, weight_changed_to) AS (VALUES """ + ", ".join(
-    f"({sid}, '{comp}', {_d(d)}, '{c}', {_d(w)}, {_d(wc)})" for sid, comp, d, c, w, wc in SCEN)
-    + ", " + ", ".join(f"(0, 'base', {_d(0.0)}, '{c}', {_d(w)}, {_d(0.0)})" for c, w in SC.IPS_WEIGHTS.items()) + """),
+wbase(comp, w) AS (VALUES ('size_log', 0.3::DOUBLE), ('growth_forecast', 0.3::DOUBLE), ('acceleration', 0.2::DOUBLE),
+                          ('predictability', 0.2::DOUBLE)),
+wdelta(delta) AS (VALUES ((-0.1)::DOUBLE), ((-0.05)::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)),
+wall AS (SELECT c.comp AS component, d.delta, o.comp, CASE WHEN o.comp = c.comp THEN o.w + d.delta ELSE o.w - d.delta / 3 END AS weight,
+                c.w + d.delta AS weight_changed_to FROM wbase c, wdelta d, wbase o),
+grid AS (SELECT dense_rank() OVER (ORDER BY component, delta) AS scenario, * FROM wall
+         WHERE (component, delta) NOT IN (SELECT (component, delta) FROM wall WHERE weight < 0)
+         UNION ALL SELECT 0, 'base', 0.0::DOUBLE, comp, w, 0.0::DOUBLE FROM wbase),
 sips AS (SELECT g.scenario, n.entity, sum(n.v * g.weight) AS ips FROM nlong n JOIN grid g ON g.comp = n.comp
          GROUP BY 1, 2),
 srk AS (SELECT *, rank() OVER (PARTITION BY scenario ORDER BY ips DESC)

@@ -203,12 +203,13 @@ FULL = TRI + """, full8 AS (SELECT entity, category, i, value FROM tri WHERE n >
 
 
 def _fc_out(df):
-    return df.select(*KEYS, "step", r2("forecast").alias("forecast"), r2("lower_80").alias("lower_80"),
-                     r2("upper_80").alias("upper_80"))
+    # four decimals: fits of a few two-decimal values fall on half cents
+    return df.select(*KEYS, "step", r4("forecast").alias("forecast"), r4("lower_80").alias("lower_80"),
+                     r4("upper_80").alias("upper_80"))
 
 
 FC_SELECT = """
-SELECT entity, category, step, round(f, 2) AS forecast, round(lo, 2) AS lower_80, round(hi, 2) AS upper_80 FROM fc"""
+SELECT entity, category, step, round(f, 4) AS forecast, round(lo, 4) AS lower_80, round(hi, 4) AS upper_80 FROM fc"""
 
 
 def _full_hist(spark, sf):
@@ -482,16 +483,20 @@ def q_forecast_floor(spark, sf):
                     r2("upper_80").alias("upper_80"))
 
 
-@register("forecast_extent", with_panel(FLOOR_SQL + """
+#: The final forecasts and the last actual values, for the projections.
+PROJECTED_SQL = FINAL_SQL + """, lastv AS (SELECT * FROM finfo)"""
+
+
+@register("forecast_extent", with_panel(PROJECTED_SQL + """
 SELECT count(DISTINCT (entity, category)) AS n_series, min(t) AS t_min, max(t) AS t_max, count(*) AS n_rows
 FROM nfc""", recursive=True))
 def q_forecast_extent(spark, sf):
-    f = naive_final(spark, sf)
+    f = final_forecasts(spark, sf)
     return f.agg(F.countDistinct(*KEYS).alias("n_series"), F.min("t").alias("t_min"), F.max("t").alias("t_max"),
                  F.count("*").alias("n_rows"))
 
 
-@register("growth_top", with_panel(FLOOR_SQL + """, fin AS (
+@register("growth_top", with_panel(PROJECTED_SQL + """, fin AS (
   SELECT f.entity, f.category, round(f.forecast / 1e6, 1) AS forecast_m, round(l.last_value / 1e6, 1) AS last_m,
          (f.forecast - l.last_value) / nullif(l.last_value, 0) * 100 AS g
   FROM nfc f JOIN lastv l ON l.entity = f.entity AND l.category = f.category
@@ -502,7 +507,7 @@ def q_growth_top(spark, sf):
     """Top 10 series by growth from the last actual to the last
     forecast period (a top-k report: the limit is the feature)."""
     p = stages_for(spark, sf).panel
-    f = naive_final(spark, sf)
+    f = final_forecasts(spark, sf)
     last = BT.indexed(p, KEYS).groupBy(*KEYS).agg(F.max_by("value", "t").alias("last_value"))
     tmax = f.agg(F.max("t").alias("t"))
     fin = f.join(F.broadcast(tmax), "t").join(last, KEYS)
@@ -512,7 +517,7 @@ def q_growth_top(spark, sf):
     return fin.orderBy(F.desc("g"), *KEYS).limit(10).select(*KEYS, "forecast_m", "last_m", r4("g").alias("growth_pct"))
 
 
-@register("regional_forecast", with_panel(FLOOR_SQL + """, reg AS (SELECT DISTINCT entity, region FROM panel),
+@register("regional_forecast", with_panel(PROJECTED_SQL + """, reg AS (SELECT DISTINCT entity, region FROM panel),
 la AS (SELECT g.region, CAST(sum(CAST(p.value AS DECIMAL(20,2))) AS DOUBLE) AS last_actual
        FROM panel p JOIN reg g ON g.entity = p.entity WHERE p.t = (SELECT max(t) FROM panel) GROUP BY 1),
 lf AS (SELECT g.region, sum(f.forecast) AS last_forecast FROM nfc f JOIN reg g ON g.entity = f.entity
@@ -529,7 +534,7 @@ def q_regional_forecast(spark, sf):
     last forecast period."""
     from ..functions.exprs import dsum
     p = stages_for(spark, sf).panel
-    f = naive_final(spark, sf)
+    f = final_forecasts(spark, sf)
     reg = p.select("entity", "region").distinct()
     tp = p.agg(F.max("t").alias("t"))
     la = p.join(F.broadcast(tp), "t").groupBy("region").agg(dsum("value").alias("last_actual"))
@@ -544,7 +549,7 @@ def q_regional_forecast(spark, sf):
                     r4(g).alias("growth_pct"))
 
 
-@register("forecast_ribbon", with_panel(FLOOR_SQL + """, top AS (
+@register("forecast_ribbon", with_panel(PROJECTED_SQL + """, top AS (
   SELECT entity, category FROM (SELECT entity, category, avg(value) AS mv FROM panel GROUP BY 1, 2)
   ORDER BY mv DESC, entity, category LIMIT 10),
 hist AS (SELECT p.entity, p.category, p.t, p.value, p.value AS lower_80, p.value AS upper_80, 'history' AS kind
@@ -561,7 +566,7 @@ def q_forecast_ribbon(spark, sf):
     """History, the last actual repeated as the first forecast point, and
     the forecast, for the ten largest series by mean (top-k report)."""
     p = stages_for(spark, sf).panel
-    f = naive_final(spark, sf)
+    f = final_forecasts(spark, sf)
     top = M.wide_metrics(p).orderBy(F.desc("mean_value"), *KEYS).limit(10).select(*KEYS)
     top = F.broadcast(top)                                          # 10 rows
     hist = p.join(top, KEYS).select(*KEYS, "t", "value", F.col("value").alias("lower_80"),
@@ -578,11 +583,13 @@ def q_forecast_ribbon(spark, sf):
                     r2("upper_80").alias("upper_80"))
 
 
-@register("entity_forecast", with_panel(FLOOR_SQL + """, la AS (
+@register("entity_forecast", with_panel(PROJECTED_SQL + """, la AS (
   SELECT entity, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS last_actual FROM panel
   WHERE t = (SELECT max(t) FROM panel) GROUP BY 1),
-ef AS (SELECT entity, t, sum(forecast) AS fc, sum(lower_80) AS lo, sum(upper_80) AS hi FROM nfc GROUP BY 1, 2)
-SELECT ef.entity, ef.t, round(fc / 1e6, 1) AS forecast_m, round(lo / 1e6, 1) AS lower_m, round(hi / 1e6, 1) AS upper_m,
+ef AS (SELECT entity, t, sum(forecast) AS fc, sum(lower_80) AS lo, sum(upper_80) AS hi,
+              string_agg(DISTINCT model_used, ',' ORDER BY model_used) AS models, bool_or(had_breakpoint) AS had_breakpoint
+       FROM final GROUP BY 1, 2)
+SELECT ef.entity, ef.t, models, had_breakpoint, round(fc / 1e6, 1) AS forecast_m, round(lo / 1e6, 1) AS lower_m, round(hi / 1e6, 1) AS upper_m,
        round((fc - last_actual) / nullif(last_actual, 0) * 100, 4) AS growth_vs_last_pct
 FROM ef JOIN la ON la.entity = ef.entity""", recursive=True))
 def q_entity_forecast(spark, sf):
@@ -590,14 +597,16 @@ def q_entity_forecast(spark, sf):
     bands (millions, 1 decimal) and growth vs the last actual period."""
     from ..functions.exprs import dsum
     p = stages_for(spark, sf).panel
-    f = naive_final(spark, sf)
+    f = final_forecasts(spark, sf)
     tp = p.agg(F.max("t").alias("t"))
     la = p.join(F.broadcast(tp), "t").groupBy("entity").agg(dsum("value").alias("last_actual"))
     ef = f.groupBy("entity", "t").agg(F.sum("forecast").alias("fc"), F.sum("lower_80").alias("lo"),
-                                      F.sum("upper_80").alias("hi"))
+                                      F.sum("upper_80").alias("hi"),
+                                      F.array_join(F.sort_array(F.collect_set("model_used")), ",").alias("models"),
+                                      F.max("had_breakpoint").alias("had_breakpoint"))
     j = ef.join(la, "entity")
     g = (F.col("fc") - F.col("last_actual")) / F.nullif(F.col("last_actual"), F.lit(0)) * 100
-    return j.select("entity", "t", rnd(F.col("fc") / 1e6, 1).alias("forecast_m"),
+    return j.select("entity", "t", "models", "had_breakpoint", rnd(F.col("fc") / 1e6, 1).alias("forecast_m"),
                     rnd(F.col("lo") / 1e6, 1).alias("lower_m"), rnd(F.col("hi") / 1e6, 1).alias("upper_m"),
                     r4(g).alias("growth_vs_last_pct"))
 

@@ -33,9 +33,9 @@ class Stages:
 
     @property
     def panel(self) -> DataFrame:
-        """The panel hash-partitioned by series key once; the checkpoint keeps
-        that partitioning, so every per-series window and aggregate downstream
-        (trim, breaks, models, backtest) runs without another exchange."""
+        """The panel, checkpointed once.  A checkpoint is read back without
+        its partitioning, so later per-series steps exchange it again (series
+        rows only, after map-side aggregation of the facts)."""
         def build():
             # by column only: AQE may still coalesce or split the partitions
             return self._panel_fn(self.spark, self.sf).repartition(*self.keys)
@@ -145,7 +145,7 @@ _CACHE: dict = {}
 def stages_for(spark: SparkSession, sf_dir: str) -> SegmentStages:
     """Stage outputs shared by all queries of one session and data folder
     (the checkpointed tables play the role of the reference's stage files)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = SegmentStages(spark, sf_dir)
     return _CACHE[key]
@@ -158,7 +158,7 @@ def clear_stage_cache() -> None:
 def user_stages_for(spark: SparkSession, sf_dir: str) -> Stages:
     """Stages over Panel B (user x day): the series count grows with the data."""
     from .panels import panel_b
-    key = (id(spark), sf_dir, "b")
+    key = (spark.sparkContext.applicationId, sf_dir, "b")
     if key not in _CACHE:
         _CACHE[key] = Stages(spark, sf_dir, panel_fn=panel_b)
     return _CACHE[key]

@@ -4,32 +4,59 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "panelkit") -> SparkSession:
-    """Session with AQE (coalescing + skew join), UTC and ANSI kept on."""
-    master = master or os.environ.get("PANELKIT_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("PANELKIT_SHUFFLE_PARTITIONS", "8"))
-    spark = (
-        SparkSession.builder.master(master).appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(parts))
+    """Session with AQE (coalescing + skew join) and UTC.
+
+    Master and shuffle partitions are the cluster's own unless asked for here
+    (or by PANELKIT_MASTER, PANELKIT_SHUFFLE_PARTITIONS); checkpoint files go
+    when nothing refers to them any more.
+    """
+    builder = (
+        SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("PANELKIT_DRIVER_MEMORY", "16g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    settings = {"spark.sql.shuffle.partitions": shuffle_partitions or os.environ.get("PANELKIT_SHUFFLE_PARTITIONS"),
+                "spark.driver.memory": os.environ.get("PANELKIT_DRIVER_MEMORY")}
+    for key, value in settings.items():
+        if value:
+            builder = builder.config(key, str(value))
+    master = master or os.environ.get("PANELKIT_MASTER")
+    if master:
+        builder = builder.master(master)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (as ``--py-files`` would), for
+    functions that run in Python workers."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="panelkit-ship-"), "panelkit.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -20,10 +20,21 @@ def _label(root: str):
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 20)).otherwise(path)
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that exist on their own file system (the cluster's default
+    one for paths without a scheme)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            found.append(p)
+    return found
+
+
 def text_files(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
     """(source, text) for the given text files, stripped."""
-    import os
-    present = [p for p in paths if os.path.exists(p) or "://" in p]
+    present = existing(spark, paths)
     if not present:
         return spark.createDataFrame([], "source string, text string")
     df = spark.read.text(present, wholetext=True)
@@ -31,17 +42,18 @@ def text_files(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
 
 
 def notebooks(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
-    """(source, text) from notebook JSON: markdown/raw cells only."""
-    import os
-    present = [p for p in paths if os.path.exists(p) or "://" in p]
+    """(source, text) from notebook JSON: markdown/raw cells only.  A
+    cell's source is a text or a list of lines, which are joined as they are."""
+    present = existing(spark, paths)
     if not present:
         return spark.createDataFrame([], "source string, text string")
-    schema = "cells array<struct<cell_type:string, source:string>>"
+    schema = "cells array<struct<cell_type:string, source:variant>>"
     raw = spark.read.option("multiLine", True).schema(schema).json(present)
     cells = raw.select(_label(root).alias("source"), F.posexplode("cells").alias("pos", "c"))
-    kept = cells.filter(F.col("c.cell_type").isin("markdown", "raw"))
-    g = kept.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("c.source").alias("s"))))
-                                   .alias("parts"))
+    lines = F.try_variant_get("c.source", "$", "array<string>")
+    text = F.coalesce(F.array_join(lines, ""), F.try_variant_get("c.source", "$", "string"), F.lit(""))
+    kept = cells.filter(F.col("c.cell_type").isin("markdown", "raw")).select("source", "pos", text.alias("s"))
+    g = kept.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("parts"))
     return g.select("source", py_strip(F.array_join(F.col("parts.s"), "\n\n")).alias("text"))
 
 

@@ -17,7 +17,7 @@ def main():
     args = sys.argv[1:]
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
-    spark = get_spark()
+    spark = get_spark(master="local[8]", shuffle_partitions=8)
     con = duck(sf)
     qs, sql = E.queries(), E.oracle_sql()
     bad = 0

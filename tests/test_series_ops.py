@@ -131,3 +131,28 @@ def test_bic_penalty_and_train_breaks(spark):
     assert all(r["n_observations"] == 19 for r in tb)
     sc = BT.backtest_scores(p, None, ["entity", "category"], breaks_on="train")
     assert sc.count() >= 6 * 3
+
+
+def test_lines_of_small_slopes_and_large_values(spark):
+    rows = [("small", k, 0.001 * k) for k in range(30)]
+    rows += [("large", k, 1e9 + 3.0 * k + (0.5 if k % 2 else -0.5)) for k in range(30)]
+    rows += [("huge", k, 1e19 + 1e16 * k) for k in range(30)]
+    hist = spark.createDataFrame(rows, "entity string, i int, value double")
+    got = {(r["entity"], r["model"]): r for r in MD.closed_form(hist, 1, ["entity"]).collect()}
+    assert got["small", "linear_trend"]["forecast"] == pytest.approx(0.03, rel=1e-9)
+    large = got["large", "linear_trend"]
+    # residuals of +-0.5 about the line: half a band is 1.28 * 0.5 * sqrt(1 + 1/30), near enough
+    assert (large["upper_80"] - large["lower_80"]) / 2 == pytest.approx(0.65, abs=0.01)
+    assert got["huge", "linear_trend"]["forecast"] == pytest.approx(1e19 + 30 * 1e16, rel=1e-9)
+    one = MD.linear_trend(hist, 1, ["entity"]).filter("entity = 'large'").first()
+    assert (one["lower_80"], one["upper_80"]) == (large["lower_80"], large["upper_80"])
+
+
+def test_slopes_under_a_cent(spark):
+    rows = [("s", "c", k, 0.001 * k + 1e-4) for k in range(30)]
+    panel = spark.createDataFrame(rows, "entity string, category string, t int, value double")
+    from panelkit.operators.metrics import series_trend
+    r = series_trend(panel).first()
+    assert r["slope"] == pytest.approx(0.001, rel=1e-9) and r["intercept"] == pytest.approx(1e-4, rel=1e-6)
+    b = BK.detect_breaks(panel).first()
+    assert b["pre_slope"] == pytest.approx(0.001, rel=1e-9) and b["breakpoint_t"] is None

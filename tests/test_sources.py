@@ -13,12 +13,12 @@ def test_corpus_and_notebook(spark):
     with open(f"{root}/readme.md", "w") as f:
         f.write("  Title\n\nSome text.  \n")
     nb = {"cells": [{"cell_type": "markdown", "source": "# Intro"}, {"cell_type": "code", "source": "x = 1"},
-                    {"cell_type": "raw", "source": "raw note"}, {"cell_type": "markdown", "source": "End"}]}
+                    {"cell_type": "raw", "source": ["raw ", "note\n", "two"]}, {"cell_type": "markdown", "source": "End"}]}
     with open(f"{root}/a.ipynb", "w") as f:
         json.dump(nb, f)
     c = load_corpus(spark, [f"{root}/readme.md", f"{root}/missing.md"], [f"{root}/a.ipynb"], root)
     got = {r["source"]: r["text"] for r in c.collect()}
-    assert got == {"readme.md": "Title\n\nSome text.", "a.ipynb": "# Intro\n\nraw note\n\nEnd"}
+    assert got == {"readme.md": "Title\n\nSome text.", "a.ipynb": "# Intro\n\nraw note\ntwo\n\nEnd"}
     ch = chunk_corpus(c.withColumn("doc_id", c.source), ids=("doc_id", "source"))
     assert ch.count() == 2
 

@@ -35,7 +35,7 @@ WHITE_SPACE = "\t-\r \u0085   -     　"
 EXTRA_SPLIT = regex.compile("[\x1c-\x1f]")
 BLANKS = regex.compile(f"[{WHITE_SPACE}]+")
 
-MEMO_ENTRIES = 400_000  # pieces, and words, in a generation of a Python worker's memory
+MEMO_ENTRIES = 150_000  # pieces, and words, in a generation of a Python worker's memory
 MEMO_CHARS = 64         # longer ones are not remembered
 
 

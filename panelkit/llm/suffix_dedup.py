@@ -43,7 +43,7 @@ GRAM = 20
 #: and no column is more than 3 before a sample column.
 COVER_MOD, COVER = 7, (0, 1, 3)
 REACH = 3
-EPOCHS_PER_PARTITION = 3
+EPOCHS_PER_PARTITION = 2
 BUCKETS_PER_PARTITION = 1
 HOT_RUNS = 2_000
 BATCH_BYTES = 2_000_000

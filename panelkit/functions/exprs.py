@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = ["col_", "rnd", "dsum", "ratio", "pct_change", "cagr", "strip_ws", "clip",
-           "fmt_magnitude", "r2", "r4", "r6", "avg_rank_desc", "minmax_0_100"]
+           "fmt_magnitude", "r2", "r4", "r6"]
 
 #: 26 digits before and 12 after the point; sums of it don't depend on order.
 MONEY = "decimal(38,12)"
@@ -96,16 +96,3 @@ def r6(c) -> Column:
     return rnd(c, 6)
 
 
-def avg_rank_desc(value, partition=()) -> Column:
-    """Average rank of ``value`` descending (ties share the mean position)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*partition).orderBy(F.desc_nulls_last(col_(value)))
-    ties = Window.partitionBy(*partition, col_(value))
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-
-
-def minmax_0_100(c, lo, hi) -> Column:
-    """(x - lo) / (hi - lo) * 100; a constant column maps to 0."""
-    x = col_(c)
-    return F.when(x.isNull(), F.lit(None)).when(col_(hi) == col_(lo), F.lit(0.0)) \
-        .otherwise((x - col_(lo)) / (col_(hi) - col_(lo)) * 100)

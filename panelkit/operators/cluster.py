@@ -26,23 +26,6 @@ def _uniform(*cols):
     return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def _centres_df(spark, centres: dict):
-    rows = [(cfg, c, j, float(v)) for cfg, cs in centres.items() for c, vec in enumerate(cs)
-            for j, v in enumerate(vec)]
-    return spark.createDataFrame(rows, "cfg int, cluster int, pos int, cx double")
-
-
-def _sqdist(px: DataFrame, centres: DataFrame, id_col: str) -> DataFrame:
-    """(id, cfg, cluster, d2) for all points x centres of all configs."""
-    j = px.join(F.broadcast(centres), "pos")
-    return j.groupBy(id_col, "cfg", "cluster").agg(F.sum(F.pow(F.col("x") - F.col("cx"), 2)).alias("d2"))
-
-
-def _assign(d2: DataFrame, id_col: str) -> DataFrame:
-    return d2.groupBy(id_col, "cfg").agg(F.min_by("cluster", F.struct("d2", "cluster")).alias("cluster"),
-                                         F.min("d2").alias("d2"))
-
-
 def _cfg_table(spark, centres: dict) -> DataFrame:
     """(cfg, cents array<array<double>>): the centres of every configuration;
     bounded by configs x k x d (parameters, not data)."""
@@ -58,18 +41,22 @@ def _nearest(vec_col, cents_col):
 
 
 def kmeans(points: DataFrame, id_col: str, vec: str, ks, restarts: int, seed: int = 42,
-           max_iter: int = 50, tol: float = 1e-10, select_restarts: int | None = None):
+           max_iter: int | None = None, tol: float = 1e-10, select_restarts: int | None = None):
     """Lloyd's algorithm for every k in ``ks`` x ``restarts`` inits at once.
 
     Each step is one job: every point meets the broadcast table of all
     configurations' centres, picks its nearest centre per configuration with
     ``array_min`` (no shuffle), and the new centres are per-(config, cluster)
-    averages of the coordinates (the only shuffle).  Returns (labels
+    averages of the coordinates (the only shuffle).  A configuration whose
+    centres rest within ``tol`` takes no part in later steps; the loop ends
+    when all rest, or after ``max_iter`` steps if that is given.  Returns (labels
     DataFrame(id, k, cluster), centres dict k -> array, inertia dict k ->
     float) for the best restart (lowest inertia) per k.  With
     ``select_restarts`` a dict is returned instead, holding the best of the
     first ``select_restarts`` inits (``select_*``) and the best of all inits
-    (``final_*``) per k, both from the same loop.
+    (``final_*``) per k, both from the same loop, beside ``steps``,
+    ``converged`` and ``release``, which frees the cached points once the
+    labels have been used.
     """
     spark = points.sparkSession
     pts = points.select(id_col, F.transform(vec, lambda x: x.cast("double")).alias("v")).cache()
@@ -101,17 +88,17 @@ def kmeans(points: DataFrame, id_col: str, vec: str, ks, restarts: int, seed: in
         ct = _cfg_table(spark, cent)
         return pts.crossJoin(F.broadcast(ct)).select(id_col, "cfg", "v",
                                                       _nearest(F.col("v"), F.col("cents")).alias("nd"))
-    for _ in range(max_iter):
-        a = assign(centres)
+    moving, steps = set(centres), 0
+    while moving and (max_iter is None or steps < max_iter):
+        steps += 1
+        a = assign({c: centres[c] for c in moving})
         newc = a.groupBy("cfg", F.col("nd.cluster").alias("cluster")).agg(
             *[F.avg(F.col("v")[j]).alias(f"c{j}") for j in range(dim)]).collect()
-        upd = {c: v.copy() for c, v in centres.items()}
+        upd = {c: centres[c].copy() for c in moving}
         for r in newc:
             upd[r["cfg"]][r["cluster"]] = [r[f"c{j}"] for j in range(dim)]
-        moved = max(float(np.max(np.abs(upd[c] - centres[c]))) for c in centres)
-        centres = upd
-        if moved <= tol:
-            break
+        moving = {c for c in upd if float(np.max(np.abs(upd[c] - centres[c]))) > tol}
+        centres.update(upd)
     a = assign(centres).select(id_col, "cfg", F.col("nd.cluster").alias("cluster"), F.col("nd.d2").alias("d2")).cache()
     inertia = {r["cfg"]: r["s"] for r in a.groupBy("cfg").agg(F.sum("d2").alias("s")).collect()}
 
@@ -131,7 +118,11 @@ def kmeans(points: DataFrame, id_col: str, vec: str, ks, restarts: int, seed: in
         return pick(restarts)
     sl, sc, si = pick(select_restarts)
     fl, fc, fi = pick(restarts)
-    return {"select_labels": sl, "select_centres": sc, "select_inertia": si,
+
+    def release():
+        a.unpersist()
+        pts.unpersist()
+    return {"steps": steps, "converged": not moving, "release": release, "select_labels": sl, "select_centres": sc, "select_inertia": si,
             "final_labels": fl, "final_centres": fc, "final_inertia": fi}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import cagr, clip, dsum, ratio
 from . import metrics as M
+from .ranges import quantiles
 
 CLUSTER_FEATURES = ["growth_forecast", "acceleration", "cv", "predictability"]   # fixed (reference)
 HORIZON = 5
@@ -64,8 +65,8 @@ def entity_features(panel: DataFrame, breaks: DataFrame, summary: DataFrame, for
 
 
 def percentile_bounds(df: DataFrame, cols, probs) -> DataFrame:
-    """Exact (interpolated) percentiles of several columns in one pass."""
-    return df.agg(*[F.percentile(c, list(probs)).alias(f"_q_{c}") for c in cols])
+    """Exact (interpolated) percentiles of several columns, one row."""
+    return quantiles(df, cols, probs)
 
 
 def winsorize(df: DataFrame, cols=CLUSTER_FEATURES, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
@@ -73,7 +74,8 @@ def winsorize(df: DataFrame, cols=CLUSTER_FEATURES, lo: float = 0.05, hi: float
     q = percentile_bounds(df, cols, [lo, hi])
     x = df.crossJoin(F.broadcast(q))                                      # one row
     for c in cols:
-        x = x.withColumn(c, F.least(F.greatest(F.col(c), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[1]))
+        x = x.withColumn(c, F.when(F.col(c).isNotNull(),
+                                   F.least(F.greatest(F.col(c), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[1])))
     return x.drop(*[f"_q_{c}" for c in cols])
 
 

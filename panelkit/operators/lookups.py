@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import with_average_rank, with_position
+
 # The reference's alias table (query name -> entity name).
 ALIASES = [("vietnam", "Viet Nam"), ("ivory coast", "Côte d'Ivoire"), ("drc", "Democratic Republic of Congo"),
            ("bolivia", "Bolivia (Plurinational State of)"), ("laos", "Lao People's Democratic Republic")]
@@ -13,16 +15,15 @@ ALIASES = [("vietnam", "Viet Nam"), ("ivory coast", "Côte d'Ivoire"), ("drc", "
 def resolve_names(names: DataFrame, entities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """F8: query names (name, ord) -> entity.  Priority: exact ignoring case,
     then substring in either direction (first entity in name order), then
-    the alias table.  ``entities`` is a distinct entity list (broadcast, it is
-    at entity grain); unresolved names get NULL."""
+    the alias table.  The names, a list of the caller's, are the broadcast
+    side; the entities stay spread.  Unresolved names get NULL."""
     q = names.withColumn("_q", F.lower(F.trim("name")))
     e = entities.select("entity").distinct().withColumn("_e", F.lower("entity"))
-    m = q.crossJoin(F.broadcast(e)).withColumn(
+    m = e.crossJoin(F.broadcast(q)).withColumn(
         "_p", F.when(F.col("_q") == F.col("_e"), 1)
         .when(F.col("_e").contains(F.col("_q")) | F.col("_q").contains(F.col("_e")), 2))
     hits = m.filter(F.col("_p").isNotNull())
-    w = Window.partitionBy("ord").orderBy("_p", "entity")
-    best = hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).select("ord", "entity")
+    best = hits.groupBy("ord").agg(F.min(F.struct("_p", "entity"))["entity"].alias("entity"))
     out = q.join(best, "ord", "left")
     if aliases is not None:
         al = aliases.select(F.lower("alias").alias("_q"), F.col("entity").alias("_alias"))
@@ -41,10 +42,8 @@ def resolve_segment(query: str, names: DataFrame) -> DataFrame:
 
 def index_rank(segments: DataFrame) -> DataFrame:
     """Average rank of ips descending, truncated to int."""
-    w = Window.orderBy(F.desc_nulls_last("ips"))              # entity grain
-    tie = Window.partitionBy("ips")
-    return segments.withColumn("ips_rank", F.floor(F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2.0)
-                               .cast("int"))
+    ranked = with_average_rank(with_position(segments, [F.desc_nulls_last("ips"), "entity"]), "ips", name="_avg")
+    return ranked.select(*segments.columns, F.floor("_avg").cast("int").alias("ips_rank"))
 
 
 def top_n(segments: DataFrame, n: int) -> DataFrame:
@@ -52,3 +51,26 @@ def top_n(segments: DataFrame, n: int) -> DataFrame:
     n = max(1, int(n))
     w = Window.orderBy(F.desc("ips"), "entity")
     return segments.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
+
+
+def compare(segments: DataFrame, names: list[str]) -> DataFrame:
+    """Metric x entity table of two to four names, in their order.
+    Unknown names and other numbers of names are errors."""
+    if not 2 <= len(names) <= 4:
+        raise ValueError("two to four entities can be compared")
+    asked = segments.sparkSession.createDataFrame([(n.strip(), i) for i, n in enumerate(names)],
+                                                  "name string, ord int")
+    found = resolve_names(asked, segments.select("entity")).orderBy("ord").collect()      # at most four names
+    if unknown := [r["name"] for r in found if r["entity"] is None]:
+        raise ValueError(f"no such entity: {', '.join(unknown)}")
+    entities = [r["entity"] for r in found]
+    metrics = [("region", F.col("region")), ("cluster_name", F.col("cluster_name")),
+               ("share_global_pct", F.format_string("%.2f%%", "share_global_pct")),
+               ("growth_forecast", F.format_string("%+.2f%%", "growth_forecast")),
+               ("acceleration", F.format_string("%+.2f pp", "acceleration")),
+               ("predictability", F.format_string("%.0f/100", "predictability")),
+               ("ips", F.format_string("%.1f", "ips"))]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("metric"), v.alias("shown"))
+                      for i, (m, v) in enumerate(metrics)])
+    long = segments.filter(F.col("entity").isin(entities)).select("entity", F.inline(cells))
+    return long.groupBy("i", "metric").pivot("entity", entities).agg(F.first("shown")).orderBy("i").drop("i")

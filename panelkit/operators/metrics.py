@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cagr, dsum, pct_change, ratio
+from .ranges import with_position
 
 SERIES = ["entity", "category"]
 
@@ -44,16 +45,17 @@ def entity_period(panel: DataFrame) -> DataFrame:
 
 
 def with_period_share(df: DataFrame, part: str = "entity") -> DataFrame:
-    """Share (0..1) of each ``part`` in its period total."""
-    w = Window.partitionBy("t")
-    return df.withColumn("share", ratio(F.col("value"), F.sum("value").over(w)))
+    """Share (0..1) of each ``part`` in its period total (A16, G8).  Totals
+    are summed map-side; no task meets all entities of a period."""
+    total = df.groupBy("t").agg(F.sum("value").alias("_total"))
+    return df.join(total, "t").withColumn("share", ratio(F.col("value"), F.col("_total"))).select(*df.columns, "share")
 
 
 def hhi(panel: DataFrame) -> DataFrame:
     """Herfindahl-Hirschman index per period, sum(share^2) * 10000.
 
     Two aggregation levels: entity sums per period, then the share sum per
-    period.  The per-period window holds one row per entity.
+    period.
     """
     ep = with_period_share(entity_period(panel))
     return ep.groupBy("t", "period_label").agg(
@@ -213,8 +215,7 @@ def own_max_profile(panel: DataFrame, region_order: list[str] | None = None) ->
         rtot = ent.groupBy("region").agg(F.sum("mean").alias("rt"))
         rtot = rtot.withColumn("region_rank", F.row_number().over(Window.orderBy(F.desc("rt"), "region")))
         ent = ent.join(rtot.select("region", "region_rank"), "region")
-    ent = ent.withColumn("ord", F.row_number().over(
-        Window.orderBy("region_rank", F.desc("mean"), "entity")))  # entity grain
+    ent = with_position(ent, ["region_rank", F.desc("mean"), "entity"]).withColumn("ord", F.col("pos").cast("int"))
     return x.join(ent.select("entity", "ord"), "entity").select("entity", "region", "t", "pct_of_max", "ord")
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col_
+from .ranges import quantiles
 
 GROWTH_QUADRANTS = ("ACELERACIÓN SOSTENIDA", "RECIÉN ACELERANDO", "DESACELERANDO",
                     "ESTRUCTURALMENTE DÉBILES")
@@ -81,7 +82,8 @@ def median_quadrant(df: DataFrame, size: str, other: str, labels, min_size: floa
     interpolated), computed once as a one-row aggregate and broadcast."""
     if min_size is not None:
         df = df.filter(F.col(size) > min_size)
-    med = df.agg(F.median(size).alias("_m_size"), F.median(other).alias("_m_other"))
+    med = quantiles(df, [size, other], [0.5]).select(F.col(f"_q_{size}")[0].alias("_m_size"),
+                                                     F.col(f"_q_{other}")[0].alias("_m_other"))
     x = df.crossJoin(F.broadcast(med))
     return x.withColumn("quadrant", quadrant(size, other, labels, F.col("_m_size"), F.col("_m_other")))
 

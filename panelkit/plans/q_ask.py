@@ -8,10 +8,13 @@ from ..functions.exprs import r2, r6, rnd
 from ..operators import lookups as LK
 from ..operators import retrieval as RT
 from ..operators.joins import literal_table
+from ..operators.ranges import with_position
 from ..sources.tables import read_table
 from .catalog import register
 from .panels import panel_a
-from .stages import stages_for
+from .q_segment import SEG_SQL
+from .segments import register_both
+from .sqlparts import with_panel
 
 # RE2 spelling of the same white-space class as retrieval.WS
 WS_RE2 = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
@@ -85,11 +88,11 @@ cv AS (SELECT doc_id, source, chunk_id,
 SELECT doc_id, source, chunk_id,
        CASE WHEN length(s) > 420 THEN regexp_replace(substring(s, 1, 420), '{WS_RE2}+$', '', 'g') || '...'
             ELSE s END AS snippet
-FROM cv WHERE chunk_id = 0""")
+FROM cv""")
 def q_snippets(spark, sf):
-    """Snippet of every document's first chunk (the text a hit shows)."""
+    """Snippet of every chunk (the text a hit shows)."""
     docs = read_table(spark, sf, "documents", "doc_id", "source", "text")
-    ch = RT.chunk_corpus(docs).filter(F.col("chunk_id") == 0)
+    ch = RT.chunk_corpus(docs)
     return ch.select("doc_id", "source", "chunk_id", RT.snippet("text").alias("snippet"))
 
 
@@ -117,21 +120,30 @@ def q_resolve_entity(spark, sf):
     return LK.resolve_names(names, ents, al)
 
 
-@register("resolve_segment")
-def q_resolve_segment(spark, sf):
-    return LK.resolve_segment("aceleración", stages_for(spark, sf).segments)
+@register_both("resolve_segment", with_panel(SEG_SQL + """
+SELECT cluster_name FROM rcent WHERE contains(lower(cluster_name), 'aceleración') OR lower(cluster_name) = 'aceleración'
+ORDER BY cluster_name LIMIT 1""", recursive=True))
+def q_resolve_segment(seg):
+    return LK.resolve_segment("aceleración", seg.rows)
 
 
-@register("entity_profile")
-def q_entity_profile(spark, sf):
+@register_both("entity_profile", with_panel(SEG_SQL + """,
+lastv AS (SELECT entity, sum(value) AS v FROM panel WHERE t = (SELECT max(t) FROM panel) GROUP BY 1),
+ranked AS (SELECT *, CAST(floor(rank() OVER (ORDER BY ips DESC) + (count(*) OVER (PARTITION BY ips) - 1) / 2.0) AS INTEGER)
+                       AS ips_rank FROM segs)
+SELECT r.entity, region, cluster_name, round(v / 1e6, 2) AS last_m, round(share_global_pct, 2) AS share_global_pct,
+       round(growth_forecast, 2) AS growth_forecast, round(acceleration, 2) AS acceleration,
+       round(growth_historical, 2) AS growth_historical, round(predictability, 0) AS predictability,
+       round(ips, 1) AS ips, ips_rank, strategy
+FROM ranked r LEFT JOIN lastv l ON l.entity = r.entity WHERE r.entity = 'NATION_7'""", recursive=True))
+def q_entity_profile(seg):
     """Profile of one entity (resolved name), last-period value and index rank."""
-    st = stages_for(spark, sf)
-    seg = LK.index_rank(st.segments)
-    names = literal_table(spark, [("nation_7", 1)], "name string, ord int")
-    hit = LK.resolve_names(names, seg.select("entity")).select("entity")
-    last = st.panel.join(F.broadcast(st.panel.agg(F.max("t").alias("t"))), "t") \
+    ranked = LK.index_rank(seg.rows)
+    names = literal_table(ranked.sparkSession, [("nation_7", 1)], "name string, ord int")
+    hit = LK.resolve_names(names, ranked.select("entity")).select("entity")
+    last = seg.panel.join(F.broadcast(seg.panel.agg(F.max("t").alias("t"))), "t") \
         .groupBy("entity").agg(F.sum("value").alias("last_value"))
-    p = seg.join(hit, "entity").join(last, "entity", "left")
+    p = ranked.join(hit, "entity").join(last, "entity", "left")
     return p.select("entity", "region", "cluster_name", r2(F.col("last_value") / 1e6).alias("last_m"),
                     r2("share_global_pct").alias("share_global_pct"), r2("growth_forecast").alias("growth_forecast"),
                     r2("acceleration").alias("acceleration"), r2("growth_historical").alias("growth_historical"),
@@ -139,58 +151,57 @@ def q_entity_profile(spark, sf):
                     "ips_rank", "strategy")
 
 
-@register("top_n_index")
-def q_top_n_index(spark, sf):
-    s = LK.top_n(stages_for(spark, sf).segments, 10)
+@register_both("top_n_index", with_panel(SEG_SQL + """
+SELECT CAST(row_number() OVER (ORDER BY ips DESC, entity) AS INTEGER) AS position, entity, region, cluster_name,
+       round(ips, 1) AS ips, round(share_global_pct, 1) AS share_global_pct, round(growth_forecast, 1) AS growth_forecast
+FROM segs QUALIFY position <= 10""", recursive=True))
+def q_top_n_index(seg):
+    s = LK.top_n(seg.rows, 10)
     return s.select("position", "entity", "region", "cluster_name", rnd("ips", 1).alias("ips"),
                     rnd("share_global_pct", 1).alias("share_global_pct"),
                     rnd("growth_forecast", 1).alias("growth_forecast"))
 
 
-@register("segment_card")
-def q_segment_card(spark, sf):
-    """Centroid, member count and members by index (descending)."""
-    st = stages_for(spark, sf)
-    members = st.segments.groupBy("cluster_name").agg(
-        F.count("*").alias("n_members"),
-        F.transform(F.sort_array(F.collect_list(F.struct(-F.col("ips"), F.col("entity")))), lambda s: s["entity"])
-        .alias("members"))
-    c = st.centroids.select("cluster_name", *[r2(x).alias(x) for x in
-                                              ("growth_forecast", "acceleration", "cv", "predictability")])
-    return c.join(members, "cluster_name")
-
-
-@register("compare_entities")
-def q_compare_entities(spark, sf):
+@register_both("segment_card", with_panel(SEG_SQL + """
+SELECT c.cluster_name, round(c.growth_forecast, 2) AS growth_forecast, round(c.acceleration, 2) AS acceleration,
+       round(c.cv, 2) AS cv, round(c.predictability, 2) AS predictability, c.n_entities AS n_members,
+       row_number() OVER (PARTITION BY s.cluster_name ORDER BY s.ips DESC, s.entity) AS position, s.entity
+FROM rcent c JOIN segs s ON s.cluster_name = c.cluster_name""", recursive=True))
+def q_segment_card(seg):
+    """Centroid and member count with the members by index (descending),
+    one row per member."""
+    members = with_position(seg.rows.select("cluster_name", "ips", "entity"), [F.desc("ips"), "entity"],
+                            ["cluster_name"])
+    c = seg.centroids.select("cluster_name", F.col("n_entities").cast("long").alias("n_members"), *[
+        r2(x).alias(x) for x in ("growth_forecast", "acceleration", "cv", "predictability")])
+    return members.join(c, "cluster_name").select(*c.columns, F.col("pos").cast("long").alias("position"), "entity")
+
+
+COMPARED = ["NATION_1", "nation_3", "NATION_5"]
+METRIC_SQL = [("region", "region"), ("cluster_name", "cluster_name"),
+              ("share_global_pct", "printf('%.2f%%', share_global_pct)"),
+              ("growth_forecast", "printf('%+.2f%%', growth_forecast)"),
+              ("acceleration", "printf('%+.2f pp', acceleration)"),
+              ("predictability", "printf('%.0f/100', predictability)"), ("ips", "printf('%.1f', ips)")]
+
+
+@register_both("compare_entities", with_panel(SEG_SQL + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS metric, " + ", ".join(f"max({v}) FILTER (WHERE entity = '{n.upper()}') AS {n.upper()}"
+                                            for n in COMPARED) + " FROM segs" for m, v in METRIC_SQL), recursive=True))
+def q_compare_entities(seg):
     """Metric x entity table for 2..4 resolved names (in the given
     order); unknown names and other numbers of names are errors."""
-    st = stages_for(spark, sf)
-    names = [n.strip() for n in "NATION_1, nation_3,NATION_5".split(",")]
-    if not 2 <= len(names) <= 4:
-        raise ValueError("two to four entities can be compared")
-    nm = literal_table(spark, [(n, i) for i, n in enumerate(names)], "name string, ord int")
-    res = LK.resolve_names(nm, st.segments.select("entity"))
-    rows = st.segments.join(res.select("entity", "ord"), "entity")
-    metrics = [("region", F.col("region")), ("cluster_name", F.col("cluster_name")),
-               ("share_global_pct", F.format_string("%.2f%%", "share_global_pct")),
-               ("growth_forecast", F.format_string("%+.2f%%", "growth_forecast")),
-               ("acceleration", F.format_string("%+.2f pp", "acceleration")),
-               ("predictability", F.format_string("%.0f/100", "predictability")),
-               ("ips", F.format_string("%.1f", "ips"))]
-    long = rows.select("entity", "ord", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("mi"), F.lit(m).alias("metric"), v.alias("val")) for i, (m, v) in enumerate(metrics)]))
-        .alias("kv")).select("entity", "ord", "kv.*")
-    found = res.orderBy("ord").collect()                      # <= 4 names
-    if unknown := [r["name"] for r in found if r["entity"] is None]:
-        raise ValueError(f"no such entity: {', '.join(unknown)}")
-    ents = [r["entity"] for r in found]
-    return long.groupBy("mi", "metric").pivot("entity", ents).agg(F.first("val")).orderBy("mi").drop("mi")
-
-
-@register("top5_cards")
-def q_top5_cards(spark, sf):
+    return LK.compare(seg.rows, COMPARED)
+
+
+@register_both("top5_cards", with_panel(SEG_SQL + """
+SELECT CAST(row_number() OVER (ORDER BY ips DESC, entity) AS INTEGER) AS position, entity, cluster_name,
+       round(ips, 1) AS ips, round(growth_forecast, 2) AS growth_forecast, round(share_global_pct, 2) AS share_global_pct,
+       round(predictability, 0) AS predictability, strategy
+FROM segs QUALIFY position <= 5""", recursive=True))
+def q_top5_cards(seg):
     """Five metrics for the five entities with the highest index."""
-    s = LK.top_n(stages_for(spark, sf).segments, 5)
+    s = LK.top_n(seg.rows, 5)
     return s.select("position", "entity", "cluster_name", rnd("ips", 1).alias("ips"),
                     rnd("growth_forecast", 2).alias("growth_forecast"),
                     rnd("share_global_pct", 2).alias("share_global_pct"),

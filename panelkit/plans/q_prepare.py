@@ -55,6 +55,7 @@ from ..operators import quality as Q  # noqa: E402
 from ..operators import reshape as R  # noqa: E402
 from ..operators import rules as C  # noqa: E402
 from ..operators.joins import broadcast_if_small, literal_table  # noqa: E402
+from ..operators.ranges import quantiles, with_position  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
 from .panels import nation_region  # noqa: E402
 
@@ -72,21 +73,26 @@ def q_panel_unpivot(spark, sf):
         "entity", "category", "period_label", r2("value").alias("value"), "year")
 
 
+# Columns of the wide tables: the names to show, a parameter as in any report.
+ENTITIES = [f"NATION_{i}" for i in range(25)]
+CATEGORIES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 @register("panel_pivot", with_panel(EP + """
-PIVOT (SELECT t, entity, round(value, 2) AS v FROM ep) ON entity USING sum(v) GROUP BY t"""))
+SELECT t, """ + ", ".join(f"sum(round(value, 2)) FILTER (WHERE entity = '{n}') AS {n}" for n in ENTITIES)
+                                      + " FROM ep GROUP BY t"))
 def q_panel_pivot(spark, sf):
     ep = M.entity_period(panel_a(spark, sf)).withColumn("value", r2("value"))
-    names = [r[0] for r in ep.select("entity").distinct().orderBy("entity").collect()]
-    return R.pivot_sum(ep, "t", "entity", names)
+    return R.pivot_sum(ep, "t", "entity", ENTITIES)
 
 
 @register("category_pivot", with_panel(""", ct AS (
   SELECT t, category, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS v FROM panel GROUP BY 1, 2)
-PIVOT (SELECT t, category, round(v, 2) AS v FROM ct) ON category USING sum(v) GROUP BY t"""))
+SELECT t, """ + ", ".join(f"sum(round(v, 2)) FILTER (WHERE category = '{c}') AS {c}" for c in CATEGORIES)
+                                         + " FROM ct GROUP BY t"))
 def q_category_pivot(spark, sf):
     ct = M.period_totals(panel_a(spark, sf), by=["category"]).select("t", "category", r2("total").alias("v"))
-    cats = [r[0] for r in ct.select("category").distinct().orderBy("category").collect()]
-    return R.pivot_sum(ct, "t", "category", cats, value="v")
+    return R.pivot_sum(ct, "t", "category", CATEGORIES, value="v")
 
 
 @register("region_enrich", """
@@ -368,9 +374,11 @@ FROM wm JOIN cg ON wm.entity = cg.entity AND wm.category = cg.category"""))
 def q_quadrants_median(spark, sf):
     p = panel_a(spark, sf)
     x = M.wide_metrics(p).join(M.cagr_halves(p), ["entity", "category"])
-    return x.agg(r2(F.median("mean_value")).alias("median_mean"), r6(F.median("cv_value")).alias("median_cv"),
-                 r4(F.median("cagr_first_half")).alias("median_cagr_first"),
-                 r4(F.median("cagr_second_half")).alias("median_cagr_second"))
+    cols = ["mean_value", "cv_value", "cagr_first_half", "cagr_second_half"]
+    m = {c: F.col(f"_q_{c}")[0] for c in cols}
+    return quantiles(x, cols, [0.5]).select(
+        r2(m["mean_value"]).alias("median_mean"), r6(m["cv_value"]).alias("median_cv"),
+        r4(m["cagr_first_half"]).alias("median_cagr_first"), r4(m["cagr_second_half"]).alias("median_cagr_second"))
 
 
 @register("notable_entities", with_panel(WM_SQL + CAGR_SQL + """, x AS (
@@ -408,8 +416,8 @@ def q_share_bands(spark, sf):
     ep = M.entity_period(panel_a(spark, sf))
     sh = M.with_period_share(ep).withColumn("share", F.col("share") * 100)
     last = sh.join(F.broadcast(sh.agg(F.max("t").alias("t"))), "t")        # one period
-    w = Window.orderBy(F.desc("share"), "entity").rowsBetween(Window.unboundedPreceding, 0)
-    b = last.withColumn("cum", F.sum("share").over(w))
+    b = with_position(last, [F.desc("share"), "entity"], total="share") \
+        .withColumn("cum", F.col("before") + F.col("share"))
     return b.select("entity", r6("share").alias("share"), r6(F.col("cum") - F.col("share")).alias("band_start"),
                     r6(F.col("cum") - F.col("share") / 2).alias("band_center"))
 

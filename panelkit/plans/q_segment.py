@@ -16,6 +16,7 @@ from .catalog import register
 from .panels import panel_a
 from .q_prepare import HIST_SQL
 from .q_series import BREAKS, FINAL_SQL
+from .segments import REGION_SQL, register_both
 from .sqlparts import with_panel
 from .stages import stages_for
 
@@ -149,17 +150,11 @@ def q_clustering_meta(spark, sf):
     st = stages_for(spark, sf)
     st.segments
     m = st.meta
-    rows = [("best_k", float(m["best_k"]))] + [(f"silhouette_k{k}", float(v)) for k, v in m["silhouette"].items()] \
+    rows = [("best_k", float(m["best_k"])), ("steps", float(m["steps"])), ("converged", float(m["converged"]))] + [(f"silhouette_k{k}", float(v)) for k, v in m["silhouette"].items()] \
         + [(f"explained_variance_{i + 1}", float(v)) for i, v in enumerate(m["explained_variance"])]
     return spark.createDataFrame(rows, "metric string, value double")
 
 
-@register("segment_sizes")
-def q_segment_sizes(spark, sf):
-    s = stages_for(spark, sf).segments
-    return s.groupBy("cluster", "cluster_name").agg(F.count("*").alias("n"))
-
-
 EMB_LONG = """emb AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos
             FROM embeddings)"""
 
@@ -204,19 +199,19 @@ def q_assign_nearest(spark, sf):
 
 
 @register("segment_profiles", CENT_SQL + """,
-c4 AS (SELECT cluster, max(CASE WHEN pos = 0 THEN cx END) AS f0, max(CASE WHEN pos = 1 THEN cx END) AS f1,
-              max(CASE WHEN pos = 2 THEN cx END) AS f2, max(CASE WHEN pos = 3 THEN cx END) AS f3 FROM cent GROUP BY 1)
-SELECT cluster, """ + ", ".join(
-    f"round(CASE WHEN max(f{i}) OVER () <> min(f{i}) OVER () THEN (f{i} - min(f{i}) OVER ()) / "
-    f"(max(f{i}) OVER () - min(f{i}) OVER ()) * 100 END, 6) AS f{i}_norm" for i in range(4)) + " FROM c4")
+ext AS (SELECT pos, min(cx) AS lo, max(cx) AS hi FROM cent GROUP BY 1)
+SELECT cluster, CAST(c.pos AS INTEGER) AS pos,
+       round(CASE WHEN hi <> lo THEN (cx - lo) / (hi - lo) * 100 END, 6) AS norm
+FROM cent c JOIN ext e ON e.pos = c.pos""")
 def q_segment_profiles(spark, sf):
-    """M11 on fixed centroids: label centroids of the first four embedding
-    dimensions scaled 0..100 across clusters."""
+    """M11 on fixed centroids: label centroids of all embedding dimensions
+    scaled 0..100 across clusters, one row per cluster and dimension."""
     e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    cols = [f"f{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
     c = e.groupBy(F.col("label").alias("cluster")).agg(
-        *[F.avg(F.col("embedding")[i].cast("double")).alias(f"f{i}") for i in range(4)])
-    p = CL.minmax_profile(c, [f"f{i}" for i in range(4)])
-    return p.select("cluster", *[r6(f"f{i}_norm").alias(f"f{i}_norm") for i in range(4)])
+        *[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f) for i, f in enumerate(cols)])
+    p = CL.minmax_profile(c, cols)
+    return p.select("cluster", F.posexplode(F.array(*[r6(f"{f}_norm") for f in cols])).alias("pos", "norm"))
 
 
 @register("name_segments", with_panel(""", span AS (SELECT max(t) AS t_last FROM panel),
@@ -316,7 +311,7 @@ SELECT entity, round(ips, 6) AS ips, """ + ", ".join(f"round({c}_norm, 6) AS {c}
                                        + ", ".join(f"round({c}_contrib, 6) AS {c}_contrib" for c in IPS_COLS)
                                        + " FROM scored", recursive=True))
 def q_pressure_index(spark, sf):
-    s = stages_for(spark, sf).segments
+    s = stages_for(spark, sf).scored
     return s.select("entity", r6("ips").alias("ips"), *[r6(f"{c}_norm").alias(f"{c}_norm") for c in IPS_COLS],
                     *[r6(f"{c}_contrib").alias(f"{c}_contrib") for c in IPS_COLS])
 
@@ -325,7 +320,7 @@ def q_pressure_index(spark, sf):
 SELECT entity, round(ips, 6) AS ips, round(predictability, 6) AS predictability, strategy FROM strat""",
                                          recursive=True))
 def q_assign_strategy(spark, sf):
-    s = stages_for(spark, sf).segments
+    s = stages_for(spark, sf).scored
     return s.select("entity", r6("ips").alias("ips"), r6("predictability").alias("predictability"), "strategy")
 
 
@@ -334,22 +329,38 @@ SELECT entity, trim(split_part(strategy, '—', 1)) AS action,
        CASE WHEN strategy LIKE '%—%' THEN trim(split_part(strategy, '—', 2)) END AS reason FROM strat""",
                                         recursive=True))
 def q_strategy_parts(spark, sf):
-    s = stages_for(spark, sf).segments
+    s = stages_for(spark, sf).scored
     return s.select("entity", *RU.strategy_parts("strategy"))
 
 
-@register("segment_playbook")
-def q_segment_playbook(spark, sf):
-    s = stages_for(spark, sf).segments
-    return s.groupBy("cluster", "cluster_name").agg(F.count("*").alias("n")) \
+SEG_SQL = IPS_SQL + REGION_SQL
+
+
+@register_both("segment_sizes", with_panel(SEG_SQL + """
+SELECT cluster, cluster_name, count(*) AS n FROM segs GROUP BY 1, 2""", recursive=True))
+def q_segment_sizes(seg):
+    return seg.rows.groupBy("cluster", "cluster_name").agg(F.count("*").alias("n"))
+
+
+@register_both("segment_playbook", with_panel(SEG_SQL + """
+SELECT cluster, cluster_name, count(*) AS n, CASE cluster_name """
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RU.PLAYBOOKS.items())
+    + " ELSE '' END AS playbook FROM segs GROUP BY 1, 2", recursive=True))
+def q_segment_playbook(seg):
+    return seg.rows.groupBy("cluster", "cluster_name").agg(F.count("*").alias("n")) \
         .withColumn("playbook", RU.playbook("cluster_name"))
 
 
-@register("leaderboard")
-def q_leaderboard(spark, sf):
+@register_both("leaderboard", with_panel(SEG_SQL + """
+SELECT CAST(row_number() OVER (ORDER BY ips DESC, entity) AS INTEGER) AS position, entity, cluster_name, strategy,
+       round(ips, 6) AS ips, 0.0::DOUBLE AS size_log_start, round(size_log_contrib, 6) AS growth_forecast_start,
+       round(size_log_contrib + growth_forecast_contrib, 6) AS acceleration_start,
+       round(size_log_contrib + growth_forecast_contrib + acceleration_contrib, 6) AS predictability_start
+FROM segs QUALIFY position <= 15""", recursive=True))
+def q_leaderboard(seg):
     """Entities ordered by index with their stacked contributions
     (running start of each component) and segment/strategy, top 15."""
-    s = LK.top_n(stages_for(spark, sf).segments, 15)
+    s = LK.top_n(seg.rows, 15)
     starts, acc = [], None
     for c in IPS_COLS:
         starts.append(r6(F.lit(0.0) if acc is None else acc).alias(f"{c}_start"))
@@ -357,17 +368,36 @@ def q_leaderboard(spark, sf):
     return s.select("position", "entity", "cluster_name", "strategy", r6("ips").alias("ips"), *starts)
 
 
-@register("strategic_matrix")
+@register("strategic_matrix", with_panel(IPS_SQL + """, mrow AS (
+  SELECT s.entity, s.growth_forecast, m.mean_value FROM strat s
+  LEFT JOIN (SELECT entity, avg(value) AS mean_value FROM panel GROUP BY 1) m ON m.entity = s.entity),
+mmed AS (SELECT median(mean_value) AS ms, median(growth_forecast) AS mg FROM mrow)
+SELECT entity, round(mean_value, 2) AS mean_value, round(growth_forecast, 6) AS growth_forecast,
+       CASE WHEN mean_value > ms AND growth_forecast > mg THEN 'GRANDES & CRECIENDO'
+            WHEN growth_forecast > mg THEN 'PEQUEÑOS & CRECIENDO'
+            WHEN mean_value > ms THEN 'GRANDES & ESTABLES' ELSE 'PEQUEÑOS & ESTABLES' END AS quadrant
+FROM mrow, mmed""", recursive=True))
 def q_strategic_matrix(spark, sf):
     """Size (mean of all entity rows) x forecast growth by medians."""
     st = stages_for(spark, sf)
     mean_rows = st.panel.groupBy("entity").agg(F.avg("value").alias("mean_value"))
-    x = st.segments.select("entity", "growth_forecast").join(mean_rows, "entity", "left")
+    x = st.scored.select("entity", "growth_forecast").join(mean_rows, "entity", "left")
     q = RU.median_quadrant(x, "mean_value", "growth_forecast", RU.MATRIX_QUADRANTS)
     return q.select("entity", r2("mean_value").alias("mean_value"), r6("growth_forecast").alias("growth_forecast"),
                     "quadrant")
 
 
+@register("left_out_entities", with_panel(FEAT_SQL + """
+SELECT entity, region, concat_ws(',', CASE WHEN growth_forecast IS NULL THEN 'growth_forecast' END,
+         CASE WHEN acceleration IS NULL THEN 'acceleration' END, CASE WHEN cv IS NULL THEN 'cv' END,
+         CASE WHEN predictability IS NULL THEN 'predictability' END) AS missing
+FROM feat WHERE growth_forecast IS NULL OR acceleration IS NULL OR cv IS NULL OR predictability IS NULL""",
+                                          recursive=True))
+def q_left_out_entities(spark, sf):
+    """the entities that clustering and index leave out, and why."""
+    return stages_for(spark, sf).left_out()
+
+
 @register("ips_sensitivity", with_panel(SENS_SQL + """
 SELECT component, delta, round(spearman_rho, 6) AS spearman_rho, top10_overlap,
        round(weight_changed_to, 6) AS weight_changed_to FROM sens""", recursive=True))

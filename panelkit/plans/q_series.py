@@ -10,6 +10,7 @@ from ..operators import breaks as BK
 from ..operators import forecast as FC
 from ..operators import metrics as M
 from ..operators import models as MD
+from ..operators.ranges import quantiles
 from .catalog import register
 
 from .sqlparts import with_panel
@@ -385,8 +386,9 @@ SELECT count(*) AS n_series, round(median(best_mape), 4) AS median_mape, round(a
 FROM summary""", recursive=True))
 def q_mape_summary(spark, sf):
     _, _, s = _summary(spark, sf)
-    return s.agg(F.count("*").alias("n_series"), r4(F.median("best_mape")).alias("median_mape"),
-                 r4(F.avg("best_mape")).alias("mean_mape"))
+    mid = quantiles(s, ["best_mape"], [0.5]).select(r4(F.col("_q_best_mape")[0]).alias("median_mape"))
+    mean = s.agg(F.count("*").alias("n_series"), r4(F.avg("best_mape")).alias("mean_mape"))
+    return mean.crossJoin(F.broadcast(mid)).select("n_series", "median_mape", "mean_mape")     # one row each
 
 
 # ------------------------------------------------------------ final forecast

@@ -81,6 +81,27 @@ class SegmentStages(Stages):
         return self._get("features", lambda: FT.entity_features(self.panel, self.breaks, self.summary,
                                                                 self.forecasts))
 
+    @property
+    def eligible(self) -> DataFrame:
+        """Entities with every clustering feature; the others are listed by
+        :meth:`left_out`."""
+        from ..operators import features as FT
+        return self.features.dropna(subset=FT.CLUSTER_FEATURES)
+
+    def left_out(self) -> DataFrame:
+        """Entities that can't be segmented, with the features they lack."""
+        from pyspark.sql import functions as F
+        from ..operators import features as FT
+        missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in FT.CLUSTER_FEATURES]))
+        return self.features.select("entity", "region", F.array_join(missing, ",").alias("missing")) \
+            .filter(F.col("missing") != "")
+
+    @property
+    def scored(self) -> DataFrame:
+        """Index and strategy of the eligible entities; needs no clusters."""
+        from ..operators import score as SC
+        return self._get("scored", lambda: SC.with_strategy(SC.pressure_index(self.eligible)))
+
     def _cluster(self):
         if "segments" in self._memo:
             return
@@ -88,9 +109,8 @@ class SegmentStages(Stages):
         from ..operators import cluster as CL
         from ..operators import features as FT
         from ..operators import rules as RU
-        from ..operators import score as SC
         cols = FT.CLUSTER_FEATURES
-        base = self.features.dropna(subset=cols)
+        base = self.eligible
         w = FT.winsorize(base, cols)
         scaled, params = FT.robust_scale(w, cols)
         scaled = cut_lineage(scaled.withColumn("vec", F.array(*[F.col(f"z_{c}") for c in cols])))
@@ -120,13 +140,13 @@ class SegmentStages(Stages):
         counts = lab.groupBy("cluster").agg(F.count("*").cast("int").alias("n_entities"))
         cent = RU.name_segments(cent.join(counts, "cluster", "left").fillna(0, ["n_entities"]))
         coords, ev = CL.pca_2d(scaled, "entity", [f"z_{c}" for c in cols])
-        seg = base.join(lab, "entity").join(coords, "entity") \
+        seg = self.scored.join(lab, "entity").join(coords, "entity") \
             .join(cent.select("cluster", "cluster_name"), "cluster")
-        scored = SC.with_strategy(SC.pressure_index(seg))
         self._memo["centroids"] = cut_lineage(cent)
-        self._memo["segments"] = cut_lineage(scored)
+        self._memo["segments"] = cut_lineage(seg)
+        runs["release"]()
         self._memo["scaled"] = scaled
-        self.meta = {"best_k": best_k, "silhouette": dict(sil_rows), "explained_variance": ev}
+        self.meta = {"best_k": best_k, "steps": runs["steps"], "converged": runs["converged"], "silhouette": dict(sil_rows), "explained_variance": ev}
 
     @property
     def segments(self) -> DataFrame:

@@ -14,8 +14,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Reports and metadata as JSON lines (one row per check / one meta row)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Reports and metadata as JSON lines, one file per partition."""
+    df.write.mode("overwrite").json(path)
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ plus error bound reaches the worst of the best k is reranked on the original
 vectors in double precision.
 
 Chunks and query blocks have fixed sizes, each pair of them is one row of
-work, and only k rows per query and chunk leave it.
+work under its own key, and only k rows per query and chunk leave it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import cut_lineage
 K = 5
 EPSILON = 2.5
 CHUNK_ROWS = 8_192
-BLOCK_QUERIES = 1_024
+BLOCK_QUERIES = 8_192   # copies of the rows and of the queries cost alike at these sizes
 PROBE = 4               # times k estimates are computed exactly for a first bound
 ROTATION_SEED = 20
 
@@ -142,9 +142,11 @@ def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vec_col: str =
     chunks = cut_lineage(gather(rows, n_chunks, "part").mapInArrow(coded, schema))
     blocks = cut_lineage(gather(picked, n_blocks, "part").mapInArrow(coded, schema)).select(
         F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    # the stated query set in blocks: every block meets every chunk once
-    grid = (chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-            .repartition(max(1, n_chunks * n_blocks), "part", "block").join(blocks.hint("shuffle_hash"), "block"))
+    # the stated query set in blocks: every block meets every chunk once, and
+    # each meeting is a key of its own, so no block or chunk fills a task
+    cells = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    asked = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    grid = cells.join(asked.hint("shuffle_hash"), ["part", "block"])
 
     def run(batches):
         out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])

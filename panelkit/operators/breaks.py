@@ -6,7 +6,8 @@
    minimum segment 5, penalty ``pen`` per segment (T3).  Exact dynamic
    programme F(t) = min_s F(s) + C(s,t) + pen, F(0) = -pen, lowest s on
    ties, written as a Catalyst ``aggregate`` fold over prefix sums so it
-   runs inside the JVM, one series per row (O(n^2) per series).
+   runs inside the JVM, one series per row.  Starts that can't win any more
+   are dropped; back-pointers keep the memory at O(n) per series.
 3. Each internal breakpoint b with 5 <= b <= m-5 is scored by the OLS slopes
    of values[0..b] and values[b+1..] (T4/T5); the strict maximum change wins
    (earliest b on ties) and must reach 30.
@@ -23,6 +24,8 @@ from .rules import break_significance
 MIN_SEGMENT = 5          # fixed values of the reference
 SLOPE_THRESHOLD = 30.0
 PELT_PENALTY = 3.0
+OPEN = 2147483647        # a start that is not ruled out
+MARGIN = 1e-9
 
 
 def _dp_expr(pen, ms: int) -> str:
@@ -30,23 +33,29 @@ def _dp_expr(pen, ms: int) -> str:
     the sorted segment starts (0 first).  ``pen`` is a number or the name of
     a per-series penalty column.
 
-    The fold carries, for every end t, the optimal cost F[t] and the path of
-    segment starts that reaches it (path[t] = path[s] + [s]), so there is no
-    second backtracking pass that would re-evaluate the programme.  The
-    minimum of each step is bound once through a one-element ``transform``.
+    The fold carries, for every end t, the optimal cost f[t] and the start
+    b[t] of its last segment, and the open starts r.  A start whose segment up
+    to t already costs more than f[t] can't win for any end at which t itself
+    may be a start (t + ms on), so it leaves r from there on; the margin
+    covers the rounding of the prefix sums.  The fold's last step walks the
+    back-pointers from m.  The scores of a step are bound once through a
+    one-element ``transform``.
     """
     pen = f"CAST({pen} AS DOUBLE)" if isinstance(pen, (int, float)) else pen
-    cost = "(p2[t] - p2[s]) - (p1[t] - p1[s]) * (p1[t] - p1[s]) / (t - s)"
-    cands = (f"filter(sequence(0, greatest(t - {ms}, 0)), "
-             f"s -> (s = 0 AND t >= {ms}) OR (s >= {ms} AND s <= t - {ms}))")
-    best = f"array_min(transform({cands}, s -> named_struct('c', acc.f[s] + {cost} + {pen}, 's', s)))"
-    grow = ("named_struct('f', concat(acc.f, array(st.c)), "
-            "'p', concat(acc.p, array(IF(st.s IS NULL, CAST(NULL AS array<int>), "
-            "concat(acc.p[st.s], array(st.s))))))")
-    return (f"aggregate(sequence(1, m), named_struct('f', array(-{pen}), "
-            f"'p', array(CAST(array() AS array<int>))), "
-            f"(acc, t) -> element_at(transform(array({best}), st -> {grow}), 1), "
-            f"acc -> acc.p[m])")
+    total = "acc.f[x.s] + (p2[t] - p2[x.s]) - (p1[t] - p1[x.s]) * (p1[t] - p1[x.s]) / (t - x.s)"
+    scored = (f"transform(filter(acc.r, x -> x.s <= t - {ms} AND x.until > t), "
+              f"x -> named_struct('c', {total} + {pen}, 's', x.s))")
+    beaten = f"x.until = {OPEN} AND x.s <= t - {ms} AND {total} > st.c + {MARGIN} * (1 + abs(p2[t]))"
+    opened = (f"concat(transform(filter(acc.r, x -> x.until > t + 1), "
+              f"x -> named_struct('s', x.s, 'until', IF({beaten}, t + {ms}, x.until))), "
+              f"IF(t >= {ms}, array(named_struct('s', t, 'until', {OPEN})), slice(acc.r, 1, 0)))")
+    grow = f"named_struct('f', concat(acc.f, array(st.c)), 'b', concat(acc.b, array(st.s)), 'r', {opened})"
+    walk = (f"aggregate(sequence(1, greatest(CAST(m div {ms} AS INT), 1)), "
+            "named_struct('at', m, 'p', CAST(array() AS array<int>)), "
+            "(w, k) -> IF(w.at > 0, named_struct('at', acc.b[w.at], 'p', concat(array(acc.b[w.at]), w.p)), w), w -> w.p)")
+    return (f"aggregate(sequence(1, m), named_struct('f', array(-{pen}), 'b', array(CAST(NULL AS INT)), "
+            f"'r', array(named_struct('s', 0, 'until', {OPEN}))), "
+            f"(acc, t) -> element_at(transform(array(array_min({scored})), st -> {grow}), 1), acc -> {walk})")
 
 
 def segment_series(trimmed: DataFrame, keys, pen=PELT_PENALTY, ms: int = MIN_SEGMENT) -> DataFrame:

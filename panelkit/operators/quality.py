@@ -31,6 +31,41 @@ def audit_summary(wide: DataFrame, known_entities: DataFrame, ids=("entity", "ca
         "n_nulls", "n_duplicates", "n_negative", "n_unmapped")
 
 
+def audit_raw(rows: DataFrame, table: str, key, non_negative=(), references=()) -> DataFrame:
+    """V1-V3, V6, V7 on an input table as it is read: ``table, check, column,
+    n`` for its rows, the nulls of every column, the rows beyond the first of
+    each key (a null is a key value like others), negative values, and the
+    rows whose foreign key is in no row of its table (nulls aside).
+
+    ``references``: ``(column, other table, its column)``.  Keys are counted
+    map-side first, so a key with most of the rows moves as a few counts.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+
+    def line(check, column, n):
+        return F.struct(F.lit(table).alias("table"), F.lit(check).alias("check"),
+                        F.lit(column).cast("string").alias("column"), n.alias("n"))
+
+    one = rows.agg(F.count("*").alias("n"),
+                   *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in rows.columns],
+                   *[F.count_if(F.col(c) < 0).alias(f"negative_{c}") for c in non_negative])
+    out = one.select(F.inline(F.array(
+        line("rows", None, F.col("n")), *[line("nulls", c, F.col(f"null_{c}")) for c in rows.columns],
+        *[line("negative", c, F.col(f"negative_{c}")) for c in non_negative])))
+
+    def counted(found, check, column):
+        n = F.coalesce(found["n"], F.lit(0).cast("long"))
+        return found.select(F.inline(F.array(line(check, column, n))))
+
+    repeats = rows.groupBy(*key).count().agg(F.sum(F.col("count") - 1).alias("n"))
+    out = out.unionByName(counted(repeats, "duplicates", ",".join(key)))
+    for column, other, other_key in references:
+        used = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_fk")).count()
+        lost = used.join(other.select(F.col(other_key).alias("_fk")), "_fk", "left_anti").agg(F.sum("count").alias("n"))
+        out = out.unionByName(counted(lost, "unmapped", column))
+    return out
+
+
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count by value, descending."""
     return df.groupBy(col).agg(F.count("*").alias("n"))

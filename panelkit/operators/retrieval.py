@@ -85,29 +85,26 @@ def tool_k(k: int) -> int:
 
 
 def cosine_topk(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-                k: int = TOP_K, buckets: int = 64) -> DataFrame:
+                k: int = TOP_K, buckets: int | None = None) -> DataFrame:
     """Exact cosine top-k of every query against the corpus.
 
-    The query batch is broadcast when its estimated size is bounded
-    (``broadcast_if_small``): every corpus row is then scored in place
-    against all queries (dot product of unit vectors, no shuffle of the
-    corpus).  Otherwise vectors are exploded and joined on (position) after
-    spreading the corpus by a hash bucket.  Ranking is two-level (corpus hash
-    bucket, then query), so no task holds all candidates of one query."""
-    from .joins import broadcast_if_small
+    The corpus is dealt into hash buckets and every query goes to each of
+    them, so the search is one equi-join on the bucket whatever the number of
+    queries; their copies are broadcast where that is known to be small.
+    Ranking is two-level (bucket, then query), so no task holds all
+    candidates of one query.  ``buckets``: by default the shuffle partitions,
+    at least 64."""
+    from .joins import MAX_BROADCAST_BYTES, estimated_bytes
     k = max(1, int(k))
-    c = corpus.select(F.col(id_col).alias("doc"), l2_normalise(vec).alias("u"))
+    buckets = buckets or max(64, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    c = corpus.select(F.col(id_col).alias("doc"), l2_normalise(vec).alias("u"),
+                      F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("_b"))
     q = queries.select(F.col(id_col).alias("query"), l2_normalise(vec).alias("w"))
-    qb = broadcast_if_small(q)
-    if qb is not q:
-        scores = c.crossJoin(qb).select("query", "doc", dot("u", "w").alias("score"))
-    else:
-        ce = c.select("doc", F.posexplode("u").alias("pos", "x"))
-        qe = q.select("query", F.posexplode("w").alias("pos", "y"))
-        scores = ce.join(qe, "pos").groupBy("query", "doc").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
-    b = scores.withColumn("_b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
+    small = estimated_bytes(q) * buckets <= MAX_BROADCAST_BYTES
+    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    scores = c.join(F.broadcast(q) if small else q, "_b").select("query", "doc", "_b", dot("u", "w").alias("score"))
     w1 = Window.partitionBy("query", "_b").orderBy(F.desc("score"), "doc")
-    local = b.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
+    local = scores.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
     w2 = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return local.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k) \
         .select("query", "rank", F.col("doc").alias(id_col), "score")

@@ -12,8 +12,8 @@ Scale notes.  Raw rows are pre-aggregated map-side (partial HashAggregate)
 before every shuffle, so a hot customer or user collapses to one row per
 period per task before it moves.  The dimension tables nation/region have a
 fixed size (the TPC-H schema) and are broadcast behind a row-count check.
-The dense grid is produced per series with ``explode(sequence(...))`` over a
-map of the series' own cells, so there is no cross join of series x periods.
+The dense grid is produced per series from its ordered cells, each of which
+fills the periods up to the next, so there is no cross join of series x periods.
 """
 
 from __future__ import annotations
@@ -33,19 +33,25 @@ def _densify(cells: DataFrame, keys: list[str], label) -> DataFrame:
 
     ``label`` maps the absolute period number q to its text label.
     """
-    series = (cells.groupBy(*keys)
-              .agg(F.map_from_entries(F.collect_list(F.struct("q", "v"))).alias("cells")))
-    # bounds come from the series maps, so the fact table is scanned once
+    series = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "v"))).alias("cells"))
+    # bounds come from the series' cells, so the fact table is scanned once
     # (both branches share the same exchange, which Spark reuses)
-    bounds = series.select(F.array_min(F.map_keys("cells")).alias("a"), F.array_max(F.map_keys("cells")).alias("b")) \
+    bounds = series.select(F.col("cells")[0]["q"].alias("a"), F.element_at("cells", -1)["q"].alias("b")) \
         .agg(F.min("a").alias("q0"), F.max("b").alias("q1"))
-    grid = (series.crossJoin(F.broadcast(bounds))            # one-row aggregate
-            .select(*keys, "q0", F.explode(F.sequence("q0", "q1")).alias("q"), "cells"))
+    zero = F.lit(0).cast(MONEY)
+    lead = F.when(F.col("cells")[0]["q"] > F.col("q0"), F.array(F.struct(F.col("q0").alias("q"), zero.alias("v"))))
+    filled = (series.crossJoin(F.broadcast(bounds))          # one-row aggregate
+              .select(*keys, "q0", "q1", F.concat(F.coalesce(lead, F.slice("cells", 1, 0)), "cells").alias("cells")))
+    # a cell reaches up to the next one, so a series costs its periods once
+    runs = F.transform("cells", lambda c, i: F.struct(
+        c["q"].alias("q"), c["v"].alias("v"), F.coalesce(F.get("cells", i + 1)["q"] - 1, F.col("q1")).alias("upto")))
+    grid = (filled.select(*keys, "q0", F.explode_outer(runs).alias("r"))
+            .select(*keys, "q0", "r", F.explode(F.sequence("r.q", "r.upto")).alias("q")))
     return grid.select(
         *keys,
         (F.col("q") - F.col("q0")).cast("int").alias("t"),
         label(F.col("q")).alias("period_label"),
-        F.coalesce(F.element_at("cells", F.col("q")), F.lit(0).cast(MONEY)).cast("double").alias("value"),
+        F.when(F.col("q") == F.col("r.q"), F.col("r.v")).otherwise(zero).cast("double").alias("value"),
     )
 
 
@@ -95,5 +101,3 @@ def panel_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("region", F.lit("ALL")).withColumn("category", F.lit("events"))
     return _densify(cells, ["entity", "region", "category"], day_label).select(*PANEL_COLUMNS)
 
-
-PANELS = {"a": panel_a, "b": panel_b}

@@ -96,6 +96,26 @@ def q_snippets(spark, sf):
     return ch.select("doc_id", "source", "chunk_id", RT.snippet("text").alias("snippet"))
 
 
+@register("hit_snippets", TOPK_SQL + ",\n" + CHUNKS_SQL.removeprefix("WITH ") + f""",
+cv AS (SELECT doc_id, source, chunk_id,
+              regexp_replace({_strip_sql('text')}, '{WS_RE2}+', ' ', 'g') AS s FROM ck WHERE chunk_id = 0)
+SELECT rk.query, CAST(rk.rank AS INTEGER) AS rank, rk.doc AS vec_id, round(rk.score, 6) AS score, cv.source, cv.chunk_id,
+       CASE WHEN length(s) > 420 THEN regexp_replace(substring(s, 1, 420), '{WS_RE2}+$', '', 'g') || '...'
+            ELSE s END AS snippet
+FROM rk LEFT JOIN cv ON cv.doc_id = rk.doc WHERE rk.rank <= 4""")
+def q_hit_snippets(spark, sf):
+    """R4 and R5 together: what a search shows.  A vector stands for the first
+    chunk of the document of its id; only documents that were hit are cut."""
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    hits = RT.cosine_topk(e, e.filter(F.col("vec_id") < 5), k=RT.TOP_K)
+    docs = read_table(spark, sf, "documents", "doc_id", "source", "text")
+    hit_docs = docs.join(hits.select(F.col("vec_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shown = RT.chunk_corpus(hit_docs).filter(F.col("chunk_id") == 0).select(
+        F.col("doc_id").alias("vec_id"), "source", "chunk_id", RT.snippet("text").alias("snippet"))
+    return hits.join(shown, "vec_id", "left").select(
+        "query", F.col("rank").cast("int").alias("rank"), "vec_id", r6("score").alias("score"), "source", "chunk_id", "snippet")
+
+
 PROBE = [("NATION_3", 1), ("nation_12", 2), ("TION_2", 3), ("vietnam", 4), ("atlantis", 5)]
 
 

@@ -471,6 +471,51 @@ def q_panel_audit(spark, sf):
         "n_periods", F.col("n_periods").cast("int"))
 
 
+#: table: its columns, its key, columns that should not be negative, and
+#: foreign keys (column, table, its column)
+RAW_TABLES = {
+    "orders": (["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+               ["o_orderkey"], ["o_totalprice"], [("o_custkey", "customer", "c_custkey")]),
+    "customer": (["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+                 ["c_custkey"], ["c_acctbal"], [("c_nationkey", "nation", "n_nationkey")]),
+    "lineitem": (["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+                  "l_tax", "l_shipdate"],
+                 ["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                 [("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"),
+                  ("l_suppkey", "supplier", "s_suppkey")]),
+    "events": (["event_id", "ts", "user_id", "event_type", "value"], ["event_id"], ["value"], []),
+}
+
+
+def _raw_audit_sql():
+    lines = []
+    for t, (cols, key, negative, references) in RAW_TABLES.items():
+        line = lambda check, column, n, t=t: lines.append(
+            f"""SELECT '{t}' AS "table", '{check}' AS "check", {column} AS "column", CAST(({n}) AS BIGINT) AS n""")
+        line("rows", "CAST(NULL AS VARCHAR)", f"SELECT count(*) FROM {t}")
+        for c in cols:
+            line("nulls", f"'{c}'", f"SELECT count(*) - count({c}) FROM {t}")
+        for c in negative:
+            line("negative", f"'{c}'", f"SELECT count(*) FROM {t} WHERE {c} < 0")
+        line("duplicates", f"'{','.join(key)}'",
+             f"SELECT (SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(key)} FROM {t}))")
+        for c, other, k in references:
+            line("unmapped", f"'{c}'",
+                 f"SELECT count(*) FROM {t} a WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {other} b WHERE b.{k} = a.{c})")
+    return " UNION ALL ".join(lines)
+
+
+@register("raw_audit", _raw_audit_sql())
+def q_raw_audit(spark, sf):
+    """The audit on the input tables themselves, before any panel is made."""
+    out = None
+    for t, (cols, key, negative, references) in RAW_TABLES.items():
+        one = Q.audit_raw(read_table(spark, sf, t, *cols), t, key, negative,
+                          [(c, read_table(spark, sf, other, k), k) for c, other, k in references])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("category_counts", with_panel("""
 SELECT category, count(*) AS n FROM (SELECT DISTINCT entity, category FROM panel) GROUP BY 1"""))
 def q_category_counts(spark, sf):

@@ -164,14 +164,21 @@ def format_conversations(turns: DataFrame, fragment_turns: int = FRAGMENT_TURNS)
     base = base.withColumn("block", F.coalesce(F.floor(F.col("turn") / fragment_turns), F.lit(NO_ID)).cast("long"))
     order = ["c", "block", "turn", "role"]
 
-    def runs(batches, columns):
+    def rows_of(batches, columns):
+        return (r for rb in batches for r in zip(*(rb.column(n).to_pylist() for n in columns)))
+
+    def cut(group):
+        """Fragments of the sorted rows of one block: ``(number, rows)``."""
+        for number in itertools.count():
+            part = list(itertools.islice(group, fragment_turns))
+            if not part:
+                break
+            yield number, part
+
+    def runs(batches):
         """Fragments of sorted rows: ``(c, block, number, rows)``."""
-        rows = (r for rb in batches for r in zip(*(rb.column(n).to_pylist() for n in columns)))
-        for (c, block), group in itertools.groupby(rows, key=lambda r: r[:2]):
-            for number in itertools.count():
-                part = list(itertools.islice(group, fragment_turns))
-                if not part:
-                    break
+        for (c, block), group in itertools.groupby(rows_of(batches, order), key=lambda r: r[:2]):
+            for number, part in cut(group):
                 yield c, block, number, part
 
     def reduce_fragments(batches):
@@ -179,7 +186,7 @@ def format_conversations(turns: DataFrame, fragment_turns: int = FRAGMENT_TURNS)
                             ("m", pa.list_(pa.int64()))])
         yield from record_batches(
             ((c, block, number, len(part), fragment_matrix([role_state(r[3]) for r in part]).ravel().tolist())
-             for c, block, number, part in runs(batches, order)), fields)
+             for c, block, number, part in runs(batches)), fields)
 
     small = base.select(*order).repartition("c", "block").sortWithinPartitions(*order)
     fragments = cut_lineage(small.mapInArrow(reduce_fragments, "c long, block long, number long, turns long, m array<long>"))
@@ -201,14 +208,29 @@ def format_conversations(turns: DataFrame, fragment_turns: int = FRAGMENT_TURNS)
     # one small row per fragment of a conversation, that is per FRAGMENT_TURNS turns
     scanned = (fragments.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("block", "number", "turns", "m"))).alias("parts"))
                .mapInArrow(scan_conversations, "c long, block long, number long, entry int, leave int, before long, last boolean"))
-    states = cut_lineage(scanned.groupBy("c", "block").agg(
-        F.sort_array(F.collect_list(F.struct("number", "entry", "leave", "before", "last"))).alias("states")))
+    # The states of a block are sorted before its rows, and one exchange brings both to one task.  A join would
+    # not: AQE may broadcast the states and leave the rows of a block in their input splits, or split a skewed block.
+    state = ["number", "entry", "leave", "before", "last"]
+    kinds = {**dict(base.dtypes), **dict(scanned.dtypes)}
+    both = (base.select(*base.columns, F.lit(1).alias("is_row"), *[F.lit(None).cast(kinds[n]).alias(n) for n in state])
+            .unionByName(scanned.select("c", "block", *[F.lit(None).cast(kinds[n]).alias(n) for n in ("turn", "role", "text")],
+                                        F.lit(0).alias("is_row"), *state)))
+
+    def placed(batches):
+        """Fragments of sorted rows with their states: ``(c, state, rows)``."""
+        states = []
+        rows = rows_of(batches, ["c", "block", "is_row", "turn", "role", "text", *state])
+        for (c, _, is_row), group in itertools.groupby(rows, key=lambda r: r[:3]):
+            if not is_row:
+                states = [dict(zip(state, r[6:])) for r in group]
+                continue
+            for number, part in cut(group):
+                yield c, states[number], part
 
     def rendered(batches):
-        for c, _, number, part in runs(batches, [*order, "text", "states"]):
-            state = part[0][5][number]
+        for c, state, part in placed(batches):
             rows, opened = [], state["entry"] != START
-            path = trace([role_state(r[3]) for r in part], state["entry"], state["leave"])
+            path = trace([role_state(r[4]) for r in part], state["entry"], state["leave"])
             conv = None if c == NO_ID else c
 
             def turn_text(role, text):
@@ -221,9 +243,9 @@ def format_conversations(turns: DataFrame, fragment_turns: int = FRAGMENT_TURNS)
                 at = 8 * (state["before"] + k)
                 for j, extra in enumerate(inserted):
                     rows.append((conv, at + j, None, None, STATES[extra], "insert", turn_text(extra, "")))
-                text = clean(row[4])
+                text = clean(row[5])
                 shown = "\n" + text if action.endswith("merge") else turn_text(role, text)
-                rows.append((conv, at + 7, row[2], row[3], STATES[role], action, shown))
+                rows.append((conv, at + 7, row[3], row[4], STATES[role], action, shown))
             if state["last"]:
                 at = 8 * (state["before"] + len(part))
                 for j, extra in enumerate(end_inserts(state["leave"])):
@@ -236,6 +258,6 @@ def format_conversations(turns: DataFrame, fragment_turns: int = FRAGMENT_TURNS)
             [("conv_id", pa.int64()), ("position", pa.int64()), ("turn", pa.int64()), ("source_role", pa.string()),
              ("role", pa.string()), ("action", pa.string()), ("rendered", pa.string())]))
 
-    return (base.join(states, ["c", "block"]).sortWithinPartitions(*order, "text")
+    return (both.repartition("c", "block").sortWithinPartitions("c", "block", "is_row", "number", "turn", "role", "text")
             .mapInArrow(render, "conv_id long, position long, turn long, source_role string, role string, action string, "
                                 "rendered string"))

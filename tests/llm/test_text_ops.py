@@ -250,3 +250,37 @@ def test_chat_empty_and_markers(spark):
                                   "conv_id long, turn long, role string, text string")
     text = "".join(r["rendered"] for r in sorted(CF.format_conversations(frame).collect(), key=lambda r: r["position"]))
     assert text.count(CF.OPEN) == 2 and text.count(CF.CLOSE) == 2
+
+
+@pytest.mark.parametrize("settings", [
+    {},                                                                      # the small side would be broadcast
+    {"spark.sql.autoBroadcastJoinThreshold": "-1",                           # a hot block would be split
+     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0"}])
+def test_chat_fragments_of_many_files(spark, tmp_path, settings):
+    """Rows of a conversation that lie in many input splits, one conversation much longer than the others."""
+    rng = random.Random(7)
+    sizes = {c: 6 for c in range(20)} | {20: 600}
+    rows = [(c, k, rng.choice(["user", "assistant", "system", None]), f"{c}/{k} " + "x" * 50)
+            for c, n in sizes.items() for k in range(n)]
+    rng.shuffle(rows)
+    path = str(tmp_path / "turns")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(24).write.parquet(path)
+    more = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k", **settings}
+    before = {k: spark.conf.get(k) for k in more}
+    try:
+        for k, v in more.items():
+            spark.conf.set(k, v)
+        got = CF.format_conversations(spark.read.parquet(path), 64).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for c, n in sizes.items():
+        out = sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["position"])
+        assert len({r["position"] for r in out}) == len(out)
+        assert [r["turn"] for r in out if r["action"] != "insert"] == list(range(n))
+        assert cost_of(out) == plain_repair([CF.role_state(r[2]) for r in sorted(r for r in rows if r[0] == c)])
+        text = "".join(r["rendered"] for r in out)
+        assert text.count(CF.OPEN) == text.count(CF.CLOSE) and text.endswith(CF.CLOSE + "\n")

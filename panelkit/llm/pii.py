@@ -15,9 +15,11 @@ is, and it is inverted with the key by the opposite rotation.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
@@ -102,6 +104,79 @@ def _classes(s: str, hexadecimal: bool = False) -> list[str | None]:
     return [next((a for a in (digits, lower, upper) if c in a), None) for c in s]
 
 
+@functools.cache
+def _days(wide_month: bool, wide_day: bool) -> list[int]:
+    """The days whose month and day fit fields of one digit, or of two."""
+    days = map(date.fromordinal, range(FIRST_DAY, LAST_DAY + 1))
+    return [d.toordinal() for d in days if (wide_month or d.month < 10) and (wide_day or d.day < 10)]
+
+
+# -- values within a match ------------------------------------------------------
+# A pattern takes as much as it can, so a match may hold a value and a neighbour of it.  Each function gives the spans
+# of a match that may be the value, the likeliest first.
+
+#: Digits in the groups of a card as it is printed (a single group is one too).
+PRINTED_CARDS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4)}
+#: Length of a country's IBAN.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
+    "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+    "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+    "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
+#: Most digits behind a calling code, where the plan is of (nearly) fixed length; elsewhere 14.
+PHONE_DIGITS = {"1": 10, "7": 10, "20": 10, "27": 9, "30": 10, "31": 9, "32": 9, "33": 9, "34": 9, "36": 9, "40": 9,
+                "41": 9, "44": 10, "45": 8, "46": 9, "47": 8, "48": 9, "51": 9, "52": 10, "54": 11, "55": 11, "56": 9,
+                "57": 10, "60": 10, "61": 9, "63": 10, "64": 10, "65": 8, "66": 9, "81": 10, "82": 10, "84": 10, "86": 11,
+                "90": 10, "91": 10, "92": 10, "351": 9, "352": 9, "353": 9, "358": 10, "380": 9, "420": 9, "421": 9}
+
+
+def _whole(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    yield a, b
+
+
+def _card_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Groups of 13 to 19 digits in a run of groups: printed forms before
+    others, then left before right and long before short."""
+    groups = [(m.start() + a, m.end() + a) for m in re.finditer("[0-9]+", text[a:b])]
+    windows = []
+    for i in range(len(groups)):
+        widths, total = (), 0
+        for x, y in groups[i:i + 19]:
+            widths, total = (*widths, y - x), total + y - x
+            if total > 19:
+                break
+            if total >= 13:
+                windows.append((len(widths) > 1 and widths not in PRINTED_CARDS, groups[i][0], -y))
+    for _, x, y in sorted(windows):
+        yield x, -y
+
+
+def _iban_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Up to each blank of a match: the country's length first, then long
+    before short."""
+    ends = [e for e in range(a + 15, b + 1) if e == b or text[e] == " "]
+    want = IBAN_LENGTHS.get(text[a:a + 2])
+    for e in sorted(ends, key=lambda e: (len(text[a:e].replace(" ", "")) != want, -e)):
+        yield a, e
+
+
+def _phone_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Up to each group of a number with calling code: the longest that the
+    code's plan allows first, then long before short."""
+    if text[a] != "+":
+        yield a, b
+        return
+    most = 14
+    code = re.match("[0-9]{1,3}(?=[ .(-])", text[a + 1:b])
+    for n in (len(code.group()),) if code else (1, 2, 3):
+        most = PHONE_DIGITS.get(text[a + 1:a + 1 + n], most)
+    n = len(code.group()) if code else next((n for n in (1, 2, 3) if text[a + 1:a + 1 + n] in PHONE_DIGITS), 1)
+    ends = [a + m.end() for m in re.finditer("[0-9]+", text[a:b])]
+    ends = [e for e in ends if e == b or PHONE.fullmatch(text, a, e)]
+    for e in sorted(ends, key=lambda e: (len(_digits(text[a + 1 + n:e])) > most, -e)):
+        yield a, e
+
+
 class Pseudonyms:
     """Finds and replaces the values of a text under one key."""
 
@@ -192,9 +267,11 @@ class Pseudonyms:
                 continue
             if not FIRST_DAY <= day <= LAST_DAY:
                 return None
-            span = LAST_DAY - FIRST_DAY + 1
-            new = date.fromordinal(FIRST_DAY + self._permute("date", span, day - FIRST_DAY, by))
-            fields = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
+            month, of_month = len(parts[order[1]]), len(parts[order[2]])
+            days = _days(month > 1, of_month > 1)
+            kind = "date" if month > 1 and of_month > 1 else f"date/{month}{of_month}"
+            new = date.fromordinal(days[self._permute(kind, len(days), bisect.bisect_left(days, day), by)])
+            fields = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:0{month}d}", order[2]: f"{new.day:0{of_month}d}"}
             return _refill(s, "".join(fields[k] for k in range(3)))
         return None
 
@@ -213,19 +290,26 @@ class Pseudonyms:
     # -- texts ----------------------------------------------------------------
     def find(self, text: str, by: int = 1) -> list[tuple[int, int, str, str]]:
         """``(start, end, kind, pseudonym)`` of all valid values, left to
-        right; of overlapping ones the first in the order of KINDS wins."""
+        right; of overlapping ones the first in the order of KINDS wins.
+        Where a match as a whole isn't valid, its shorter and later parts are
+        tried (SPANS)."""
         found: list[tuple[int, int, str, str]] = []
         for kind, needle, pattern in KINDS:
             if needle and not needle(text):
                 continue
-            for m in pattern.finditer(text):
-                a, b = m.span(1) if pattern.groups else m.span()
-                new = getattr(self, kind)(text[a:b], by)
-                if new is None:
-                    continue
-                at = bisect.bisect_left(found, (a,))       # found is sorted and free of overlaps
-                if (at == len(found) or found[at][0] >= b) and (not at or found[at - 1][1] <= a):
-                    found.insert(at, (a, b, kind, new))
+            spans, start = SPANS.get(kind, _whole), 0
+            while m := pattern.search(text, start):
+                start = m.start() + 1 if kind in LATER else m.end()
+                for a, b in spans(text, *(m.span(1) if pattern.groups else m.span())):
+                    at = bisect.bisect_left(found, (a,))   # found is sorted and free of overlaps
+                    if (at < len(found) and found[at][0] < b) or (at and found[at - 1][1] > a):
+                        continue
+                    new = getattr(self, kind)(text[a:b], by)
+                    if new is not None:
+                        found.insert(at, (a, b, kind, new))
+                        if kind in LATER:                  # a single value; what follows it is searched again
+                            start = b
+                            break
         return found
 
     def replace(self, text: str, by: int = 1) -> tuple[str, list[tuple[int, int, str, str]]]:
@@ -240,6 +324,9 @@ class Pseudonyms:
 
 
 _HAS_DIGITS = re.compile("[0-9]{2}").search
+PHONE = re.compile(
+    r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])")
 #: Kinds in order of precedence, a cheap test of the text, and the pattern
 #: (its group, if any, is the value).
 KINDS = [
@@ -250,14 +337,17 @@ KINDS = [
     ("email", lambda t: "@" in t, re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")),
     ("iban", _HAS_DIGITS, re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("ip", _HAS_DIGITS, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")),
-    ("date", _HAS_DIGITS, re.compile(r"(?<![0-9./-])([0-9]{4}([-/.])[0-9]{2}\2[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\3[0-9]{4})"
+    ("date", _HAS_DIGITS, re.compile(r"(?<![0-9./-])([0-9]{4}([-/.])[0-9]{1,2}\2[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\3[0-9]{4})"
                                      r"(?![0-9]|[./-][0-9])")),
     ("ssn", _HAS_DIGITS, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])")),
-    ("phone", _HAS_DIGITS, re.compile(
-        r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}"
-        r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])")),
-    ("card", _HAS_DIGITS, re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")),
+    ("phone", _HAS_DIGITS, PHONE),
+    ("card", _HAS_DIGITS, re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}(?![0-9])")),
 ]
+#: The parts of a match to try, where that isn't the match itself.
+SPANS = {"iban": _iban_spans, "phone": _phone_spans, "card": _card_spans}
+#: Kinds whose match may hide the start of another value.
+LATER = {"iban", "phone"}
+
 
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """Replace personal values in every whole text.

@@ -163,6 +163,37 @@ def test_pseudonyms_in_texts(spark):
     assert kept.columns == frame.columns and [r["text"] for r in kept.collect()] == [r[1] for r in rows]
 
 
+CARD, IBAN, TEL = "4111111111111111", "ES9121000418450200051332", "+1 (017) 555-7713"
+BESIDE = [("card", CARD, "card {} 123"), ("card", "4111 1111 1111 1111", "{} 12/26"), ("card", CARD, "item 2 {}"),
+          ("card", CARD, "7 12 {} 9 2024"), ("card", "3782 822463 10005", "no 55 {} 1234"),
+          ("card", "41111111 11111111", "{} 77"), ("card", CARD, "555-123-4567 {}"), ("card", CARD, "1 2 3 " * 30 + "{}"),
+          ("iban", IBAN, "{} OK"), ("iban", IBAN, "{} BANK OF"), ("iban", "ES91 2100 0418 4502 0005 1332", "NR12 {} OK"),
+          ("iban", "NO93 8601 1117 947", "{} KTO 12"), ("phone", TEL, "{} 12"), ("phone", TEL, "{} 555-123-4567"),
+          ("phone", "+34 612 345 678", "{} 12"), ("date", "1/5/2021", "on {}."), ("date", "3.4.1990", "{}, at 5"),
+          ("date", "2021-7-14", "{} x"), ("date", "12/3/1999", "{}")]
+
+
+@pytest.mark.parametrize("kind,value,around", BESIDE)
+def test_values_beside_other_digits(kind, value, around):
+    names = pii.Pseudonyms(b"key")
+    text = around.format(value)
+    new, found = names.replace(text)
+    a = text.index(value)
+    hit = [f for f in found if f[:2] == (a, a + len(value))]
+    assert [f[2] for f in hit] == [kind] and value not in new
+    assert hit[0][3] == getattr(names, kind)(value)                 # the same value alone gets the same pseudonym
+    assert getattr(names, kind)(hit[0][3], -1) == value and len(new) == len(text)
+
+
+def test_whole_values_stay_whole():
+    names = pii.Pseudonyms(b"key")
+    for kind, value in VALUES + [("phone", "+49 30 1234 5678"), ("phone", "+34 91 123 45 67"), ("phone", "+34612345678")]:
+        value = f"token={value}" if kind == "secret" else value
+        assert [(f[2], f[1]) for f in names.find(value)] == [(kind, len(value))]
+    for text in ("4111111111111112 123", "ES9121000418450200051333 OK", "30/2/2021", "1.2.3", "9" * 40, "13/13/2021"):
+        assert names.find(text) == []
+
+
 def plain_repair(sources):
     """Cheapest cost over all labels, by trying every state in turn."""
     best = {CF.START: 0}

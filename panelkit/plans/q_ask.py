@@ -9,6 +9,7 @@ from ..operators import lookups as LK
 from ..operators import retrieval as RT
 from ..operators.joins import literal_table
 from ..operators.ranges import with_position
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from .catalog import register
 from .panels import panel_a
@@ -116,6 +117,42 @@ def q_hit_snippets(spark, sf):
         "query", F.col("rank").cast("int").alias("rank"), "vec_id", r6("score").alias("score"), "source", "chunk_id", "snippet")
 
 
+# The whole search: every row whose id is divisible by QUERY_EVERY is a query
+# (the two queries above are the fixed batch of FIXTURES.md).
+QUERY_EVERY = 20
+TOPK_ALL_SQL = TOPK_SQL.replace("q.vec_id < 5", f"q.vec_id % {QUERY_EVERY} = 0")
+
+
+def _search_all(spark, sf):
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    return RT.cosine_topk(e, e.filter(F.col("vec_id") % QUERY_EVERY == 0), k=RT.TOP_K)
+
+
+@register("cosine_topk_all", TOPK_ALL_SQL + """
+SELECT query, CAST(rank AS INTEGER) AS rank, doc AS vec_id, round(score, 6) AS score FROM rk WHERE rank <= 4""")
+def q_cosine_topk_all(spark, sf):
+    return _search_all(spark, sf).select("query", F.col("rank").cast("int").alias("rank"), "vec_id", r6("score").alias("score"))
+
+
+@register("hit_snippets_all", TOPK_ALL_SQL + ",\n" + CHUNKS_SQL.removeprefix("WITH ") + f""",
+cv AS (SELECT doc_id, source, chunk_id,
+              regexp_replace({_strip_sql('text')}, '{WS_RE2}+', ' ', 'g') AS s FROM ck)
+SELECT rk.query, CAST(rk.rank AS INTEGER) AS rank, rk.doc AS vec_id, round(rk.score, 6) AS score, cv.source, cv.chunk_id,
+       CASE WHEN length(s) > 420 THEN regexp_replace(substring(s, 1, 420), '{WS_RE2}+$', '', 'g') || '...'
+            ELSE s END AS snippet
+FROM rk LEFT JOIN cv ON cv.doc_id = rk.doc WHERE rk.rank <= 4""")
+def q_hit_snippets_all(spark, sf):
+    """What the whole search shows: every passage of every document hit, one
+    row per hit and chunk.  The hits are written once, as they are read twice."""
+    hits = cut_lineage(_search_all(spark, sf))
+    docs = read_table(spark, sf, "documents", "doc_id", "source", "text")
+    hit_docs = docs.join(hits.select(F.col("vec_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shown = RT.chunk_corpus(hit_docs).select(
+        F.col("doc_id").alias("vec_id"), "source", "chunk_id", RT.snippet("text").alias("snippet"))
+    return hits.join(shown, "vec_id", "left").select(
+        "query", F.col("rank").cast("int").alias("rank"), "vec_id", r6("score").alias("score"), "source", "chunk_id", "snippet")
+
+
 PROBE = [("NATION_3", 1), ("nation_12", 2), ("TION_2", 3), ("vietnam", 4), ("atlantis", 5)]
 
 

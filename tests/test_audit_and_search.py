@@ -9,6 +9,7 @@ from panelkit.operators import breaks as BK
 from panelkit.operators import joins as JN
 from panelkit.operators import quality as Q
 from panelkit.operators import retrieval as RT
+from panelkit.plans import catalog
 from panelkit.plans.panels import _densify
 
 
@@ -73,6 +74,30 @@ def test_search_is_the_same_with_shuffled_queries(spark, monkeypatch):
         assert [small[q, r + 1] for r in range(12)] == list(np.argsort(-scores[q], kind="stable")[:12])
 
 
+def test_whole_search_and_every_passage_of_a_hit(spark, tmp_path):
+    """Every id divisible by 20 is a query, and later chunks of a hit are shown."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(90, 8))
+    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)],
+                          "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, "s", f"{i} " + "word " * (100 * (i % 7))) for i in range(80)],
+                          "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    catalog.load_all()
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    scores = unit @ unit.T
+    want = {(q, r + 1): int(d) for q in range(0, 90, 20) for r, d in enumerate(np.argsort(-scores[q], kind="stable")[:4])}
+    got = catalog.QUERIES["cosine_topk_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["query"], r["rank"]): r["vec_id"] for r in got} == want
+    shown = catalog.QUERIES["hit_snippets_all"](spark, str(tmp_path)).collect()
+    chunks = {}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for r in RT.chunk_corpus(docs).collect():
+        chunks.setdefault(r["doc_id"], []).append(r["chunk_id"])
+    assert sorted((r["query"], r["rank"], r["vec_id"], r["chunk_id"] or 0) for r in shown) == sorted(
+        (q, rank, d, c) for (q, rank), d in want.items() for c in chunks.get(d, [0]))
+    assert any((r["chunk_id"] or 0) > 0 for r in shown)
+
+
 def test_dense_grid_fills_gaps_and_ends(spark):
     cells = spark.createDataFrame([("x", 12, 1), ("x", 15, 2), ("y", 10, 3), ("z", 16, 4)], "k string, q int, n int") \
         .select("k", "q", F.col("n").cast("decimal(20,2)").alias("v"))

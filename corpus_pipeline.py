@@ -10,20 +10,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelkit.llm import exact_dedup, packing, pii, quality_cnn, simhash
 from panelkit.llm.queries import tokenizer_path
 from panelkit.session import checkpoint_dir
 from panelkit.sources.tables import read_table
 
-#: Stands for a null doc_id in joins.
-NO_ID = -(1 << 63)
-
-
-def _key(column):
-    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
-
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (predicted 1).
@@ -42,12 +34,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one its component is named by.
-    Documents without doc_id, which no component is named by, stay."""
-    groups = simhash.simhash_groups(docs, simhash.SHINGLE_WORDS, simhash.MAX_BITS)
-    stay = (groups.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
-            .select(_key("doc_id").alias("__k")).distinct())
-    return docs.withColumn("__k", _key("doc_id")).join(stay, "__k", "left_semi").select(*docs.columns)
+    """One document of each SimHash group: the one its component is named by,
+    and where no member has a doc_id the one with the least hash."""
+    return simhash.keep_one(docs, simhash.SHINGLE_WORDS, simhash.MAX_BITS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ MAX_BITS = 2
 SEED = 42
 LIST_CAP = 64
 BYTES = 8
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -53,16 +55,20 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp long`` of every row (a null text has no words: 0)."""
-    fields = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, *beside) -> DataFrame:
+    """``doc_id, fp long`` of every row (a null text has no words: 0), and
+    string columns ``beside``, made of ``doc_id`` and ``text``."""
+    rows = doc_columns(docs).select("doc_id", "text", *beside)
+    more = rows.columns[2:]
+    fields = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *[(n, pa.string()) for n in more]])
 
     def run(batches):
-        for ids, texts in columns_of(batches):
+        for ids, texts, *others in columns_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()),
-                                              pa.array([fingerprint(t, words) for t in texts], pa.int64())], schema=fields)
+                                              pa.array([fingerprint(t, words) for t in texts], pa.int64()),
+                                              *[pa.array(x, pa.string()) for x in others]], schema=fields)
 
-    return doc_columns(docs).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{n} string" for n in more]]))
 
 
 def shared_bytes(x):
@@ -110,6 +116,15 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return paired.unionByName(starred)
 
 
+def component_roots(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``fp, least, root`` of every fingerprint: its least doc_id and the
+    fingerprint that its component is known by."""
+    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = connected_components(links(nodes.select("fp"), max_bits))
+    return cut_lineage(nodes.join(parts, nodes["fp"] == parts["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("root")))
+
+
 def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits)
     and ``component_id``, the smallest doc_id reachable over links.
@@ -120,11 +135,24 @@ def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     gives none; other columns are ignored.
     """
     fps = cut_lineage(fingerprints(docs, words))
-    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(parts, nodes["fp"] == parts["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root"))
-    rooted = cut_lineage(rooted)
+    rooted = component_roots(fps, max_bits)
     roots = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut_lineage(rooted.join(roots, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: that of the
+    least doc_id (a null one only where there is no other), and of several
+    texts under it the one with the least SHA-256.  Of rows alike in both, one
+    stays.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    fps = cut_lineage(fingerprints(docs, words, sha.alias("sha")))
+    named = fps.join(component_roots(fps, max_bits).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first")
+    keys = named.groupBy("root").agg(first).select(
+        F.coalesce("first.doc_id", F.lit(NO_ID)).alias("__k"), F.col("first.sha").alias("__s"))
+    marked = docs.withColumns({"__k": key, "__s": sha})
+    return marked.join(keys, ["__k", "__s"], "left_semi").dropDuplicates(["__k", "__s"]).select(*docs.columns)

@@ -1,11 +1,13 @@
 """Exact, near and suffix dedup against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
 import xxhash
 
+import corpus_pipeline
 from panelkit.llm import exact_dedup as ED
 from panelkit.llm import naming as NM
 from panelkit.llm import simhash as SH
@@ -171,3 +173,21 @@ def test_suffix_long_text_is_split_without_losing_windows(monkeypatch):
 
 def test_suffix_empty(no_docs):
     assert SD.cut_duplicates(no_docs).count() == 0
+
+
+def test_simhash_keeps_one_row_of_each_component(spark):
+    """Null and repeated ids: one row of each component stays, no component is lost."""
+    rng = random.Random(11)
+    bodies = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randint(0, 999)) for _ in range(80)) for _ in range(4)]
+    near = lambda t: t.upper()  # noqa: E731  (same words in another case: same fingerprint, other text)
+    rows = [(None, bodies[0]), (None, near(bodies[0])), (None, bodies[0]),            # a group without ids
+            (1, bodies[1]), (None, near(bodies[1])), (1, bodies[2]), (1, near(bodies[1])),   # several texts under one id
+            (2, bodies[2]), (3, bodies[3]), (4, near(bodies[3])), (5, None), (6, "")]
+    frame = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = corpus_pipeline.near_copies(spark, frame, "")
+    assert kept.columns == frame.columns
+    got = kept.collect()
+    prints = [SH.fingerprint(r["text"]) for r in got]
+    assert sorted(prints) == sorted({SH.fingerprint(t) for _, t in rows})
+    by = {p: r["doc_id"] for p, r in zip(prints, got)}
+    assert [by[SH.fingerprint(b)] for b in [*bodies, ""]] == [None, 1, 1, 3, 5]

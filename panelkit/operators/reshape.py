@@ -47,6 +47,14 @@ def pivot_sum(df: DataFrame, row: str, col: str, values: list, value: str = "val
     return df.groupBy(row).pivot(col, values).agg(F.sum(value))
 
 
+def pivot_sum_all(df: DataFrame, row: str, col: str, values: list, value: str = "value", other: str = "OTHER") -> DataFrame:
+    """:func:`pivot_sum` with a column ``other``: the sum over all names that
+    are not in ``values`` (null is one of them), NULL where there are none."""
+    shown = [F.sum(F.when(F.col(col) == v, F.col(value))).alias(v) for v in values]
+    rest = ~F.coalesce(F.col(col).isin(values), F.lit(False))
+    return df.groupBy(row).agg(*shown, F.sum(F.when(rest, F.col(value))).alias(other))
+
+
 def enrich(df: DataFrame, dim: DataFrame, key: str, attrs: list[str],
            default: str = "Unknown") -> DataFrame:
     """Left join a small dimension; missing keys get ``default``.

@@ -95,6 +95,30 @@ def q_category_pivot(spark, sf):
     return R.pivot_sum(ct, "t", "category", CATEGORIES, value="v")
 
 
+def _other_sql(name, value, shown):
+    names = ", ".join(f"'{n}'" for n in shown)
+    return f"sum(round({value}, 2)) FILTER (WHERE {name} IS NULL OR {name} NOT IN ({names})) AS OTHER"
+
+
+@register("panel_pivot_all", with_panel(EP + """
+SELECT t, """ + ", ".join(f"sum(round(value, 2)) FILTER (WHERE entity = '{n}') AS {n}" for n in ENTITIES)
+                                         + ", " + _other_sql("entity", "value", ENTITIES) + " FROM ep GROUP BY t"))
+def q_panel_pivot_all(spark, sf):
+    """``panel_pivot`` with the sum of all entities that have no column."""
+    ep = M.entity_period(panel_a(spark, sf)).withColumn("value", r2("value"))
+    return R.pivot_sum_all(ep, "t", "entity", ENTITIES)
+
+
+@register("category_pivot_all", with_panel(""", ct AS (
+  SELECT t, category, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS v FROM panel GROUP BY 1, 2)
+SELECT t, """ + ", ".join(f"sum(round(v, 2)) FILTER (WHERE category = '{c}') AS {c}" for c in CATEGORIES)
+                                            + ", " + _other_sql("category", "v", CATEGORIES) + " FROM ct GROUP BY t"))
+def q_category_pivot_all(spark, sf):
+    """``category_pivot`` with the sum of all categories that have no column."""
+    ct = M.period_totals(panel_a(spark, sf), by=["category"]).select("t", "category", r2("total").alias("v"))
+    return R.pivot_sum_all(ct, "t", "category", CATEGORIES, value="v")
+
+
 @register("region_enrich", """
 SELECT c.c_custkey, n.n_name AS entity, coalesce(r.r_name, 'Unknown') AS region
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey

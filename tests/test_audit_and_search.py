@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelkit.operators import breaks as BK
 from panelkit.operators import joins as JN
 from panelkit.operators import quality as Q
+from panelkit.operators import reshape as R
 from panelkit.operators import retrieval as RT
 from panelkit.plans import catalog
 from panelkit.plans.panels import _densify
@@ -106,3 +107,10 @@ def test_dense_grid_fills_gaps_and_ends(spark):
         assert r["period_label"] == str(r["t"] + 10)
         got.setdefault(r["k"], []).append(r["value"])
     assert got == {"x": [0, 0, 1, 0, 0, 2, 0], "y": [3, 0, 0, 0, 0, 0, 0], "z": [0, 0, 0, 0, 0, 0, 4]}
+
+
+def test_pivot_keeps_names_without_a_column(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (1, "new", 4.0), (1, None, 8.0), (2, "a", 16.0)],
+                               "t int, name string, value double")
+    got = {tuple(r) for r in R.pivot_sum_all(df, "t", "name", ["a", "b"]).collect()}
+    assert got == {(1, 1.0, 2.0, 12.0), (2, 16.0, None, None)}

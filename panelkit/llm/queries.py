@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann, bpe, chat_format, exact_dedup, packing, pii, quality_cnn, simhash, suffix_dedup, url_trees
+from . import (ann, bpe, chat_format, exact_dedup, packing, pii, quality_cnn, sharding, simhash, source_audit,
+               suffix_dedup, token_align, url_trees)
+from .oracles import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 QUERY_EVERY = 50
 
 
@@ -60,14 +63,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents")).drop("atom")
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = source_audit.audit_sources(read_table(spark, sf_dir, "documents"))
+    parts = [rows.withColumn("part", F.lit(part)) for part, rows in (("pair", audit.pairs), ("term", audit.terms))]
+    return parts[0].unionByName(parts[1]).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(read_table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED)).documents
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_exact_dedup, op3_simhash, op4_ann, op5_bpe, op6_pii,
-                                   op7_quality, op8_url_filter, op9_packing, op10_suffix_dedup)}
-
-ORACLES = {"op2_exact_dedup": """
-WITH norm AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
-  FROM documents)
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, sha256(body) AS text_sha256
-FROM norm WINDOW g AS (PARTITION BY body)
-"""}
+                                   op7_quality, op8_url_filter, op9_packing, op10_suffix_dedup, op11_sharding,
+                                   op12_source_audit, op13_token_align)}

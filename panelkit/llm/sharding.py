@@ -77,12 +77,14 @@ class Landmarks:
 
     def learn(self, gaps: list[tuple[int, int]], cells: list[tuple[int, int, int]]) -> None:
         """``cells``: least, greatest and number of the running sizes of each
-        cell inside the ``gaps``."""
+        cell inside the ``gaps``; a cell may reach over several gaps."""
         marks = dict(zip(self.at, [*self.unseen, False]))
-        marks.update((a, False) for a, _ in gaps)
+        starts = [a for a, _ in gaps]
+        marks.update((a, False) for a in starts)
         for least, greatest, n in cells:
             marks[greatest] = False
             marks[least] = n > 2
+            marks.update((a, n > 2) for a in starts[bisect_right(starts, least):bisect_right(starts, greatest)])
         self.at = sorted(marks)
         self.unseen = [marks[a] for a in self.at[:-1]]
 

@@ -221,10 +221,10 @@ def place_before(chunk: int) -> int:
 # -- batches ------------------------------------------------------------------
 
 class Batch:
-    """Texts that share a dictionary of units."""
+    """Texts that share a dictionary of units, up to ``limit`` bytes."""
 
-    def __init__(self, aligner: Aligner):
-        self.aligner = aligner
+    def __init__(self, aligner: Aligner, limit: int):
+        self.aligner, self.limit = aligner, limit
         self.index: dict[str, int] = {}
         self.units: list[tuple | None] = []
         self.groups: list[bytes] = []
@@ -259,7 +259,7 @@ class Batch:
         self.bytes += len(spaced) + 64
 
     def full(self) -> bool:
-        return self.bytes >= BATCH_BYTES or len(self.units) >= BATCH_UNITS
+        return self.bytes >= self.limit or len(self.units) >= BATCH_UNITS
 
     def close(self, name: int) -> dict:
         """The batch as one row: its id pairs, in how many whole documents each
@@ -339,7 +339,8 @@ class Alignment:
         self.documents, self.parts, self.pairs = documents, parts, pairs
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_BYTES) -> Alignment:
+def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_BYTES,
+          batch_bytes: int = BATCH_BYTES) -> Alignment:
     """Align tokens of A (byte-level BPE, JSON file) and B (sentence pieces).
 
     ``documents``: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum,
@@ -355,7 +356,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_BY
     def first_pass(batches):
         """Documents of one chunk are aligned here; longer ones leave as chunks."""
         aligner, names, rows = _aligner(*files.value), _names(0), _names(0)
-        batch = Batch(aligner)
+        batch = Batch(aligner, batch_bytes)
         fields = pa.schema([*_BATCH, *_CHUNK])
         for ids, texts in columns_of(batches):
             for doc_id, text in zip(ids, texts):
@@ -369,20 +370,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_BY
                 batch.add(row, doc_id, None, spaced)
                 if batch.full():
                     yield _one(fields, batch.close(next(names)))
-                    batch = Batch(aligner)
+                    batch = Batch(aligner, batch_bytes)
         if batch.rows:
             yield _one(fields, batch.close(next(names)))
 
     def part_pass(batches):
         """Closed text of long documents, wherever in them it lies."""
         aligner, names = _aligner(*files.value), _names(1)
-        batch = Batch(aligner)
+        batch = Batch(aligner, batch_bytes)
         for cols in columns_of(batches):
             for row, doc_id, place, raw in zip(*cols):
                 batch.add(row, doc_id, place, raw.decode("utf-8", "surrogatepass"))
                 if batch.full():
                     yield _one(_BATCH, batch.close(next(names)))
-                    batch = Batch(aligner)
+                    batch = Batch(aligner, batch_bytes)
         if batch.rows:
             yield _one(_BATCH, batch.close(next(names)))
 
@@ -404,8 +405,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_BY
     done = rows.filter("place IS NULL").unionByName(folded)
     documents = done.select("doc_id", *FIGURES, F.col("text").cast("string").alias("groups_sha256"))
     return Alignment(documents, parts.select("row", "doc_id", "place", F.col("text").cast("string").alias("groups")),
-                     pairs.select(F.shiftright("pair", B_BITS).alias("a"),
-                                  F.col("pair").bitwiseAND((1 << B_BITS) - 1).alias("b"), "docs", "best"))
+                     pairs.filter("docs > 0").select(
+                         F.shiftright("pair", B_BITS).alias("a"),
+                         F.col("pair").bitwiseAND((1 << B_BITS) - 1).alias("b"), "docs", "best"))
 
 
 def closed_text(chunks: DataFrame) -> DataFrame:

@@ -4,120 +4,169 @@
    no-break row (T6).
 2. Optimal partition of the first differences with an L2 (mean-shift) cost,
    minimum segment 5, penalty ``pen`` per segment (T3).  Exact dynamic
-   programme F(t) = min_s F(s) + C(s,t) + pen, F(0) = -pen, lowest s on
-   ties, written as a Catalyst ``aggregate`` fold over prefix sums so it
-   runs inside the JVM, one series per row.  Starts that can't win any more
-   are dropped; back-pointers keep the memory at O(n) per series.
+   programme F(t) = min_s F(s) + C(s,t) + pen, F(0) = -pen, lowest s on ties,
+   where starts that can't win any more are dropped.
 3. Each internal breakpoint b with 5 <= b <= m-5 is scored by the OLS slopes
    of values[0..b] and values[b+1..] (T4/T5); the strict maximum change wins
    (earliest b on ties) and must reach 30.
+
+A series is one row with one array of points (one shuffle by series, after
+which nothing moves).  The search is sequential within a series, so it runs in
+an Arrow step over these rows: per series a few arrays as long as the series
+(costs, back-pointers, prefix sums), one vector operation over the open starts
+for each end, and every cut is scored from prefix sums.  Sums for the slopes
+are taken about the series' means in extended precision, so nothing cancels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .metrics import ordered_points, trim_leading_zeros, with_line
 from .rules import break_significance
 
 MIN_SEGMENT = 5          # fixed values of the reference
 SLOPE_THRESHOLD = 30.0
 PELT_PENALTY = 3.0
-OPEN = 2147483647        # a start that is not ruled out
-MARGIN = 1e-9
-
-
-def _dp_expr(pen, ms: int) -> str:
-    """Spark SQL for the optimal partition; returns the best path to m, i.e.
-    the sorted segment starts (0 first).  ``pen`` is a number or the name of
-    a per-series penalty column.
-
-    The fold carries, for every end t, the optimal cost f[t] and the start
-    b[t] of its last segment, and the open starts r.  A start whose segment up
-    to t already costs more than f[t] can't win for any end at which t itself
-    may be a start (t + ms on), so it leaves r from there on; the margin
-    covers the rounding of the prefix sums.  The fold's last step walks the
-    back-pointers from m.  The scores of a step are bound once through a
-    one-element ``transform``.
-    """
-    pen = f"CAST({pen} AS DOUBLE)" if isinstance(pen, (int, float)) else pen
-    total = "acc.f[x.s] + (p2[t] - p2[x.s]) - (p1[t] - p1[x.s]) * (p1[t] - p1[x.s]) / (t - x.s)"
-    scored = (f"transform(filter(acc.r, x -> x.s <= t - {ms} AND x.until > t), "
-              f"x -> named_struct('c', {total} + {pen}, 's', x.s))")
-    beaten = f"x.until = {OPEN} AND x.s <= t - {ms} AND {total} > st.c + {MARGIN} * (1 + abs(p2[t]))"
-    opened = (f"concat(transform(filter(acc.r, x -> x.until > t + 1), "
-              f"x -> named_struct('s', x.s, 'until', IF({beaten}, t + {ms}, x.until))), "
-              f"IF(t >= {ms}, array(named_struct('s', t, 'until', {OPEN})), slice(acc.r, 1, 0)))")
-    grow = f"named_struct('f', concat(acc.f, array(st.c)), 'b', concat(acc.b, array(st.s)), 'r', {opened})"
-    walk = (f"aggregate(sequence(1, greatest(CAST(m div {ms} AS INT), 1)), "
-            "named_struct('at', m, 'p', CAST(array() AS array<int>)), "
-            "(w, k) -> IF(w.at > 0, named_struct('at', acc.b[w.at], 'p', concat(array(acc.b[w.at]), w.p)), w), w -> w.p)")
-    return (f"aggregate(sequence(1, m), named_struct('f', array(-{pen}), 'b', array(CAST(NULL AS INT)), "
-            f"'r', array(named_struct('s', 0, 'until', {OPEN}))), "
-            f"(acc, t) -> element_at(transform(array(array_min({scored})), st -> {grow}), 1), acc -> {walk})")
+MARGIN = 1e-9            # of the sum of squares: more than rounding can make up
 
 
-def segment_series(trimmed: DataFrame, keys, pen=PELT_PENALTY, ms: int = MIN_SEGMENT) -> DataFrame:
-    """Optimal breakpoints (indices into the differences) per series.
+def optimal_starts(values: np.ndarray, pen: float | str, ms: int) -> list[int]:
+    """T3 for one series: starts of the segments of its differences after the
+    first one, ascending.
 
-    ``trimmed`` carries i (0..n-1) and value.  Prefix sums of the differences
-    in order: p1[k] = y_k - y_0, p2[k] = cumulative sum of d^2.
-    ``pen`` is the penalty per segment, or "bic": 2 * var_pop(d) * ln(m) per
-    series (m differences), which scales with the units of the series.
+    ``pen`` is the penalty per segment, or "bic": 2 * var(d) * ln(m), m the
+    number of differences d.  A start whose segment up to t costs more than
+    F(t) can't win for any end at which t may be a start itself (t + ms on), so
+    it is dropped from there on; the margin covers the rounding of the sums.
     """
-    w = Window.partitionBy(*keys).orderBy("i")
-    d = F.col("value") - F.lag("value").over(w)
-    x = trimmed.withColumn("_d", d).withColumn(
-        "p1", F.col("value") - F.first("value").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-        .withColumn("p2", F.coalesce(F.sum(F.col("_d") * F.col("_d")).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
-    arr = x.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "p1", "p2"))).alias("_p"),
-                               F.count("*").alias("n"), F.var_pop("_d").alias("_vd"))
-    arr = arr.select(*keys, "n", (F.col("n") - 1).cast("int").alias("m"), "_vd",
-                     F.col("_p.p1").alias("p1"), F.col("_p.p2").alias("p2"))
+    y = np.asarray(values, np.float64)
+    d = np.diff(y)
+    m = len(d)
+    if m < ms:
+        return []
     if pen == "bic":
-        arr = arr.withColumn("_pen", F.coalesce(2 * F.col("_vd") * F.log(F.greatest(F.col("m"), F.lit(2))),
-                                                F.lit(0.0)))
-        pen = "_pen"
-    path = F.expr(_dp_expr(pen, ms))
-    return arr.select(*keys, "n", "m", F.filter(path, lambda b: b > 0).alias("breakpoints"))
+        pen = 2.0 * float(d.var()) * float(np.log(max(m, 2)))
+    p1 = y - y[0]
+    p2 = np.concatenate([[0.0], np.cumsum(d * d)])
+    cost = np.full(m + 1, np.inf)
+    cost[0] = -pen
+    back = np.zeros(m + 1, np.int64)
+    until = np.full(m + 1, m + 1, np.int64)         # the first end a start is ruled out for
+    starts = np.zeros(1, np.int64)
+    for t in range(ms, m + 1):
+        usable = starts[:np.searchsorted(starts, t - ms, "right")]
+        gap = p1[t] - p1[usable]
+        total = cost[usable] + (p2[t] - p2[usable]) - gap * gap / (t - usable)
+        best = int(np.argmin(total))
+        cost[t], back[t] = total[best] + pen, usable[best]
+        beaten = usable[total > cost[t] + MARGIN * (1 + abs(p2[t]))]
+        until[beaten] = np.minimum(until[beaten], t + ms)
+        starts = np.append(starts[until[starts] > t + 1], t)
+    path, at = [], m
+    while (at := int(back[at])) > 0:
+        path.append(at)
+    return path[::-1]
+
+
+class Slopes:
+    """OLS slopes of the first and the last points of a series, from prefix
+    sums about the means."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        x, y = np.asarray(x, np.longdouble), np.asarray(y, np.longdouble)
+        x, y = x - x.mean(), y - y.mean()
+        self.sums = [np.concatenate([[0], np.cumsum(v)]) for v in (x, y, x * x, x * y)]
+
+    def between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slope of the points low..high-1; 0 for fewer than two."""
+        n = np.maximum(high - low, 1).astype(np.longdouble)
+        sx, sy, sxx, sxy = (s[high] - s[low] for s in self.sums)
+        below, above = sxx - sx * sx / n, sxy - sx * sy / n
+        flat = (n < 2) | (below <= 0)
+        return np.where(flat, 0.0, above / np.where(flat, 1, below)).astype(np.float64)
+
+
+def best_cut(x: np.ndarray, y: np.ndarray, cuts: np.ndarray, threshold: float) -> tuple | None:
+    """T4/T5: the cut of the largest change of slope, (b, pre, post, change)."""
+    if not len(cuts):
+        return None
+    lines = Slopes(x, y)
+    zero, end = np.zeros(len(cuts), np.int64), np.full(len(cuts), len(y))
+    pre, post = lines.between(zero, cuts + 1), lines.between(cuts + 1, end)
+    steep = np.abs(pre) >= 1
+    change = np.where(steep, np.abs((post - pre) / np.where(steep, pre, 1)) * 100, np.abs(post - pre))
+    i = int(np.argmax(change))
+    return (int(cuts[i]), float(pre[i]), float(post[i]), float(change[i])) if change[i] >= max(threshold, 1e-300) else None
+
+
+def _series(rows: DataFrame, keys: list[str], x: str, extra=()) -> DataFrame:
+    """One row per series: its points in the order of ``x``."""
+    points = F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col("value").cast("double").alias("y"))))
+    return rows.groupBy(*keys).agg(points.alias("_p"), *extra).select(
+        *keys, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
+
+
+def _map_series(series: DataFrame, keys: list[str], fields: list[tuple[str, T.DataType, pa.DataType]], one) -> DataFrame:
+    """``one(x, y)`` for every series: a row of ``fields`` or None to drop it."""
+    schema = T.StructType([series.schema[k] for k in keys] + [T.StructField(n, t) for n, t, _ in fields])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            xs, ys = (rb.column(rb.schema.get_field_index(c)) for c in ("_x", "_y"))
+            got = [one(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False))
+                   for x, y in zip(xs, ys)]
+            kept = pa.array([g is not None for g in got], pa.bool_())
+            columns = list(zip(*(g for g in got if g is not None))) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(rb.schema.get_field_index(k)).filter(kept) for k in keys]
+                + [pa.array(c, t) for c, (_, _, t) in zip(columns, fields)], names=keys + [n for n, _, _ in fields])
+
+    return series.mapInArrow(run, schema)
+
+
+_STARTS = ("breakpoints", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
+_INT = T.IntegerType(), pa.int32()
+_DOUBLE = T.DoubleType(), pa.float64()
+
+
+def segment_series(trimmed: DataFrame, keys, pen=PELT_PENALTY, ms: int = MIN_SEGMENT) -> DataFrame:
+    """Optimal breakpoints (indices into the differences) per series, as
+    ``keys..., n, m, breakpoints``.  ``trimmed`` carries i (0..n-1) and value;
+    ``pen`` as in :func:`optimal_starts`."""
+    fields = [("n", *_INT), ("m", *_INT), _STARTS]
+    return _map_series(_series(trimmed, list(keys), "i"), list(keys), fields,
+                       lambda x, y: (len(y), len(y) - 1, optimal_starts(y, pen, ms)))
 
 
 def detect_breaks(panel: DataFrame, keys=("entity", "category"), pen=PELT_PENALTY,
                   ms: int = MIN_SEGMENT, threshold: float = SLOPE_THRESHOLD) -> DataFrame:
-    """One row per series that has a non-zero value."""
+    """One row per series that has a value above 0."""
     keys = list(keys)
-    tr = trim_leading_zeros(panel, keys).withColumn("i", F.col("t") - F.col("t_first"))
-    points = tr.groupBy(*keys).agg(F.count("*").alias("n_observations"), F.min("t_first").alias("t_first"),
-                                   (F.min("value") == F.max("value")).alias("_flat"), ordered_points("t").alias("_pts"))
-    stats = with_line(points, "_pts", "f").select(*keys, "n_observations", "t_first", "_flat", "_pts",
-                                                  F.col("f_b").alias("full_slope"))
-    eligible = stats.filter((F.col("n_observations") >= 2 * ms) & ~F.col("_flat")).select(*keys, "_pts")
-    seg = segment_series(tr.join(eligible.select(*keys), keys, "left_semi"), keys, pen, ms)
-    # explode_outer: an inner explode makes Catalyst infer size/null filters
-    # that would re-evaluate the whole fold; empty paths fall out below.
-    # A cut's two sides are slices of the series' one row of points.
-    cand = seg.join(eligible, keys).select(*keys, "m", "_pts", F.explode_outer("breakpoints").alias("b")) \
-        .filter((F.col("b") >= ms) & (F.col("b") <= F.col("m") - ms))
-    cand = cand.withColumns({"_pre": F.slice("_pts", F.lit(1), F.col("b") + 1),
-                             "_post": F.slice("_pts", F.col("b") + 2, F.size("_pts"))})
-    sc = with_line(with_line(cand, "_pre", "a"), "_post", "z")
-    sc = sc.select(*keys, "b", F.col("a_b").alias("pre_slope"), F.col("z_b").alias("post_slope"))
-    change = F.when(F.abs("pre_slope") < 1, F.abs(F.col("post_slope") - F.col("pre_slope"))) \
-        .otherwise(F.abs((F.col("post_slope") - F.col("pre_slope")) / F.col("pre_slope")) * 100)
-    sc = sc.withColumn("chg", change).filter(F.col("chg") > 0)
-    best = sc.withColumn("_rk", F.row_number().over(
-        Window.partitionBy(*keys).orderBy(F.desc("chg"), "b"))).filter(F.col("_rk") == 1) \
-        .filter(F.col("chg") >= threshold)
-    out = stats.join(best, keys, "left")
-    has = F.col("b").isNotNull()
-    return out.select(
-        *keys,
-        F.when(has, F.col("t_first") + F.col("b") + 1).cast("int").alias("breakpoint_t"),
-        F.when(has, F.col("pre_slope")).otherwise(F.col("full_slope")).alias("pre_slope"),
-        F.when(has, F.col("post_slope")).otherwise(F.col("full_slope")).alias("post_slope"),
-        F.when(has, F.col("chg")).otherwise(F.lit(0.0)).alias("slope_change_pct"),
-        F.when(has, break_significance("pre_slope", "post_slope", "chg")).otherwise(F.lit("none"))
-        .alias("significance"),
-        F.col("n_observations").cast("int").alias("n_observations"))
+
+    def search(x, y):
+        above = np.flatnonzero(y > 0)
+        if not len(above):
+            return None
+        x, y = x[above[0]:], y[above[0]:]
+        found, n, t0 = None, len(y), int(x[0])
+        if n >= 2 * ms and y.min() != y.max():
+            cuts = np.array([b for b in optimal_starts(y, pen, ms) if ms <= b <= n - 1 - ms], np.int64)
+            found = best_cut(x, y, cuts, threshold)
+        if found is None:
+            full = float(Slopes(x, y).between(np.array([0]), np.array([n]))[0])
+            return None, full, full, 0.0, n
+        b, pre, post, change = found
+        return t0 + b + 1, pre, post, change, n
+
+    fields = [("breakpoint_t", *_INT), ("pre_slope", *_DOUBLE), ("post_slope", *_DOUBLE),
+              ("slope_change_pct", *_DOUBLE), ("n_observations", *_INT)]
+    out = _map_series(_series(panel, keys, "t"), keys, fields, search)
+    named = F.when(F.col("breakpoint_t").isNotNull(), break_significance("pre_slope", "post_slope", "slope_change_pct"))
+    return out.select(*keys, "breakpoint_t", "pre_slope", "post_slope", "slope_change_pct",
+                      F.coalesce(named, F.lit("none")).alias("significance"), "n_observations")

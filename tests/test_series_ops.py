@@ -1,6 +1,7 @@
 """Hand-written series cases for breaks, models and the floor chain."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -156,3 +157,51 @@ def test_slopes_under_a_cent(spark):
     assert r["slope"] == pytest.approx(0.001, rel=1e-9) and r["intercept"] == pytest.approx(1e-4, rel=1e-6)
     b = BK.detect_breaks(panel).first()
     assert b["pre_slope"] == pytest.approx(0.001, rel=1e-9) and b["breakpoint_t"] is None
+
+
+def test_long_series_are_searched_in_seconds(spark):
+    """3,000 points in one series, and the cut against slopes fitted one by one."""
+    rng = np.random.default_rng(11)
+    y = 5000 + np.cumsum(np.repeat(rng.normal(0, 6, 60), 50) + rng.normal(0, 2, 3000))
+    panel = _panel(spark, {"long": [0.0] * 7 + list(y)})
+    BK.detect_breaks(_panel(spark, {"warm": list(y[:40])})).collect()
+    t0 = time.perf_counter()
+    row = BK.detect_breaks(panel).first()
+    assert time.perf_counter() - t0 < 5
+    starts = BK.optimal_starts(y, BK.PELT_PENALTY, 5)
+    assert starts == full_search(np.diff(y), BK.PELT_PENALTY, 5)
+    best = None
+    for b in starts:
+        if 5 <= b <= len(y) - 6:
+            pre = np.polyfit(np.arange(b + 1.0), y[:b + 1], 1)[0]
+            post = np.polyfit(np.arange(len(y) - b - 1.0), y[b + 1:], 1)[0]
+            change = abs((post - pre) / pre) * 100 if abs(pre) >= 1 else abs(post - pre)
+            if best is None or change > best[1] * (1 + 1e-9):
+                best = b, change, pre, post
+    assert row["breakpoint_t"] == 7 + best[0] + 1 and row["n_observations"] == 3000
+    assert np.allclose([row["slope_change_pct"], row["pre_slope"], row["post_slope"]], best[1:], rtol=1e-7)
+
+
+def full_search(d, pen, ms):
+    """Every start for every end, as vectors."""
+    s1, s2 = np.r_[0, np.cumsum(d)], np.r_[0, np.cumsum(d * d)]
+    cost, back = np.full(len(d) + 1, np.inf), np.zeros(len(d) + 1, int)
+    cost[0] = -pen
+    for t in range(ms, len(d) + 1):
+        s = np.r_[0, np.arange(ms, t - ms + 1)]
+        c = cost[s] + s2[t] - s2[s] - (s1[t] - s1[s]) ** 2 / (t - s) + pen
+        cost[t], back[t] = c.min(), s[c.argmin()]
+    cuts, t = [], len(d)
+    while back[t]:
+        t = int(back[t])
+        cuts.insert(0, t)
+    return cuts
+
+
+def test_breaks_of_odd_series(spark):
+    """Keys of other types, null keys, an empty panel, and gaps in nothing else."""
+    rows = [(k, t, float(v)) for k in (None, 3) for t, v in enumerate([0, 0] + list(range(1, 16)) + [15 + 10 * i for i in range(1, 9)])]
+    panel = spark.createDataFrame(rows, "k long, t int, value double")
+    got = {r["k"]: r for r in BK.detect_breaks(panel, ["k"]).collect()}
+    assert set(got) == {None, 3} and all(r["significance"] == "strong" for r in got.values())
+    assert BK.detect_breaks(panel.limit(0), ["k"]).count() == 0

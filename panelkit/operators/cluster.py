@@ -1,189 +1,218 @@
-"""K-Means, silhouette, PCA and centroid profiles.
-
-Points are rows with a vector column.  K-Means runs every (k, restart)
-configuration at once: each Lloyd step is one Spark job that assigns all
-points to the nearest centre of every configuration (centres are k x R x d
-numbers, broadcast as a literal table) and averages them per (config,
-cluster).  Initialisation is k-means++ with hash-derived uniforms, so the
-result does not depend on partitioning.  Silhouette is the squared-Euclidean
-form computed from per-cluster sums in O(N k d), never from point pairs.
+"""Silhouette, nearest centres, PCA and centroid profiles.
+
+A point stays one row throughout: its vector meets the whole matrix of cluster
+sums or centres inside an Arrow step.  These matrices are sums over all points
+(partial sums per task) or given centres; they are what goes to the tasks, and
+their size is checked.  K-Means itself is in :mod:`.kmeans`.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+MAX_MATRIX = 8_000_000      # numbers of a matrix of centres that is sent to the tasks
+MERGE_WAYS = 32
 
-def _explode(points: DataFrame, id_col: str, vec: str) -> DataFrame:
-    return points.select(id_col, F.posexplode(vec).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-
-
-def _uniform(*cols):
-    """Deterministic U(0,1) from a hash of the given columns."""
-    h = F.xxhash64(*cols)
-    return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-
-
-def _cfg_table(spark, centres: dict) -> DataFrame:
-    """(cfg, cents array<array<double>>): the centres of every configuration;
-    bounded by configs x k x d (parameters, not data)."""
-    rows = [(int(c), [[float(v) for v in row] for row in cs]) for c, cs in centres.items()]
-    return spark.createDataFrame(rows, "cfg int, cents array<array<double>>")
 
+def _matrix(rows: DataFrame, what: str) -> list:
+    """The rows of a small matrix, at most MAX_MATRIX."""
+    got = rows.limit(MAX_MATRIX + 1).collect()
+    if len(got) > MAX_MATRIX:
+        raise ValueError(f"{what}: more than {MAX_MATRIX} numbers of centres")
+    return got
 
-def _nearest(vec_col, cents_col):
-    """(d2, cluster) of the nearest centre, lowest index on ties."""
-    def d2(c):
-        return F.aggregate(F.zip_with(vec_col, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
-    return F.array_min(F.transform(cents_col, lambda c, j: F.struct(d2(c).alias("d2"), j.alias("cluster"))))
 
-
-def kmeans(points: DataFrame, id_col: str, vec: str, ks, restarts: int, seed: int = 42,
-           max_iter: int | None = None, tol: float = 1e-10, select_restarts: int | None = None):
-    """Lloyd's algorithm for every k in ``ks`` x ``restarts`` inits at once.
-
-    Each step is one job: every point meets the broadcast table of all
-    configurations' centres, picks its nearest centre per configuration with
-    ``array_min`` (no shuffle), and the new centres are per-(config, cluster)
-    averages of the coordinates (the only shuffle).  A configuration whose
-    centres rest within ``tol`` takes no part in later steps; the loop ends
-    when all rest, or after ``max_iter`` steps if that is given.  Returns (labels
-    DataFrame(id, k, cluster), centres dict k -> array, inertia dict k ->
-    float) for the best restart (lowest inertia) per k.  With
-    ``select_restarts`` a dict is returned instead, holding the best of the
-    first ``select_restarts`` inits (``select_*``) and the best of all inits
-    (``final_*``) per k, both from the same loop, beside ``steps``,
-    ``converged`` and ``release``, which frees the cached points once the
-    labels have been used.
-    """
-    spark = points.sparkSession
-    pts = points.select(id_col, F.transform(vec, lambda x: x.cast("double")).alias("v")).cache()
-    dim = len(pts.select("v").first()["v"])
-    cfgs = [(k, r) for k in ks for r in range(restarts)]
-    cfg_k = {i: k for i, (k, _) in enumerate(cfgs)}
-    cfg_df = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(cfgs)], "cfg int, k int")
-    # k-means++: first centre uniform, next ones with probability ~ D^2
-    # (exponential race: the smallest -ln(u)/D^2 per configuration wins).
-    chosen = {i: [] for i in cfg_k}
-    vecs = {}
-    for rnd in range(max(ks)):
-        live = cfg_df.filter(F.col("k") > rnd)
-        u = _uniform(F.col(id_col), F.col("cfg"), F.lit(rnd), F.lit(seed))
-        if rnd == 0:
-            cand = pts.crossJoin(F.broadcast(live)).withColumn("key", u)
-        else:
-            cur = _cfg_table(spark, {c: [vecs[p] for p in chosen[c]] for c in cfg_k if cfg_k[c] > rnd})
-            cand = pts.crossJoin(F.broadcast(cur)).withColumn("_nd", _nearest(F.col("v"), F.col("cents")))
-            cand = cand.withColumn("key", F.when(F.col("_nd.d2") > 0, -F.log(u) / F.col("_nd.d2")))
-        best = cand.filter(F.col("key").isNotNull()).groupBy("cfg").agg(
-            F.min_by(F.struct(F.col(id_col).alias("p"), F.col("v").alias("v")), "key").alias("b")).collect()
-        for r in best:                                           # one point per configuration
-            vecs[r["b"]["p"]] = [float(x) for x in r["b"]["v"]]
-            chosen[r["cfg"]].append(r["b"]["p"])
-    centres = {c: np.array([vecs[p] for p in chosen[c]]) for c in cfg_k}
-
-    def assign(cent):
-        ct = _cfg_table(spark, cent)
-        return pts.crossJoin(F.broadcast(ct)).select(id_col, "cfg", "v",
-                                                      _nearest(F.col("v"), F.col("cents")).alias("nd"))
-    moving, steps = set(centres), 0
-    while moving and (max_iter is None or steps < max_iter):
-        steps += 1
-        a = assign({c: centres[c] for c in moving})
-        newc = a.groupBy("cfg", F.col("nd.cluster").alias("cluster")).agg(
-            *[F.avg(F.col("v")[j]).alias(f"c{j}") for j in range(dim)]).collect()
-        upd = {c: centres[c].copy() for c in moving}
-        for r in newc:
-            upd[r["cfg"]][r["cluster"]] = [r[f"c{j}"] for j in range(dim)]
-        moving = {c for c in upd if float(np.max(np.abs(upd[c] - centres[c]))) > tol}
-        centres.update(upd)
-    a = assign(centres).select(id_col, "cfg", F.col("nd.cluster").alias("cluster"), F.col("nd.d2").alias("d2")).cache()
-    inertia = {r["cfg"]: r["s"] for r in a.groupBy("cfg").agg(F.sum("d2").alias("s")).collect()}
-
-    def pick(limit):
-        best_cfg = {}
-        for c, (k, r) in enumerate(cfgs):
-            if r >= limit:
-                continue
-            if k not in best_cfg or inertia[c] < inertia[best_cfg[k]] - 1e-12:
-                best_cfg[k] = c
-        inv = {c: k for k, c in best_cfg.items()}
-        lab = a.filter(F.col("cfg").isin(list(inv))).withColumn(
-            "k", F.element_at(F.create_map(*[F.lit(x) for kv in inv.items() for x in kv]), F.col("cfg")))
-        labels = lab.select(id_col, F.col("k").cast("int").alias("k"), "cluster")
-        return labels, {k: centres[c] for k, c in best_cfg.items()}, {k: inertia[c] for k, c in best_cfg.items()}
-    if select_restarts is None:
-        return pick(restarts)
-    sl, sc, si = pick(select_restarts)
-    fl, fc, fi = pick(restarts)
-
-    def release():
-        a.unpersist()
-        pts.unpersist()
-    return {"steps": steps, "converged": not moving, "release": release, "select_labels": sl, "select_centres": sc, "select_inertia": si,
-            "final_labels": fl, "final_centres": fc, "final_inertia": fi}
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A batch's vectors of one length, as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def silhouette_sq(points: DataFrame, id_col: str, vec: str, labels: DataFrame, group: str | None = None) -> DataFrame:
-    """Mean squared-Euclidean silhouette per ``group`` (e.g. k).
+    """Squared-Euclidean silhouette of every point per ``group`` (e.g. k), as
+    ``id, [group], a, b, s``: mean distance within its cluster, least mean
+    distance to another one, and (b - a) / max(a, b).
 
     For point x and cluster C: mean d2(x, C) = |x|^2 - 2 x.S_C/n_C + Q_C/n_C
     with S_C the vector sum and Q_C the sum of |y|^2; the own cluster uses
-    n_C - 1 (the point's own zero distance is excluded); singletons score 0.
+    n_C - 1 (the point's own zero distance is excluded); singletons, and points
+    without another cluster, score 0.
     """
-    g = [group] if group else []
-    px = _explode(points, id_col, vec)
-    lab = labels.select(id_col, *g, "cluster")
-    pl = px.join(lab, id_col)
-    norms = px.groupBy(id_col).agg(F.sum(F.col("x") * F.col("x")).alias("q"))
-    csum = pl.groupBy(*g, "cluster", "pos").agg(F.sum("x").alias("sx"))
-    cq = lab.join(norms, id_col).groupBy(*g, "cluster").agg(F.sum("q").alias("sq_c"), F.count("*").alias("nc"))
-    # x . S_C for every point and every cluster of its group: N x k rows
-    # cluster sums are bounded by groups x k x d: broadcast them, never
-    # shuffle the points on the low-cardinality (group, pos) key
-    dots = px.join(lab.select(id_col, *g), id_col).join(F.broadcast(csum), [*g, "pos"]) \
-        .groupBy(id_col, *g, "cluster").agg(F.sum(F.col("x") * F.col("sx")).alias("xs"))
-    d = dots.join(F.broadcast(cq), [*g, "cluster"]).join(norms, id_col).join(
-        lab.select(id_col, *g, F.col("cluster").alias("own")), [id_col, *g])
-    tot = F.col("nc") * F.col("q") - 2 * F.col("xs") + F.col("sq_c")
-    d = d.withColumn("md", F.when(F.col("cluster") == F.col("own"),
-                                  F.when(F.col("nc") > 1, tot / (F.col("nc") - 1)))
-                     .otherwise(tot / F.col("nc")))
-    per = d.groupBy(id_col, *g).agg(
-        F.max(F.when(F.col("cluster") == F.col("own"), F.col("md"))).alias("a"),
-        F.min(F.when(F.col("cluster") != F.col("own"), F.col("md"))).alias("b"),
-        F.max(F.when(F.col("cluster") == F.col("own"), F.col("nc"))).alias("n_own"))
-    s = F.when((F.col("n_own") <= 1) | F.col("b").isNull(), F.lit(0.0)) \
-        .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.withColumn("s", s)
+    g = F.col(group) if group else F.lit(0)
+    rows = labels.select(id_col, g.alias("g"), F.col("cluster").alias("c")).join(
+        points.select(id_col, F.transform(vec, lambda x: x.cast("double")).alias("v")), id_col)
+
+    def partial(batches):
+        total = {}
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            x = _vectors(rb.column("v"))
+            keys = list(zip(rb.column("g").to_pylist(), rb.column("c").to_pylist()))
+            numbered = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            at = np.array([numbered[k] for k in keys])
+            sums = np.zeros((len(numbered), x.shape[1] + 2))
+            np.add.at(sums, at, np.concatenate([np.ones((len(x), 1)), (x * x).sum(1, keepdims=True), x], 1))
+            for k, i in numbered.items():
+                total[k] = total[k] + sums[i] if k in total else sums[i]
+        for (gk, ck), row in total.items():
+            n = len(row)
+            yield pa.RecordBatch.from_arrays([pa.array([gk] * n, rb.schema.field("g").type),
+                                              pa.array([ck] * n, rb.schema.field("c").type),
+                                              pa.array(np.arange(n, dtype=np.int32)), pa.array(row)], names=["g", "c", "j", "value"])
+
+    kinds = T.StructType([rows.schema["g"], rows.schema["c"]])
+    summed = rows.select("g", "c", "v").mapInArrow(
+        partial, T.StructType([*kinds, T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])) \
+        .groupBy("g", "c", "j").agg(F.sum("value").alias("value"))
+    flat = {}
+    for r in _matrix(summed, "silhouette"):
+        flat.setdefault(r["g"], {}).setdefault(r["c"], {})[r["j"]] = r["value"]
+    clusters = {}
+    for gk, by_cluster in flat.items():
+        m = np.array([[row[j] for j in range(len(row))] for row in by_cluster.values()])
+        clusters[gk] = {c: i for i, c in enumerate(by_cluster)}, m[:, 0], m[:, 1], m[:, 2:]
+
+    def score(batches):
+        for rb in batches:
+            gs, cs, x = rb.column("g").to_pylist(), rb.column("c").to_pylist(), _vectors(rb.column("v"))
+            out = np.zeros((3, len(gs)))
+            for gk in dict.fromkeys(gs):
+                at = np.array([i for i, k in enumerate(gs) if k == gk])
+                numbered, n, q, s = clusters[gk]
+                own = np.array([numbered[cs[i]] for i in at])
+                y = x[at]
+                total = n * (y * y).sum(1)[:, None] - 2 * y @ s.T + q
+                here = np.arange(len(at)), own
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    a = np.where(n[own] > 1, total[here] / (n[own] - 1), np.nan)
+                    mean = total / n
+                    mean[here] = np.inf
+                    b = mean.min(1)
+                    fit = (b - a) / np.maximum(a, b)
+                out[:, at] = a, b, np.where((n[own] > 1) & np.isfinite(b), fit, 0.0)
+            a, b, s = (pa.array(v, mask=~np.isfinite(v)) for v in out)
+            yield pa.RecordBatch.from_arrays([rb.column(id_col), rb.column("g"), a, b, s], names=[id_col, "g", "a", "b", "s"])
+
+    doubles = [T.StructField(c, T.DoubleType()) for c in ("a", "b", "s")]
+    scored = rows.mapInArrow(score, T.StructType([rows.schema[id_col], rows.schema["g"], *doubles]))
+    return scored.withColumnRenamed("g", group) if group else scored.drop("g")
 
 
 def nearest_centroid(points: DataFrame, id_col: str, vec: str, centres: DataFrame) -> DataFrame:
-    """Assign each point to its nearest centre (ties -> lowest id).
-    ``centres`` is (cluster, pos, cx) and bounded by k x d."""
-    px = _explode(points, id_col, vec)
-    d2 = px.join(F.broadcast(centres), "pos").groupBy(id_col, "cluster") \
-        .agg(F.sum(F.pow(F.col("x") - F.col("cx"), 2)).alias("d2"))
-    return d2.groupBy(id_col).agg(F.min_by("cluster", F.struct("d2", "cluster")).alias("cluster"),
-                                  F.min("d2").alias("d2"))
+    """``id, cluster, d2``: each point's nearest centre (ties -> lowest
+    id).  ``centres`` is (cluster, pos, cx); every point has the centres' length."""
+    cells = {}
+    for r in _matrix(centres.select("cluster", "pos", "cx"), "nearest centre"):
+        cells.setdefault(r["cluster"], {})[r["pos"]] = r["cx"]
+    names = sorted(cells)
+    matrix = np.array([[cells[c][j] for j in range(len(cells[c]))] for c in names])
+    kind = centres.schema["cluster"].dataType
+    arrow = to_arrow_type(kind)
+
+    def assign(batches):
+        for rb in batches:
+            x = _vectors(rb.column("v"))
+            best, near = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+            for j, c in enumerate(matrix):
+                d2 = ((x - c) ** 2).sum(1)
+                closer = d2 < best
+                best[closer], near[closer] = d2[closer], j
+            yield pa.RecordBatch.from_arrays([rb.column(id_col), pa.array([names[j] for j in near] if names else [], arrow),
+                                              pa.array(best)], names=[id_col, "cluster", "d2"])
+
+    rows = points.select(id_col, F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    return rows.mapInArrow(assign, T.StructType([rows.schema[id_col], T.StructField("cluster", kind),
+                                                 T.StructField("d2", T.DoubleType())]))
+
+
+# -- moments and principal components ---------------------------------------------
+
+def merge_moments(x: tuple, y: tuple) -> tuple:
+    """Moments (n, mean, scatter matrix) of two sets of points together."""
+    n = x[0] + y[0]
+    if not n:
+        return x
+    step = y[1] - x[1]
+    return n, x[1] + step * (y[0] / n), x[2] + y[2] + np.outer(step, step) * (x[0] * y[0] / n)
+
+
+def moments(points: DataFrame, vec: str) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """Number, mean and scatter matrix (sum of (x - mean)(x - mean)') of all
+    vectors; None for no rows.
+
+    Each task takes its points' moments about their own mean; these are merged
+    in ``MERGE_WAYS`` groups of tasks and then here, so the driver sees at most
+    that many matrices."""
+    names = ["way", "n", "mean", "scatter"]
+    ddl = "way int, n double, mean array<double>, scatter array<double>"
+
+    def batch_of(way, m):
+        return pa.RecordBatch.from_arrays([pa.array([way], pa.int32()), pa.array([float(m[0])]),
+                                           pa.array([m[1].tolist()], pa.list_(pa.float64())),
+                                           pa.array([m[2].ravel().tolist()], pa.list_(pa.float64()))], names=names)
+
+    def of_row(n, mean, scatter):
+        return n, np.array(mean), np.array(scatter).reshape(len(mean), -1)
+
+    def partial(batches):
+        from pyspark import TaskContext
+        total = None
+        for rb in batches:
+            if rb.num_rows:
+                x = _vectors(rb.column("v"))
+                mean = x.mean(0)
+                here = len(x), mean, (x - mean).T @ (x - mean)
+                total = here if total is None else merge_moments(total, here)
+        if total is not None:
+            yield batch_of(TaskContext.get().partitionId() % MERGE_WAYS, total)
+
+    def merged(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in names[1:])))
+        total = of_row(*rows[0])
+        for r in rows[1:]:
+            total = merge_moments(total, of_row(*r))
+        return pa.Table.from_batches([batch_of(table["way"][0].as_py(), total)])
+
+    rows = points.select(F.transform(vec, lambda x: x.cast("double")).alias("v")).mapInArrow(partial, ddl) \
+        .groupBy("way").applyInArrow(merged, ddl).orderBy("way").collect()
+    total = None
+    for r in rows:
+        here = of_row(*r[1:])
+        total = here if total is None else merge_moments(total, here)
+    return total
+
+
+def covariance(points: DataFrame, vec: str) -> DataFrame:
+    """``i, j, cov``: the sample covariance of every two components, i <= j."""
+    m = moments(points, vec)
+    rows = [] if m is None else [(i, j, float(m[2][i, j] / (m[0] - 1)) if m[0] > 1 else None)
+                                 for i in range(len(m[1])) for j in range(i, len(m[1]))]
+    return points.sparkSession.createDataFrame(rows, "i int, j int, cov double")
 
 
 def pca_2d(scaled: DataFrame, id_col: str, cols) -> tuple[DataFrame, list[float]]:
-    """M8: explicit centring, ``pyspark.ml`` PCA(k=2), sign fixed so that
-    the largest-magnitude loading of each component is positive."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    means = scaled.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    cen = scaled.select(id_col, *[(F.col(c) - float(means[c])).alias(c) for c in cols])
-    va = VectorAssembler(inputCols=list(cols), outputCol="v").transform(cen)
-    model = PCA(k=2, inputCol="v", outputCol="pc").fit(va)
-    load = model.pc.toArray()                                  # d x 2
-    sign = [1.0 if load[np.argmax(np.abs(load[:, j])), j] >= 0 else -1.0 for j in range(2)]
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(va).select(id_col, vector_to_array("pc").alias("pc"))
-    out = out.select(id_col, (F.col("pc")[0] * sign[0]).alias("pca_x"), (F.col("pc")[1] * sign[1]).alias("pca_y"))
-    return out, [float(v) for v in model.explainedVariance.toArray()]
+    """M8: coordinates ``pca_x, pca_y`` on the two first principal components
+    (sign fixed so that the largest-magnitude loading of each is positive) and
+    their shares of the variance."""
+    cols = list(cols)
+    n, mean, scatter = moments(scaled.select(F.array(*cols).alias("v")), "v")
+    size, load = np.linalg.eigh(scatter / max(n - 1, 1))
+    order = np.argsort(-size, kind="stable")[:2]
+    parts = []
+    for j in order:
+        w = load[:, j] * (1.0 if load[np.argmax(np.abs(load[:, j])), j] >= 0 else -1.0)
+        term = F.lit(0.0)
+        for c, m, x in zip(cols, mean, w):
+            term = term + (F.col(c) - float(m)) * float(x)
+        parts.append(term)
+    out = scaled.select(id_col, *[p.alias(c) for p, c in zip(parts, ("pca_x", "pca_y"))])
+    total = float(size.sum())
+    return out, [float(size[j]) / total if total else 0.0 for j in order]
 
 
 def minmax_profile(centroids: DataFrame, cols) -> DataFrame:

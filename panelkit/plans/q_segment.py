@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r2, r4, r6
+from ..functions.exprs import r2, r4, r6, rnd
 from ..operators import cluster as CL
 from ..operators import features as FT
 from ..operators import lookups as LK
@@ -198,6 +198,16 @@ def q_assign_nearest(spark, sf):
     return a.select("vec_id", F.col("cluster").cast("int").alias("cluster"))
 
 
+@register("embedding_covariance", """WITH """ + EMB_LONG + """
+SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j,
+       round(covar_samp(CAST(a.x AS DOUBLE), CAST(b.x AS DOUBLE)), 8) AS cov
+FROM emb a JOIN emb b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY 1, 2""")
+def q_embedding_covariance(spark, sf):
+    """M8's moments: covariance of every two components of the vectors."""
+    c = CL.covariance(read_table(spark, sf, "embeddings", "embedding"), "embedding")
+    return c.select("i", "j", rnd("cov", 8).alias("cov"))
+
+
 @register("segment_profiles", CENT_SQL + """,
 ext AS (SELECT pos, min(cx) AS lo, max(cx) AS hi FROM cent GROUP BY 1)
 SELECT cluster, CAST(c.pos AS INTEGER) AS pos,

@@ -108,6 +108,7 @@ class SegmentStages(Stages):
         from pyspark.sql import functions as F
         from ..operators import cluster as CL
         from ..operators import features as FT
+        from ..operators import kmeans as KM
         from ..operators import rules as RU
         cols = FT.CLUSTER_FEATURES
         base = self.eligible
@@ -116,14 +117,14 @@ class SegmentStages(Stages):
         scaled = cut_lineage(scaled.withColumn("vec", F.array(*[F.col(f"z_{c}") for c in cols])))
         # One Lloyd loop serves both fits: restarts 0..19 of every k select k
         # by silhouette, restarts 0..49 of the chosen k give the final model.
-        runs = CL.kmeans(scaled, "entity", "vec", self.K_RANGE, self.RESTARTS_FINAL, self.SEED,
-                         select_restarts=self.RESTARTS_SELECT)
-        labels = runs["select_labels"]
+        runs = KM.kmeans(scaled, "entity", "vec", self.K_RANGE, self.RESTARTS_FINAL, self.SEED)
+        labels = runs.best(self.RESTARTS_SELECT).labels
         sil = CL.silhouette_sq(scaled, "entity", "vec", labels, group="k").groupBy("k").agg(F.avg("s").alias("sil"))
         sil_rows = sorted((r["k"], r["sil"]) for r in sil.collect())
         best_k = max(sil_rows, key=lambda kv: (kv[1], -kv[0]))[0]
-        lab = runs["final_labels"].filter(F.col("k") == best_k)
-        centres = runs["final_centres"]
+        final = runs.best()
+        lab = final.labels.filter(F.col("k") == best_k)
+        centres = final.centres
         # centroids in original units, relabelled by growth descending
         p = params.first()
         rows = []
@@ -144,9 +145,9 @@ class SegmentStages(Stages):
             .join(cent.select("cluster", "cluster_name"), "cluster")
         self._memo["centroids"] = cut_lineage(cent)
         self._memo["segments"] = cut_lineage(seg)
-        runs["release"]()
         self._memo["scaled"] = scaled
-        self.meta = {"best_k": best_k, "steps": runs["steps"], "converged": runs["converged"], "silhouette": dict(sil_rows), "explained_variance": ev}
+        self.meta = {"best_k": best_k, "steps": runs.steps, "converged": runs.converged, "silhouette": dict(sil_rows),
+                     "explained_variance": ev}
 
     @property
     def segments(self) -> DataFrame:

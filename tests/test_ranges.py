@@ -58,16 +58,6 @@ def test_sensitivity_has_no_window_keyed_by_scenario(spark):
     assert res.count() == 16 and res.agg(F.max("spearman_rho")).first()[0] <= 1.0
 
 
-def test_convergence_is_reported(spark):
-    from panelkit.operators.cluster import kmeans
-    pts = spark.createDataFrame([(i, [float(i % 3) * 10, float(i % 2)]) for i in range(30)], "id int, v array<double>")
-    free = kmeans(pts, "id", "v", (3,), 4, select_restarts=2)
-    cut = kmeans(pts, "id", "v", (3,), 4, select_restarts=2, max_iter=0)
-    assert free["converged"] and free["steps"] >= 1 and not cut["converged"]
-    assert free["final_labels"].count() == 30
-    free["release"]()
-
-
 @pytest.mark.parametrize("names", [["a"], ["a", "b", "a", "b", "a"], ["a", "zzz"]])
 def test_compare_refuses(spark, names):
     from panelkit.operators.lookups import compare

@@ -1,18 +1,17 @@
 """Text chunks, vector normalisation, exact cosine top-k, snippets.
 
 Whole texts are processed: a document becomes an array of window start
-offsets, every window is cut with ``substring`` inside the JVM.  Exact top-k
-is computed without ever holding one query's full candidate list in one
-task: scores are ranked inside hash buckets of the corpus first, then only
-the bucket winners are ranked per query.
+offsets, every window is cut with ``substring`` inside the JVM.  The search
+itself is in :mod:`.search`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col_
+from .search import search
 
 CHUNK_SIZE = 1100     # fixed values of the reference
 CHUNK_OVERLAP = 150
@@ -74,40 +73,16 @@ def l2_normalise(vec) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def dot(a, b) -> Column:
-    """Inner product of two equal-length arrays."""
-    return F.aggregate(F.zip_with(col_(a), col_(b), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def tool_k(k: int) -> int:
     """The question tool's clamp of k to 1..8; the search has no upper limit."""
     return max(1, min(int(k), TOP_K_MAX))
 
 
 def cosine_topk(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-                k: int = TOP_K, buckets: int | None = None) -> DataFrame:
-    """Exact cosine top-k of every query against the corpus.
-
-    The corpus is dealt into hash buckets and every query goes to each of
-    them, so the search is one equi-join on the bucket whatever the number of
-    queries; their copies are broadcast where that is known to be small.
-    Ranking is two-level (bucket, then query), so no task holds all
-    candidates of one query.  ``buckets``: by default the shuffle partitions,
-    at least 64."""
-    from .joins import MAX_BROADCAST_BYTES, estimated_bytes
-    k = max(1, int(k))
-    buckets = buckets or max(64, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    c = corpus.select(F.col(id_col).alias("doc"), l2_normalise(vec).alias("u"),
-                      F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("_b"))
-    q = queries.select(F.col(id_col).alias("query"), l2_normalise(vec).alias("w"))
-    small = estimated_bytes(q) * buckets <= MAX_BROADCAST_BYTES
-    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    scores = c.join(F.broadcast(q) if small else q, "_b").select("query", "doc", "_b", dot("u", "w").alias("score"))
-    w1 = Window.partitionBy("query", "_b").orderBy(F.desc("score"), "doc")
-    local = scores.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-    w2 = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return local.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k) \
-        .select("query", "rank", F.col("doc").alias(id_col), "score")
+                k: int = TOP_K) -> DataFrame:
+    """Exact cosine top-k of every query against the corpus, as ``query,
+    rank, id, score``; see :mod:`.search`."""
+    return search(corpus, queries, id_col, vec, k).hits
 
 
 def snippet(text) -> Column:

@@ -67,22 +67,15 @@ def q_embedding_norms(spark, sf):
                     F.transform(RT.l2_normalise("embedding"), lambda x: rnd(x, 6)).alias("unit"))
 
 
-TOPK_SQL = NORM_SQL + """,
+# Every row whose id is divisible by QUERY_EVERY is a query, against all rows.
+QUERY_EVERY = 20
+TOPK_SQL = NORM_SQL + f""",
 ex AS (SELECT vec_id, unnest(u) AS x, generate_subscripts(u, 1) AS pos FROM u),
 sc AS (SELECT q.vec_id AS query, c.vec_id AS doc, sum(q.x * c.x) AS score
-       FROM ex q JOIN ex c ON q.pos = c.pos WHERE q.vec_id < 5 GROUP BY 1, 2),
+       FROM ex q JOIN ex c ON q.pos = c.pos WHERE q.vec_id % {QUERY_EVERY} = 0 GROUP BY 1, 2),
 rk AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc)"""
 
 
-@register("cosine_topk", TOPK_SQL + """
-SELECT query, CAST(rank AS INTEGER) AS rank, doc AS vec_id, round(score, 6) AS score FROM rk WHERE rank <= 4""")
-def q_cosine_topk(spark, sf):
-    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
-    q = e.filter(F.col("vec_id") < 5)
-    t = RT.cosine_topk(e, q, k=RT.TOP_K)
-    return t.select("query", F.col("rank").cast("int").alias("rank"), "vec_id", r6("score").alias("score"))
-
-
 @register("snippets", CHUNKS_SQL + f""",
 cv AS (SELECT doc_id, source, chunk_id,
               regexp_replace({_strip_sql('text')}, '{WS_RE2}+', ' ', 'g') AS s FROM ck)
@@ -97,44 +90,19 @@ def q_snippets(spark, sf):
     return ch.select("doc_id", "source", "chunk_id", RT.snippet("text").alias("snippet"))
 
 
-@register("hit_snippets", TOPK_SQL + ",\n" + CHUNKS_SQL.removeprefix("WITH ") + f""",
-cv AS (SELECT doc_id, source, chunk_id,
-              regexp_replace({_strip_sql('text')}, '{WS_RE2}+', ' ', 'g') AS s FROM ck WHERE chunk_id = 0)
-SELECT rk.query, CAST(rk.rank AS INTEGER) AS rank, rk.doc AS vec_id, round(rk.score, 6) AS score, cv.source, cv.chunk_id,
-       CASE WHEN length(s) > 420 THEN regexp_replace(substring(s, 1, 420), '{WS_RE2}+$', '', 'g') || '...'
-            ELSE s END AS snippet
-FROM rk LEFT JOIN cv ON cv.doc_id = rk.doc WHERE rk.rank <= 4""")
-def q_hit_snippets(spark, sf):
-    """R4 and R5 together: what a search shows.  A vector stands for the first
-    chunk of the document of its id; only documents that were hit are cut."""
-    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
-    hits = RT.cosine_topk(e, e.filter(F.col("vec_id") < 5), k=RT.TOP_K)
-    docs = read_table(spark, sf, "documents", "doc_id", "source", "text")
-    hit_docs = docs.join(hits.select(F.col("vec_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    shown = RT.chunk_corpus(hit_docs).filter(F.col("chunk_id") == 0).select(
-        F.col("doc_id").alias("vec_id"), "source", "chunk_id", RT.snippet("text").alias("snippet"))
-    return hits.join(shown, "vec_id", "left").select(
-        "query", F.col("rank").cast("int").alias("rank"), "vec_id", r6("score").alias("score"), "source", "chunk_id", "snippet")
-
-
-# The whole search: every row whose id is divisible by QUERY_EVERY is a query
-# (the two queries above are the fixed batch of FIXTURES.md).
-QUERY_EVERY = 20
-TOPK_ALL_SQL = TOPK_SQL.replace("q.vec_id < 5", f"q.vec_id % {QUERY_EVERY} = 0")
-
 
 def _search_all(spark, sf):
     e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
     return RT.cosine_topk(e, e.filter(F.col("vec_id") % QUERY_EVERY == 0), k=RT.TOP_K)
 
 
-@register("cosine_topk_all", TOPK_ALL_SQL + """
+@register("cosine_topk_all", TOPK_SQL + """
 SELECT query, CAST(rank AS INTEGER) AS rank, doc AS vec_id, round(score, 6) AS score FROM rk WHERE rank <= 4""")
 def q_cosine_topk_all(spark, sf):
     return _search_all(spark, sf).select("query", F.col("rank").cast("int").alias("rank"), "vec_id", r6("score").alias("score"))
 
 
-@register("hit_snippets_all", TOPK_ALL_SQL + ",\n" + CHUNKS_SQL.removeprefix("WITH ") + f""",
+@register("hit_snippets_all", TOPK_SQL + ",\n" + CHUNKS_SQL.removeprefix("WITH ") + f""",
 cv AS (SELECT doc_id, source, chunk_id,
               regexp_replace({_strip_sql('text')}, '{WS_RE2}+', ' ', 'g') AS s FROM ck)
 SELECT rk.query, CAST(rk.rank AS INTEGER) AS rank, rk.doc AS vec_id, round(rk.score, 6) AS score, cv.source, cv.chunk_id,

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkit.operators import breaks as BK
-from panelkit.operators import joins as JN
 from panelkit.operators import quality as Q
 from panelkit.operators import reshape as R
 from panelkit.operators import retrieval as RT
+from panelkit.operators import search as SE
 from panelkit.plans import catalog
 from panelkit.plans.panels import _densify
 
@@ -57,22 +57,42 @@ def test_pruned_search_equals_the_full_one(spark, pen):
         assert got[name] == optimal_cuts(np.diff(values), pen, BK.MIN_SEGMENT), name
 
 
-def test_search_is_the_same_with_shuffled_queries(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    vectors = rng.normal(size=(300, 8))
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    queries = df.filter(F.col("vec_id") % 3 == 0)
+def _brute_hits(x, ids, q, k):
+    """By plain cosines, ties to the smaller id."""
+    unit = np.array([v / (np.linalg.norm(v) or 1) for v in x])
+    score = unit @ unit[q]
+    order = sorted(range(len(x)), key=lambda i: (-round(score[i], 9), ids[i]))[:k]
+    return [(ids[i], round(score[i], 6)) for i in order]
 
-    def run():
-        return {(r["query"], r["rank"]): r["vec_id"] for r in RT.cosine_topk(df, queries, k=12, buckets=5).collect()}
 
-    small = run()
-    monkeypatch.setattr(JN, "MAX_BROADCAST_BYTES", -1)
-    assert run() == small and len(small) == 100 * 12
-    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    scores = unit @ unit.T
-    for q in range(0, 300, 3):
-        assert [small[q, r + 1] for r in range(12)] == list(np.argsort(-scores[q], kind="stable")[:12])
+@pytest.mark.parametrize("block_rows", [4096, 7])
+def test_bounds_never_change_the_search(spark, monkeypatch, block_rows):
+    """Clustered vectors, copies, a zero vector, another length, repeated ids."""
+    monkeypatch.setattr(SE, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6)) * 0.1 + rng.normal(size=(12, 6))[rng.integers(0, 12, 400)]
+    x[30:90] = x[30]
+    x[91] = 0
+    ids = list(range(400))
+    ids[399] = 5
+    rows = [(i, [float(a) for a in v]) for i, v in zip(ids, x)]
+    odd = [(900, None), (901, [1.0, None]), (902, [float("nan")] * 6), (903, [1.0, 2.0]), (920, [2.0, 4.1]), (904, [])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(4)
+    found = SE.search(df, df.filter("vec_id % 3 = 0 OR vec_id >= 900"), "vec_id", "embedding", 5)
+    got = {}
+    for r in found.hits.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["vec_id"], round(r["score"], 6)))
+    want = {i: _brute_hits(x, ids, i, 5) for i in range(0, 399, 3)}
+    assert {q: v for q, v in got.items() if q < 900 and q != 91} == want
+    assert [i for i, _ in got[903]] == [903, 920] and set(got) - set(want) == {903, 904, 920}
+    scored, all_pairs = found.work()
+    assert scored <= all_pairs and (block_rows > 7 or scored < all_pairs / 2)
+
+
+def test_search_of_nothing(spark):
+    df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    assert RT.cosine_topk(df.limit(0), df).count() == 0 and RT.cosine_topk(df, df.limit(0)).count() == 0
+    assert [tuple(r) for r in RT.cosine_topk(df, df, k=3).collect()] == [(1, 1, 1, 1.0)]
 
 
 def test_whole_search_and_every_passage_of_a_hit(spark, tmp_path):

@@ -11,7 +11,7 @@ from oracle import compare, duck
 SF = "/root/testdata/sf0.01"
 FAST = ["panel_long", "yoy_growth", "macro_trend", "hhi", "panel_unpivot", "category_pivot", "entity_stats",
         "cagr_halves", "cagr_historical", "share_change", "top_share_rest", "zero_entities", "series_trend",
-        "structural_breaks", "fc_naive", "fc_linear", "doc_chunks", "cosine_topk", "silhouette", "winsorize"]
+        "structural_breaks", "fc_naive", "fc_linear", "doc_chunks", "cosine_topk_all", "silhouette", "winsorize"]
 
 
 @pytest.fixture(scope="module")

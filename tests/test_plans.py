@@ -12,7 +12,7 @@ def _plan(spark, name):
     return E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["panel_long", "total_consistency", "hhi", "doc_chunks", "cosine_topk",
+@pytest.mark.parametrize("name", ["panel_long", "total_consistency", "hhi", "doc_chunks",
                                   "region_enrich", "series_lookup"])
 def test_no_python_and_no_cartesian(spark, name):
     plan = _plan(spark, name)

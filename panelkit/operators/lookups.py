@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import broadcast_if_small
 from .ranges import with_average_rank, with_position
 
 # The reference's alias table (query name -> entity name).
@@ -12,22 +13,58 @@ ALIASES = [("vietnam", "Viet Nam"), ("ivory coast", "Côte d'Ivoire"), ("drc", "
            ("bolivia", "Bolivia (Plurinational State of)"), ("laos", "Lao People's Democratic Republic")]
 
 
+GRAM = 3            # characters of an index entry; shorter texts are found by all of their own
+
+
+def _grams(c: str, n) -> Column:
+    """All substrings of ``n`` characters."""
+    return F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))
+
+
+def _index(rows: DataFrame, text: str, *ids: str) -> DataFrame:
+    """(ids, text, gram): the substrings of up to ``GRAM`` characters of every text."""
+    sized = [F.when(F.length(text) >= n, _grams(text, n)).otherwise(F.array().cast("array<string>"))
+             for n in range(1, GRAM + 1)]
+    return rows.select(*ids, text, F.explode(F.array_distinct(F.concat(*sized))).alias("gram"))
+
+
+def _signature(rows: DataFrame, text: str, freq: DataFrame, *ids: str) -> DataFrame:
+    """(ids, text, gram): the rarest substring of every non-empty text, which
+    any text that contains it has too."""
+    n = F.least(F.length(text), F.lit(GRAM))
+    own = rows.filter(F.length(text) > 0).select(*ids, text, F.explode(F.array_distinct(_grams(text, n))).alias("gram"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)), "gram")
+    return own.join(freq, "gram", "left").groupBy(*ids, text).agg(F.min_by("gram", rarity).alias("gram"))
+
+
 def resolve_names(names: DataFrame, entities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """F8: query names (name, ord) -> entity.  Priority: exact ignoring case,
     then substring in either direction (first entity in name order), then
-    the alias table.  The names, a list of the caller's, are the broadcast
-    side; the entities stay spread.  Unresolved names get NULL."""
+    the alias table.  Unresolved names get NULL.
+
+    A text can only contain another one if it has the other one's rarest
+    substring of ``GRAM`` characters, so names and entities meet by equality on
+    it, either way, and only these pairs are compared.  A blank name is part of
+    every entity and gets the first one.
+    """
     q = names.withColumn("_q", F.lower(F.trim("name")))
     e = entities.select("entity").distinct().withColumn("_e", F.lower("entity"))
-    m = e.crossJoin(F.broadcast(q)).withColumn(
-        "_p", F.when(F.col("_q") == F.col("_e"), 1)
-        .when(F.col("_e").contains(F.col("_q")) | F.col("_q").contains(F.col("_e")), 2))
-    hits = m.filter(F.col("_p").isNotNull())
-    best = hits.groupBy("ord").agg(F.min(F.struct("_p", "entity"))["entity"].alias("entity"))
+    indexed = _index(e, "_e", "entity")
+    freq = indexed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    exact = q.join(e, F.col("_q") == F.col("_e")).select("ord", F.lit(1).alias("_p"), "entity")
+    inside = _signature(q, "_q", freq, "ord").join(indexed, "gram").filter(F.col("_e").contains(F.col("_q")))
+    around = _signature(e, "_e", freq, "entity").join(_index(q, "_q", "ord"), "gram").filter(F.col("_q").contains(F.col("_e")))
+    # a blank name meets the first entity, a blank entity every name: one row each
+    blank = q.filter("_q = ''").crossJoin(F.broadcast(e.agg(F.min("entity").alias("entity")))) \
+        .unionByName(q.filter("_q IS NOT NULL").crossJoin(F.broadcast(e.filter("_e = ''").limit(1).select("entity"))))
+    hits = exact
+    for part in (inside, around, blank):
+        hits = hits.unionByName(part.select("ord", F.lit(2).alias("_p"), "entity"))
+    best = hits.filter("entity IS NOT NULL").groupBy("ord").agg(F.min(F.struct("_p", "entity"))["entity"].alias("entity"))
     out = q.join(best, "ord", "left")
     if aliases is not None:
         al = aliases.select(F.lower("alias").alias("_q"), F.col("entity").alias("_alias"))
-        out = out.join(F.broadcast(al), "_q", "left") \
+        out = out.join(broadcast_if_small(al), "_q", "left") \
             .withColumn("entity", F.coalesce("entity", "_alias")).drop("_alias")
     return out.select("name", "ord", "entity")
 

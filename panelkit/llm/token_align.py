@@ -32,8 +32,9 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +42,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, byte_alphabet, read_spec
+from .bpe import byte_alphabet, read_spec
 from .common import columns_of, cut_lineage, doc_columns, text_bytes
 
 CHUNK_BYTES = 64 << 10      # a longer document is cut into byte ranges of this size
-BATCH_BYTES = 16 << 20      # text whose units share one dictionary
-BATCH_UNITS = 200_000
+BATCH_BYTES = 24 << 20      # text whose units share one dictionary
+BATCH_UNITS = 400_000
+JOINED = 4_096              # units encoded together
 ARITY = 8                   # fragments that a task composes at a time
-MEMO_ENTRIES = 150_000
-MEMO_CHARS = 64
 B_BITS = 32                 # an id pair is (A's id << 32) + B's id
 SPACE_MARK = "\u2581"       # fixed value: B's sign for a space
 
@@ -72,10 +72,19 @@ def units_of(spaced: str) -> list[str]:
     return spaced[1:].split(" ")
 
 
+class Aligned:
+    """Alignment of a list of units: ``good`` (whether the tokens' bytes are
+    the unit's), ``figures`` (tokens of A and of B, groups, links), ``texts`` of
+    the groups, and the links as id pairs, unit by unit from ``ptr``."""
+
+    def __init__(self, good, figures, texts, ptr, links):
+        self.good, self.figures, self.texts, self.ptr, self.links = good, figures, texts, ptr, links
+
+
 class Aligner:
-    """Both tokenizers, and what is known of units (built once per worker)."""
+    """Both tokenizers (built once per worker)."""
 
-    def __init__(self, a_spec: str, b_model: bytes, memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, a_spec: str, b_model: bytes):
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_str(a_spec)
@@ -85,61 +94,102 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         special = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        self.a_bytes = {i: s.encode() if s in special else bytes(byte_of[c] for c in s)
-                        for s, i in self.a.get_vocab().items()}
+        vocab = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for s, i in vocab.items():
+            self.a_bytes[i] = s.encode() if s in special else bytes(byte_of[c] for c in s)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode()
                         for i, p in enumerate(pieces)]
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces):
             raise ValueError("a piece of B joins text across a space, so units can't be encoded on their own")
-        self.memo = Memo(memo_entries)
-
-    def align(self, units: list[str]) -> list[tuple | None]:
-        """For each unit: (groups text, tokens of A, tokens of B, groups, links
-        as id pairs); None where the tokens' bytes aren't the text's."""
-        out = []
-        encoded = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        for unit, got, b_ids in zip(units, encoded, self.b.encode(units, num_threads=1)):
-            a_ids, want = got.ids, b" " + unit.encode()
-            a_tok, b_tok = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-            if b"".join(a_tok) != want or b"".join(b_tok) != want:
-                out.append(None)
-                continue
-            out.append(link(a_ids, list(accumulate(map(len, a_tok))), b_ids, list(accumulate(map(len, b_tok)))))
-        return out
-
-    def known(self, units: list[str]) -> dict[str, tuple | None]:
-        """Alignments of distinct units, from memory where they are in it."""
-        found, miss = {}, []
-        for u in units:
-            got = self.memo.get(u)
-            if got is None:
-                miss.append(u)
+        self.ranked = self._ranked(vocab)
+        self.lengths = [np.array([len(b) for b in table], np.int64) for table in (self.a_bytes, self.b_bytes)]
+        # an id with what follows it: another one of its side, or the end of its side's part of a group
+        self.shown = [f"{i}{end}".encode() for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))
+                      for end in ends for i in range(len(table))]
+        self.shown_from = np.cumsum([0, len(self.a_bytes), len(self.a_bytes), len(self.b_bytes)])
+
+    def _ranked(self, vocab: dict[str, int]):
+        """A as a list of ranks, which is much faster, or None.
+
+        Merging the pair whose joint bytes have the least id is the same as
+        merging by A's list of pairs if every entry of the vocabulary, taken by
+        itself, merges to itself: as long as no merge has reached over the ends
+        of some bytes, they merge as they do by themselves.  So that is checked,
+        and that pairs are listed in the order of the ids they make.  It serves
+        text below U+0530, where all Unicode tables agree on letters and digits.
+        """
+        import json
+
+        import public_tokenizers
+        import tiktoken
+        spec = json.loads(self.a.to_str())
+        made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        split = spec["pre_tokenizer"]
+        plain = [s for s in vocab if s not in {t["content"] for t in spec["added_tokens"]}]
+        if (split["type"], split.get("use_regex"), spec["normalizer"]) != ("ByteLevel", True, None) or made != sorted(made) \
+                or any(len(self.a.model.tokenize(s)) != 1 for s in plain):
+            return None
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                 mergeable_ranks={self.a_bytes[vocab[s]]: vocab[s] for s in plain})
+
+    def ids_a(self, text: str) -> np.ndarray:
+        if self.ranked is not None and max(text) < "\u0530":
+            return np.array(self.ranked.encode_ordinary(text), np.int64)
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def align(self, units: list[str]) -> Aligned:
+        """Align many units at a time: A encodes them joined again, as nothing
+        reaches over a cut, and all offsets are compared as arrays.  A unit
+        that ends in white space can't be followed by another one, and a unit
+        whose bytes don't come back spoils its neighbours, so these are encoded
+        on their own."""
+        parts, at = [], 0
+        while at < len(units):
+            some = units[at:at + JOINED]
+            at += len(some)
+            if not any(not u or u[-1].isspace() for u in some) and (got := self._joined(some)):
+                parts.append(got)
             else:
-                found[u] = got[0]
-        for u, got in zip(miss, self.align(miss) if miss else ()):
-            found[u] = got
-            if len(u) <= MEMO_CHARS:
-                self.memo.put(u, (got,))
-        return found
-
-
-def link(a_ids, a_ends, b_ids, b_ends) -> tuple:
-    """Walk both token lists over the same bytes: a link for every overlap, a
-    group for every common end."""
-    i = j = a0 = b0 = 0
-    links, groups = [], []
-    while i < len(a_ids):
-        links.append((a_ids[i] << B_BITS) + b_ids[j])
-        at, bt = a_ends[i], b_ends[j]
-        if at <= bt:
-            i += 1
-        if bt <= at:
-            j += 1
-        if at == bt:
-            groups.append(",".join(map(str, a_ids[a0:i])) + "|" + ",".join(map(str, b_ids[b0:j])))
-            a0, b0 = i, j
-    return ";".join(groups).encode(), len(a_ids), len(b_ids), len(groups), tuple(links)
+                parts += [self._joined([u]) or Aligned(np.zeros(1, bool), np.zeros((1, 4), np.int64), [b""],
+                                                       np.zeros(2, np.int64), np.zeros(0, np.int64)) for u in some]
+        if not parts:
+            return Aligned(np.zeros(0, bool), np.zeros((0, 4), np.int64), [], np.zeros(1, np.int64), np.zeros(0, np.int64))
+        ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.ptr) for p in parts]))])
+        return Aligned(np.concatenate([p.good for p in parts]), np.concatenate([p.figures for p in parts]),
+                       [t for p in parts for t in p.texts], ptr, np.concatenate([p.links for p in parts]))
+
+    def _joined(self, units: list[str]) -> Aligned | None:
+        text = " " + " ".join(units)
+        raw = text.encode("utf-8", "surrogatepass")
+        a, b = self.ids_a(text), list(chain.from_iterable(self.b.encode(units, num_threads=1)))
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        lengths = map(len, units) if text.isascii() else (len(u.encode("utf-8", "surrogatepass")) for u in units)
+        ends = np.cumsum(np.fromiter(lengths, np.int64, len(units)) + 1)
+        return self.aligned(a, np.array(b, np.int64), ends)
+
+    def aligned(self, a: np.ndarray, b: np.ndarray, unit_ends: np.ndarray) -> Aligned:
+        """Groups and links of the token ids ``a`` and ``b`` of one text, per
+        unit.  Between two neighbouring ends, of whichever side, lies the overlap
+        of one token of A and one of B, and every overlap is such a stretch."""
+        ends = [np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])]
+        every = np.union1d(*ends)
+        common = np.intersect1d(*ends, assume_unique=True)
+        links = (a[np.searchsorted(ends[0], every)] << B_BITS) + b[np.searchsorted(ends[1], every)]
+        upto = [np.searchsorted(e, unit_ends, "right") for e in (*ends, common, every)]
+        figures = np.stack([np.diff(u, prepend=0) for u in upto], 1)
+        # tokens in the order of the groups' text: by group, then A before B
+        group = [np.searchsorted(common, e) for e in ends]
+        last = [e == common[g] for e, g in zip(ends, group)]
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        what = np.concatenate([a + self.shown_from[last[0].astype(np.int64)], b + self.shown_from[2 + last[1].astype(np.int64)]])
+        shown = [self.shown[i] for i in what[order].tolist()]
+        stop = (upto[0] + upto[1]).tolist()
+        texts = [b"".join(shown[i:j])[:-1] for i, j in zip([0, *stop], stop)]
+        return Aligned(np.ones(len(unit_ends), bool), figures.astype(np.int64), texts,
+                       np.concatenate([[0], upto[3]]), links)
 
 
 _ALIGNERS: dict[str, Aligner] = {}
@@ -221,75 +271,78 @@ def place_before(chunk: int) -> int:
 # -- batches ------------------------------------------------------------------
 
 class Batch:
-    """Texts that share a dictionary of units, up to ``limit`` bytes."""
+    """Texts that share a dictionary of units, up to ``limit`` bytes; a unit is
+    aligned once, when the batch is closed."""
 
     def __init__(self, aligner: Aligner, limit: int):
         self.aligner, self.limit = aligner, limit
-        self.index: dict[str, int] = {}
-        self.units: list[tuple | None] = []
-        self.groups: list[bytes] = []
-        self.rows: list[tuple] = []         # row, doc_id, place, good, groups (parts) or their hash (whole texts)
-        self.used: list[tuple[np.ndarray, np.ndarray]] = []
+        self.index: defaultdict[str, int] = defaultdict()      # a new unit gets the next number
+        self.index.default_factory = self.index.__len__
+        self.rows: list[tuple] = []         # row, doc_id, place
+        self.units: list[np.ndarray] = []   # numbers of each text's units, in order
         self.bytes = 0
 
     def add(self, row: int, doc_id, place: int | None, spaced: str) -> None:
         """A whole text (``place`` None) or the part of one at ``place``;
         empty for a text without tokens."""
         units = units_of(spaced) if spaced else []
-        at = list(map(self.index.get, units))
-        if None in at:
-            new = [u for u in dict.fromkeys(units) if u not in self.index]
-            known = self.aligner.known(new)
-            for u in new:
-                got = known[u]
-                self.index[u] = len(self.units)
-                self.units.append(got)
-                self.groups.append(got[0] if got else b"")
-            at = list(map(self.index.__getitem__, units))
-        ids, times = np.unique(np.array(at, np.int32), return_counts=True)
-        good = bool(units) and all(self.units[i] is not None for i in ids.tolist())
-        if not good:
-            ids, times, text = ids[:0], times[:0], b""
-        else:
-            text = b";".join([self.groups[i] for i in at])
-            if place is None:
-                text = hashlib.sha256(text).hexdigest().encode()
-        self.rows.append((row, doc_id, place, good or not units, text))
-        self.used.append((ids, times))
+        self.rows.append((row, doc_id, place))
+        self.units.append(np.fromiter(map(self.index.__getitem__, units), np.int32, len(units)))
         self.bytes += len(spaced) + 64
 
     def full(self) -> bool:
-        return self.bytes >= self.limit or len(self.units) >= BATCH_UNITS
+        return self.bytes >= self.limit or len(self.index) >= BATCH_UNITS
 
     def close(self, name: int) -> dict:
         """The batch as one row: its id pairs, in how many whole documents each
-        is linked, the pairs of each part's document, and the rest packed."""
-        links = [u[4] if u else () for u in self.units]
-        ptr = np.concatenate([[0], np.cumsum([len(x) for x in links], dtype=np.int64)])
-        flat = np.fromiter((p for x in links for p in x), np.int64, int(ptr[-1]))
-        pairs, flat = np.unique(flat, return_inverse=True)
+        is linked, the pairs of each part's document, and the rest packed.  A
+        text's hash stands for the groups of a whole text; parts keep them."""
+        known = self.aligner.align(list(self.index))
+        size = max(len(self.index), 1)
+        key, times = np.unique(np.repeat(np.arange(len(self.units)), [len(u) for u in self.units]) * size
+                               + np.concatenate(self.units), return_counts=True)
+        text, used = key // size, key % size
+        spoiled = np.zeros(len(self.units), bool)
+        spoiled[text[~known.good[used]]] = True
+        kept = ~spoiled[text]
+        text, used, times = text[kept], used[kept], times[kept]
+        texts = []
+        for (_, _, place), at, bad in zip(self.rows, self.units, spoiled.tolist()):
+            groups = b"" if bad else b";".join([known.texts[i] for i in at.tolist()])
+            texts.append(hashlib.sha256(groups).hexdigest().encode() if place is None and groups else groups)
+        pairs, flat = np.unique(known.links, return_inverse=True)
         docs = np.zeros(len(pairs), np.int64)
         of_row, of_pair = [], []
-        for (row, _, place, _, _), (ids, _) in zip(self.rows, self.used):
-            if not len(ids):
-                continue
-            held = np.unique(np.concatenate([flat[ptr[i]:ptr[i + 1]] for i in ids.tolist()]))
-            if place is None:
-                docs[held] += 1
-            else:
-                of_row.append(np.full(len(held), row, np.int64))
-                of_pair.append(pairs[held])
-        figures = np.array([u[1:4] if u else (0, 0, 0) for u in self.units], np.int64).reshape(-1, 3)
-        ends = np.cumsum([0] + [len(ids) for ids, _ in self.used], dtype=np.int64)
-        none, empty = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        cat = lambda xs, e: np.concatenate(xs) if xs else e                                    # noqa: E731
-        packed = _pack(ptr=ptr, flat=flat.astype(np.int32), figures=figures, ends=ends,
-                       used=cat([i for i, _ in self.used], empty),
-                       times=cat([t for _, t in self.used], empty).astype(np.int32))
-        rows = list(zip(*self.rows))
+        whole = np.array([place is None for _, _, place in self.rows], bool)
+        numbers = np.array([row for row, _, _ in self.rows], np.int64)
+        for t, held in _held(text, used, known.ptr, flat, len(pairs)):
+            docs += np.bincount(held[whole[t]], minlength=len(pairs))
+            of_row.append(numbers[t[~whole[t]]])
+            of_pair.append(pairs[held[~whole[t]]])
+        ends = np.searchsorted(text, np.arange(len(self.units) + 1))
+        cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)                    # noqa: E731
+        packed = _pack(ptr=known.ptr, flat=flat.astype(np.int32), figures=known.figures[:, :3], ends=ends,
+                       used=used.astype(np.int32), times=times.astype(np.int32))
+        rows, doc_ids, places = zip(*self.rows)
         return {"batch": name, "packed": packed, "pairs": pairs, "pair_docs": docs,
-                "part_rows": cat(of_row, none), "part_pairs": cat(of_pair, none),
-                "rows": rows[0], "doc_ids": rows[1], "places": rows[2], "good": rows[3], "texts": rows[4]}
+                "part_rows": cat(of_row), "part_pairs": cat(of_pair),
+                "rows": rows, "doc_ids": doc_ids, "places": places, "good": (~spoiled).tolist(), "texts": texts}
+
+
+def _held(text: np.ndarray, units: np.ndarray, ptr: np.ndarray, flat: np.ndarray, pairs: int, some: int = 500_000):
+    """(text, pair) of every pair that a text holds, once each, some texts at a
+    time: the pairs of its units, gathered and made distinct."""
+    at = 0
+    while at < len(text) and pairs:
+        end = min(at + some, len(text))
+        end = int(np.searchsorted(text, text[end - 1], "right"))
+        u = units[at:end]
+        count = ptr[u + 1] - ptr[u]
+        first = np.repeat(ptr[u] - (np.cumsum(count) - count), count)
+        key = np.sort(np.repeat(text[at:end], count) * pairs + flat[first + np.arange(len(first))])
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        yield key // pairs, key % pairs
+        at = end
 
 
 def _pack(**arrays) -> bytes:

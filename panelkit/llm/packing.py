@@ -32,8 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec_of, read_spec
-from .common import columns_of, cut_lineage, doc_columns
+from .bpe import read_spec
+from .bulk_words import blocks, encoder_of
+from .common import cut_lineage, doc_columns
 
 TIERS = (256, 512, 1024, 2048, 4096)
 EOS_ID = 2
@@ -229,20 +230,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers=TIERS, eos_id: in
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
     def first_round(batches) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(spec.value)
+        encoder = encoder_of(spec.value)
         task = TaskContext.get().partitionId()
         packer = Packer(task << TASK_SHIFT, tiers, step_tokens)
         end = eos_id.to_bytes(4, "little")
         held, tokens = [], 0
-        for doc_ids, texts in columns_of(batches):
-            for d, text in zip(doc_ids, texts):
-                ids = codec.encode(text) + end
-                held.append((d, 0, ids, len(ids) // 4))
-                tokens += len(ids) // 4
-                if tokens >= block_tokens:
-                    rows, held = packer.rows(held, last=False)
-                    tokens = sum(len(ids) // 4 for _, _, ids, _ in held)
-                    yield _batch(rows, [], task)
+        for rb in batches:
+            doc_ids = rb.column(0).to_pylist()
+            for at, texts in blocks(rb.column(1)):
+                for d, ids in zip(doc_ids[at:], encoder.encode(texts)):
+                    ids += end
+                    held.append((d, 0, ids, len(ids) // 4))
+                    tokens += len(ids) // 4
+                    if tokens >= block_tokens:
+                        rows, held = packer.rows(held, last=False)
+                        tokens = sum(len(ids) // 4 for _, _, ids, _ in held)
+                        yield _batch(rows, [], task)
         rows, tails = packer.rows(held, last=False)
         yield _batch(rows, tails, task)
 

@@ -61,6 +61,17 @@ def backtest_predictions(panel: DataFrame, breaks: DataFrame, keys, holdout: int
     return pred, test
 
 
+def backtest_detail(panel: DataFrame, breaks: DataFrame, keys=("entity", "category"), holdout: int = HOLDOUT,
+                    models=MD.MODEL_ORDER) -> DataFrame:
+    """(series, model, step) -> prediction, actual and the last train
+    period, one row per holdout point and model."""
+    keys = list(keys)
+    pred, test = backtest_predictions(panel, breaks, keys, holdout, models)
+    seen = indexed(panel, keys).groupBy(*keys).agg((F.max("t") - holdout).cast("int").alias("train_last_t"))
+    return pred.join(test, [*keys, "step"]).join(seen, keys).select(
+        *keys, "model", "step", F.col("forecast").alias("prediction"), "actual", "train_last_t")
+
+
 def train_breaks(panel: DataFrame, keys, holdout: int = HOLDOUT, **kw) -> DataFrame:
     """Breaks detected on the train part only (``breaks_on="train"``): the
     last ``holdout`` points of every trimmed series are removed first, so the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,18 +67,14 @@ def audit_raw(rows: DataFrame, table: str, key, non_negative=(), references=())
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Count by value, descending."""
-    return df.groupBy(col).agg(F.count("*").alias("n"))
+    """Count by value, most frequent first, then by value."""
+    return df.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col)
 
 
-def zero_entities(wide: DataFrame) -> DataFrame:
-    """V5: entities having a zero in any period: count and sorted list."""
-    periods = [c for c in wide.columns if "/" in c]
-    any_zero = F.greatest(*[(F.col(f"`{c}`") == 0) for c in periods]) if len(periods) > 1 \
-        else (F.col(f"`{periods[0]}`") == 0)
-    z = wide.filter(any_zero).select("entity").distinct()
-    return z.agg(F.count("*").alias("n_entities"),
-                 F.sort_array(F.collect_list("entity")).alias("entities"))
+def zero_entities(panel: DataFrame) -> DataFrame:
+    """V5: the entities that have a zero in any period, one row each (their
+    number is a count of these rows)."""
+    return panel.filter(F.col("value") == 0).select("entity").distinct()
 
 
 def total_consistency(computed: DataFrame, declared: DataFrame, ids=("entity", "category")) -> DataFrame:
@@ -90,23 +86,42 @@ def total_consistency(computed: DataFrame, declared: DataFrame, ids=("entity", "
     return j.withColumn("diff_pct", diff)
 
 
-def audit_report(summary: DataFrame, consistency: DataFrame, zeros: DataFrame) -> DataFrame:
-    """V8: check -> value -> status.  Max difference < 0.01% passes."""
-    s = summary.crossJoin(consistency).crossJoin(zeros.select(F.col("n_entities").alias("n_zero_entities")))
+def audit_report(raw: DataFrame, consistency: DataFrame, zeros: DataFrame) -> DataFrame:
+    """V8: check -> value -> status, of the lines of :func:`audit_raw` for all
+    input tables, the totals' consistency and the entities with zeros.  A
+    largest difference below 0.01% passes."""
+    n = {c: F.coalesce(F.sum(F.when(F.col("check") == c, F.col("n"))), F.lit(0)).alias(c)
+         for c in ("nulls", "duplicates", "negative", "unmapped")}
+    s = raw.agg(*n.values()).crossJoin(consistency).crossJoin(zeros.agg(F.count(F.lit(1)).alias("zeros")))
+
     def row(name, value, status):
-        return F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"),
-                        (status if not isinstance(status, str) else F.lit(status)).alias("status"))
+        return F.struct(F.lit(name).alias("check"), F.col(value).cast("double").alias("value"), status.alias("status"))
 
     def ok_if_zero(c, bad="fail"):
         return F.when(F.col(c) == 0, "pass").otherwise(bad)
 
-    rows = s.select(F.inline(F.array(
-        row("nulls", F.col("n_nulls"), ok_if_zero("n_nulls")),
-        row("duplicate_series", F.col("n_duplicates"), ok_if_zero("n_duplicates")),
-        row("total_max_pct_diff", F.col("max_pct_diff"),
-            F.when(F.col("max_pct_diff") < 0.01, "pass").otherwise("review")),
-        row("entities_with_zeros", F.col("n_zero_entities"), "warn"),
-        row("negative_values", F.col("n_negative"), ok_if_zero("n_negative")),
-        row("unmapped_entities", F.col("n_unmapped"), ok_if_zero("n_unmapped", "warn")),
+    return s.select(F.inline(F.array(
+        row("nulls", "nulls", ok_if_zero("nulls")),
+        row("duplicate_keys", "duplicates", ok_if_zero("duplicates")),
+        row("total_max_pct_diff", "max_pct_diff", F.when(F.col("max_pct_diff") < 0.01, "pass").otherwise("review")),
+        row("entities_with_zeros", "zeros", F.lit("warn")),
+        row("negative_values", "negative", ok_if_zero("negative")),
+        row("unmapped_keys", "unmapped", ok_if_zero("unmapped", "warn")),
     )))
-    return rows
+
+
+def top_lists(df: DataFrame, keys: list[str], lists: list[tuple[str, str, bool, int]]) -> DataFrame:
+    """Several top lists of one table in one pass: ``list int`` (its place
+    in ``lists``), ``rank int`` and the ``keys``.
+
+    A list is ``(name, column, descending, length)``; NULLs are in none, ties go
+    by the keys.  A row becomes a candidate of each list, and tasks keep the
+    longest list's length of them before anything moves."""
+    most = max(n for *_, n in lists)
+    cell = F.array(*[F.struct(F.lit(i).alias("list"), F.lit(n).alias("length"),
+                              (-F.col(c) if down else F.col(c)).cast("double").alias("by"))
+                     for i, (_, c, down, n) in enumerate(lists)])
+    rows = df.select(*keys, F.inline(cell)).filter(F.col("by").isNotNull() & ~F.isnan("by"))
+    first = Window.partitionBy("list").orderBy("by", *keys)
+    return rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most) \
+        .filter(F.col("rank") <= F.col("length")).select("list", "rank", *keys)

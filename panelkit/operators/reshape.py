@@ -42,14 +42,9 @@ def to_long(wide: DataFrame, ids=("entity", "category")) -> DataFrame:
         .withColumn("value", F.col("value").cast("double"))
 
 
-def pivot_sum(df: DataFrame, row: str, col: str, values: list, value: str = "value") -> DataFrame:
-    """``row`` x ``col`` table of sums (explicit pivot values)."""
-    return df.groupBy(row).pivot(col, values).agg(F.sum(value))
-
-
 def pivot_sum_all(df: DataFrame, row: str, col: str, values: list, value: str = "value", other: str = "OTHER") -> DataFrame:
-    """:func:`pivot_sum` with a column ``other``: the sum over all names that
-    are not in ``values`` (null is one of them), NULL where there are none."""
+    """``row`` x ``col`` table of sums for the names in ``values``, and
+    ``other``: the sum over all other names (null is one), NULL where none."""
     shown = [F.sum(F.when(F.col(col) == v, F.col(value))).alias(v) for v in values]
     rest = ~F.coalesce(F.col(col).isin(values), F.lit(False))
     return df.groupBy(row).agg(*shown, F.sum(F.when(rest, F.col(value))).alias(other))

@@ -57,7 +57,8 @@ from ..operators import rules as C  # noqa: E402
 from ..operators.joins import broadcast_if_small, literal_table  # noqa: E402
 from ..operators.ranges import quantiles, with_position  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
-from .panels import nation_region  # noqa: E402
+from .panels import nation_region, panel_a_cells  # noqa: E402
+from .stages import stages_for  # noqa: E402
 
 EP = """, ep AS (
   SELECT entity, region, t, period_label, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS value
@@ -78,23 +79,6 @@ ENTITIES = [f"NATION_{i}" for i in range(25)]
 CATEGORIES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@register("panel_pivot", with_panel(EP + """
-SELECT t, """ + ", ".join(f"sum(round(value, 2)) FILTER (WHERE entity = '{n}') AS {n}" for n in ENTITIES)
-                                      + " FROM ep GROUP BY t"))
-def q_panel_pivot(spark, sf):
-    ep = M.entity_period(panel_a(spark, sf)).withColumn("value", r2("value"))
-    return R.pivot_sum(ep, "t", "entity", ENTITIES)
-
-
-@register("category_pivot", with_panel(""", ct AS (
-  SELECT t, category, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS v FROM panel GROUP BY 1, 2)
-SELECT t, """ + ", ".join(f"sum(round(v, 2)) FILTER (WHERE category = '{c}') AS {c}" for c in CATEGORIES)
-                                         + " FROM ct GROUP BY t"))
-def q_category_pivot(spark, sf):
-    ct = M.period_totals(panel_a(spark, sf), by=["category"]).select("t", "category", r2("total").alias("v"))
-    return R.pivot_sum(ct, "t", "category", CATEGORIES, value="v")
-
-
 def _other_sql(name, value, shown):
     names = ", ".join(f"'{n}'" for n in shown)
     return f"sum(round({value}, 2)) FILTER (WHERE {name} IS NULL OR {name} NOT IN ({names})) AS OTHER"
@@ -104,7 +88,7 @@ def _other_sql(name, value, shown):
 SELECT t, """ + ", ".join(f"sum(round(value, 2)) FILTER (WHERE entity = '{n}') AS {n}" for n in ENTITIES)
                                          + ", " + _other_sql("entity", "value", ENTITIES) + " FROM ep GROUP BY t"))
 def q_panel_pivot_all(spark, sf):
-    """``panel_pivot`` with the sum of all entities that have no column."""
+    """Shown entities as columns, and the sum of all that have none."""
     ep = M.entity_period(panel_a(spark, sf)).withColumn("value", r2("value"))
     return R.pivot_sum_all(ep, "t", "entity", ENTITIES)
 
@@ -114,7 +98,7 @@ def q_panel_pivot_all(spark, sf):
 SELECT t, """ + ", ".join(f"sum(round(v, 2)) FILTER (WHERE category = '{c}') AS {c}" for c in CATEGORIES)
                                             + ", " + _other_sql("category", "v", CATEGORIES) + " FROM ct GROUP BY t"))
 def q_category_pivot_all(spark, sf):
-    """``category_pivot`` with the sum of all categories that have no column."""
+    """P5: shown categories as columns, and the sum of all that have none."""
     ct = M.period_totals(panel_a(spark, sf), by=["category"]).select("t", "category", r2("total").alias("v"))
     return R.pivot_sum_all(ct, "t", "category", CATEGORIES, value="v")
 
@@ -418,16 +402,31 @@ u AS (
    ORDER BY cagr_second_half ASC, entity, category LIMIT 3))
 SELECT DISTINCT entity, category FROM u"""))
 def q_notable_entities(spark, sf):
-    p = panel_a(spark, sf)
+    """Largest series, fastest and slowest growing ones, each once."""
+    p = stages_for(spark, sf).panel
     x = M.wide_metrics(p).join(M.cagr_halves(p), ["entity", "category"])
-    nn = x.filter(F.col("cagr_second_half").isNotNull())
-    parts = [x.orderBy(F.desc("mean_value"), "entity", "category").limit(6),
-             nn.orderBy(F.desc("cagr_second_half"), "entity", "category").limit(4),
-             nn.orderBy("cagr_second_half", "entity", "category").limit(3)]
-    u = parts[0].select("entity", "category")
-    for q in parts[1:]:
-        u = u.unionByName(q.select("entity", "category"))
-    return u.dropDuplicates(["entity", "category"])
+    return Q.top_lists(x, ["entity", "category"], [
+        ("largest", "mean_value", True, 6), ("fastest", "cagr_second_half", True, 4),
+        ("slowest", "cagr_second_half", False, 3)]).select("entity", "category").distinct()
+
+
+@register("notable_by_volatility", with_panel(WM_SQL + """, x AS (
+  SELECT entity, category, mean_value, std_value / nullif(mean_value, 0) AS cv_value FROM wm),
+u AS (
+  SELECT 0 AS list, row_number() OVER (ORDER BY mean_value DESC, entity, category) AS rank, * FROM x
+  UNION ALL
+  SELECT 1, row_number() OVER (ORDER BY cv_value DESC, entity, category), * FROM x WHERE cv_value IS NOT NULL
+  UNION ALL
+  SELECT 2, row_number() OVER (ORDER BY cv_value, entity, category), * FROM x WHERE cv_value IS NOT NULL)
+SELECT entity, arg_min(category, (list, rank)) AS category FROM u
+WHERE rank <= CASE list WHEN 0 THEN 8 ELSE 3 END GROUP BY entity"""))
+def q_notable_by_volatility(spark, sf):
+    """The 8 largest series, the 3 most and the 3 least volatile ones; an
+    entity is named once, by its first series."""
+    x = M.wide_metrics(stages_for(spark, sf).panel)
+    found = Q.top_lists(x, ["entity", "category"], [("largest", "mean_value", True, 8), ("volatile", "cv_value", True, 3),
+                                                    ("steady", "cv_value", False, 3)])
+    return found.groupBy("entity").agg(F.min_by("category", F.struct("list", "rank")).alias("category"))
 
 
 @register("share_bands", with_panel(SHARE_SQL + """, last AS (
@@ -543,7 +542,8 @@ def q_raw_audit(spark, sf):
 @register("category_counts", with_panel("""
 SELECT category, count(*) AS n FROM (SELECT DISTINCT entity, category FROM panel) GROUP BY 1"""))
 def q_category_counts(spark, sf):
-    return Q.value_counts(_wide(spark, sf), "category")
+    """Series by category, the most frequent first."""
+    return Q.value_counts(panel_a_cells(spark, sf).select("entity", "category").distinct(), "category")
 
 
 def declared_totals(spark, sf):
@@ -594,32 +594,32 @@ def q_total_consistency(spark, sf):
     return _consistency(spark, sf)
 
 
-ZERO_SQL = """, z AS (SELECT count(*) AS n_entities, list(entity ORDER BY entity) AS entities
-  FROM (SELECT DISTINCT entity FROM panel WHERE value = 0))"""
+ZERO_SQL = """, z AS (SELECT DISTINCT entity FROM panel WHERE value = 0)"""
 
 
-@register("zero_entities", with_panel(ZERO_SQL + " SELECT * FROM z"))
+@register("zero_entities", with_panel(ZERO_SQL + " SELECT entity FROM z"))
 def q_zero_entities(spark, sf):
-    return Q.zero_entities(_wide(spark, sf))
-
-
-@register("audit_report", with_panel(DECL_SQL + ZERO_SQL + """, au AS (
-  SELECT CAST(0 AS BIGINT) AS n_nulls,
-    (SELECT count(*) FROM (SELECT DISTINCT entity, category FROM panel))
-      - (SELECT count(DISTINCT (entity, category)) FROM panel) AS n_duplicates,
-    (SELECT count(*) FILTER (WHERE value < 0) FROM panel) AS n_negative,
-    (SELECT count(*) FROM (SELECT DISTINCT entity FROM panel) p
-     WHERE entity NOT IN (SELECT n_name FROM nation)) AS n_unmapped)
-SELECT 'nulls' AS "check", CAST(n_nulls AS DOUBLE) AS value, CASE WHEN n_nulls = 0 THEN 'pass' ELSE 'fail' END AS status FROM au
-UNION ALL SELECT 'duplicate_series', CAST(n_duplicates AS DOUBLE), CASE WHEN n_duplicates = 0 THEN 'pass' ELSE 'fail' END FROM au
+    return Q.zero_entities(panel_a(spark, sf))
+
+
+@register("zero_entity_count", with_panel(ZERO_SQL + " SELECT count(*) AS n_entities FROM z"))
+def q_zero_entity_count(spark, sf):
+    return Q.zero_entities(panel_a(spark, sf)).agg(F.count("*").alias("n_entities"))
+
+
+@register("audit_report", with_panel(DECL_SQL + ZERO_SQL + ", raw AS (" + _raw_audit_sql() + """), au AS (
+  SELECT sum(n) FILTER (WHERE "check" = 'nulls') AS nulls, sum(n) FILTER (WHERE "check" = 'duplicates') AS duplicates,
+         sum(n) FILTER (WHERE "check" = 'negative') AS negative, sum(n) FILTER (WHERE "check" = 'unmapped') AS unmapped
+  FROM raw)
+SELECT 'nulls' AS "check", CAST(nulls AS DOUBLE) AS value, CASE WHEN nulls = 0 THEN 'pass' ELSE 'fail' END AS status FROM au
+UNION ALL SELECT 'duplicate_keys', CAST(duplicates AS DOUBLE), CASE WHEN duplicates = 0 THEN 'pass' ELSE 'fail' END FROM au
 UNION ALL SELECT 'total_max_pct_diff', max_pct_diff, CASE WHEN max_pct_diff < 0.01 THEN 'pass' ELSE 'review' END FROM consum
-UNION ALL SELECT 'entities_with_zeros', CAST(n_entities AS DOUBLE), 'warn' FROM z
-UNION ALL SELECT 'negative_values', CAST(n_negative AS DOUBLE), CASE WHEN n_negative = 0 THEN 'pass' ELSE 'fail' END FROM au
-UNION ALL SELECT 'unmapped_entities', CAST(n_unmapped AS DOUBLE), CASE WHEN n_unmapped = 0 THEN 'pass' ELSE 'warn' END FROM au"""))
+UNION ALL SELECT 'entities_with_zeros', CAST(count(*) AS DOUBLE), 'warn' FROM z
+UNION ALL SELECT 'negative_values', CAST(negative AS DOUBLE), CASE WHEN negative = 0 THEN 'pass' ELSE 'fail' END FROM au
+UNION ALL SELECT 'unmapped_keys', CAST(unmapped AS DOUBLE), CASE WHEN unmapped = 0 THEN 'pass' ELSE 'warn' END FROM au"""))
 def q_audit_report(spark, sf):
-    wide = _wide(spark, sf)
-    summary = Q.audit_summary(wide, nation_region(spark, sf).select("entity"))
-    return Q.audit_report(summary, _consistency(spark, sf), Q.zero_entities(wide))
+    """V8 over the input tables as they are read."""
+    return Q.audit_report(q_raw_audit(spark, sf), _consistency(spark, sf), Q.zero_entities(panel_a(spark, sf)))
 
 
 # ---------------------------------------------------------------- Panel B

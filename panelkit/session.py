@@ -61,20 +61,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting must be present (a shared file system path).  Only
-    a local-mode session without it (tests, laptops) gets a fresh folder.
+    a local-mode session without it (tests, laptops) gets a fresh folder, which
+    the Spark context remembers (the setting itself can't be changed later).
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    current = sc.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-        return conf
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="panelkit-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
+        path = tempfile.mkdtemp(prefix="panelkit-ckpt-")
     sc.setCheckpointDir(path)
     return path
 

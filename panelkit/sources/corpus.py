@@ -1,7 +1,7 @@
 """Text corpora as DataFrames.
 
 S6: one row per text file (whole text), with a source label relative to a
-root; absent files simply do not appear.  S7: notebook files are JSON with a
+root; files are named by paths or globs, and absent ones simply do not appear.  S7: notebook files are JSON with a
 ``cells`` array; the markdown and raw cells are kept in order and joined with
 a blank line.  Both are plain scans + expressions, one row per file.
 """
@@ -20,35 +20,44 @@ def _label(root: str):
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 20)).otherwise(path)
 
 
-def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that exist on their own file system (the cluster's default
-    one for paths without a scheme)."""
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Globs of the files that are there, one for every folder named in
+    ``paths`` (files or globs; commas and braces are not for file names).
+
+    A folder is asked once, whatever the number of its files; a path without a
+    match is left out.  The files themselves are listed by Spark, in tasks where
+    there are many."""
+    folders: dict[str, list[str]] = {}
+    for p in paths:
+        folder, _, name = p.rpartition("/")
+        folders.setdefault(folder, []).append(name)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found = []
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(conf).exists(path):
-            found.append(p)
+    for folder, names in folders.items():
+        some = names[0] if len(names) == 1 else "{" + ",".join(dict.fromkeys(names)) + "}"
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{some}" if folder else some)
+        if len(path.getFileSystem(conf).globStatus(path) or ()):
+            found.append(path.toString())
     return found
 
 
 def text_files(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
-    """(source, text) for the given text files, stripped."""
-    present = existing(spark, paths)
-    if not present:
+    """(source, text) for the given text files or globs, stripped."""
+    globs = present(spark, paths)
+    if not globs:
         return spark.createDataFrame([], "source string, text string")
-    df = spark.read.text(present, wholetext=True)
+    df = spark.read.text(globs, wholetext=True)
     return df.select(_label(root).alias("source"), py_strip("value").alias("text"))
 
 
 def notebooks(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
     """(source, text) from notebook JSON: markdown/raw cells only.  A
     cell's source is a text or a list of lines, which are joined as they are."""
-    present = existing(spark, paths)
-    if not present:
+    globs = present(spark, paths)
+    if not globs:
         return spark.createDataFrame([], "source string, text string")
     schema = "cells array<struct<cell_type:string, source:variant>>"
-    raw = spark.read.option("multiLine", True).schema(schema).json(present)
+    raw = spark.read.option("multiLine", True).schema(schema).json(globs)
     cells = raw.select(_label(root).alias("source"), F.posexplode("cells").alias("pos", "c"))
     lines = F.try_variant_get("c.source", "$", "array<string>")
     text = F.coalesce(F.array_join(lines, ""), F.try_variant_get("c.source", "$", "string"), F.lit(""))

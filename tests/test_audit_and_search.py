@@ -1,6 +1,10 @@
 """Raw-input audit on a hand frame, pruned break search, exact search
 with shuffled queries, dense grids with gaps."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +138,44 @@ def test_pivot_keeps_names_without_a_column(spark):
                                "t int, name string, value double")
     got = {tuple(r) for r in R.pivot_sum_all(df, "t", "name", ["a", "b"]).collect()}
     assert got == {(1, 1.0, 2.0, 12.0), (2, 16.0, None, None)}
+
+
+def test_top_lists_in_one_pass(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"k{i}", float(v) if i % 9 else None, float(w)) for i, (v, w) in enumerate(rng.integers(0, 30, (200, 2)))]
+    df = spark.createDataFrame(rows, "k string, a double, b double").repartition(7)
+    lists = [("high", "a", True, 6), ("low", "a", False, 3), ("b", "b", True, 1)]
+    got = {(r["list"], r["rank"]): r["k"] for r in Q.top_lists(df, ["k"], lists).collect()}
+    for i, (_, c, down, n) in enumerate(lists):
+        at = 1 if c == "a" else 2
+        want = sorted((r for r in rows if r[at] is not None), key=lambda r: (-r[at] if down else r[at], r[0]))[:n]
+        assert [got[i, k + 1] for k in range(n)] == [r[0] for r in want]
+    assert len(got) == 10
+
+
+def test_report_reads_the_raw_lines(spark):
+    raw = spark.createDataFrame([("t", "rows", None, 9), ("t", "nulls", "a", 2), ("u", "nulls", "b", 1), ("t", "negative", "a", 0),
+                                 ("t", "duplicates", "a", 0), ("u", "unmapped", "b", 4)],
+                                "table string, check string, column string, n long")
+    consistency = spark.createDataFrame([(3, 0.5, 0)], "n_series long, max_pct_diff double, n_inconsistent_above_1pct long")
+    panel = spark.createDataFrame([("x", 0.0), ("x", 0.0), ("y", 1.0), ("z", 0.0)], "entity string, value double")
+    zeros = Q.zero_entities(panel)
+    assert sorted(r["entity"] for r in zeros.collect()) == ["x", "z"]
+    got = {r["check"]: (r["value"], r["status"]) for r in Q.audit_report(raw, consistency, zeros).collect()}
+    assert got == {"nulls": (3.0, "fail"), "duplicate_keys": (0.0, "pass"), "total_max_pct_diff": (0.5, "review"),
+                   "entities_with_zeros": (2.0, "warn"), "negative_values": (0.0, "pass"), "unmapped_keys": (4.0, "warn")}
+
+
+def test_counts_come_most_frequent_first(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "v string")
+    assert [tuple(r) for r in Q.value_counts(df, "v").collect()] == [("c", 2), ("a", 1), ("b", 1)]
+
+
+def test_checkpoint_folder_without_a_setting():
+    """A fresh local session without spark.checkpoint.dir still cuts lineage."""
+    code = ("from pyspark.sql import SparkSession\n"
+            "from panelkit.session import checkpoint_dir, cut_lineage\n"
+            "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "assert cut_lineage(s.range(3)).count() == 3 and checkpoint_dir(s) == checkpoint_dir(s)\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=root, env=os.environ | {"PYTHONPATH": root})

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from oracle import compare, duck
 
 SF = "/root/testdata/sf0.01"
-FAST = ["panel_long", "yoy_growth", "macro_trend", "hhi", "panel_unpivot", "category_pivot", "entity_stats",
+FAST = ["panel_long", "yoy_growth", "macro_trend", "hhi", "panel_unpivot", "category_pivot_all", "entity_stats",
         "cagr_halves", "cagr_historical", "share_change", "top_share_rest", "zero_entities", "series_trend",
         "structural_breaks", "fc_naive", "fc_linear", "doc_chunks", "cosine_topk_all", "silhouette", "winsorize"]
 

@@ -294,16 +294,17 @@ def q_backtest_scores(spark, sf):
 
 
 @register("backtest_detail", with_panel(BT_SQL + """
-SELECT p.entity, p.category, p.model, p.step, round(f, 4) AS prediction, round(actual, 2) AS actual,
+SELECT p.entity, p.category, p.model, p.step, round(f + 1e-7, 4) AS prediction, round(actual, 2) AS actual,
        CAST(b.t_first + b.n - 6 AS INTEGER) AS train_last_t
 FROM preds p JOIN test t ON t.entity = p.entity AND t.category = p.category AND t.step = p.step
 JOIN btinfo b ON b.entity = p.entity AND b.category = p.category""", recursive=True))
 def q_backtest_detail(spark, sf):
     """What every model predicted for the holdout, what came, and the last
-    period the models had seen."""
+    period the models had seen.  Fits on a few cents often end in a 5 at the
+    fifth place, so such ties are lifted over it in engine and SQL alike."""
     st = stages_for(spark, sf)
     d = BT.backtest_detail(st.panel, st.breaks, KEYS)
-    return d.select(*KEYS, "model", "step", r4("prediction").alias("prediction"), r2("actual").alias("actual"), "train_last_t")
+    return d.select(*KEYS, "model", "step", r4(F.col("prediction") + 1e-7).alias("prediction"), r2("actual").alias("actual"), "train_last_t")
 
 
 @register("backtest_holt", with_panel(BT_SQL + """

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cagr, clip, dsum, ratio
+from ..session import cut_lineage
 from . import metrics as M
 from .ranges import quantiles
 
@@ -52,16 +53,63 @@ def share_now(panel: DataFrame) -> DataFrame:
 
 
 def entity_features(panel: DataFrame, breaks: DataFrame, summary: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """M1: the entity feature table (J3: left joins on entity)."""
-    st = M.entity_stats(panel).select("entity", "mean", "cv", "size_log")
-    reg = panel.select("entity", "region").distinct()
-    f = (st.join(M.cagr_historical(panel), "entity", "left")
-         .join(growth_forecast(panel, forecasts), "entity", "left")
-         .join(predictability(panel, summary), "entity", "left")
-         .join(had_breakpoint(breaks), "entity", "left")
-         .join(share_now(panel), "entity", "left")
-         .join(reg, "entity", "left"))
-    return f.withColumn("acceleration", F.col("growth_forecast") - F.col("growth_historical"))
+    """The entity feature table.
+
+    The panel is read once, for sums by period and means by series (two grouping
+    sets of one aggregate).  An entity's periods become one ordered array, at
+    most as long as the period span, and all its history features come from that
+    array; what breaks, backtest and forecasts add per entity is brought to the
+    same key by one union and one aggregate instead of a join each.
+    """
+    key = ["entity", "region"]
+    sums = cut_lineage(panel.groupingSets([[*key, "t"], [*key, "category"]], *key, "t", "category").agg(
+        dsum("value").alias("value"), F.avg("value").alias("mean_value"), F.grouping("t").alias("_series")))
+    points = sums.filter("_series = 0").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("_p"))
+    now = sums.filter("_series = 0").groupBy("t").agg(dsum("value").alias("_total")) \
+        .agg(F.max(F.struct("t", "_total")).alias("_now")).select("_now.t", "_now._total")          # one row
+    history = _history(points.crossJoin(F.broadcast(now.withColumnRenamed("t", "_t"))))
+    ahead = forecasts.crossJoin(F.broadcast(now)).filter(forecasts.t == now.t + HORIZON) \
+        .select("entity", F.col("forecast").alias("_forecast"))
+    series = sums.filter("_series = 1").select("entity", "category", "mean_value")
+    weighed = summary.select("entity", "category", "best_mape").join(series, ["entity", "category"], "left") \
+        .select("entity", (F.col("best_mape") * F.col("mean_value")).alias("_miss"), F.col("mean_value").alias("_weight"),
+                F.lit(True).alias("_scored"))
+    broken = breaks.select("entity", F.col("breakpoint_t").isNotNull().cast("int").alias("had_breakpoint"))
+    rows = history.unionByName(ahead, allowMissingColumns=True).unionByName(weighed, allowMissingColumns=True) \
+        .unionByName(broken, allowMissingColumns=True)
+    kept = ["mean", "cv", "size_log", "growth_historical", "_last", "share_global_pct"]
+    one = rows.groupBy("entity").agg(
+        F.max(F.struct("_here", "region", *kept)).alias("h"), F.sum("_forecast").alias("_forecast"),
+        F.sum("_miss").alias("_miss"), F.sum("_weight").alias("_weight"), F.max("_scored").alias("_scored"),
+        F.max("had_breakpoint").alias("had_breakpoint")).filter("h._here") \
+        .select("entity", "h.region", *[f"h.{c}" for c in kept], "_forecast", "_miss", "_weight", "_scored", "had_breakpoint")
+    off = F.when(F.col("_weight") > 0, F.coalesce("_miss", F.lit(0.0)) / F.col("_weight"))
+    one = one.withColumns({"growth_forecast": cagr(F.col("_forecast"), F.col("_last"), HORIZON),
+                           "predictability": F.when(F.col("_scored"), clip(100 - off, 0.0, 100.0))})
+    return one.select("entity", "mean", "cv", "size_log", "growth_historical", "growth_forecast", "predictability",
+                      "had_breakpoint", "share_global_pct", "region",
+                      (F.col("growth_forecast") - F.col("growth_historical")).alias("acceleration"))
+
+
+def _history(points: DataFrame) -> DataFrame:
+    """Features of an entity's periods ``_p`` (array of (t, value) in order),
+    beside the last period ``_t`` of all and its total."""
+    def total(term):
+        return F.aggregate("_p", F.lit(0.0), lambda acc, q: acc + term(q["value"]))
+
+    n = F.size("_p")
+    x = points.withColumn("mean", total(lambda v: v) / n)
+    mean = F.col("mean")
+    x = x.withColumn("_std", F.when(n > 1, F.sqrt(total(lambda v: (v - mean) * (v - mean)) / (n - 1))))
+    x = x.withColumn("_live", F.get(F.filter("_p", lambda q: q["value"] > 0), F.lit(0))["t"])
+    x = x.withColumn("_from", F.filter("_p", lambda q: q["t"] >= F.col("_live")))
+    x = x.withColumn("_last", F.get(F.filter("_p", lambda q: q["t"] == F.col("_t")), F.lit(0))["value"])
+    steps = F.size("_from") - 1
+    grown = cagr(F.element_at("_p", -1)["value"], F.get("_from", F.lit(0))["value"], steps)
+    return x.select("entity", "region", F.lit(True).alias("_here"), "mean", ratio(F.col("_std"), mean).alias("cv"),
+                    F.log10(F.greatest(mean, F.lit(1.0))).alias("size_log"),
+                    F.when(F.col("_live").isNotNull() & (steps >= 5), grown).alias("growth_historical"), "_last",
+                    (ratio("_last", "_total") * 100).alias("share_global_pct"))
 
 
 def percentile_bounds(df: DataFrame, cols, probs) -> DataFrame:

@@ -1,11 +1,13 @@
 """Positions, ranks and quantiles over range partitions, against plain Python."""
 
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from panelkit.operators import ranges
 from panelkit.operators.ranges import quantiles, with_average_rank, with_position
 from panelkit.operators.score import sensitivity
 
@@ -41,6 +43,30 @@ def test_quantiles_equal_the_built_in(spark):
     assert got["_q_empty"] == [None] * len(probs)
 
 
+@pytest.mark.parametrize("accuracy", [12, 100])
+def test_quantiles_from_coarse_sketches(spark, monkeypatch, accuracy):
+    """Many rounds: values over all magnitudes, ties, NaN, infinities."""
+    monkeypatch.setattr(ranges, "ACCURACY", accuracy)
+    rng = random.Random(accuracy)
+    rows = [(math.ldexp(rng.random(), rng.randint(-300, 300)) * rng.choice([-1, 1]), float(rng.choice([7, 7, 7, 8])),
+             rng.choice([float("inf"), -3.0, 0.0, float("nan")])) for _ in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    probs = [0.0, 0.013, 0.5, 0.77, 1.0]
+    got = quantiles(df, ["a", "b", "c"], probs).first()
+    for i, c in enumerate("abc"):
+        vs = sorted(r[i] for r in rows if not math.isnan(r[i]))
+        for j, p in enumerate(probs):
+            at = p * (len(vs) - 1)
+            lo, hi, f = vs[math.floor(at)], vs[math.ceil(at)], at - math.floor(at)
+            assert got[f"_q_{c}"][j] == (lo if f == 0 else lo * (1 - f) + hi * f)
+
+
+def test_quantiles_neither_sort_nor_copy(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    quantiles(spark.range(1000).select(F.col("id").cast("double").alias("v")), ["v"], [0.25, 0.5]).first()
+    assert not any(files for _, _, files in os.walk(tmp_path))
+
+
 def test_empty_frames(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert with_position(df, ["v"], ["k"], "v").count() == 0

@@ -46,9 +46,10 @@ def encode(vectors: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.packbits(bits, axis=1), scalar
 
 
-def search(ids, vectors, bits, scalar, query_ids, queries, rot, k=K, epsilon=EPSILON):
-    """``(query row, candidate row, score)`` arrays of the k nearest of a
-    chunk for each query, and the number of vectors that were reranked."""
+def search(ids, rows, vectors, bits, scalar, query_rows, queries, rot, k=K, epsilon=EPSILON):
+    """``(query, candidate, score)`` arrays, as places in the given ones, of the
+    k nearest of a chunk for each query, and the number of vectors that were
+    reranked.  ``rows`` and ``query_rows`` tell which candidate is the query."""
     dim = vectors.shape[1]
     signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
     unit_q = queries / np.sqrt((queries * queries).sum(1))[:, None]
@@ -64,7 +65,7 @@ def search(ids, vectors, bits, scalar, query_ids, queries, rot, k=K, epsilon=EPS
         for r in range(len(estimates)):
             q = a + r
             est = estimates[r]
-            est[ids == query_ids[q]] = -np.inf
+            est[rows == query_rows[q]] = -np.inf
             live = np.flatnonzero(np.isfinite(est))
             if not len(live):
                 continue
@@ -86,21 +87,17 @@ def search(ids, vectors, bits, scalar, query_ids, queries, rot, k=K, epsilon=EPS
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id, v array<double>``: one vector per id, of the table's dimension.
+    """``row, id, v array<double>``: every row that takes part, under a number
+    of its own.
 
-    Left out: null ids, null and zero vectors, vectors with null or non-finite
-    components, and vectors of another length than the most frequent one (of
-    equally frequent the longer).  Of several vectors under one id the first
-    in array order stands.
+    Left out: null ids, null and zero vectors, and vectors with null or
+    non-finite components.  Rows that share an id are vectors of their own.
     """
     v = F.col(vec_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull()
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    dim = sizes["n"] if sizes else 0
-    return rows.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+        & F.exists("v", lambda x: x != 0)).select(F.monotonically_increasing_id().alias("row"), "id", "v")
 
 
 def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
@@ -109,8 +106,11 @@ def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vec_col: str =
     condition on the id column, as a function of it) picks.
 
     Returns ``query_id, rank, vec_id, score double``; all candidates if fewer
-    than k, ties to the smaller id.  What :func:`usable` leaves out takes no
-    part; an empty table gives no rows; other columns are ignored.
+    than k, ties to the smaller id.  Candidates are all rows but the query's own
+    (another row under the query's id is one), of the query's length: vectors of
+    each length are a set of their own.  Of several queries under one id each
+    has its ranks.  What :func:`usable` leaves out takes no part; an empty table
+    gives no rows; other columns are ignored.
     """
     rows = cut_lineage(usable(vectors, id_col, vec_col))
     spark = rows.sparkSession
@@ -121,47 +121,49 @@ def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vec_col: str =
     seeded = spark.sparkContext.broadcast(ROTATION_SEED)
 
     def gather(part: DataFrame, groups: int, name: str) -> DataFrame:
-        """Rows as binary chunks of a bounded number of vectors."""
-        key = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias(name)
-        return part.select(key, "id", "v").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("m"))
+        """Rows as binary chunks of a bounded number of vectors of one length."""
+        key = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias(name)
+        return part.select(key, F.size("v").alias("dim"), "row", "id", "v").groupBy(name, "dim") \
+            .agg(F.sort_array(F.collect_list(F.struct("id", "row", "v"))).alias("m"))
 
-    fields = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("bits", pa.binary()),
+    fields = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("vectors", pa.binary()), ("bits", pa.binary()),
                         ("scalars", pa.binary()), ("dim", pa.int32())])
 
     def coded(batches):
         for rb in batches:
             for row in rb.to_pylist():
-                ids = np.array([m["id"] for m in row["m"]], np.int64)
+                ids, rows_ = (np.array([m[c] for m in row["m"]], np.int64) for c in ("id", "row"))
                 vecs = np.array([m["v"] for m in row["m"]], np.float64)
                 bits, scalar = encode(vecs, rotation(vecs.shape[1], seeded.value))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], f.type) for x, f in zip((row["part"], ids.tobytes(), vecs.tobytes(), bits.tobytes(),
+                    [pa.array([x], f.type) for x, f in zip((row["part"], ids.tobytes(), rows_.tobytes(), vecs.tobytes(), bits.tobytes(),
                                                             scalar.tobytes(), vecs.shape[1]), fields)], schema=fields)
 
-    schema = "part int, ids binary, vectors binary, bits binary, scalars binary, dim int"
+    schema = "part int, ids binary, rows binary, vectors binary, bits binary, scalars binary, dim int"
     chunks = cut_lineage(gather(rows, n_chunks, "part").mapInArrow(coded, schema))
     blocks = cut_lineage(gather(picked, n_blocks, "part").mapInArrow(coded, schema)).select(
-        F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+        "dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"),
+        F.col("vectors").alias("q_vectors"))
     # the stated query set in blocks: every block meets every chunk once, and
     # each meeting is a key of its own, so no block or chunk fills a task
     cells = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     asked = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    grid = cells.join(asked.hint("shuffle_hash"), ["part", "block"])
+    grid = cells.join(asked.hint("shuffle_hash"), ["dim", "part", "block"])
 
     def run(batches):
-        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        out = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         for rb in batches:
             for row in rb.to_pylist():
                 dim = row["dim"]
                 read = lambda c, kind: np.frombuffer(row[c], kind)
-                ids, q_ids = read("ids", np.int64), read("q_ids", np.int64)
-                q, c, s, _ = search(ids, read("vectors", np.float64).reshape(-1, dim),
+                ids, q_ids, q_rows = (read(c, np.int64) for c in ("ids", "q_ids", "q_rows"))
+                q, c, s, _ = search(ids, read("rows", np.int64), read("vectors", np.float64).reshape(-1, dim),
                                     read("bits", np.uint8).reshape(len(ids), -1), read("scalars", np.float64),
-                                    q_ids, read("q_vectors", np.float64).reshape(-1, dim),
+                                    q_rows, read("q_vectors", np.float64).reshape(-1, dim),
                                     rotation(dim, seeded.value), k, epsilon)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(ids[c]), pa.array(s)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(q_rows[q]), pa.array(q_ids[q]), pa.array(ids[c]), pa.array(s)], schema=out)
 
-    found = grid.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = grid.mapInArrow(run, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

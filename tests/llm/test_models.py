@@ -154,11 +154,21 @@ def test_ann_odd_vectors(spark):
     frame = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<double>, part int, id string")
     got = [tuple(r)[:3] for r in ann.nearest(frame, lambda i: i % 50 == 0, chunk_rows=2, block_queries=1)
            .orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (0, 4, 9), (50, 1, 1), (50, 2, 2), (50, 3, 9), (50, 4, 0)]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (0, 4, 9), (0, 5, 9),
+                   (50, 1, 1), (50, 2, 2), (50, 3, 9), (50, 4, 9), (50, 5, 0)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(empty, lambda i: i % 50 == 0).count() == 0
 
 
+def test_ann_rows_of_one_id_and_lengths(spark):
+    """A row is a candidate whatever its id, and each length is searched."""
+    rows = [(0, [1.0, 0.0]), (9, [1.0, 0.1]), (9, [0.1, 1.0]), (0, [1.0, 1.0]), (50, [1.0, 0.0, 0.0]), (3, [1.0, 1.0, 0.0]), (4, [0.0, 0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(r["query_id"], r["vec_id"], round(r["score"], 3)) for r in ann.nearest(frame, lambda i: i % 50 == 0).collect()]
+    assert sorted(got) == sorted([(0, 9, 0.995), (0, 0, 0.707), (0, 9, 0.1), (0, 9, 0.774), (0, 9, 0.774), (0, 0, 0.707),
+                                  (50, 3, 0.707), (50, 4, 0.0)])
+
+
 @needs_data
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on what the one before it kept."""

@@ -134,9 +134,14 @@ def _whole(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     yield a, b
 
 
+CARD_GROUP = 4
+
+
 def _card_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     """Groups of 13 to 19 digits in a run of groups: printed forms before
-    others, then left before right and long before short."""
+    others, then left before right and long before short.  Other forms than the
+    printed ones have no group below CARD_GROUP digits, or any list of small
+    numbers would be a card now and then."""
     groups = [(m.start() + a, m.end() + a) for m in re.finditer("[0-9]+", text[a:b])]
     windows = []
     for i in range(len(groups)):
@@ -145,8 +150,9 @@ def _card_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             widths, total = (*widths, y - x), total + y - x
             if total > 19:
                 break
-            if total >= 13:
-                windows.append((len(widths) > 1 and widths not in PRINTED_CARDS, groups[i][0], -y))
+            plain = len(widths) == 1 or widths in PRINTED_CARDS
+            if total >= 13 and (plain or min(widths) >= CARD_GROUP):
+                windows.append((not plain, groups[i][0], -y))
     for _, x, y in sorted(windows):
         yield x, -y
 
@@ -336,7 +342,7 @@ KINDS = [
     ("secret", lambda t: "AKIA" in t or "ASIA" in t, re.compile(r"(?<![0-9A-Za-z])(?:AKIA|ASIA)([0-9A-Z]{16})(?![0-9A-Za-z])")),
     ("email", lambda t: "@" in t, re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")),
     ("iban", _HAS_DIGITS, re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
-    ("ip", _HAS_DIGITS, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")),
+    ("ip", re.compile(r"[0-9]\.[0-9]").search, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")),
     ("date", _HAS_DIGITS, re.compile(r"(?<![0-9./-])([0-9]{4}([-/.])[0-9]{1,2}\2[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\3[0-9]{4})"
                                      r"(?![0-9]|[./-][0-9])")),
     ("ssn", _HAS_DIGITS, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])")),

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -315,3 +316,49 @@ def test_chat_fragments_of_many_files(spark, tmp_path, settings):
         assert cost_of(out) == plain_repair([CF.role_state(r[2]) for r in sorted(r for r in rows if r[0] == c)])
         text = "".join(r["rendered"] for r in out)
         assert text.count(CF.OPEN) == text.count(CF.CLOSE) and text.endswith(CF.CLOSE + "\n")
+
+
+def test_pii_small_numbers():
+    """Addresses of single digits are found; lists of small numbers are no cards."""
+    names = pii.Pseudonyms(b"k")
+    for text in ("at 1.2.3.4", "8.8.8.8", "a 9.9.9.9 b"):
+        new, found = names.replace(text)
+        assert [k for _, _, k, _ in found] == ["ip"] and new != text
+    rng = random.Random(4)
+    for _ in range(300):
+        text = " ".join(str(rng.randint(0, 999)) for _ in range(40))
+        assert not [f for f in names.find(text) if f[2] == "card"]
+    # every list of up to nineteen digits that passes the check digit, in groups of two
+    digits = "4111111111111111"
+    assert not names.find(" ".join(digits[i:i + 2] for i in range(0, 16, 2)))
+    assert names.find(f"x {digits[:8]} {digits[8:]}") and names.find("4111-1111-1111-1111")
+
+
+KIND_ALONE = {"email": r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+              "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"}
+
+
+def test_pii_whole_texts_against_a_plain_search(spark):
+    """Addresses and numbers planted in long texts, found by a search of every
+    match of a plain pattern without cheap tests, and nothing of them left."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for d in range(40):
+        words = [rng.choice(["alpha", "x-1", "3.14", "2024", "no 7", "v1.2", "é"]) for _ in range(rng.choice([3, 50, 3000]))]
+        values = [rng.choice(["1.2.3.4", "10.0.0.255", "a.b+c@d-e.org", "123-45-6789", "8.8.8.8"]) for _ in range(rng.randint(0, 6))]
+        for v in values:
+            words.insert(rng.randrange(len(words) + 1), v)
+        rows.append((d, " ".join(words)))
+        want[d] = sorted(m for k, p in KIND_ALONE.items() for m in re.findall(p, rows[-1][1]))
+        assert want[d] == sorted(values)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    names, texts = pii.Pseudonyms(pii.DEFAULT_KEY), dict(rows)
+    for r in pii.pseudonymise(frame).collect():
+        found = names.find(texts[r["doc_id"]])
+        assert sorted(texts[r["doc_id"]][a:b] for a, b, _, _ in found) == want[r["doc_id"]] and r["n_found"] == len(found)
+        back, _ = names.replace(r["text"], by=-1)
+        assert back == texts[r["doc_id"]]
+
+
+def test_pii_of_no_rows(spark, no_docs):
+    assert pii.pseudonymise(no_docs).count() == 0 and pii.pseudonymise_column(no_docs).count() == 0

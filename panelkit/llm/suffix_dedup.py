@@ -11,8 +11,10 @@ travel as one string of bytes.  Buckets are sorted one at a time, in bounded
 memory: windows are aligned at their anchor, the columns that fall in a
 difference cover modulo 7 are the *sample*, their long prefixes are ranked
 first, and every other suffix is sorted by its few bytes before and after the
-next sample column and by that column's rank, never by whole windows.  In each
-class of equal windows the smallest doc_id keeps its copy.
+next sample column and by that column's rank, never by whole windows.  (As
+equal anchors align equal columns, two windows are only ever compared at the
+same offset; of the difference cover only its density matters here: no column
+is far before a sample column.)  In each class of equal windows the smallest doc_id keeps its copy.
 
 Three rounds over the documents, which are shuffled once (by *epoch*, a bounded
 group of documents) and read again from that exchange:
@@ -58,26 +60,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """32-bit integers in a random order, the same everywhere."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def rolling(text: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every string of ``length`` bytes: powers of two by doubling."""
-    level, size = text.astype(np.uint64) + np.uint64(1), 1
+    """32-bit hash of every string of ``length`` bytes: powers of two by
+    doubling.  It only chooses among neighbours; keys are :func:`gram_keys`."""
+    level, size = text.astype(np.uint32) + np.uint32(1), 1
     out, done = None, 0
     while True:
+        power = np.uint32(pow(BASE, size, 1 << 32))
         if length & size:
-            power = np.uint64(pow(BASE, size, 1 << 64))
             part = level[done:]
             if out is None:
                 out = part
             else:
                 n = min(len(out), len(part))
-                out = out[:n] * power + part[:n]
+                out = out[:n] * power
+                out += part[:n]
             done += size
         if done == length:
-            return _mix(out)
-        level = level[:-size] * np.uint64(pow(BASE, size, 1 << 64)) + level[size:] if len(level) > size else level[:0]
+            return _spread(out if out.base is None else out.copy())
+        if len(level) > size:
+            next_level = level[:-size] * power
+            next_level += level[size:]
+            level = next_level
+        else:
+            level = level[:0]
         size *= 2
 
 
+def gram_keys(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the k-grams at some places."""
+    key = np.zeros(len(at), np.uint64)
+    for i in range(GRAM):
+        key *= np.uint64(BASE)
+        key += text[at + i]
+        key += np.uint64(1)
+    return _mix(key)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while have < width:
@@ -103,22 +132,26 @@ class Runs:
         if len(self.bytes) < SPAN:
             return
         gram = rolling(self.bytes, GRAM)
-        at = np.arange(len(gram), dtype=np.uint64)
-        # least hash (its upper 40 bits), then leftmost
-        low = np.uint64((1 << 24) - 1)
-        least = sliding_min((gram & ~low) | at, SPAN - GRAM + 1)
+        # least hash, then leftmost
+        ranked = gram.astype(np.uint64)
+        ranked <<= np.uint64(32)
+        ranked |= np.arange(len(gram), dtype=np.uint64)
+        least = sliding_min(ranked, SPAN - GRAM + 1)
         valid = np.zeros(len(self.bytes) + 1, np.int8)
         np.add.at(valid, self.begins[lengths >= SPAN], 1)
         np.add.at(valid, self.ends[lengths >= SPAN] - SPAN + 1, -1)
-        starts = np.flatnonzero(np.cumsum(valid[:-1])[:len(least)] > 0)
-        if not len(starts):
+        valid = np.cumsum(valid[:len(least)], dtype=np.int8).view(bool)
+        # a run ends where the anchor, or the document, changes
+        anchor = np.ascontiguousarray(least.astype("<u8", copy=False).view("<u4")[::2])
+        edge = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1])])
+        held = valid[edge]
+        self.start = edge[held]
+        if not len(self.start):
             return
-        anchor = (least[starts] & low).astype(np.int64)
-        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])
-        self.start = starts[new]
-        self.windows = np.diff(np.r_[new, len(starts)])
-        self.left = anchor[new] - self.start
-        self.key = gram[anchor[new]]
+        self.windows = np.diff(np.r_[edge, len(valid)])[held]
+        anchor = anchor[self.start].astype(np.int64)
+        self.left = anchor - self.start
+        self.key = gram_keys(self.bytes, anchor)
         self.doc = np.searchsorted(self.ends, self.start, side="right") + first_doc
 
 
@@ -136,7 +169,7 @@ def batches_of(docs: list[tuple[int, bytes]], batch_bytes: int = BATCH_BYTES):
 
 
 def _split_long(texts, first):
-    """A batch's positions fit 24 bits; a longer text goes in overlapping
+    """A batch has a bounded number of bytes; a longer text goes in overlapping
     parts (every window is in exactly one)."""
     limit = PART_BYTES
     if sum(map(len, texts)) <= limit:
@@ -409,11 +442,13 @@ def cut_epoch(docs, replies: pa.Table):
     doc, start = doc[by], start[by]
     bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
     for i, (d, t) in enumerate(docs):
-        own = start[bounds[i]:bounds[i + 1]]
-        cover = np.zeros(len(t) + 1, np.int32)
-        np.add.at(cover, own, 1)
-        np.add.at(cover, own + SPAN, -1)
-        yield d, t, np.cumsum(cover[:-1]) > 0
+        own = np.sort(start[bounds[i]:bounds[i + 1]])
+        gone = np.zeros(len(t), bool)
+        if len(own):                                        # windows that touch are one span
+            new = np.flatnonzero(np.r_[True, own[1:] > own[:-1] + SPAN])
+            for a, b in zip(own[new].tolist(), own[np.r_[new[1:] - 1, len(own) - 1]].tolist()):
+                gone[a:b + SPAN] = True
+        yield d, t, gone
 
 
 def cut_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

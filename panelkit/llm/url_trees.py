@@ -24,6 +24,7 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
          ("block", "net/es/"), ("block", "net/fr/"))
 SAMPLE_ROWS = 20_000        # bound of the training sample
 SUFFIXES = 5_000            # suffixes with statistics, the most frequent ones
+LABEL_CHARS = 63            # fixed value: the longest label of a host name
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 MIN_LEAF = 5
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "host_entropy",
@@ -48,6 +49,13 @@ def rule_of(host, path, rules=RULES):
     return rule, verdict
 
 
+def _suffix(host: str):
+    """What follows the last dot; '' where it is too long for a label, so that
+    a table of suffixes is bounded in bytes too."""
+    last = F.substring_index(host, ".", -1)
+    return F.when(F.length(last) <= LABEL_CHARS, last).otherwise("")
+
+
 def entropy(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
@@ -71,6 +79,11 @@ def features(urls, hosts, paths, blocked, seen) -> np.ndarray:
     return out
 
 
+def stats_of(suffixes, table, prior):
+    """Share of blocked URLs and number of rows of each suffix."""
+    return zip(*(table.get(s, (prior, 0)) for s in suffixes)) if suffixes else ((), ())
+
+
 class BoostedTrees:
     """Logistic boosting of depth-limited trees over binned features."""
 
@@ -152,7 +165,7 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url", id_col: str = "pa
     host, path = split_url(url)
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("said"), F.substring_index("host", ".", -1).alias("suffix"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("said"), _suffix("host").alias("suffix"))
 
     labelled = rows.filter("said is not null").withColumn("y", (F.col("said") == "block").cast("int"))
     counts = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
@@ -161,29 +174,33 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url", id_col: str = "pa
     n, bad = sum(r["n"] for r in top), sum(r["bad"] for r in top)
     prior = bad / n if n else 0.0
     table = {r["suffix"]: ((r["bad"] + 5 * prior) / (r["n"] + 5), r["n"]) for r in top}
-    sample = hash_sample(labelled.select("page_id", "url", "host", "path", "suffix", "y"), ["page_id", "url"],
-                         sample_rows).orderBy("url", "y").collect()
-
-    def stats(found):
-        return zip(*(table.get(s, (prior, 0)) for s in found)) if found else ((), ())
-
+    known = rows.sparkSession.sparkContext.broadcast((table, prior))
+
+    def sampled(batches):
+        """Features of the sample, made where its URLs are: what reaches the
+        driver is bounded in bytes, however long they are."""
+        table, prior = known.value
+        for urls, hosts, paths, suffix, y in columns_of(batches):
+            x = features(urls, hosts, paths, *stats_of(suffix, table, prior))
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+
+    sample = hash_sample(labelled.select("page_id", "url", "host", "path", "suffix", "y"), ["page_id", "url"], sample_rows) \
+        .select("url", "host", "path", "suffix", "y").mapInArrow(sampled, "x array<double>, y int").orderBy("x", "y").collect()
     model = BoostedTrees()
     if sample:
-        x = features([r["url"] for r in sample], [r["host"] for r in sample], [r["path"] for r in sample],
-                     *stats([r["suffix"] for r in sample]))
-        model.fit(x, np.array([r["y"] for r in sample], float))
+        model.fit(np.array([r["x"] for r in sample]), np.array([r["y"] for r in sample], float))
     else:
         model.base = -math.inf
-    sent = rows.sparkSession.sparkContext.broadcast((model.base, model.trees, table, prior))
+    sent = rows.sparkSession.sparkContext.broadcast((model.base, model.trees))
     fields = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()),
                         ("said", pa.string()), ("block_probability", pa.float64())])
 
     def run(batches):
         net = BoostedTrees()
-        net.base, net.trees, known, rest = sent.value
+        net.base, net.trees = sent.value
+        table, prior = known.value
         for ids, urls, hosts, paths, ruled, said, suffix in columns_of(batches):
-            blocked, seen = zip(*(known.get(s, (rest, 0)) for s in suffix)) if suffix else ((), ())
-            p = net.probability(features(urls, hosts, paths, blocked, seen))
+            p = net.probability(features(urls, hosts, paths, *stats_of(suffix, table, prior)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in
                                               zip((ids, hosts, paths, ruled, said, p), fields)], schema=fields)
 

@@ -198,3 +198,15 @@ def test_exact_dedup_matches_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     want = con.sql(queries.ORACLES["op2_exact_dedup"]).fetchall()
     assert sorted(map(tuple, queries.op2_exact_dedup(spark, SF).collect())) == sorted(want)
+
+
+def test_url_filter_with_very_long_urls(spark):
+    """What the driver gets is bounded however long URLs and labels are."""
+    long = "a" * 400_000
+    rows = [(i, f"http://x{i}.net/{'es' if i % 2 else 'pt'}/{i}") for i in range(60)]
+    rows += [(100, f"http://{long}/q"), (101, f"http://y.net/es/{long}?{long}"), (102, f"http://z.{long}/"), (103, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in UT.judge(frame).collect()}
+    assert got[101]["rule"] == "net/es/" and got[101]["verdict"] == "block" and got[100]["host"] == long
+    assert got[102]["host"] == f"z.{long}" and got[103]["host"] == "" and len(got) == 64
+    assert all(0 <= r["block_probability"] <= 1 for r in got.values())

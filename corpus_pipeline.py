@@ -56,12 +56,21 @@ STAGES = [("quality", quality_filter), ("exact_dedup", exact_copies), ("simhash"
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``, each written to and read from
-    the shared folder."""
-    docs = read_table(spark, sf_dir, "documents")
+    the shared folder; a table goes when the next one is written (the last one
+    stays, as the result may still read it)."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _drop(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

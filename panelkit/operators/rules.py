@@ -17,6 +17,8 @@ Strategies (C7): Priorizar — alta presión, alta confianza; Vigilar — alta
 presión pero forecast incierto; Asegurar — presión media, predecible;
 Monitorear — presión media; Base estable — bajo riesgo de oferta; Baja
 prioridad.
+The texts of SEGMENT_DESCRIPTIONS (C5) and PLAYBOOKS (C9) are fixed values of
+the same kind.
 """
 
 from __future__ import annotations

@@ -191,6 +191,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids("pii") == ids("simhash") == ids("packing")
 
 
+@needs_data
+@pytest.mark.parametrize("rows", [0, 1])
+def test_stages_on_odd_tables(spark, tmp_path, rows):
+    """An empty table, and one of nulls, empty and repeated rows: columns stay,
+    nothing is invented, and the pipeline's end still covers every row left."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (1, "", "en", "s", 0), (2, "same text here", None, "s", 3),
+           (2, "same text here", None, "s", 3), (None, "Same text HERE", "en", None, 3), (3, "é" * 5000, "fr", "s", 5000)]
+    docs = spark.createDataFrame(odd if rows else [], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name == "packing":
+            assert docs.select("doc_id").distinct().count() <= before and (before > 0) == (docs.count() > 0)
+        else:
+            assert docs.columns == schema.names and docs.count() <= before and (rows or not before)
+
+
 @needs_data
 def test_exact_dedup_matches_sql(spark):
     import duckdb

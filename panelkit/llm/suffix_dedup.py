@@ -289,7 +289,8 @@ class Records:
     windows of hot anchors.  ``places`` tells for each record where its windows
     are: ``(record, doc, first window in the document)``."""
 
-    def __init__(self, docs, keys, hot):
+    def __init__(self, docs, keys, hot, texts: bool = True):
+        """``texts``: whether the records are to be sent (:meth:`rows`)."""
         order = np.array([d for d, _ in docs], np.int64)
         self.parts = []            # (bucket key, doc order, left, windows, text bytes, lengths)
         self.places = []           # (record numbers, doc index, start in doc, windows)
@@ -302,7 +303,8 @@ class Records:
             in_doc = runs.start - runs.begins[runs.doc - runs.first_doc] + offset
             plain = np.flatnonzero(found & ~hot[at])
             if len(plain):
-                self._add(runs, plain, runs.key[plain], order, runs.start[plain], runs.windows[plain], runs.left[plain])
+                if texts:
+                    self._add(runs, plain, runs.key[plain], order, runs.start[plain], runs.windows[plain], runs.left[plain])
                 self.places.append((np.arange(count, count + len(plain)), runs.doc[plain], in_doc[plain], runs.windows[plain]))
                 count += len(plain)
             warm = np.flatnonzero(found & hot[at])
@@ -377,8 +379,10 @@ def found_before(doc, left, windows, text) -> np.ndarray:
             words[:, :long] = grid[need, c:c + long]
             words = words.view(">u8").astype(np.uint64)
             by = np.lexsort(words.T[::-1])
-            ordered = words[by]
-            new = np.r_[False, (ordered[1:] != ordered[:-1]).any(1)]
+            new = np.zeros(len(by), bool)
+            for w in words.T:
+                w = w[by]
+                new[1:] |= w[1:] != w[:-1]
             ranks = np.zeros(rows, np.uint64)
             ranks[need[by]] = np.cumsum(new).astype(np.uint64)
         outside = np.concatenate([np.arange(o, c), np.arange(c + long, o + SPAN)])
@@ -393,9 +397,19 @@ def found_before(doc, left, windows, text) -> np.ndarray:
     return masks
 
 
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all values of a binary column, one after another."""
+    parts = [np.zeros(0, np.uint8)]
+    for c in column.cast(pa.binary()).chunks:
+        ends = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, 4 * c.offset) if len(c) else (0, 0)
+        if ends[-1] > ends[0]:
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8, int(ends[-1] - ends[0]), int(ends[0])))
+    return np.concatenate(parts)
+
+
 def sorted_bucket(table: pa.Table) -> list[tuple]:
     """A bucket's records back to their epochs, with the masks found."""
-    join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    join = lambda c, kind: _joined(table.column(c)).view(kind)
     records = [_from_planes(r) for r in table.column("record").to_pylist()]
     doc = np.concatenate([_from_planes(d) for d in table.column("doc").to_pylist()]).view(np.int64)
     masks = found_before(doc, join("left", np.uint8).astype(np.int64), join("windows", np.uint8).astype(np.int64),
@@ -418,7 +432,7 @@ CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def cut_epoch(docs, replies: pa.Table):
     """``(doc order, bytes, removed mask)`` of an epoch's documents."""
-    records = Records(docs, *shared_keys(replies))
+    records = Records(docs, *shared_keys(replies), texts=False)
     kind = replies.column("kind").to_pylist()
     rows = [(r, m) for x, r, m in zip(kind, replies.column("keys").to_pylist(), replies.column("marks").to_pylist()) if x == 1]
     first_hot, least = records.least
@@ -426,7 +440,7 @@ def cut_epoch(docs, replies: pa.Table):
     for r, m in rows:
         masks[_from_planes(r).astype(np.int64)] = np.frombuffer(m, "<u8")
     order = np.array([d for d, _ in docs], np.int64)
-    doc, start = [], []
+    spans = [(np.zeros(0, np.int64),) * 3]                  # doc index, begin and end of windows in a row
     for rec, d, s, n in records.places:
         each = np.repeat(np.arange(len(rec)), n)
         step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
@@ -434,20 +448,20 @@ def cut_epoch(docs, replies: pa.Table):
         hot = rec >= first_hot
         if hot.any():                                       # others of the epoch have it after its least document
             found |= order[d[each]] > least[rec[each] - first_hot]
-        doc.append(d[each][found])
-        start.append(s[each][found] + step[found])
-    doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
-    start = np.concatenate(start) if start else np.zeros(0, np.int64)
-    by = np.argsort(doc, kind="stable")
-    doc, start = doc[by], start[by]
-    bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
+        at = np.flatnonzero(found)
+        if len(at):
+            doc, start = d[each[at]], s[each[at]] + step[at]
+            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
+            spans.append((doc[new], start[new], start[np.r_[new[1:] - 1, len(at) - 1]] + SPAN))
+    doc, begin, end = (np.concatenate(x) for x in zip(*spans))
+    by = np.lexsort((begin, doc))
+    doc, begin, end = doc[by], begin[by], end[by]
+    bounds = np.searchsorted(doc, np.arange(len(docs) + 1)).tolist()
+    begin, end = begin.tolist(), end.tolist()
     for i, (d, t) in enumerate(docs):
-        own = np.sort(start[bounds[i]:bounds[i + 1]])
         gone = np.zeros(len(t), bool)
-        if len(own):                                        # windows that touch are one span
-            new = np.flatnonzero(np.r_[True, own[1:] > own[:-1] + SPAN])
-            for a, b in zip(own[new].tolist(), own[np.r_[new[1:] - 1, len(own) - 1]].tolist()):
-                gone[a:b + SPAN] = True
+        for x in range(bounds[i], bounds[i + 1]):
+            gone[begin[x]:end[x]] = True
         yield d, t, gone
 
 

@@ -16,7 +16,6 @@ from .joins import broadcast_if_small
 from .ranges import with_position
 
 SERIES = ["entity", "category"]
-MAX_PERIODS = 1_000_000     # totals by period up to this many rows are broadcast
 
 
 def yoy_growth(panel: DataFrame, keys=SERIES) -> DataFrame:
@@ -48,10 +47,11 @@ def entity_period(panel: DataFrame) -> DataFrame:
 
 def with_period_share(df: DataFrame, part: str = "entity") -> DataFrame:
     """Share (0..1) of each ``part`` in its period total (A16, G8).  Totals
-    are summed map-side and, being one row per period, sent to the rows after a
-    check of their size; no task meets all entities of a period."""
+    are summed map-side and, being one row per period, sent to the rows where
+    their estimated size allows it (else AQE decides by the real one); no task
+    meets all entities of a period."""
     total = df.groupBy("t").agg(F.sum("value").alias("_total"))
-    return df.join(broadcast_if_small(total, MAX_PERIODS), "t").withColumn("share", ratio(F.col("value"), F.col("_total"))).select(*df.columns, "share")
+    return df.join(broadcast_if_small(total), "t").withColumn("share", ratio(F.col("value"), F.col("_total"))).select(*df.columns, "share")
 
 
 def hhi(panel: DataFrame) -> DataFrame:

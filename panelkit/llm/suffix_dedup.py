@@ -50,6 +50,7 @@ BUCKETS_PER_PARTITION = 1
 HOT_RUNS = 2_000
 BATCH_BYTES = 2_000_000
 PART_BYTES = 1 << 23
+PART_ROWS = 1 << 15         # records of a bucket that are sorted at once
 BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1        # stands for a null doc_id: larger than any
 
@@ -212,6 +213,18 @@ def _by_bucket(buckets: np.ndarray, *arrays):
         yield int(sorted_buckets[a]), *(x[pick] for x in arrays)
 
 
+def _pieces(text: np.ndarray, start: np.ndarray, lengths: np.ndarray, some: int = 1 << 13) -> np.ndarray:
+    """Strings of ``text`` one after another; indices (8 bytes a byte) exist
+    for ``some`` of them at a time."""
+    out, at = np.empty(int(lengths.sum()), np.uint8), 0
+    for a in range(0, len(start), some):
+        n = lengths[a:a + some]
+        end = at + int(n.sum())
+        out[at:end] = text[np.repeat(start[a:a + some] - (np.cumsum(n) - n), n) + np.arange(end - at)]
+        at = end
+    return out
+
+
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     cols = zip(*rows) if rows else [[] for _ in schema]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -332,9 +345,7 @@ class Records:
 
     def _add(self, runs, pick, key, order, start, windows, left):
         lengths = windows + SPAN - 1
-        begin = np.cumsum(lengths) - lengths
-        text = runs.bytes[np.repeat(start - begin, lengths) + np.arange(lengths.sum())]
-        self.parts.append((key, order[runs.doc[pick]], left, windows, text, lengths))
+        self.parts.append((key, order[runs.doc[pick]], left, windows, _pieces(runs.bytes, start, lengths), lengths))
 
     def rows(self, epoch: int, buckets: int) -> list[tuple]:
         if not self.parts:
@@ -343,15 +354,35 @@ class Records:
         begin = np.cumsum(lengths) - lengths
         out = []
         for b, rec, d, lf, w, at, n in _by_bucket(_bucket(key, buckets), np.arange(len(key)), doc, left, windows, begin, lengths):
-            own = np.cumsum(n) - n
-            t = text[np.repeat(at - own, n) + np.arange(n.sum())]
+            t = _pieces(text, at, n)
             out.append((b, epoch, _planes(rec), _planes(d), lf.astype(np.uint8).tobytes(), w.astype(np.uint8).tobytes(), t.tobytes()))
         return out
 
 
-def found_before(doc, left, windows, text) -> np.ndarray:
-    """Sort the suffixes of one bucket: for each record a mask of the windows
-    (bit by bit from its first) that a smaller document has too.
+def bounded_parts(text, anchors, part_rows: int) -> list[np.ndarray]:
+    """Records of a bucket in parts of about ``part_rows``, equal anchors (and
+    so equal windows) in one part."""
+    parts = -(-len(anchors) // part_rows)
+    if parts <= 1:
+        return [np.arange(len(anchors))]
+    part = _bucket(gram_keys(text, anchors), parts)
+    return np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))[:-1])
+
+
+def found_before(doc, left, windows, text, part_rows: int = PART_ROWS) -> np.ndarray:
+    """For each record of a bucket a mask of the windows (bit by bit from its
+    first) that a smaller document has too; sorted part by part, so that the
+    work arrays don't grow with the bucket."""
+    lengths = windows + SPAN - 1
+    begin = np.cumsum(lengths) - lengths
+    masks = np.zeros(len(doc), np.uint64)
+    for pick in bounded_parts(text, begin + left, part_rows):
+        masks[pick] = _sorted_part(doc[pick], left[pick], windows[pick], text, begin[pick])
+    return masks
+
+
+def _sorted_part(doc, left, windows, text, begin) -> np.ndarray:
+    """Sort the suffixes of some records, whose bytes begin at ``begin``.
 
     Records are aligned at their anchor.  Columns of the difference cover are
     ranked by their first SPAN - REACH bytes; a window is then its next sample
@@ -361,9 +392,10 @@ def found_before(doc, left, windows, text) -> np.ndarray:
     lengths = windows + SPAN - 1
     rows = len(doc)
     grid = np.zeros((rows, width), np.uint8)
-    begin = np.cumsum(lengths) - lengths
     shift = most - left                                     # column of a record's first byte
-    grid[np.repeat(np.arange(rows), lengths), np.arange(lengths.sum()) - np.repeat(begin - shift, lengths)] = text
+    for j in range(int(lengths.max(initial=0))):
+        has = np.flatnonzero(lengths > j)
+        grid[has, shift[has] + j] = text[begin[has] + j]
     masks = np.zeros(rows, np.uint64)
     long = SPAN - REACH
     column, ranks = -1, None

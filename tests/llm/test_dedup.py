@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -171,6 +173,39 @@ def test_suffix_long_text_is_split_without_losing_windows(monkeypatch):
     assert covered.tolist() == list(range(5000 - 49)) and {int(d) for _, r in parts[1:] for d in r.doc} == {1}
 
 
+def _bucket_of(records):
+    """Records of 50 + 15 bytes as ``found_before`` takes them: many anchors,
+    each in a few documents, half of the texts shared."""
+    rng = np.random.default_rng(5)
+    texts = rng.integers(97, 123, (records // 2, 65), np.uint8)
+    texts = np.concatenate([texts, texts])
+    texts[records // 2:, :8] = rng.integers(97, 123, (records // 2, 8), np.uint8)
+    return (rng.integers(0, 1000, records), np.full(records, 20), np.full(records, 16), texts.ravel()), texts
+
+
+def test_suffix_bucket_parts():
+    """Whatever the parts, the masks are those of a brute-force comparison."""
+    (doc, left, windows, text), texts = _bucket_of(600)
+    least = {}
+    for d, t in zip(doc, texts):
+        for o in range(16):
+            least[o, t[o:o + 50].tobytes()] = min(d, least.get((o, t[o:o + 50].tobytes()), d))
+    want = [sum(1 << o for o in range(16) if least[o, t[o:o + 50].tobytes()] < d) for d, t in zip(doc, texts)]
+    assert any(want)
+    for rows in (1, 7, 1000):
+        assert SD.found_before(doc, left, windows, text, rows).tolist() == want
+
+
+def test_suffix_bucket_in_bounded_memory():
+    """Work arrays don't grow with a bucket (before: 1.7 KB a record)."""
+    args, _ = _bucket_of(200_000)
+    tracemalloc.start()
+    SD.found_before(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000, peak
+
+
 def test_suffix_empty(no_docs):
     assert SD.cut_duplicates(no_docs).count() == 0
 

@@ -134,6 +134,20 @@ def test_bic_penalty_and_train_breaks(spark):
     assert sc.count() >= 6 * 3
 
 
+def test_one_task_of_the_forecast_holds_few_sorts(spark):
+    """Each sort or window keeps pages of its own until its task ends, so trimming
+    the panel for every use put well over a dozen of them into one task."""
+    keys = ["entity", "category"]
+    p = _panel(spark, {"a": list(range(1, 25)), "b": [0.0] * 3 + [float(x * x) for x in range(1, 22)], "few": [1.0] * 4})
+    breaks = BK.detect_breaks(p)
+    scores = BT.backtest_scores(p, breaks)
+    ahead = FC.forecast_all(p, breaks, BT.best_model(scores, keys))
+    for out in (scores, ahead):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Sort ") <= 6, plan
+    assert {r["entity"]: r["count"] for r in ahead.groupBy("entity").count().collect()} == {"a": 5, "b": 5}
+
+
 def test_lines_of_small_slopes_and_large_values(spark):
     rows = [("small", k, 0.001 * k) for k in range(30)]
     rows += [("large", k, 1e9 + 3.0 * k + (0.5 if k % 2 else -0.5)) for k in range(30)]
